@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, minhash, mixing, toxicity
+from quarry.llm import language, line_dedup, minhash, mixing, sentencepiece_bpe, toxicity, url_filter
 from quarry.llm.common import table
 
+#: (verdict, host, path): the rules that op6 judges by.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def tokenizer_path() -> str:
+    """The SentencePiece model of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -14,6 +24,25 @@ def op1_toxicity(spark, sf_dir):
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = sentencepiece_bpe.encode(docs, tokenizer_path(), dropout=0.1, seed=17)
+    both = sentencepiece_bpe.decode(tokens, tokenizer_path())
+    return both.select("doc_id", "n_tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"), "ids")
+
+
+def op5_language_id(spark, sf_dir):
+    named = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return named.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_url_filter(spark, sf_dir):
+    """Listed are the urls that a feed handed on, known by their utm_source."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.col("url").contains("utm_source=")).select("url")
+    return url_filter.judge_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_line_dedup(spark, sf_dir):
     done = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed_positions").cast("array<string>"), ",").alias("removed_positions"), "text")
@@ -28,4 +57,4 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_line_dedup, op9_minhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op9_minhash, op10_mixing)}
