@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64
+from quarry.llm.common import mix64, write_stage
 
 #: Largest filter: beyond its capacity more keys pass to the join, and results stay the same.
 MAX_FILTER_BYTES = 32 << 20
@@ -113,7 +113,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(s, p))))
     urls = urls.select("of_url", "canon", F.array_distinct(pairs).alias("rule_keys"))
     asked = F.concat(F.array(F.concat(F.lit("url "), F.coalesce("canon", F.lit("")))), F.transform("rule_keys", lambda k: F.concat(F.lit("rule "), k)))
-    probed = urls.withColumn("maybe", possible(bloom, spark)(F.transform(asked, key_hash))).where(F.exists("maybe", lambda m: m))
+    asked = urls.withColumn("asked", F.transform(asked, key_hash))
+    probed = write_stage(asked.withColumn("maybe", possible(bloom, spark)("asked")).where(F.array_contains("maybe", True)).drop("asked"), "possible")
     keys = F.filter("rule_keys", lambda k, i: F.get("maybe", i + 1))
     by_rule = probed.select("of_url", F.explode(keys).alias("rule_key")).join(F.broadcast(rule_df), "rule_key")
     by_rule = by_rule.select("of_url", F.struct(F.length("rule_key").alias("n"), "rule_key", "rule_verdict").alias("r"))
