@@ -76,7 +76,7 @@ def possible(bloom: np.ndarray, spark):
         hit = ((shared.value[block] & words) == words).all(axis=1)
         return pd.Series(np.split(hit, np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
 
-    return probe
+    return probe.asNondeterministic()  # keeps a filter on its result above the distinct
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, url: str = "url") -> DataFrame:
