@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import hmm, language, line_dedup, minhash, mixing, sentencepiece_bpe, toxicity, url_filter
+from quarry.llm import hmm, language, line_dedup, minhash, mixing, pivot_index, sentencepiece_bpe, toxicity, url_filter
 from quarry.llm.common import table
 
 #: (verdict, host, path): the rules that op6 judges by.
@@ -29,6 +29,10 @@ def op2_hmm(spark, sf_dir):
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_pivot_index(spark, sf_dir):
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = sentencepiece_bpe.encode(docs, tokenizer_path(), dropout=0.1, seed=17)
@@ -62,4 +66,4 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hmm, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op9_minhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hmm, op3_pivot_index, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op9_minhash, op10_mixing)}
