@@ -13,7 +13,7 @@ from quarry.llm.common import write_stage
 from quarry.llm.components import connected_components
 
 #: Nearest pivots by which a vector is listed, and how many of them a pair must share.
-PREFIX, SHARED = 8, 2
+PREFIX, SHARED = 12, 2
 #: Pivots: 4 * sqrt(vectors) within these bounds; they are the vectors of lowest hash of id.
 FEWEST_PIVOTS, MOST_PIVOTS = 256, 4096
 #: Vectors of one list are compared in blocks of about this many.
