@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import hmm, language, line_dedup, minhash, mixing, pivot_index, sentencepiece_bpe, toxicity, url_filter
-from quarry.llm.common import table
+from quarry.llm import chroma, hmm, language, line_dedup, minhash, mixing, pivot_index, sentencepiece_bpe, toxicity, url_filter
+from quarry.llm.common import table, write_stage
 
 #: (verdict, host, path): the rules that op6 judges by.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -57,6 +57,16 @@ def op7_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed_positions").cast("array<string>"), ",").alias("removed_positions"), "text")
 
 
+def op8_chroma(spark, sf_dir):
+    """There is no table of media: `embeddings` stands in, each vector rendered as a tune. Queries are
+    the rows whose id is divisible by 20, against all rows; one without a match has a null vec_id."""
+    tunes = chroma.sonify(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    prints = write_stage(chroma.fingerprint(tunes).select(F.col("vec_id").alias("id"), "fingerprint"), "fingerprints")
+    asked = prints.where(F.col("id") % 20 == 0)
+    found = chroma.align(asked, prints).withColumnRenamed("id", "vec_id")
+    return asked.select(F.col("id").alias("query_id")).join(found, "query_id", "left")
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
@@ -66,4 +76,4 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hmm, op3_pivot_index, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op9_minhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hmm, op3_pivot_index, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op8_chroma, op9_minhash, op10_mixing)}
