@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_stage, write_stage
@@ -32,3 +33,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         drop_stage(large)
         current = following
     raise RuntimeError("components did not settle")
+
+
+def local_roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and each column of a block of links reaches within it."""
+    top = np.iinfo(np.int64).max
+    a, b = left.astype(np.int64), right.astype(np.int64)
+    while True:
+        x = np.minimum(a, np.where(linked, b[None, :], top).min(axis=1, initial=top))
+        y = np.minimum(b, np.where(linked, x[:, None], top).min(axis=0, initial=top))
+        if (x == a).all() and (y == b).all():
+            return x, y
+        a, b = x, y
+
+
+def block_turns(block: Column, blocks: Column) -> Column:
+    """For a member of `block` of a group cut into `blocks`: the block pairs (i, j), i <= j, it takes
+    part in, and whether as i (side 0) or j (side 1). A group within one block has the pair (0, 0)."""
+    return F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), (block > o).cast("int").alias("side")),
+    )

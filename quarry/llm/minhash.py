@@ -8,10 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm.common import mix64, shingles, small_batches, write_stage
-from quarry.llm.components import connected_components
+from quarry.llm.common import drop_stage, mix64, shingles, small_batches, write_stage
+from quarry.llm.components import block_turns, connected_components, local_roots
 
 #: Signature length; matching coordinates that a pair must show before its sets are compared.
 COORDINATES, MATCHES = 64, 42
@@ -19,6 +18,8 @@ COORDINATES, MATCHES = 64, 42
 SKETCH_CELLS = 1 << 16
 #: Documents of one posting list are compared in blocks of about this many.
 BLOCK = 512
+#: The same where whole shingle sets are compared.
+SET_BLOCK = 256
 
 _A = np.array([mix64(np.array([k], np.uint64), 101)[0] | np.uint64(1) for k in range(COORDINATES)], np.uint64)
 _B = np.array([mix64(np.array([k], np.uint64), 202)[0] for k in range(COORDINATES)], np.uint64)
@@ -79,64 +80,76 @@ def _post(counts: np.ndarray, length: int):
             keys = _keys(pdf["sig"])
             often = np.minimum(counts[(keys >> np.uint64(48)).astype(np.int64)], 2**31).astype(np.uint64)
             order = np.argpartition((often << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF)), length - 1, axis=1)[:, :length]
-            typical = np.log2(1.0 + often).sum(axis=1)
-            yield pd.DataFrame({"key": np.take_along_axis(keys, order, axis=1).ravel().astype(np.int64), "id": np.repeat(pdf["id"].to_numpy(), length), "typical": np.repeat(typical, length)})
+            yield pd.DataFrame({"key": np.take_along_axis(keys, order, axis=1).ravel().astype(np.int64), "id": np.repeat(pdf["id"].to_numpy(), length)})
 
     return run
 
 
-@F.pandas_udf(T.IntegerType())
-def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    left, right = (np.frombuffer(b"".join(x), np.uint32).reshape(len(x), COORDINATES) for x in (a, b))
-    return pd.Series((left == right).sum(axis=1).astype(np.int32))
+def _forest(rows: list, same: bool, linked_of) -> list[tuple[int, int]]:
+    """(id, root) of the members of a block pair that linked_of(left, right) links to others."""
+    left = [m for m in rows if m["side"] == 0]
+    right = left if same else [m for m in rows if m["side"] == 1]
+    if not left or not right:
+        return []
+    ids = [np.array([m["id"] for m in side], np.int64) for side in (left, right)]
+    linked = linked_of(left, right) & (ids[0][:, None] != ids[1][None, :])
+    if not linked.any():
+        return []
+    out = []
+    for side, roots in zip(ids, local_roots(linked, *ids), strict=True):
+        out += [(int(x), int(r)) for x, r in zip(side, roots, strict=True) if x != r]
+    return out
+
+
+def _colliding(left: list, right: list) -> np.ndarray:
+    """Pairs with MATCHES equal coordinates at least."""
+    x, y = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint32).reshape(len(side), COORDINATES) for side in (left, right))
+    total = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(COORDINATES):
+        total += x[:, k][:, None] == y[:, k][None, :]
+    return total >= MATCHES
+
+
+def _alike(percent: int):
+    """Pairs whose whole shingle sets reach the percentage, by products of their incidence matrices."""
+
+    def run(left: list, right: list) -> np.ndarray:
+        sets = [[np.frombuffer(m["members"], np.uint64) for m in side] for side in (left, right)]
+        sizes = [np.array([len(x) for x in side]) for side in sets]
+        flat = [np.concatenate(side) for side in sets]
+        owner = [np.repeat(np.arange(len(s)), s) for s in sizes]
+        common = np.intersect1d(*flat)
+        both = np.zeros((len(left), len(right)), np.int64)
+        places = [np.searchsorted(common, f) for f in flat]
+        held = [np.isin(f, common) for f in flat]
+        for start in range(0, len(common), 4096):
+            marks = []
+            for side in (0, 1):
+                here = held[side] & (places[side] >= start) & (places[side] < start + 4096)
+                m = np.zeros((len(sets[side]), min(4096, len(common) - start)), np.float32)
+                m[owner[side][here], places[side][here] - start] = 1
+                marks.append(m)
+            both += (marks[0] @ marks[1].T).astype(np.int64)
+        return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
+    return run
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough matching coordinates whose whole shingle sets are alike. An id
-    that has several texts is compared by each of them."""
-    a, b = (sigs.select(F.col("id").alias(x), F.col("print_a").alias(f"print_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    sides = ["a", "print_a", "b", "print_b"]
-    close = write_stage(pairs.join(a, "a").join(b, "b").where(_matches("sig_a", "sig_b") >= MATCHES).select(sides), "candidates")
-    wanted = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-
-    @F.pandas_udf("print long, members binary")
-    def sets(text: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, size) for t in text]
-        return pd.DataFrame({"print": [_print(h, 7) for h in found], "members": [h.tobytes() for h in found]})
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
 
-    whole = texts.select("id", sets("text").alias("s")).select("id", "s.print", "s.members").dropDuplicates(["id", "print"])
-    whole = write_stage(whole, "sets")
-    a, b = (whole.select(F.col("id").alias(x), F.col("print").alias(f"print_{x}"), F.col("members").alias(f"set_{x}")) for x in "ab")
-    links = close.join(a, ["a", "print_a"]).join(b, ["b", "print_b"]).where(alike("set_a", "set_b"))
-    return write_stage(links.select("a", "b").distinct(), "links")
+def _linked_blocks(members: DataFrame, group: str, linked_of, block_rows: int) -> DataFrame:
+    """Edges (id, root) that span the links within each group of members(group, n, id, ...). Groups
+    of more than block_rows are compared block by block; a block gives a forest, never its pairs."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
+    payload = [c for c in members.columns if c not in (group, "n", "id")]
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = members.withColumn("t", F.explode(block_turns(block, blocks)))
+    dealt = dealt.groupBy(group, "t.i", "t.j").agg(F.collect_list(F.struct("id", *payload, F.col("t.side").alias("side"))).alias("rows"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = {e for rows, same in zip(pdf["rows"], pdf["same"], strict=True) for e in _forest(rows, same, linked_of)}
+            yield pd.DataFrame(sorted(found), columns=["id", "root"], dtype="int64")
 
-def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of one block pair that lie in different components and match often enough."""
-    for pdf in batches:
-        found = []
-        for mates, same in zip(pdf["mates"], pdf["same"], strict=True):
-            sides = [[m for m in mates if m["side"] == s] for s in (0, 1)]
-            right = sides[0] if same else sides[1]
-            if not sides[0] or not right:
-                continue
-            x, y = (np.frombuffer(b"".join(m["sig"] for m in ms), np.uint32).reshape(len(ms), COORDINATES) for ms in (sides[0], right))
-            ids = [np.array([m["id"] for m in ms], np.int64) for ms in (sides[0], right)]
-            comps = [np.array([m["component"] for m in ms], np.int64) for ms in (sides[0], right)]
-            for i in range(len(x)):
-                hit = np.nonzero(((y == x[i]).sum(axis=1) >= MATCHES) & (comps[1] != comps[0][i]) & (ids[1] != ids[0][i]))[0]
-                found += [(min(int(ids[0][i]), int(j)), max(int(ids[0][i]), int(j))) for j in ids[1][hit]]
-        yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+    return dealt.select("rows", (F.col("i") == F.col("j")).alias("same")).mapInPandas(run, "id long, root long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -151,9 +164,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Documents with one shingle set form a class, and only its smallest doc_id goes on. Each posts
     itself under the COORDINATES - MATCHES + 1 rarest of its coordinate-value pairs: any two with
     MATCHES collisions share one of those, in whatever fixed order, and frequent values, such as a
-    common passage brings, come last in the order and are skipped. Lists are first joined to
-    their most typical member; lists whose members then lie in one component are skipped, and what
-    is left is compared in blocks across components. Every link is confirmed on the whole sets.
+    common passage brings, come last in the order and are skipped. Within a list, collisions are
+    counted over whole signatures, block by block; a block hands on a spanning forest of the pairs
+    that reach MATCHES. In the clusters these form, all whole shingle sets are compared, again by
+    blocks, so every link is confirmed exactly and no pairs are written out.
     A pair at percent = 85 is lost with a chance of about 1e-6 (fewer than 42 of 64 collisions).
     """
     small_batches(docs.sparkSession)
@@ -167,24 +181,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     for row in reps.select("sig").mapInPandas(_sketch, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH_CELLS rows at most
         counts[row["cell"]] = row["n"]
     length = COORDINATES - MATCHES + 1
-    posts = write_stage(reps.mapInPandas(_post(counts, length), "key long, id long, typical double"), "posts")
-    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("typical", "id")).alias("leader")).where("n > 1")
-    members = write_stage(posts.join(lists, "key").select("key", "n", "id", "leader"), "members")
-    stars = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = _verified(stars, reps, docs, size, percent)
-
-    labels = connected_components(links)
-    open_lists = members.where("n > 2").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = open_lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    left = open_lists.join(mixed.select("key", "n"), "key").join(reps, "id").drop("print_a")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    turns = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    dealt = left.select("key", "id", "component", "sig", F.explode(turns).alias("t"))
-    dealt = dealt.groupBy("key", "t.i", "t.j").agg(F.collect_list(F.struct("id", "component", "sig", F.col("t.side").alias("side"))).alias("mates"))
-    crossed = dealt.select("mates", (F.col("i") == F.col("j")).alias("same")).mapInPandas(_cross_pairs, "a long, b long").distinct()
-    more = _verified(crossed, reps, docs, size, percent)
-    labels = connected_components(links.union(more))
+    posts = write_stage(reps.select("id", "sig").mapInPandas(_post(counts, length), "key long, id long"), "posts")
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = posts.join(lists, "key").join(reps.select("id", "sig"), "id")
+    clusters = connected_components(write_stage(_linked_blocks(members, "key", _colliding, BLOCK).distinct(), "collisions"), "id", "root")
+    drop_stage(posts)
+
+    clusters = write_stage(clusters.union(clusters.select("component", "component").distinct()), "clusters")
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    clustered = clusters.join(sizes, "component").withColumnRenamed("node", "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(clustered, "id")
+
+    @F.pandas_udf("print long, members binary")
+    def sets(text: pd.Series) -> pd.DataFrame:
+        found = [shingles(t, size) for t in text]
+        return pd.DataFrame({"print": [_print(h, 7) for h in found], "members": [h.tobytes() for h in found]})
+
+    whole = texts.select("component", "n", "id", sets("text").alias("s")).select("component", "n", "id", "s.print", "s.members")
+    whole = whole.where(F.length("members") > 0).dropDuplicates(["id", "print"]).drop("print")
+    links = write_stage(_linked_blocks(whole, "component", _alike(percent), SET_BLOCK).distinct(), "links")
+    labels = connected_components(links, "id", "root")
 
     keyed = classes.join(labels, F.col("id") == F.col("node"), "left").select("print_a", "print_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     rows = described.select("doc_id", "n_shingles", "print_a", "print_b")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import write_stage
-from quarry.llm.components import connected_components
+from quarry.llm.components import block_turns, connected_components, local_roots
 
 #: Nearest pivots by which a vector is listed, and how many of them a pair must share.
 PREFIX, SHARED = 12, 2
@@ -71,14 +71,7 @@ def _links(cosine: float, shared: int):
             return empty
         ids = (left["id"].to_numpy(), right["id"].to_numpy())
         links = (linked @ right["copies"].to_numpy(), left["copies"].to_numpy() @ linked)
-        roots = [ids[0].copy(), ids[1].copy()]
-        top = np.iinfo(np.int64).max
-        while True:
-            from_right = np.minimum(roots[0], np.where(linked, roots[1][None, :], top).min(axis=1))
-            from_left = np.minimum(roots[1], np.where(linked, from_right[:, None], top).min(axis=0))
-            if (from_right == roots[0]).all() and (from_left == roots[1]).all():
-                break
-            roots = [from_right, from_left]
+        roots = local_roots(linked, *ids)
         sides = (0,) if same else (0, 1)
         out = pd.concat([pd.DataFrame({"id": ids[s], "links": links[s], "root": roots[s]}) for s in sides])
         return out[out["links"] > 0]
@@ -126,8 +119,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, shared: int = SHARED)
     sizes = listed.select("label", "dim", F.explode("prefix").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     posts = posts.join(sizes, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    turns = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    dealt = posts.withColumn("t", F.explode(turns)).select("label", "dim", "pivot", "t.*", "id", "copies", "unit", "prefix")
+    dealt = posts.withColumn("t", F.explode(block_turns(F.col("block"), blocks))).select("label", "dim", "pivot", "t.*", "id", "copies", "unit", "prefix")
     found = write_stage(dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(_links(cosine, shared), "id long, links long, root long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found, "id", "root")
