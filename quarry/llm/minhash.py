@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.bloom import build_filter, held
 from quarry.llm.common import drop_stage, mix64, shingles, small_batches, write_stage
 from quarry.llm.components import block_turns, connected_components, local_roots
 
@@ -130,7 +131,7 @@ def _alike(percent: int):
                 m[owner[side][here], places[side][here] - start] = 1
                 marks.append(m)
             both += (marks[0] @ marks[1].T).astype(np.int64)
-        return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        return (both > 0) & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both))
 
     return run
 
@@ -190,15 +191,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     clusters = write_stage(clusters.union(clusters.select("component", "component").distinct()), "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     clustered = clusters.join(sizes, "component").withColumnRenamed("node", "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(clustered, "id")
+    # texts of documents in no cluster stay where they are: a small filter holds them back
+    bloom = build_filter(clusters.select(F.xxhash64("node").alias("key_hash")), clusters.count())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    texts = texts.where(held(bloom, docs.sparkSession, F.xxhash64("id"))).join(clustered, "id")
 
     @F.pandas_udf("print long, members binary")
     def sets(text: pd.Series) -> pd.DataFrame:
         found = [shingles(t, size) for t in text]
         return pd.DataFrame({"print": [_print(h, 7) for h in found], "members": [h.tobytes() for h in found]})
 
+    sets = sets.asNondeterministic()  # evaluated once, after the join
     whole = texts.select("component", "n", "id", sets("text").alias("s")).select("component", "n", "id", "s.print", "s.members")
-    whole = whole.where(F.length("members") > 0).dropDuplicates(["id", "print"]).drop("print")
+    whole = whole.dropDuplicates(["id", "print"]).drop("print")
     links = write_stage(_linked_blocks(whole, "component", _alike(percent), SET_BLOCK).distinct(), "links")
     labels = connected_components(links, "id", "root")
 
