@@ -1,3 +1,452 @@
-"""Named queries over a directory of tables."""
+"""Named queries over a directory of tables: (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tx
+from quarry.functions.ids import joined, sha256, signed_order, uuid3
+from quarry.operators import access, evaluation, fusion, retrieval, state
+from quarry.plans.model import Model
 
 QUERIES = {}
+NOW = "2024-01-15 00:00:00"
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+    return f
+
+
+def big(column, name: str):
+    return (F.col(column) if isinstance(column, str) else column).cast("long").alias(name)
+
+
+def r9(column, name: str):
+    return F.round(F.col(column) if isinstance(column, str) else column, 9).alias(name)
+
+
+@query
+def documents_active(m: Model) -> DataFrame:
+    return m.heads.where("status = 'ACTIVE'").select("document_id", "tenant_id", "space_id", "title", big("authority", "authority"), "language", "source_uri", "content_hash")
+
+
+@query
+def chunks_lines(m: Model) -> DataFrame:
+    return m.chunks.select("chunk_id", "document_id", "revision_id", big("ordinal", "ordinal"), "content_hash")
+
+
+@query
+def source_uri_policy(m: Model) -> DataFrame:
+    return m.raw("pages").select("page_id", tx.allows_source_uri(F.col("url")).alias("allowed"))
+
+
+@query
+def language_tag(m: Model) -> DataFrame:
+    tags = m.raw("documents").select("doc_id", F.concat(F.upper("lang"), F.when(F.col("doc_id") % 2 == 0, "-at").otherwise("")).alias("raw"))
+    return tags.select("doc_id", tx.language_tag(F.col("raw")).alias("language"))
+
+
+@query
+def query_plan(m: Model) -> DataFrame:
+    plans = retrieval.plan_queries(m.queries)
+    return plans.select("query_id", "normalised", "relational", big("candidate_limit", "candidate_limit"), big(F.size("errors"), "n_errors"))
+
+
+def scope_of(m: Model) -> DataFrame:
+    return access.resolve_scope(m.principals, m.spaces, m.grants)
+
+
+@query
+def acl_scope(m: Model) -> DataFrame:
+    return scope_of(m)
+
+
+@query
+def accessible_spaces(m: Model) -> DataFrame:
+    found = access.accessible_spaces(m.principals, m.spaces, m.grants, m.documents)
+    return found.select("query_id", "space_id", "name", big("active_documents", "active_documents"))
+
+
+def keyword_of(m: Model) -> DataFrame:
+    plans = retrieval.plan_queries(m.queries)
+    return retrieval.keyword_substring(retrieval.in_scope(plans, scope_of(m), m.chunks, m.heads))
+
+
+@query
+def keyword_substring_topk(m: Model) -> DataFrame:
+    return keyword_of(m).select("query_id", "chunk_id", big("rank", "rank"), "score")
+
+
+def websearch_pairs(m: Model) -> DataFrame:
+    """The two words of a query: both, or either, or the first without the second, by query_id."""
+    plans = retrieval.plan_queries(m.queries).where(F.size(tx.tokens(F.col("normalised"))) == 2)
+    words = tx.tokens(F.col("normalised"))
+    asked = plans.select("query_id", "tenant_id", F.get(words, F.lit(0)).alias("first"), F.get(words, F.lit(1)).alias("second"), (F.col("query_id") % 3).alias("mode"))
+    terms = asked.select("query_id", "tenant_id", "mode", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("first").alias("term")), F.struct(F.lit(1).alias("at"), F.col("second").alias("term")))).alias("t"))
+    live = m.chunks.join(m.heads.where("status = 'ACTIVE'").select("revision_id"), "revision_id", "left_semi")
+    index = retrieval.postings(live).join(live.select("chunk_id", "tenant_id"), "chunk_id")
+    hits = terms.select("query_id", "tenant_id", "mode", "t.*").join(index, ["tenant_id", "term"])
+    has = lambda at: F.coalesce(F.bool_or(F.col("at") == at), F.lit(False))
+    grouped = hits.groupBy("query_id", "mode", "chunk_id").agg(has(0).alias("a"), has(1).alias("b"))
+    return grouped.where("mode = 0 and a and b or mode = 1 and (a or b) or mode = 2 and a and not b")
+
+
+@query
+def keyword_websearch_topk(m: Model) -> DataFrame:
+    return websearch_pairs(m).select("query_id", "chunk_id")
+
+
+@query
+def bm25_topk(m: Model) -> DataFrame:
+    plans = retrieval.plan_queries(m.queries)
+    scored = retrieval.bm25(retrieval.postings(m.chunks), retrieval.query_terms(plans), retrieval.index_stats(m.chunks))
+    scored = scored.withColumn("raw_score", F.round("raw_score", 9))
+    best = retrieval.top_candidates(scored, F.lit(10))
+    return best.select("query_id", "chunk_id", big("rank", "rank"), "raw_score")
+
+
+@query
+def bm25_best_fields_topk(m: Model) -> DataFrame:
+    """The better of title (weight 3) and content, on documents, relative to the best."""
+    terms = retrieval.query_terms(retrieval.plan_queries(m.queries))
+    docs = m.heads.where("status = 'ACTIVE'")
+    title = retrieval.bm25(retrieval.postings(docs, "title", "document_id"), terms, retrieval.index_stats(docs, "title"), "document_id")
+    body = retrieval.bm25(retrieval.postings(docs, "content", "document_id"), terms, retrieval.index_stats(docs), "document_id")
+    both = title.withColumn("raw_score", 3 * F.col("raw_score")).unionByName(body).groupBy("query_id", "document_id").agg(F.round(F.max("raw_score"), 9).alias("raw_score"))
+    ranked = retrieval.relative_to_best(retrieval.top_candidates(both.withColumnRenamed("document_id", "chunk_id"), F.lit(10)))
+    return ranked.select("query_id", F.col("chunk_id").alias("document_id"), big("rank", "rank"), r9("score", "score"))
+
+
+def vector_queries(m: Model) -> DataFrame:
+    """Every 20th vector asks in its own tenant and space."""
+    v = m.vectors.where("vec_id % 20 = 0")
+    return v.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("query_vec"), "tenant_id", "space_id", F.col("embedding").alias("query_embedding"))
+
+
+def vectors_of(m: Model, limit: int = 10) -> DataFrame:
+    return retrieval.vector_search(vector_queries(m), m.vectors, limit)
+
+
+@query
+def vector_cosine_topk(m: Model) -> DataFrame:
+    return vectors_of(m).select("query_id", "vec_id", big("rank", "rank"), r9("score", "score"))
+
+
+@query
+def vector_filtered_topk(m: Model) -> DataFrame:
+    """With an allow-list: documents of even number only."""
+    listed = m.documents.where("doc_id % 2 = 0").select("document_id")
+    found = retrieval.vector_search(vector_queries(m), m.vectors.join(listed, "document_id", "left_semi"), 10)
+    return found.select("query_id", "vec_id", big("rank", "rank"), r9("score", "score"))
+
+
+@query
+def vector_filter_rejected(m: Model) -> DataFrame:
+    filters = F.when(F.col("query_id") % 4 == 0, F.create_map(F.lit("language"), F.lit("en"))).otherwise(F.create_map().cast("map<string,string>"))
+    return retrieval.route_vector_queries(m.queries.withColumn("filters", filters))
+
+
+@query
+def active_guard(m: Model) -> DataFrame:
+    """Hits over all revisions, kept where the revision is active; ranks keep their gaps."""
+    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit")
+    all_chunks = m.chunks.withColumn("title", F.lit(""))
+    hits = retrieval.keyword_substring(all_chunks.join(plans, "tenant_id"))
+    return retrieval.retain_active(hits, m.heads).select("query_id", "chunk_id", big("rank", "rank"))
+
+
+def two_channels(m: Model) -> DataFrame:
+    """Keyword hits of the benchmark queries, and as vector hits the same chunks by length."""
+    keyword = keyword_of(m).select("query_id", "chunk_id", "tenant_id", "space_id", "document_id", "revision_id", "content", "rank", "score")
+    by_size = keyword.where("rank % 3 <> 0").withColumn("raw_score", 1 / (1.0 + F.length("content")))
+    vector = retrieval.top_candidates(by_size.drop("rank", "score"), F.lit(100)).withColumn("score", F.col("raw_score")).drop("raw_score")
+    return keyword.withColumn("channel", F.lit("KEYWORD")).unionByName(vector.withColumn("channel", F.lit("VECTOR"))).drop("content")
+
+
+@query
+def rrf_fusion(m: Model) -> DataFrame:
+    fused = fusion.fuse(two_channels(m))
+    return fused.select("query_id", "chunk_id", big("position", "position"), r9("rrf", "rrf"), F.array_join("channels", ",").alias("channels"), r9("relevance", "relevance"))
+
+
+@query
+def rrf_ties_signed_uuid(m: Model) -> DataFrame:
+    """All chunks of a document tie in one channel: the order is that of signed ids."""
+    live = m.chunks.join(m.heads.select("revision_id"), "revision_id", "left_semi")
+    rows = live.select(F.col("doc_id").alias("query_id"), "chunk_id", "document_id", F.lit("KEYWORD").alias("channel"), F.lit(1).alias("rank"), F.lit(0.75).alias("score"))
+    return fusion.fuse(rows).select("query_id", "chunk_id", big("position", "position"))
+
+
+def evidence_of(m: Model) -> DataFrame:
+    return fusion.evidence(fusion.fuse(two_channels(m)), m.heads, m.chunks)
+
+
+@query
+def evidence_bundle(m: Model) -> DataFrame:
+    rows = fusion.bundles(evidence_of(m))
+    ids = F.array_join(F.transform("evidences", lambda e: e["evidence_id"]), ",")
+    best = F.get("evidences", F.lit(0))
+    return rows.select("query_id", big(F.size("evidences"), "n_evidence"), ids.alias("evidence_ids"), r9(best["relevance"], "best_relevance"), big(best["authority"], "best_authority"), "sufficient")
+
+
+@query
+def scope_violations(m: Model) -> DataFrame:
+    """Keyword hits over the whole tenant that leave the scope of their query."""
+    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit")
+    hits = retrieval.keyword_substring(m.chunks.withColumn("title", F.lit("")).join(plans, "tenant_id"))
+    return access.violations(hits, scope_of(m)).select("query_id", "chunk_id")
+
+
+@query
+def channel_status_warnings(m: Model) -> DataFrame:
+    plans = m.queries.select("query_id")
+    channels = m.spark.createDataFrame([("KEYWORD", True), ("VECTOR", True), ("GRAPH", False)], "channel string, configured boolean")
+    failed = (F.col("channel") == "VECTOR") & (F.col("query_id") % 4 == 0)
+    status = F.when(~F.col("configured"), "NOT_CONFIGURED").when(failed, "FAILED").otherwise("OK")
+    rows = plans.crossJoin(F.broadcast(channels)).withColumn("status", status)  # three rows
+    return rows.select("query_id", "channel", "status", F.when(F.col("status") != "OK", F.concat(F.lit("RETRIEVER_"), "channel", F.lit("_UNAVAILABLE"))).alias("warning"))
+
+
+@query
+def trace_steps(m: Model) -> DataFrame:
+    both = two_channels(m)
+    steps = [
+        ("ACCESS", scope_of(m)),
+        ("PLAN", m.queries),
+        ("KEYWORD", both.where("channel = 'KEYWORD'")),
+        ("VECTOR", both.where("channel = 'VECTOR'")),
+        ("GUARD", retrieval.retain_active(both, m.heads)),
+        ("FUSE", fusion.fuse(both)),
+        ("EVIDENCE", evidence_of(m)),
+    ]
+    return fusion.trace_steps(steps, m.queries).select("query_id", big("ordinal", "ordinal"), "step_name", big("output_count", "output_count"))
+
+
+def evaluation_parts(m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each query should find the vectors of its own label, in its space."""
+    results = vectors_of(m).select("query_id", F.col("rank").alias("position"), F.col("vec_id").alias("label"))
+    asked = vector_queries(m).select("query_id", "tenant_id", "space_id").join(m.vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    expected = m.vectors.join(asked, ["tenant_id", "space_id"]).where("label = own and vec_id <> query_id").select("query_id", F.col("vec_id").alias("label"))
+    return vector_queries(m).select("query_id"), expected, results
+
+
+@query
+def eval_case_metrics(m: Model) -> DataFrame:
+    found = evaluation.case_metrics(*evaluation_parts(m), k=5)
+    return found.select("query_id", "hit", r9("recall", "recall"), r9("reciprocal_rank", "reciprocal_rank"), r9("ndcg", "ndcg"))
+
+
+@query
+def eval_macro_report(m: Model) -> DataFrame:
+    cases, expected, results = evaluation_parts(m)
+    report = evaluation.macro_report(evaluation.case_metrics(cases, expected, results, k=5), cases)
+    return report.select("cases", "failed", *[r9(c, c) for c in ("hit_rate", "recall", "mrr", "ndcg")])
+
+
+@query
+def eval_datasets(m: Model) -> DataFrame:
+    """Nations as datasets, customers as cases, their orders as runs: each side counted by itself."""
+    cases = m.raw("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_distinct("c_custkey").alias("case_count"))
+    runs = m.raw("orders").join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_distinct("o_orderkey").alias("run_count"))
+    rows = m.raw("nation").join(cases, "n_nationkey", "left").join(runs, "n_nationkey", "left")
+    return rows.select(big("n_nationkey", "dataset_id"), F.col("n_name").alias("name"), F.coalesce("case_count", F.lit(0)).alias("case_count"), F.coalesce("run_count", F.lit(0)).alias("run_count"))
+
+
+@query
+def admin_overview(m: Model) -> DataFrame:
+    docs = m.documents.groupBy("tenant_id").agg(F.count_if(F.col("status") == "ACTIVE").alias("documents"), F.count_distinct("space_id").alias("spaces"), F.count_distinct("connector_id").alias("connectors"))
+    chunks = m.chunks.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("chunks"))
+    jobs = m.jobs.groupBy("tenant_id").agg(F.count_if(F.col("status").isin("PENDING", "RETRY", "RUNNING")).alias("open_jobs"), F.count_if(F.col("status") == "DEAD").alias("dead_jobs"))
+    rows = docs.join(chunks, "tenant_id", "left").join(jobs, "tenant_id", "left")
+    return rows.select("tenant_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "spaces", "connectors", "chunks", "open_jobs", "dead_jobs")])
+
+
+@query
+def admin_spaces(m: Model) -> DataFrame:
+    counted = m.documents.groupBy("tenant_id", "space_id").agg(F.count_if(F.col("status") != "DELETED").alias("document_count"))
+    rows = m.spaces.where("status <> 'DELETED'").join(counted, ["tenant_id", "space_id"], "left")
+    return rows.select("tenant_id", "space_id", "name", "status", F.coalesce("document_count", F.lit(0)).alias("document_count"))
+
+
+@query
+def admin_documents_page(m: Model) -> DataFrame:
+    """The second page of 50 of one tenant, newest number first, with chunks, last job and total."""
+    docs = m.heads.where("tenant_id = 'tenant-en' and status <> 'DELETED'")
+    # the page first, its details afterwards: only 50 rows meet the larger tables
+    page = docs.orderBy(F.desc("doc_id"), "document_id").offset(50).limit(50)
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    counts = m.chunks.join(page.select("revision_id"), "revision_id", "left_semi").groupBy("revision_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    jobs = m.jobs.where("projection_type = 'KEYWORD'").select("revision_id", F.col("status").alias("keyword_status"))
+    rows = page.join(counts, "revision_id", "left").join(jobs, "revision_id", "left").crossJoin(F.broadcast(total))
+    return rows.select("document_id", "space_id", "title", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("keyword_status", F.lit("SKIPPED")).alias("keyword_status"), "total")
+
+
+@query
+def admin_connectors_last_run(m: Model) -> DataFrame:
+    last = state.latest(m.sync_runs, ["connector_id"], [F.desc("started_at"), F.desc("run_id")])
+    rows = m.raw("customer").select(F.col("c_custkey").alias("connector_id"), "c_name").join(last.drop("tenant_id"), "connector_id", "left")
+    return rows.select("connector_id", F.col("c_name").alias("name"), F.col("run_id").alias("last_run"), F.col("status").alias("last_status"))
+
+
+@query
+def admin_traces(m: Model) -> DataFrame:
+    rows = m.raw("events").orderBy(F.desc("ts"), "event_id").limit(200)
+    return rows.select("event_id", "user_id", F.round("value", 2).alias("duration"))
+
+
+@query
+def trace_mean_latency(m: Model) -> DataFrame:
+    return m.raw("events").groupBy("event_type").agg(F.coalesce(F.round(F.avg("value"), 6), F.lit(0.0)).alias("mean_duration"), F.count(F.lit(1)).alias("traces"))
+
+
+@query
+def document_chunks(m: Model) -> DataFrame:
+    """The chunks of active documents, head revision only, in order."""
+    rows = m.chunks.join(m.heads.where("status = 'ACTIVE'").select("revision_id"), "revision_id", "left_semi")
+    return rows.select("document_id", "chunk_id", big("ordinal", "ordinal"), "content")
+
+
+@query
+def space_grants(m: Model) -> DataFrame:
+    return m.grants.select("tenant_id", "space_id", "subject_type", "subject_id", "permission")
+
+
+@query
+def job_states(m: Model) -> DataFrame:
+    return m.jobs.where("document_status = 'ACTIVE'").select("document_id", "projection_type", "status", big("attempts", "attempts"))
+
+
+@query
+def revision_actions(m: Model) -> DataFrame:
+    """By number: the same again, a new title, the first revision once more, or a new text."""
+    turn = F.col("doc_id") % 4
+    first = m.revisions.where("revision_number = 1").select("document_id", F.col("content_hash").alias("first_hash"))
+    heads = m.heads.join(first, "document_id")
+    incoming = heads.select(
+        "document_id",
+        F.when(turn == 2, F.col("first_hash")).when(turn == 3, sha256(F.concat("content", F.lit("!")))).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(turn == 1, F.concat(F.lit("New "), "title")).otherwise(F.col("title")).alias("title"),
+        "authority",
+    )
+    return state.revision_actions(incoming, m.documents, m.revisions)
+
+
+@query
+def document_upsert(m: Model) -> DataFrame:
+    rows = m.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    current = rows.where("id % 3 <> 0").withColumns({"updated_at": (F.col("id") % 100).cast("long"), "version": F.lit(1).cast("long")})
+    change = F.when(F.col("id") % 2 == 0, F.concat(F.col("name"), F.lit("+"))).otherwise(F.col("name"))
+    changes = rows.where("id % 5 <> 0").select("id", change.alias("name"), "segment", F.lit(50).cast("long").alias("updated_at"))
+    return state.upsert(current, changes, ["id"], ["name", "segment"])
+
+
+@query
+def next_revision_number(m: Model) -> DataFrame:
+    new = m.documents.where("doc_id % 3 = 0").select("document_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("draft"))
+    return evaluation.next_version(new, m.revisions.select("document_id", "revision_number"), ["document_id"], "revision_number", ["draft"])
+
+
+def wanted_jobs(m: Model) -> DataFrame:
+    types = F.explode(F.array(F.lit("KEYWORD"), F.lit("VECTOR")))
+    return m.heads.where("status = 'ACTIVE'").select("revision_id", types.alias("projection_type"))
+
+
+@query
+def job_enqueue(m: Model) -> DataFrame:
+    return state.enqueue(m.jobs.select("revision_id", "projection_type", "status", "attempts"), wanted_jobs(m))
+
+
+@query
+def job_rebuild(m: Model) -> DataFrame:
+    """Only active revisions that have a chunk are wanted."""
+    wanted = wanted_jobs(m).join(m.chunks.select("revision_id").distinct(), "revision_id", "left_semi")
+    return state.enqueue(m.jobs.select("revision_id", "projection_type", "status", "attempts"), wanted, keep_running=True)
+
+
+@query
+def job_claim(m: Model) -> DataFrame:
+    taken = state.claim(m.jobs, NOW, 20)
+    return taken.select("job_id", big("attempts", "attempts"))
+
+
+@query
+def job_fail_backoff(m: Model) -> DataFrame:
+    return state.fail(m.jobs.where("status = 'RUNNING'")).select("job_id", "status", "delay_ms")
+
+
+@query
+def job_requeue_dead(m: Model) -> DataFrame:
+    return state.requeue_dead(m.jobs, m.heads).select("job_id", "status")
+
+
+@query
+def generation_fingerprint(m: Model) -> DataFrame:
+    """The hash of a space's index contract, and the generation id it gives."""
+    contract = joined(F.lit("hashing"), F.lit("v1"), F.lit("64"), F.lit("COSINE"), F.col("tenant_id"), F.col("space_id"))
+    return m.spaces.select("tenant_id", "space_id", sha256(contract).alias("contract_hash"), uuid3(contract).alias("generation_id"))
+
+
+@query
+def projection_status(m: Model) -> DataFrame:
+    """Status per active revision and channel from its jobs, SKIPPED without one."""
+    to = {"PENDING": "PENDING", "RETRY": "PENDING", "RUNNING": "PENDING", "SUCCEEDED": "SUCCEEDED", "DEAD": "FAILED"}
+    mapped = F.element_at(F.create_map(*[F.lit(x) for kv in to.items() for x in kv]), F.col("status"))
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("projection_type") == kind, mapped)), F.lit("SKIPPED"))
+    rows = m.heads.where("status = 'ACTIVE'").select("revision_id").join(m.jobs.select("revision_id", "projection_type", "status"), "revision_id", "left")
+    return rows.groupBy("revision_id").agg(of("KEYWORD").alias("keyword_status"), of("VECTOR").alias("vector_status"))
+
+
+@query
+def single_flight_cancel(m: Model) -> DataFrame:
+    return state.single_flight(m.sync_runs).select("run_id", "status")
+
+
+@query
+def acl_grant_revoke(m: Model) -> DataFrame:
+    doubled = state.grant(m.grants, m.grants.where("subject_type = 'USER'"))
+    gone = m.grants.where("subject_type = 'ROLE' and subject_id = 'role-1'")
+    return state.revoke(doubled, gone).select("tenant_id", "space_id", "subject_type", "subject_id", "permission")
+
+
+@query
+def connector_configure(m: Model) -> DataFrame:
+    """A connector per space, only where the space is active; authority 70 unless stated."""
+    n = F.regexp_extract("space_id", "([0-9]+)", 1)
+    stated = F.when(n.cast("int") % 2 == 0, n)
+    return m.spaces.where("status = 'ACTIVE'").select("tenant_id", "space_id", F.lit(1).cast("long").alias("version"), F.coalesce(stated.cast("long"), F.lit(70)).alias("authority"))
+
+
+@query
+def legacy_space_repair(m: Model) -> DataFrame:
+    """Jobs take space and tenant from their document."""
+    docs = m.documents.select("document_id", "space_id")
+    return m.jobs.select("job_id", "document_id").join(docs, "document_id").select("job_id", "space_id")
+
+
+@query
+def constraint_violations(m: Model) -> DataFrame:
+    """Number of violations by constraint."""
+    checks = [
+        ("document_key", state.repeated_keys(m.documents, ["document_id"])),
+        ("chunk_ordinal", state.repeated_keys(m.chunks, ["revision_id", "ordinal"])),
+        ("running_per_connector", state.repeated_keys(m.sync_runs.where("status = 'RUNNING'"), ["connector_id"])),
+        ("order_customer", state.orphans(m.raw("orders").select(F.col("o_custkey").alias("c_custkey")), m.raw("customer"), ["c_custkey"])),
+        ("lineitem_order", state.orphans(m.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), m.raw("orders"), ["o_orderkey"])),
+        ("lease_iff_running", m.jobs.where("status = 'RUNNING' and lease_until is null")),
+    ]
+    out = None
+    for name, rows in checks:
+        one = rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("name"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def signed_uuid_order(m: Model) -> DataFrame:
+    """Chunks in the order of signed ids, numbered within their revision."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("revision_id").orderBy(*signed_order(F.col("chunk_id"))))
+    return m.chunks.select("chunk_id", place.cast("long").alias("place"))
