@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions.ids import joined, sha256, signed_order, uuid3
 from quarry.operators import access, evaluation, fusion, retrieval, state
 from quarry.plans.model import Model
+from quarry.sources import markdown, vault
+from quarry.sources.shared import shared_dir
+from quarry.streaming import outbox
 
 QUERIES = {}
 NOW = "2024-01-15 00:00:00"
@@ -446,7 +451,60 @@ def constraint_violations(m: Model) -> DataFrame:
 @query
 def signed_uuid_order(m: Model) -> DataFrame:
     """Chunks in the order of signed ids, numbered within their revision."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("revision_id").orderBy(*signed_order(F.col("chunk_id"))))
     return m.chunks.select("chunk_id", place.cast("long").alias("place"))
+
+
+def markdown_of(m: Model) -> DataFrame:
+    """Documents as Markdown: a heading, then each line as paragraph, list item or fence in turn."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("- "), x)).when(i % 4 == 3, F.concat(F.lit("```txt\n"), x, F.lit("\n```"))).otherwise(x),
+    )
+    text = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join(lines, "\n\n"))
+    return m.raw("documents").select(F.col("doc_id").cast("string").alias("revision_id"), text.alias("content"))
+
+
+@query
+def markdown_elements(m: Model) -> DataFrame:
+    return markdown.parse_elements(markdown_of(m)).select("revision_id", big("ordinal", "ordinal"), "element_type", "content", F.array_join("section_path", "/").alias("section_path"))
+
+
+@query
+def heading_chunks(m: Model) -> DataFrame:
+    chunks = markdown.pack_chunks(markdown.parse_elements(markdown_of(m)))
+    return chunks.select("revision_id", big("ordinal", "ordinal"), big(F.size("element_ids"), "n_elements"), "content_hash", "chunk_id")
+
+
+def notes_of(m: Model) -> DataFrame:
+    """A vault note of each document, from its first words."""
+    words = tx.tokens(F.col("text"))
+    w = [F.coalesce(F.get(words, F.lit(i)), F.lit("x")) for i in range(4)]
+    note = F.concat(F.lit("---\ntitle: \"T "), w[0], F.lit("\"\ntags: [#"), w[1], F.lit(", z]\n---\n# Head\nsee [["), w[2], F.lit("#part|alias]] and ![["), w[3], F.lit("]] #"), w[0], F.lit("/sub ok\n"))
+    return m.raw("documents").select("doc_id", note.alias("note"))
+
+
+@query
+def vault_links_tags(m: Model) -> DataFrame:
+    c = vault.note_columns(F.col("note"), F.lit("n.md"))
+    return notes_of(m).select("doc_id", *[F.array_join(c[k], ",").alias(k) for k in ("wikilinks", "embeds", "tags")])
+
+
+@query
+def vault_frontmatter(m: Model) -> DataFrame:
+    c = vault.note_columns(F.col("note"), F.lit("n.md"))
+    return notes_of(m).select("doc_id", c["title"].alias("title"), F.element_at(c["metadata"], "tags").alias("raw_tags"))
+
+
+@query
+def outbox_stream(m: Model) -> DataFrame:
+    """Events as attempts of one job per user, through the streaming state machine, run until done."""
+    schema = m.raw("events").schema
+    events = m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").load(m.sf_dir)
+    ok = F.when(F.col("event_type").isin("purchase", "signup"), "ok").otherwise("failed")
+    states = outbox.job_states(events.select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), ok.alias("outcome")))
+    out = f"{shared_dir(m.spark)}/outbox-{uuid.uuid4().hex}"
+    outbox.run_once(states, f"{out}/checkpoint", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/states/batch={batch}"))
+    kept = m.spark.read.parquet(f"{out}/states")
+    last = state.latest(kept, ["job_id"], [F.desc("batch")])
+    return last.select("job_id", "status", big("attempts", "attempts"), "delay_ms")

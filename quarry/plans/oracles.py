@@ -225,3 +225,15 @@ def _requeued(resets: str, wanted: str) -> str:
 
 ORACLES["job_enqueue"] = sql(_requeued("j.status IN ('SUCCEEDED', 'DEAD')", "SELECT * FROM want"), "job", "want")
 ORACLES["job_rebuild"] = sql(_requeued("j.status <> 'RUNNING'", "SELECT * FROM want WHERE revision_id IN (SELECT revision_id FROM chunk)"), "job", "want", "chunk")
+
+WORDS = f"(SELECT doc_id, {tokens('text')} AS w FROM documents)"
+W = [f"coalesce(w[{i}], 'x')" for i in (1, 2, 3, 4)]
+ORACLES["vault_links_tags"] = f"SELECT doc_id, {W[2]} AS wikilinks, {W[3]} AS embeds, array_to_string(list_sort(list_distinct([{W[0]} || '/sub', {W[1]}, 'z'])), ',') AS tags FROM {WORDS}"
+ORACLES["vault_frontmatter"] = f"SELECT doc_id, 'T ' || {W[0]} AS title, '[#' || {W[1]} || ', z]' AS raw_tags FROM {WORDS}"
+ORACLES["outbox_stream"] = """SELECT job_id, status, attempts::BIGINT AS attempts, CASE WHEN status = 'RETRY' THEN (2000 * pow(2, attempts - 1))::BIGINT END AS delay_ms FROM (
+    SELECT job_id, CASE WHEN first_ok <= 5 THEN 'SUCCEEDED' WHEN n >= 5 THEN 'DEAD' ELSE 'RETRY' END AS status, least(coalesce(first_ok, 5), 5, n) AS attempts FROM (
+    SELECT user_id AS job_id, count(*) AS n, min(CASE WHEN event_type IN ('purchase', 'signup') THEN place END) AS first_ok FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events) GROUP BY user_id))"""
+ELEMENTS = """SELECT doc_id::VARCHAR AS revision_id, 0 AS ordinal, 'HEADING' AS element_type, 'Doc ' || doc_id AS content, 'Doc ' || doc_id AS section_path FROM documents
+    UNION ALL SELECT doc_id::VARCHAR, i, CASE (i - 1) % 4 WHEN 1 THEN 'LIST' WHEN 3 THEN 'CODE' ELSE 'PARAGRAPH' END, CASE WHEN (i - 1) % 4 = 1 THEN '- ' ELSE '' END || line, 'Doc ' || doc_id FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"""
