@@ -41,7 +41,7 @@ def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = (5,
 
 
 def _tilted(lam: float, size, scale: float, most: float):
-    return F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), lam * size / scale)))
+    return F.round(F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), lam * size / scale))), 12)
 
 
 def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
@@ -61,6 +61,7 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds:
         if not s["done"] and s["target"] >= s["most"] * (1 - 1e-12):
             s |= {"lam": 1e6, "done": True}
     schema = "source string, lam double, scale double"
+    exact = lambda x: F.sum(x.cast("decimal(30,6)")).cast("double")  # in any order the same
     for _ in range(rounds):
         todo = [(k, s["lam"], s["scale"]) for k, s in state.items() if not s["done"]]
         if not todo:
@@ -69,8 +70,8 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds:
         w = _tilted(F.col("lam"), F.col("size"), F.col("scale"), most)
         joined = cells.join(F.broadcast(now), cells["source"].eqNullSafe(now["source"])).select(cells["source"], "n", "size", "scale", w.alias("w"))
         sums = joined.groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * F.col("w")).alias("got"),
-            F.sum(F.when(F.col("w") < most, F.col("n") * F.col("size") * F.col("w") * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
+            exact(F.col("n") * F.col("size") * F.col("w")).alias("got"),
+            exact(F.when(F.col("w") < most, F.col("n") * F.col("size") * F.col("w") * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
         )
         for r in sums.collect():
             s = state[r["source"]]
