@@ -15,6 +15,8 @@ from quarry.llm.common import mix64, write_stage
 FRAME_RATE, FRAME, HOP = 5512, 1024, 256
 #: Notes that count, from A1 on, in equal temperament.
 LOWEST_HZ, OCTAVES = 55.0, 5
+#: Weights by which neighbouring frames are averaged.
+SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3
 #: A recording is listed under this many of its values, those of lowest hash.
 LANDMARKS = 8
 BLOCK = 512
@@ -37,6 +39,9 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     bins = np.zeros((inside.sum(), 12))
     bins[np.arange(len(note)), note] = 1
     out = power[:, inside] @ bins
+    out = out / np.maximum(out.sum(axis=1, keepdims=True), 1.0)
+    padded = np.pad(out, ((len(SMOOTH) // 2, len(SMOOTH) // 2), (0, 0)), mode="edge")
+    out = np.tensordot(np.lib.stride_tricks.sliding_window_view(padded, len(SMOOTH), axis=0), SMOOTH, axes=(2, 0))
     length = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return np.where(length > 1e-3, out / np.maximum(length, 1e-3), 0)
 

@@ -390,3 +390,13 @@ def test_merge_dropout_is_seeded_varied_and_lossless(spark, model_path):
     plain = sentencepiece_bpe.encode(docs, model_path, dropout=0)
     assert a.agg(F.sum("n_tokens")).first()[0] > plain.agg(F.sum("n_tokens")).first()[0]
     assert sentencepiece_bpe.encode(docs.limit(0), model_path).count() == 0
+
+
+def test_words_side_by_side_agree_with_single_ones(model_path):
+    pieces, byte_ids, _ = sentencepiece_bpe.load_pieces(model_path)
+    rng = random.Random(19)
+    for dropout in (0, 0.1, 0.5):
+        encoder = sentencepiece_bpe.Encoder(pieces, byte_ids, dropout, 5)
+        chunks = ["".join(rng.choice(" thereandioné日▁🙂\0") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
+        for v in range(sentencepiece_bpe.VARIANTS):
+            assert encoder.encode_many(chunks, v) == [encoder.word(c, v) for c in chunks]
