@@ -1 +1,50 @@
-ORACLES = {}
+"""DuckDB SQL for the operator queries that SQL can express.
+
+Scores of the trained models (op1, op2, op5), seeded segmentations (op4), fingerprints (op8) and tilted
+copies (op10) are not SQL; tests/llm compares them with brute force, round trips and held-out labels.
+"""
+
+from __future__ import annotations
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def closure(nodes: str, links: str) -> str:
+    """CTEs reach(id, other) and root(id, component_id) of links(a, b) among nodes(id)."""
+    return f"""sym AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+    reach(id, other) AS (SELECT a, b FROM sym UNION SELECT r.id, y.b FROM reach r JOIN sym y ON y.a = r.other),
+    root AS (SELECT n.id, least(n.id, min(r.other)) AS component_id FROM {nodes} n LEFT JOIN reach r ON r.id = n.id GROUP BY n.id)"""
+
+
+OP3 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+{closure('v', 'links')}
+SELECT id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = root.id OR l.b = root.id) AS n_links, component_id, id = component_id AS kept FROM root"""
+
+OP6 = rf"""WITH split AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM split),
+named AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') END AS canon FROM parts),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS said FROM named, rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT n.page_id, host, path, rule, coalesce(said, CASE WHEN canon IN (SELECT canon FROM named WHERE contains(url, 'utm_source=') AND canon IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n LEFT JOIN best b ON b.page_id = n.page_id"""
+
+OP7 = """WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+windows AS (SELECT doc_id, i AS pos, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines WHERE len(l) >= 3)),
+later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT doc_id, list_sort(list(DISTINCT pos + o - 1)) AS removed FROM later, (VALUES (0), (1), (2)) t(o) GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed_positions,
+    CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(removed, i - 1)), chr(10)) END AS text
+FROM lines d LEFT JOIN gone g ON g.doc_id = d.doc_id"""
+
+OP9 = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT w.doc_id AS id, count(s.s) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n x ON x.id = a.doc_id JOIN n y ON y.id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+{closure('n', 'links')}
+SELECT r.id AS doc_id, n.n AS n_shingles, component_id, r.id = component_id AS kept FROM root r JOIN n ON n.id = r.id"""
+
+ORACLES = {"op3_pivot_index": OP3, "op6_url_filter": OP6, "op7_line_dedup": OP7, "op9_minhash": OP9}
