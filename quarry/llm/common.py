@@ -34,7 +34,7 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Whole texts go to Python in batches of few rows, so that long ones fit its memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def drop_stage(df: DataFrame) -> None:

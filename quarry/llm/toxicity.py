@@ -18,6 +18,8 @@ from quarry.llm.common import crc_mod, small_batches
 MAX_LABELLED = 20_000
 #: Character n-grams kept as features, and the z value of their difference between the labels.
 MAX_FEATURES, MIN_Z = 600, 4.0
+#: n-grams that a task counts before it hands on what it has, and words a worker remembers.
+COUNTED, REMEMBERED = 250_000, 100_000
 #: Weight of squared score changes under swaps, and of the ordinary ridge.
 COUNTERFACTUAL, RIDGE = 10.0, 0.5
 
@@ -69,7 +71,7 @@ class Scorer:
         self.index, self.known = {g: i for i, g in enumerate(features)}, {}
 
     def features(self, found: set[str]) -> list[int]:
-        if len(self.known) > 300_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         out: set[int] = set()
         for w in found:
@@ -83,14 +85,20 @@ class Scorer:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     by_label = (Counter(), Counter())
+
+    def flushed() -> Iterator[pd.DataFrame]:
+        for toxic, counts in enumerate(by_label):
+            grams_met, n = list(counts), list(counts.values())
+            counts.clear()
+            if n:
+                yield pd.DataFrame({"gram": grams_met, "neg": [0] * len(n) if toxic else n, "pos": n if toxic else [0] * len(n)})
+
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
             by_label[toxic].update({g for w in words(text) for g in grams(w)})
-    for toxic, counts in enumerate(by_label):
-        items = list(counts.items())
-        for i in range(0, len(items), 100_000):
-            part = items[i : i + 100_000]
-            yield pd.DataFrame({"gram": [g for g, _ in part], "neg": [0 if toxic else n for _, n in part], "pos": [n if toxic else 0 for _, n in part]})
+            if sum(map(len, by_label)) > COUNTED:
+                yield from flushed()
+    yield from flushed()
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
@@ -121,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     z >= MIN_Z. Without rows of both labels there are no features, and the score is the share of
     toxic rows (one half without any).
     """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows
     total = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
