@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, write_stage
+from quarry.llm.common import mix64, small_batches, write_stage
 
 #: Frame and hop at FRAME_RATE, to which other rates are brought by picking samples.
 FRAME_RATE, FRAME, HOP = 5512, 1024, 256
@@ -17,6 +17,8 @@ FRAME_RATE, FRAME, HOP = 5512, 1024, 256
 LOWEST_HZ, OCTAVES = 55.0, 5
 #: Weights by which neighbouring frames are averaged.
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3
+#: Recordings that a worker holds at a time.
+BATCH = 128
 #: A recording is listed under this many of its values, those of lowest hash.
 LANDMARKS = 8
 BLOCK = 512
@@ -74,6 +76,7 @@ def fingerprint(media: DataFrame, audio: str = "audio", rate: str = "rate") -> D
     """media with fingerprint, an array of integers, of a binary column of 16-bit little-endian mono
     samples. Null, empty, silent and too short recordings and rates that are null or not positive
     have an empty one. Extra columns pass through; one named fingerprint is replaced."""
+    small_batches(media.sparkSession, BATCH)
 
     @F.pandas_udf("array<int>")
     def printed(sounds: pd.Series, rates: pd.Series) -> pd.Series:
