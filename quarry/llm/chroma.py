@@ -19,8 +19,6 @@ LOWEST_HZ, OCTAVES = 55.0, 5
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3
 #: Recordings that a worker holds at a time.
 BATCH = 128
-#: A recording is listed under this many of its values, those of lowest hash.
-LANDMARKS = 8
 BLOCK = 512
 #: (rectangle pattern, first pitch class, pitch classes, frames): 16 filters by rule.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 5, 4 + 3 * (k % 6)) for k in range(16)]
@@ -107,31 +105,29 @@ def best_offset(query: np.ndarray, other: np.ndarray) -> tuple[int, int, float]:
     return best, int(counts.max()), float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n)
 
 
-def _landmarks(prints: pd.Series) -> list[np.ndarray]:
-    out = []
-    for p in prints:
-        values = np.unique(np.asarray(p, np.int32))
-        out.append(values[np.argsort(mix64(values.view(np.uint32).astype(np.uint64), 41))[:LANDMARKS]])
-    return out
+def _ranks(fingerprint) -> tuple[np.ndarray, np.ndarray]:
+    """A fingerprint, and the hashes of its distinct values in order: the order of its lists."""
+    values = np.asarray(fingerprint, np.int32).view(np.uint32)
+    return values, np.sort(mix64(np.unique(values).astype(np.uint64), 41))
 
 
 def _aligned(most_errors: float, least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mark = pdf["mark"].iloc[0]
-        rank = lambda v: mix64(np.asarray(v, np.int32).view(np.uint32).astype(np.uint64), 41)
-        own = int(rank([mark])[0])
+        own = mix64(np.array([pdf["value"].iloc[0]], np.int32).view(np.uint32).astype(np.uint64), 41)[0]
         asked, held = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        before = [{int(x) for x in rank(m)} for m in held["marks"]]
-        before = [{x for x in b if x < own} for b in before]
-        prints = [np.asarray(p, np.int32).view(np.uint32) for p in held["fingerprint"]]
-        found = []
-        for q, p, marks in zip(asked["id"], asked["fingerprint"], asked["marks"], strict=True):
-            p, mine = np.asarray(p, np.int32).view(np.uint32), {int(x) for x in rank(marks) if x < own}
-            for other, r, seen in zip(held["id"], prints, before, strict=True):
-                if other != q and not (mine & seen):  # pairs with an earlier common landmark met there
-                    offset, votes, errors = best_offset(p, r)
-                    if votes >= least and errors <= most_errors:
-                        found.append((q, other, offset, votes, errors))
+        prints, ranks = zip(*map(_ranks, held["fingerprint"]), strict=True) if len(held) else ((), ())
+        earlier = [r[: np.searchsorted(r, own)] for r in ranks]
+        owner = np.repeat(np.arange(len(earlier)), [len(r) for r in earlier])
+        flat = np.concatenate([*earlier, np.empty(0, np.uint64)])
+        ids, found = held["id"].to_numpy(), []
+        for q, p in zip(asked["id"], asked["fingerprint"], strict=True):
+            p, mine = _ranks(p)
+            # pairs with an earlier value in common met in its list
+            seen = np.bincount(owner[np.isin(flat, mine[: np.searchsorted(mine, own)])], minlength=len(ids)) > 0
+            for k in np.nonzero(~seen & (ids != q))[0]:
+                offset, votes, errors = best_offset(p, prints[k])
+                if votes >= least and errors <= most_errors:
+                    found.append((q, ids[k], offset, votes, errors))
         return pd.DataFrame(found, columns=["query_id", "id", "offset", "votes", "bit_errors"])
 
     return run
@@ -140,33 +136,29 @@ def _aligned(most_errors: float, least: int):
 def align(queries: DataFrame, recordings: DataFrame, most_errors: float = 0.2, least: int = 4) -> DataFrame:
     """Rows (query_id, id, offset, votes, bit_errors) of recordings that align with a query.
 
-    Both sides have id and fingerprint. Two recordings meet in the list of a landmark value they
-    share; there the offset histogram of their equal values gives the alignment, and the bits of the
-    overlap confirm it. Lists are cut into blocks of about BLOCK recordings and queries; each pair is
-    treated at its first common landmark. A recording never matches its own id; null ids and empty
+    Both sides have id and fingerprint. A match needs equal values, so two recordings meet in the list
+    of every value they share, and nothing is lost; at the first of these, by hash, the offset
+    histogram of their equal values gives the alignment, and the bits of the overlap confirm it.
+    Lists without both sides end before fingerprints join them; the others are cut into blocks of
+    about BLOCK recordings and queries. A recording never matches its own id; null ids and empty
     fingerprints match nothing; repeated rows give repeated results.
     """
 
-    @F.pandas_udf("array<int>")
-    def landmarks(prints: pd.Series) -> pd.Series:
-        return pd.Series(_landmarks(prints), dtype=object)
-
     def marked(df: DataFrame, asks: bool) -> DataFrame:
         some = df.where("id is not null and size(fingerprint) > 0").select(F.col("id").cast("long").alias("id"), "fingerprint")
-        return some.withColumn("marks", landmarks("fingerprint")).withColumn("asks", F.lit(asks))
+        return some.withColumn("asks", F.lit(asks)).withColumn("row_id", F.expr("uuid()"))
 
-    both = write_stage(marked(queries, True).unionByName(marked(recordings, False)), "landmarks")
-    posts = both.withColumn("mark", F.explode("marks"))
-    sizes = both.select("asks", F.explode("marks").alias("mark")).groupBy("mark").agg(F.count_if("asks").alias("n_asking"), F.count_if(~F.col("asks")).alias("n_held"))
-    sizes = sizes.where("n_asking > 0 and n_held > 0")
-    posts = posts.join(sizes, "mark")
+    both = write_stage(marked(queries, True).unionByName(marked(recordings, False)), "recordings")
+    posts = both.select("row_id", "id", "asks", F.explode(F.array_distinct("fingerprint")).alias("value"))
+    sizes = posts.groupBy("value").agg(F.count_if("asks").alias("n_asking"), F.count_if(~F.col("asks")).alias("n_held"))
+    posts = posts.join(sizes.where("n_asking > 0 and n_held > 0"), "value")
     parts = {True: F.ceil(F.col("n_asking") / BLOCK), False: F.ceil(F.col("n_held") / BLOCK)}
     own, others = (F.when(F.col("asks"), parts[x]).otherwise(parts[not x]).cast("int") for x in (True, False))
     block = F.pmod(F.xxhash64("id"), own).cast("int")
     dealt = posts.withColumn("block", block).withColumn("against", F.explode(F.sequence(F.lit(0), others - 1)))
     i, j = F.when(F.col("asks"), F.col("block")).otherwise(F.col("against")), F.when(F.col("asks"), F.col("against")).otherwise(F.col("block"))
-    dealt = dealt.select("mark", i.alias("i"), j.alias("j"), "id", "asks", "fingerprint", "marks")
-    return dealt.groupBy("mark", "i", "j").applyInPandas(_aligned(most_errors, least), "query_id long, id long, offset int, votes int, bit_errors double")
+    dealt = dealt.select("value", i.alias("i"), j.alias("j"), "row_id").join(both, "row_id")
+    return dealt.groupBy("value", "i", "j").applyInPandas(_aligned(most_errors, least), "query_id long, id long, offset int, votes int, bit_errors double")
 
 
 def sonify(vectors: DataFrame, seconds_per_note: float = 0.1) -> DataFrame:

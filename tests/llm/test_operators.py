@@ -362,6 +362,22 @@ def test_chroma_aligns_shifted_and_noisy_copies(spark):
     assert all(len(r["fingerprint"]) == 0 for r in prints.where("id >= 20").collect())
 
 
+def test_chroma_meets_every_pair_that_brute_force_aligns(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-40, 40, 30).astype(np.int32).tolist()) for i in range(40)]
+    rows += [(100 + i, p[i % 9 :] + p[: i % 7]) for i, p in rows[:15]] + [(200, None), (201, []), (None, rows[0][1])]
+    prints = spark.createDataFrame(rows, "id long, fingerprint array<int>")
+    got = {(r["query_id"], r["id"]): (r["offset"], r["votes"], round(r["bit_errors"], 9)) for r in chroma.align(prints.where("id % 2 = 0"), prints, most_errors=0.5, least=2).collect()}
+    want = {}
+    for a, p in rows[:55]:
+        for b, q in rows[:55]:
+            if a % 2 == 0 and a != b:
+                offset, votes, errors = chroma.best_offset(*(np.array(x, np.int32).view(np.uint32) for x in (p, q)))
+                if votes >= 2 and errors <= 0.5:
+                    want[a, b] = (offset, votes, round(errors, 9))
+    assert got == want and len(want) > 15
+
+
 @pytest.fixture(scope="module")
 def model_path():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
