@@ -80,8 +80,8 @@ def _grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """Weights and bias of a squared-hinge linear SVM, classes weighed alike, by Nesterov's gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights and bias of a squared-hinge linear SVM, classes weighed alike, by Nesterov's gradient.
+    The last column of x is 1, for the bias."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     v = np.ones(x.shape[1], x.dtype)
     for _ in range(30):
@@ -126,11 +126,13 @@ def fit(docs: DataFrame, max_training: int = MAX_TRAINING) -> dict:
     seen = rows.mapInPandas(vectors, "lang string, x binary").limit(2 * max_training).collect()
     langs = sorted({r["lang"] for r in seen})
     families = sorted({family_of(g) for g in langs})
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in seen]).reshape(len(seen), len(features))
-    spread = np.sqrt((x**2).mean(axis=0)) + 1e-6 if len(x) else np.ones(len(features))
-    x = (x / spread / np.sqrt(max(1, len(features)))).astype(np.float32)
     y = np.array([r["lang"] for r in seen], object)
     kin = np.array([family_of(r["lang"]) for r in seen], object)
+    x = np.ones((len(seen), len(features) + 1), np.float32)  # one matrix, scaled in place
+    for row in x[::-1]:
+        row[:-1] = np.frombuffer(seen.pop()["x"], np.float32)
+    spread = np.sqrt(np.einsum("ij,ij->j", x[:, :-1], x[:, :-1], dtype=np.float64) / len(x)) + 1e-6 if len(x) else np.ones(len(features))
+    x[:, :-1] /= (spread * np.sqrt(max(1, len(features)))).astype(np.float32)
     tasks, weights = [], []
     for f in families if len(families) > 2 else families[: len(families) - 1]:
         tasks.append(("family", f, None))
