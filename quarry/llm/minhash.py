@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     counted over whole signatures, block by block; a block hands on a spanning forest of the pairs
     that reach MATCHES. In the clusters these form, all whole shingle sets are compared, again by
     blocks, so every link is confirmed exactly and no pairs are written out.
-    A pair at percent = 85 is lost with a chance of about 1e-6 (fewer than 42 of 64 collisions).
+    A pair with fewer than 42 of 64 collisions is lost: at a similarity of exactly 0.85 that has a chance
+    of 3e-5, at exactly 0.8 one of 2e-3, and above these soon less.
     """
     small_batches(docs.sparkSession)
     described = write_stage(describe(docs, size), "signatures")
