@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import write_stage
 from quarry.llm.components import block_turns, connected_components, local_roots
 
-#: Nearest pivots by which a vector is listed, and how many of them a pair must share.
-PREFIX, SHARED = 12, 2
-#: Pivots: 4 * sqrt(vectors) within these bounds; they are the vectors of lowest hash of id.
+#: Nearest pivots by which a vector is listed.
+PREFIX = 12
+#: Vectors sampled for pivots: 4 * sqrt(vectors) within these bounds, those of lowest hash of id.
 FEWEST_PIVOTS, MOST_PIVOTS = 256, 4096
+#: Pivots have no greater cosine with each other: the first of these that leaves an eighth of the
+#: sample, or else the first. A tight group, however large, so owns few pivots.
+APART = (0.7, 0.8, 0.9)
 #: Vectors of one list are compared in blocks of about this many.
 BLOCK = 768
 
@@ -26,25 +29,52 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _listed(pivots: dict[int, np.ndarray], n_pivots: int):
+def _thin(sample: np.ndarray) -> tuple[np.ndarray, float]:
+    """The pivots among unit vectors, in their order, and the cosine that no two of them exceed."""
+    found = []
+    for apart in APART:
+        open_, kept = np.ones(len(sample), bool), []
+        for i in range(len(sample)):
+            if open_[i]:
+                kept.append(i)
+                open_[i + 1 :] &= sample[i + 1 :] @ sample[i] <= apart
+        found.append((sample[kept], apart))
+        if 8 * len(kept) >= len(sample):
+            return found[-1]
+    return found[0]
+
+
+def _reach(apart: float, cosine: float) -> tuple[float, float]:
+    """Cosines (own, near). At most PREFIX pivots lie within `near` of any vector: seen from it, their
+    directions have pairwise cosines of -1 / (PREFIX - 1) or less. So if x is within `own` of a
+    pivot, that pivot is among the PREFIX nearest of every y linked with x, and within `near` of y."""
+    near = np.arcsin(np.sqrt((1 - apart) * (PREFIX - 1) / PREFIX))
+    own = near - np.arccos(min(1.0, cosine))
+    return (float(np.cos(own)) + 1e-9 if own > 0 else 2.0), float(np.cos(near)) - 1e-9
+
+
+def _listed(pivots: dict[int, tuple[np.ndarray, float]], n_pivots: int, cosine: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                known = pivots.get(dim)
-                if known is None or len(known) < PREFIX:  # a length that the sample lacks
-                    known = np.random.default_rng(int(dim)).normal(size=(n_pivots, int(dim)))
-                    known /= np.sqrt((known**2).sum(axis=1, keepdims=True))
+                if dim not in pivots:  # a length that the sample lacks
+                    drawn = np.random.default_rng(int(dim)).normal(size=(n_pivots, int(dim)))
+                    pivots[dim] = _thin(drawn / np.sqrt((drawn**2).sum(axis=1, keepdims=True)))
+                known, apart = pivots[dim]
+                own, near = _reach(apart, cosine)
                 x = _unit(part["embedding"])
-                near = -(x @ known.T)
-                k = min(PREFIX, near.shape[1])
-                top = np.argpartition(near, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
-                yield part[["id", "copies", "label", "dim"]].assign(unit=list(x), prefix=list(top.astype(np.int32)))
+                cosines = x @ known.T
+                k = min(PREFIX, cosines.shape[1])
+                top = np.argpartition(-cosines, k - 1, axis=1)[:, :k].astype(np.int32)
+                close = np.take_along_axis(cosines, top, axis=1)
+                # a vector close to a pivot meets all its links there, and needs no list of far pivots
+                listed = (close >= near) | (close.max(axis=1) < own)[:, None]
+                yield part[["id", "copies", "label", "dim"]].assign(unit=list(x), prefix=[t[m] for t, m in zip(top, listed, strict=True)])
 
     return run
 
 
-def _links(cosine: float, shared: int):
+def _links(cosine: float):
     """Within one block pair of one list: links found here and in no list of an earlier pivot."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,17 +84,16 @@ def _links(cosine: float, shared: int):
         if not len(left) or not len(right):
             return empty
         pivot = pdf["pivot"].iloc[0]
-        names, at = np.unique(np.concatenate(pdf["prefix"].to_numpy()), return_inverse=True)
+        names = np.unique(np.concatenate(pdf["prefix"].to_numpy()))
+        names = names[names < pivot]
 
-        def marks(part: pd.DataFrame) -> np.ndarray:
+        def earlier(part: pd.DataFrame) -> np.ndarray:
             out = np.zeros((len(part), len(names)), np.float32)
-            own = np.searchsorted(names, np.stack(part["prefix"].to_numpy()))
-            np.put_along_axis(out, own, 1, axis=1)
+            rows, own = np.repeat(np.arange(len(part)), part["prefix"].map(len)), np.concatenate(part["prefix"].to_numpy())
+            out[rows[own < pivot], np.searchsorted(names, own[own < pivot])] = 1
             return out
 
-        a, b = marks(left), marks(right)
-        earlier = names < pivot
-        candidate = (a @ b.T >= shared) & (a[:, earlier] @ b[:, earlier].T == 0)
+        candidate = earlier(left) @ earlier(right).T == 0
         x, y = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
         linked = candidate & (x @ y.T >= cosine) & (left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :])
         if not linked.any():
@@ -79,7 +108,7 @@ def _links(cosine: float, shared: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, shared: int = SHARED) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """Rows vec_id, n_links, component_id, kept, one per row of vectors(vec_id, embedding, label).
 
     Two rows are linked when their labels are equal and not null and their cosine, in double
@@ -89,10 +118,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, shared: int = SHARED)
     vectors are linked and are compared once; repeated rows count as vectors of their own. Other
     columns are ignored.
 
-    Each vector is described by its PREFIX nearest pivots. Rows meet in the inverted list of a pivot
-    (within label), in blocks; they are candidates if they share `shared` pivots, counted at the first
-    pivot they share, and are then verified. Neither links nor vectors go to the driver, apart from
-    the pivots. A block gives sums of links and a spanning forest, not pairs.
+    Each vector is described by its PREFIX nearest pivots; pivots are kept apart. Rows meet in the
+    inverted list of a pivot (within label), in blocks, and all pairs of a list are verified, at the
+    first pivot they share. No link is lost of a vector close to a pivot (see _reach), so none within
+    a tight group that has one; other pairs are lost if they share none of PREFIX pivots. Neither
+    links nor vectors go to the driver, apart from the sample. A block gives sums of links and a
+    spanning forest, not pairs.
     """
     spark = vectors.sparkSession
     values = F.transform("embedding", lambda x: x.cast("double"))
@@ -112,15 +143,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, shared: int = SHARED)
     classes = write_stage(classes, "vector-classes")
     n_pivots = int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, 4 * classes.count() ** 0.5)))
     sample = classes.orderBy(F.xxhash64("id"), "id", "h1").limit(n_pivots).select("dim", "embedding").toPandas()
-    pivots = {int(d): _unit(part["embedding"]) for d, part in sample.groupby("dim")}
+    pivots = {int(d): _thin(_unit(part["embedding"])) for d, part in sample.groupby("dim") if len(part) >= PREFIX}
     fields = "id long, copies long, label string, dim int, unit array<double>, prefix array<int>"
-    listed = write_stage(classes.select("id", "copies", "label", "dim", "embedding").mapInPandas(_listed(pivots, n_pivots), fields), "prefixes")
+    listed = write_stage(classes.select("id", "copies", "label", "dim", "embedding").mapInPandas(_listed(pivots, n_pivots, cosine), fields), "prefixes")
     posts = listed.select("id", "copies", "label", "dim", "unit", "prefix", F.explode("prefix").alias("pivot"))
     sizes = listed.select("label", "dim", F.explode("prefix").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     posts = posts.join(sizes, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     dealt = posts.withColumn("t", F.explode(block_turns(F.col("block"), blocks))).select("label", "dim", "pivot", "t.*", "id", "copies", "unit", "prefix")
-    found = write_stage(dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(_links(cosine, shared), "id long, links long, root long"), "vector-links")
+    found = write_stage(dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(_links(cosine), "id long, links long, root long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found, "id", "root")
     known = classes.select(*key, "id", "copies").join(counts, "id", "left").join(labels, F.col("id") == F.col("node"), "left")

@@ -308,6 +308,23 @@ def test_pivot_index_matches_brute_force(spark):
     assert all(found[1000 + i]["n_links"] == 0 for i in range(6)) and found[1010]["n_links"] == 0
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.14])
+def test_pivot_index_keeps_the_links_of_a_large_tight_group(spark, spread):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, hot = 10_200, 3_400
+    x = unit(rng.normal(size=(n, 64)))
+    x[:hot] = unit(x[hot] + spread * x[:hot])
+    pairs = rng.choice(np.arange(hot + 1, n), 1000, replace=False).reshape(2, -1)
+    x[pairs[1]] = unit(x[pairs[0]] + 0.19 * x[pairs[1]])
+    want = np.concatenate([(x[i : i + 1000] @ x.T >= 0.98).sum(axis=1) - 1 for i in range(0, n, 1000)])
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = pivot_index.near_vectors(rows.repartition(8)).toPandas().set_index("vec_id")["n_links"].reindex(range(n)).to_numpy()
+    assert want[:hot].min() > 100 and want[hot + 1 :].sum() >= 900
+    assert (got[:hot] == want[:hot]).all() and (got <= want).all()
+    assert got[hot + 1 :].sum() >= 0.99 * want[hot + 1 :].sum()
+
+
 def judge(url, rules, listed):
     rest = url.split("://", 1)[1] if url and "://" in url else None
     if rest is None:
