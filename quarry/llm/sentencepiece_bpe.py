@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections import Counter
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import mix64, small_batches
 
 SPACE = "▁"
-#: Independent draws that a word can get; each run of RUN words of a text takes one of them.
-VARIANTS, RUN = 2, 256
-#: Words remembered per variant and worker: such as a batch has twice, none longer than LONG_WORD.
-REMEMBERED, LONG_WORD = 150_000, 48
+#: Small keys that draws are compared under; in a text each word has a 64-bit key of its own.
+VARIANTS = 2
+#: Segmentations remembered in a worker, of words that a batch has twice, none longer than LONG_WORD.
+REMEMBERED, LONG_WORD = 300_000, 48
 NONE = float("-inf")
 _K1, _K2, _K3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Pairs of symbols are keyed by left * _PAIR + right; code points beyond the ids stay below it.
@@ -49,21 +50,23 @@ def load_pieces(model_path: str) -> tuple[dict[str, tuple[int, float]], list[int
     return pieces, byte_ids, surface
 
 
-class Words(dict):
-    """The segmentation of each word met under one variant. Long words are encoded each time."""
+class Node:
+    """What a word becomes if the pairs on the way here are skipped: ids, the merges in their order
+    (start * 64 + length), and what follows if one of those is skipped too. Without ids it holds a
+    symbol that has no piece, and is encoded by heap."""
 
-    def __init__(self, encoder: Encoder, variant: int):
-        super().__init__()
-        self.encoder, self.variant = encoder, variant
+    __slots__ = ("chunk", "ids", "merges", "skipped", "after", "size")
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.encoder.word(chunk, self.variant)
+    def __init__(self, chunk: str, ids: bytes | None, merges: bytes, skipped: tuple[int, ...]):
+        self.chunk, self.ids, self.merges, self.skipped = chunk, ids, merges, skipped
+        self.after: dict[int, Node] | None = None
+        self.size = 1
 
 
 class Encoder:
     """Encodes words by agenda: the adjacent pair whose merged piece scores best goes first, the
-    leftmost of equals. A pair that comes up is skipped when the keyed hash of seed, variant, word
-    and pair falls below the dropout; symbols left without a piece become their bytes."""
+    leftmost of equals. A pair that comes up is skipped when the hash of the occurrence's key and the pair's
+    place falls below the dropout; symbols left without a piece become their bytes."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], dropout: float, seed: int):
         self.ids, self.byte_ids = {p: i for p, (i, _) in pieces.items()}, byte_ids
@@ -81,48 +84,97 @@ class Encoder:
                     while self.slots[slot] >= 0:
                         slot = (slot + 1) % len(self.slots)
                     self.slots[slot], self.values[slot] = a * _PAIR + b, i
-        self.known = [Words(self, v) for v in range(VARIANTS)]
+        self.known: dict[str, Node] = {}
+        self.remembered = 0
 
-    def word(self, chunk: str, variant: int = 0) -> bytes:
-        """The ids of one word, as packed 32-bit integers."""
+    def word(self, chunk: str, key: int = 0) -> bytes:
+        """The ids of one occurrence of a word, as packed 32-bit integers."""
         # a literal U+2581 is no space: it takes a name that no piece has, and ends as bytes
         symbols = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in chunk]
-        key = int(self._keys(np.array([[ord(c) for c in chunk]], np.uint32), variant)[0]) if self.limit else 0
         out: list[int] = []
         for s in self.by_heap(symbols, key):
             at = self.ids.get(s)
             out += [at] if at is not None else [self.byte_ids[b] for b in (SPACE if s == "\0" + SPACE else s).encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32).tobytes()
 
-    def _keys(self, codes: np.ndarray, variant: int) -> np.ndarray:
-        """A hash of seed, variant and word for each row of code points; zeros pad the rows."""
-        with np.errstate(over="ignore"):
-            powers = np.multiply.accumulate(np.full(codes.shape[1], _K1 | 1, np.uint64))
-            return mix64((codes * powers).sum(axis=1, dtype=np.uint64), self.seed * VARIANTS + variant)
-
     def skips(self, key: int, start: int, length: int) -> bool:
         draw = (key + start * _K1 + length * _K2) & 0xFFFFFFFFFFFFFFFF
         return ((((draw ^ (draw >> 31)) * _K3) & 0xFFFFFFFFFFFFFFFF) >> 32) < self.limit
 
-    def encode_many(self, chunks: list[str], variant: int) -> list[bytes]:
-        """word() for many short words side by side: each round takes the best pair of every word."""
-        out = [b""] * len(chunks)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    def encode_many(self, chunks: list[str], keys: int | np.ndarray) -> list[bytes]:
+        """word() for many occurrences: those of a word that skip the same pairs share a Node, and new
+        nodes are encoded side by side. Each round finds the first merge that an occurrence skips."""
+        keys = np.broadcast_to(np.asarray(keys, np.uint64), len(chunks))
+        met = Counter(chunks)
+        if self.remembered > REMEMBERED:
+            self.known.clear()
+            self.remembered = 0
+        new = [c for c in met if len(c) <= LONG_WORD and c not in self.known]
+        self.known.update(zip(new, self._nodes([(c, ()) for c in new]), strict=True))
+        place = {c: i for i, c in enumerate(met)}
+        nodes: list[Node | None] = [self.known.get(c) for c in met]
+        by_heap = np.array([n is None or n.ids is None for n in nodes], bool)
+        at = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
+        out = np.empty(len(chunks), object)
+        for i in np.nonzero(by_heap[at])[0].tolist():
+            out[i] = self.word(chunks[i], int(keys[i]))
+        rows = np.nonzero(~by_heap[at])[0]
+        at = at[rows]
+        while len(rows):
+            ids = np.empty(len(nodes), object)
+            ids[:] = [n and n.ids for n in nodes]
+            out[rows] = ids[at]
+            if not self.limit:
+                break
+            sizes = np.array([len(n.merges) // 2 if n else 0 for n in nodes], np.int64)
+            merges = np.frombuffer(b"".join(n.merges for n in nodes if n), np.int16).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                places = (merges >> np.uint64(6)) * np.uint64(_K1) + (merges & np.uint64(63)) * np.uint64(_K2)
+                n = sizes[at]
+                row = np.repeat(np.arange(len(rows)), n)
+                step = np.arange(len(row)) + np.repeat((sizes.cumsum() - sizes)[at] - (n.cumsum() - n), n)
+                draw = keys[rows][row] + places[step]
+                draw = ((draw ^ (draw >> np.uint64(31))) * np.uint64(_K3)) >> np.uint64(32)
+            hit = np.nonzero(draw < np.uint64(self.limit))[0]
+            hit = hit[np.diff(row[hit], prepend=-1) > 0]  # the first of each row
+            steps, at = np.unique(step[hit], return_inverse=True)
+            rows = rows[row[hit]]
+            owners = np.searchsorted(sizes.cumsum(), steps, side="right").tolist()
+            turns = [(nodes[o], int(m)) for o, m in zip(owners, merges[steps].tolist(), strict=True)]
+            lacking = [(o, m) for o, m in turns if o.after is None or m not in o.after]
+            for (o, m), node in zip(lacking, self._nodes([(o.chunk, (*o.skipped, m)) for o, m in lacking]), strict=True):
+                o.after = o.after or {}
+                o.after[m] = node
+                self.known[o.chunk].size += 1
+                self.remembered += 1
+            nodes = [o.after[m] for o, m in turns]
+        self.remembered += len(new)
+        for c in new:
+            if met[c] == 1:
+                self.remembered -= self.known.pop(c).size
+        return out.tolist()
+
+    def _nodes(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[Node]:
+        """A node for each (word, merges skipped); all of them skip equally many."""
+        out: list[Node] = [None] * len(wanted)
+        sizes = np.fromiter((len(c) for c, _ in wanted), np.int64, len(wanted))
         for low, high in ((0, 8), (8, 16), (16, LONG_WORD)):
             at = np.nonzero((sizes > low) & (sizes <= high))[0]
             if len(at):
-                for i, ids in zip(at.tolist(), self._side_by_side([chunks[i] for i in at.tolist()], sizes[at], variant), strict=True):
-                    out[i] = ids
+                part = [wanted[i] for i in at.tolist()]
+                found = self._side_by_side([c for c, _ in part], sizes[at], np.array([s for _, s in part], np.int64))
+                for i, (ids, merges) in zip(at.tolist(), found, strict=True):
+                    out[i] = Node(wanted[i][0], ids, merges, wanted[i][1])
         return out
 
-    def _side_by_side(self, chunks: list[str], sizes: np.ndarray, variant: int) -> list[bytes]:
+    def _side_by_side(self, chunks: list[str], sizes: np.ndarray, skipped: np.ndarray) -> list[tuple[bytes | None, bytes]]:
+        """Ids and merges of each word, whose row of `skipped` holds the pairs that do not merge."""
         n, width = len(chunks), int(sizes.max())
         codes = np.array(chunks, dtype=f"U{width}").view(np.uint32).reshape(n, width)
         met, where = np.unique(codes, return_inverse=True)
         names = [self.ids.get(SPACE if c == 32 else chr(c)) if c != ord(SPACE) else None for c in met.tolist()]
         # a symbol without a piece is its code beyond all ids: no pair has it
         symbols = np.array([self.size + c if i is None else i for c, i in zip(met.tolist(), names, strict=True)], np.int64)[where].reshape(n, width)
-        keys = self._keys(codes, variant) if self.limit else np.zeros(n, np.uint64)
         place = np.arange(width)
         after = np.where(place + 1 < sizes[:, None], place + 1, width)
         before = np.broadcast_to(place - 1, (n, width)).copy()
@@ -138,18 +190,16 @@ class Encoder:
         r, i = np.nonzero(place + 1 < sizes[:, None])
         propose(r, i, i + 1)
         rows = np.arange(n)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(rows):
             k = best[rows].argmax(axis=1)
             open_ = best[rows, k] > NONE
             rows, k = rows[open_], k[open_]
-            goes = np.ones(len(rows), bool)
-            if self.limit:
-                with np.errstate(over="ignore"):
-                    draw = keys[rows] + k.astype(np.uint64) * np.uint64(_K1) + self.lengths[merged[rows, k]] * np.uint64(_K2)
-                    draw = ((draw ^ (draw >> np.uint64(31))) * np.uint64(_K3)) >> np.uint64(32)
-                goes = draw >= np.uint64(self.limit)
-                best[rows[~goes], k[~goes]] = NONE
+            pair = k * 64 + self.lengths[merged[rows, k]].astype(np.int64)
+            goes = ~(skipped[rows] == pair[:, None]).any(axis=1)
+            best[rows[~goes], k[~goes]] = NONE
             r, i = rows[goes], k[goes]
+            done.append((r, pair[goes]))
             j = after[r, i]
             symbols[r, i] = merged[r, i]
             alive[r, j] = False
@@ -161,12 +211,12 @@ class Encoder:
             propose(r[has], i[has], following[has])
             has = before[r, i] >= 0
             propose(r[has], before[r, i][has], i[has])
-        flat = symbols[alive].astype(np.int32)
-        packed, ends = flat.tobytes(), (4 * alive.sum(axis=1).cumsum()).tolist()
-        out = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        for i in np.nonzero((alive & (symbols >= self.size)).any(axis=1))[0].tolist():
-            out[i] = self.word(chunks[i], variant)  # symbols without a piece become bytes
-        return out
+        owner = np.concatenate([r for r, _ in done])
+        merges = np.concatenate([m for _, m in done])[np.argsort(owner, kind="stable")].astype(np.int16).tobytes()
+        turns = (2 * np.bincount(owner, minlength=n).cumsum()).tolist()
+        packed, ends = symbols[alive].astype(np.int32).tobytes(), (4 * alive.sum(axis=1).cumsum()).tolist()
+        plain = ~(alive & (symbols >= self.size)).any(axis=1)  # symbols without a piece become bytes
+        return [(packed[a:b] if p else None, merges[c:d]) for p, a, b, c, d in zip(plain.tolist(), [0, *ends], ends, [0, *turns], turns, strict=False)]
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two adjacent symbols make, or -1."""
@@ -212,38 +262,20 @@ class Encoder:
         return [s for s in symbols if s]
 
     def texts(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray | None]:
-        """Ids of whole texts; the hash of seed, doc_key and number chooses a variant for each run of
-        words. Words that are new to the worker are encoded side by side first."""
+        """Ids of whole texts. The key of an occurrence is the hash of seed, doc_key and its number in
+        the text, so each occurrence of a word has draws of its own."""
         split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        turns = [self._variants(len(chunks), key) for chunks, key in zip(split, doc_keys, strict=True)]
-        once: list[list[str]] = []
-        for v, known in enumerate(self.known):
-            met: Counter = Counter()
-            for chunks, turn in zip(split, turns, strict=True):
-                for i, own in enumerate(turn):
-                    if own == v:
-                        met.update(chunks[i * RUN : (i + 1) * RUN])
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [c for c in met if len(c) <= LONG_WORD and c not in known]
-            known.update(zip(new, self.encode_many(new, v), strict=True))
-            once.append([c for c in new if met[c] == 1])
-        out: list[np.ndarray | None] = []
-        for text, chunks, turn in zip(texts, split, turns, strict=True):
-            found = (map(self.known[v].__getitem__, chunks[i * RUN : (i + 1) * RUN]) for i, v in enumerate(turn))
-            out.append(None if text is None else np.frombuffer(b"".join(chain.from_iterable(found)), np.int32))
-        for known, rare in zip(self.known, once, strict=True):
-            for c in rare:
-                del known[c]
-        return out
-
-    def _variants(self, n: int, doc_key: int) -> list[int]:
-        runs = -(-n // RUN)
-        if not self.limit:
-            return [0] * runs
-        start = np.uint64((doc_key * _K1 + self.seed) & 0xFFFFFFFFFFFFFFFF)
+        keys = [self._keys(len(chunks), key) for chunks, key in zip(split, doc_keys, strict=True)]
+        gc.disable()  # nodes hold no cycles, and looking for them is slow
+        found = self.encode_many(list(chain.from_iterable(split)), np.concatenate([np.empty(0, np.uint64), *keys]))
+        gc.enable()
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [None if t is None else np.frombuffer(b"".join(found[a:b]), np.int32) for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+
+    def _keys(self, n: int, doc_key: int) -> np.ndarray:
+        start = mix64(np.array([(doc_key * _K1 + self.seed) & 0xFFFFFFFFFFFFFFFF], np.uint64), 7)
         with np.errstate(over="ignore"):
-            return (mix64(np.arange(runs, dtype=np.uint64) + start, 11) % np.uint64(VARIANTS)).tolist()
+            return mix64(np.arange(n, dtype=np.uint64) + start, 11)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

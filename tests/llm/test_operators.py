@@ -433,3 +433,14 @@ def test_words_side_by_side_agree_with_single_ones(model_path):
         chunks = ["".join(rng.choice(" thereandioné日▁🙂\0") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
         for v in range(sentencepiece_bpe.VARIANTS):
             assert encoder.encode_many(chunks, v) == [encoder.word(c, v) for c in chunks]
+
+
+def test_each_occurrence_of_a_word_draws_for_itself(model_path):
+    pieces, byte_ids, _ = sentencepiece_bpe.load_pieces(model_path)
+    encoder = sentencepiece_bpe.Encoder(pieces, byte_ids, 0.3, 5)
+    text = " ".join(["understanding"] * 200)
+    ids = encoder.texts([text, text], [1, 2])
+    keys = [encoder._keys(200, k) for k in (1, 2)]
+    forms = [[encoder.word(" understanding", int(k)) for k in own] for own in keys]
+    assert [b"".join(f) for f in forms] == [r.tobytes() for r in ids]
+    assert len(set(forms[0])) > 20 and forms[0] != forms[1]
