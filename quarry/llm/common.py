@@ -46,6 +46,14 @@ def drop_stage(df: DataFrame) -> None:
         hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def packed(df: DataFrame, *added: Column, without: frozenset[str] | set[str] = frozenset()) -> tuple[DataFrame, list[Column]]:
+    """df as one struct column `row` and the added columns, whose names no column of df can clash with
+    then, and the columns that unpack it again. Columns named in `without` (lower case) are left out."""
+    names = [c for c in df.columns if c.lower() not in without]
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+    return df.select(own.alias("row"), *added), [F.col("row").getField(c).alias(c) for c in names]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -20,7 +20,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.stage_path = current.stage_path
+            return out
         seen = mark
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -54,3 +56,11 @@ def block_turns(block: Column, blocks: Column) -> Column:
         F.sequence(F.lit(0), blocks - 1),
         lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), (block > o).cast("int").alias("side")),
     )
+
+
+def named_by_smallest(labels: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (node, component, component_id) for all nodes of the components in labels(node, component),
+    with the smallest id among the members(node, id) of each, by a partial and a final grouped minimum."""
+    whole = labels.union(labels.select("component", "component").distinct()).join(members.select("node", "id"), "node")
+    low = whole.groupBy("component").agg(F.min("id").alias("component_id"))
+    return whole.select("node", "component").join(low, "component").select("node", "component", "component_id")
