@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import write_stage
-from quarry.llm.components import block_turns, connected_components, local_roots
+from quarry.llm.common import drop_stage, write_stage
+from quarry.llm.components import block_turns, connected_components, local_roots, named_by_smallest
 
 #: Nearest pivots by which a vector is listed.
 PREFIX = 12
@@ -69,7 +69,7 @@ def _listed(pivots: dict[int, tuple[np.ndarray, float]], n_pivots: int, cosine:
                 close = np.take_along_axis(cosines, top, axis=1)
                 # a vector close to a pivot meets all its links there, and needs no list of far pivots
                 listed = (close >= near) | (close.max(axis=1) < own)[:, None]
-                yield part[["id", "copies", "label", "dim"]].assign(unit=list(x), prefix=[t[m] for t, m in zip(top, listed, strict=True)])
+                yield part[["node", "copies", "label", "dim"]].assign(unit=list(x), prefix=[t[m] for t, m in zip(top, listed, strict=True)])
 
     return run
 
@@ -80,7 +80,7 @@ def _links(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         left, right = pdf[pdf["side"] == 0], (pdf if same else pdf[pdf["side"] == 1])
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
+        empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return empty
         pivot = pdf["pivot"].iloc[0]
@@ -95,14 +95,14 @@ def _links(cosine: float):
 
         candidate = earlier(left) @ earlier(right).T == 0
         x, y = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
-        linked = candidate & (x @ y.T >= cosine) & (left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :])
+        linked = candidate & (x @ y.T >= cosine) & (left["node"].to_numpy()[:, None] != right["node"].to_numpy()[None, :])
         if not linked.any():
             return empty
-        ids = (left["id"].to_numpy(), right["id"].to_numpy())
+        ids = (left["node"].to_numpy(), right["node"].to_numpy())
         links = (linked @ right["copies"].to_numpy(), left["copies"].to_numpy() @ linked)
         roots = local_roots(linked, *ids)
         sides = (0,) if same else (0, 1)
-        out = pd.concat([pd.DataFrame({"id": ids[s], "links": links[s], "root": roots[s]}) for s in sides])
+        out = pd.concat([pd.DataFrame({"node": ids[s], "links": links[s], "root": roots[s]}) for s in sides])
         return out[out["links"] > 0]
 
     return run
@@ -115,8 +115,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     precision, reaches the bound. Vectors that are null, empty, zero or hold null or non-finite
     components, rows without label and rows with null vec_id link with nothing (a null vec_id has
     a null component and is kept); so do vectors of different lengths with each other. Identical
-    vectors are linked and are compared once; repeated rows count as vectors of their own. Other
-    columns are ignored.
+    vectors are linked and are compared once; repeated rows count as vectors of their own, and rows
+    of one vec_id with different vectors have links and a component each. Other columns are ignored.
 
     Each vector is described by its PREFIX nearest pivots; pivots are kept apart. Rows meet in the
     inverted list of a pivot (within label), in blocks, and all pairs of a list are verified, at the
@@ -140,22 +140,24 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     )
     key = ["label", "dim", "h1", "h2"]
     classes = rows.where("usable").groupBy(*key).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
-    classes = write_stage(classes, "vector-classes")
+    # a class has a number of its own: several classes may hold one vec_id, if ids repeat
+    classes = write_stage(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n_pivots = int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, 4 * classes.count() ** 0.5)))
     sample = classes.orderBy(F.xxhash64("id"), "id", "h1").limit(n_pivots).select("dim", "embedding").toPandas()
     pivots = {int(d): _thin(_unit(part["embedding"])) for d, part in sample.groupby("dim") if len(part) >= PREFIX}
-    fields = "id long, copies long, label string, dim int, unit array<double>, prefix array<int>"
-    listed = write_stage(classes.select("id", "copies", "label", "dim", "embedding").mapInPandas(_listed(pivots, n_pivots, cosine), fields), "prefixes")
-    posts = listed.select("id", "copies", "label", "dim", "unit", "prefix", F.explode("prefix").alias("pivot"))
+    fields = "node long, copies long, label string, dim int, unit array<double>, prefix array<int>"
+    listed = write_stage(classes.select("node", "copies", "label", "dim", "embedding").mapInPandas(_listed(pivots, n_pivots, cosine), fields), "prefixes")
+    posts = listed.select("node", "copies", "label", "dim", "unit", "prefix", F.explode("prefix").alias("pivot"))
     sizes = listed.select("label", "dim", F.explode("prefix").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    posts = posts.join(sizes, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = posts.withColumn("t", F.explode(block_turns(F.col("block"), blocks))).select("label", "dim", "pivot", "t.*", "id", "copies", "unit", "prefix")
-    found = write_stage(dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(_links(cosine), "id long, links long, root long"), "vector-links")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = connected_components(found, "id", "root")
-    known = classes.select(*key, "id", "copies").join(counts, "id", "left").join(labels, F.col("id") == F.col("node"), "left")
-    known = known.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    posts = posts.join(sizes, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = posts.withColumn("t", F.explode(block_turns(F.col("block"), blocks))).select("label", "dim", "pivot", "t.*", "node", "copies", "unit", "prefix")
+    found = write_stage(dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(_links(cosine), "node long, links long, root long"), "vector-links")
+    drop_stage(listed)
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    names = named_by_smallest(connected_components(found, "node", "root"), classes)
+    known = classes.select(*key, "id", "node", "copies").join(counts, "node", "left").join(names, "node", "left")
+    known = known.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     met = rows.where("usable").select("vec_id", *key).join(known, key).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
     out = met.union(alone)
