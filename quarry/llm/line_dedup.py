@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import packed
+
 WINDOW = 3
 
 
@@ -37,19 +39,21 @@ def dedupe_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Every row of docs stays, in whatever order. Null texts stay null and texts of fewer than
     `window` lines stay as they are, as do columns beside doc_id and text. A text whose lines all
     go becomes the empty text. Extra columns that bear the name of an added column are replaced by
-    it; all others pass through. Only built-in expressions, two equi-joins and grouped minima run.
+    it; all others, whatever their names, pass through. Only built-in expressions, two equi-joins and
+    grouped minima run.
     """
-    own = {"text_key", "removed", "n_lines", "n_removed", "removed_positions"}
-    kept = [c for c in docs.columns if c.lower() not in own]
-    removed = repeated_line_positions(docs, window).withColumnRenamed("doc_id", "of_doc").withColumnRenamed("text_key", "of_key")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text_key", F.xxhash64("text"))
-    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key")), "left")
-    lines = F.split(F.col("text"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    rest = F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n")
+    removed = repeated_line_positions(docs, window)
+    rows, unpacked = packed(docs, F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), without={"n_lines", "n_removed", "removed_positions"})
+    joined = rows.join(removed, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
+    names = joined.schema["row"].dataType.names
+    text = F.col("row").getField(next(c for c in names if c.lower() == "text"))
+    # the lines as a column of their own, split once: in a lambda they would be split again for each line
+    joined = joined.select("row", "removed", F.split(text, "\n").alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    rest = F.array_join(F.transform(left, lambda p: F.get("lines", p)), "\n")
     return joined.select(
-        *[(F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias(c) if c == "text" else F.col(f"`{c}`")) for c in kept],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.when(F.col("removed").isNull(), text).otherwise(rest).alias(c) if c.lower() == "text" else column for c, column in zip(names, unpacked, strict=True)],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed_positions"),
     )
