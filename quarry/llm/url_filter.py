@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bloom import build_filter, possible
-from quarry.llm.common import write_stage
+from quarry.llm.common import packed, write_stage
 
 MAX_RULES = 10_000
 
@@ -73,8 +73,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     found = by_rule.select("of_url", F.col("r.rule_key").alias("rule"), F.col("r.rule_verdict").alias("said")).union(by_list.select("of_url", F.lit(None).cast("string"), F.lit("block")))
     found = found.groupBy("of_url").agg(F.max("rule").alias("rule"), F.max_by("said", F.col("rule").isNotNull()).alias("said"))
 
-    own = {"host", "path", "rule", "verdict"}
-    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in own]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    joined = rows.join(found, F.col(url) == F.col("of_url"), "left")
-    return joined.select(*kept, "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"))
+    rows, unpacked = packed(pages, F.col(url).alias("own_url"), without={"host", "path", "rule", "verdict"})
+    joined = rows.join(found, F.col("own_url") == F.col("of_url"), "left")
+    verdict = F.coalesce("said", F.lit("allow")).alias("verdict")
+    return joined.select(*unpacked, host_of(F.col("own_url")).alias("host"), path_of(F.col("own_url")).alias("path"), "rule", verdict)
