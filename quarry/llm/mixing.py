@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_PATTERN, write_stage
+from quarry.llm.common import WORD_PATTERN, packed, write_stage
 
 #: Documents of one (source, size) cell are ranked in hash groups of about this many rows.
 GROUP_ROWS = 50_000
@@ -161,18 +161,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     gives an empty result. Extra columns pass through; those that bear an added column's name are
     replaced.
     """
-    own = {"size", "source_size", "target", "rate", "copies"}
-    names = [c for c in docs.columns if c.lower() not in own]
-    kept = [F.col(f"`{c}`") for c in names]
-    sized = lambda *extra: docs.select(*extra, word_count().alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("luck"))
-    plan, n_groups = plan_mix(write_stage(sized("source"), "sizes"), weights, share, most)
+    size, luck = word_count().alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("luck")
+    plan, n_groups = plan_mix(write_stage(docs.select("source", size, luck), "sizes"), weights, share, most)
     plan = plan.withColumnsRenamed({"source": "of_source", "size": "of_size", "grp": "of_grp"})
-    rows = sized(*kept).withColumn("own_grp", F.pmod("luck", F.lit(n_groups)))
-    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")) & (F.col("own_grp") == F.col("of_grp"))
+    rows, unpacked = packed(docs, F.col("source"), size, luck, without={"size", "source_size", "target", "rate", "copies"})
+    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")) & (F.pmod("luck", F.lit(n_groups)) == F.col("of_grp"))
     copies = F.col("base") + F.coalesce(F.col("luck") <= F.col("last_luck"), F.lit(False)).cast("long")
-    return rows.join(plan, same, "left").select(*kept, "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    return rows.join(plan, same, "left").select(*unpacked, "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """Each row of mix() as often as its copies say."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    """Each row of mix() as often as its copies say; rows without copies, or with null, go."""
+    rows, unpacked = packed(mixed.where("copies > 0"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.select(*unpacked)
