@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, small_batches
+from quarry.llm.common import crc_mod, drop_stage, packed, small_batches, write_stage
 
 #: Labelled documents the fit reads: those of lowest hash of doc_id.
 MAX_TRAINING = 8_000
@@ -79,33 +79,43 @@ def _grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(items[i : i + 100_000], columns=["gram", "n"])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """Weights and bias of a squared-hinge linear SVM, classes weighed alike, by Nesterov's gradient.
-    The last column of x is 1, for the bias."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    v = np.ones(x.shape[1], x.dtype)
+def _svms(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 300, settled: float = 1e-3) -> np.ndarray:
+    """Weights (bias last) of squared-hinge linear SVMs, one for each column of y, all in one product a
+    round: rows of y = 0 are out, and the two classes of a machine weigh alike. Nesterov's gradient,
+    until no weight moves by more than `settled` of the largest. The last column of x is 1."""
+    if not y.size:
+        return np.zeros((x.shape[1], y.shape[1]), np.float32)
+    share = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y < 0).sum(axis=0))) * (y != 0)
+    share = share.astype(x.dtype)
+    v = np.ones((x.shape[1], y.shape[1]), x.dtype)
     for _ in range(30):
         v = x.T @ (share * (x @ v))
-        top = float(np.linalg.norm(v)) or 1.0
+        top = np.linalg.norm(v, axis=0) + 1e-30
         v /= top
     rate = 1 / (2 * top * 1.05 + ridge)
-    w = np.zeros(x.shape[1], x.dtype)
+    w = np.zeros_like(v)
     ahead = w.copy()
     for k in range(rounds):
-        gap = np.maximum(0, 1 - y * (x @ ahead))
-        following = ahead - rate * (-2 * x.T @ (share * y * gap) + ridge * ahead)
+        gap = share * y * np.maximum(0, 1 - y * (x @ ahead))
+        following = ahead - rate * (ridge * ahead - 2 * (x.T @ gap))
+        moved = np.abs(following - w).max()
         ahead = following + k / (k + 3) * (following - w)
         w = following
+        if moved < settled * np.abs(w).max():
+            break
     return w
 
 
 def fit(docs: DataFrame, max_training: int = MAX_TRAINING) -> dict:
-    """A model from docs(doc_id, text, lang). At most max_training rows with text and lang, those of
-    lowest hash of doc_id, are used; n-gram frequencies are counted in Spark over their whole texts."""
+    """A model from docs(doc_id, text, lang). At most max_training documents with text and lang, those
+    of lowest hash of doc_id, are used, and of a repeated doc_id the first row by text and lang; a null
+    doc_id is not learned from. n-gram frequencies are counted in Spark over their whole texts."""
     small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang", "doc_id")
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "lang")  # max_training ids
+    chosen = rows.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # max_training ids
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("row.*")
+    rows = write_stage(rows, "training-texts")
     met = rows.select("text").mapInPandas(_grams_of, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     features = [r["gram"] for r in met.orderBy(F.desc("n"), "gram").limit(MAX_FEATURES).collect()]
 
@@ -114,34 +124,38 @@ def fit(docs: DataFrame, max_training: int = MAX_TRAINING) -> dict:
         for pdf in batches:
             out = []
             for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                x = np.zeros(len(features), np.float32)
+                x = Counter()
                 for w, n in counted(text).items():
                     for g in grams(w):
                         if g in index:
                             x[index[g]] += n
-                if x.any():
-                    out.append((lang, (x / x.sum()).tobytes()))
-            yield pd.DataFrame(out, columns=["lang", "x"])
-
-    seen = rows.mapInPandas(vectors, "lang string, x binary").limit(2 * max_training).collect()
+                if x:
+                    met = np.array(sorted(x), np.int16)
+                    out.append((lang, met.tobytes(), (np.array([x[i] for i in met.tolist()], np.float32) / x.total()).tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "at", "x"])
+
+    seen = rows.mapInPandas(vectors, "lang string, at binary, x binary").collect()  # max_training rows of MAX_FEATURES at most
+    drop_stage(rows)
+    seen.sort(key=lambda r: (r["lang"], r["at"], r["x"]))  # the sums below come out alike in every run
     langs = sorted({r["lang"] for r in seen})
     families = sorted({family_of(g) for g in langs})
     y = np.array([r["lang"] for r in seen], object)
     kin = np.array([family_of(r["lang"]) for r in seen], object)
-    x = np.ones((len(seen), len(features) + 1), np.float32)  # one matrix, scaled in place
-    for row in x[::-1]:
-        row[:-1] = np.frombuffer(seen.pop()["x"], np.float32)
+    x = np.zeros((len(seen), len(features) + 1), np.float32)  # one matrix, scaled in place
+    x[:, -1] = 1
+    for row, r in zip(x, seen, strict=True):
+        row[np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["x"], np.float32)
+    del seen
     spread = np.sqrt(np.einsum("ij,ij->j", x[:, :-1], x[:, :-1], dtype=np.float64) / len(x)) + 1e-6 if len(x) else np.ones(len(features))
     x[:, :-1] /= (spread * np.sqrt(max(1, len(features)))).astype(np.float32)
-    tasks, weights = [], []
+    tasks, signs = [], []
     for f in families if len(families) > 2 else families[: len(families) - 1]:
         tasks.append(("family", f, None))
-        weights.append(_svm(x, np.where(kin == f, 1, -1).astype(np.float32)))
+        signs.append(np.where(kin == f, 1, -1))
     for a, b in (p for f in families for p in combinations([g for g in langs if family_of(g) == f], 2)):
-        own = (y == a) | (y == b)
         tasks.append(("pair", a, b))
-        weights.append(_svm(x[own], np.where(y[own] == a, 1, -1).astype(np.float32)))
-    w = np.array(weights, np.float64).reshape(len(tasks), len(features) + 1)
+        signs.append(np.where(y == a, 1, np.where(y == b, -1, 0)))
+    w = _svms(x, np.array(signs, np.float32).reshape(len(tasks), len(x)).T).astype(np.float64).T
     return {"features": features, "langs": langs, "families": families, "tasks": tasks, "weights": (w[:, :-1] / spread / np.sqrt(max(1, len(features)))).T, "bias": w[:, -1]}
 
 
@@ -179,8 +193,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 out.append(decide(model, totals.of(words) + model["bias"]) if words else ("und", 0.0))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.withColumn("said_", predicted("text")).select(*kept, "said_.lang_pred", "said_.score")
+    rows, unpacked = packed(docs, predicted("text").alias("said"), without={"lang_pred", "score"})
+    return rows.select(*unpacked, "said.lang_pred", "said.score")
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, max_training: int = MAX_TRAINING) -> DataFrame:
