@@ -20,8 +20,11 @@ STATES = 8
 HEAD_CLASSES, TAIL_CLASSES = 6144, 2048
 #: Words whose counts every task holds; the counts of all others come from a join.
 HELD_COUNTS = 131_072
-#: Documents (lowest hashes) and rounds by which the states come apart before the full rounds.
-START_DOCS, START_ROUNDS, ROUNDS = 500, 12, 2
+#: Seeds only: documents (lowest hashes, of at most SEED_TOKENS tokens) and rounds by which the states
+#: come apart from noise. All that is kept of a corpus comes from the full rounds after these.
+SEED_DOCS, SEED_TOKENS, SEED_ROUNDS = 400, 5000, 8
+#: Full rounds go on until the log likelihood ratio of a token gains less than SETTLED, or up to ROUNDS.
+ROUNDS, SETTLED = 8, 0.003
 #: Tokens' worth of the plain word distribution that each state's emissions are smoothed with.
 SMOOTHING = 200.0
 #: Tokens of one segment: segments of all texts of a batch advance together.
@@ -105,6 +108,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least = r["o"]
     top = counts.where(octave >= (least if least is not None else 1 << 20)).toPandas()
+    if len(top) < HEAD_CLASSES:  # one frequency alone may have more words than tasks hold
+        top = counts.orderBy(F.desc("n"), "word").limit(HEAD_CLASSES).toPandas()
     held = sorted(zip(map(bytes, top["word"]), map(int, top["n"]), strict=True), key=lambda x: (-x[1], x[0]))
     # all words fall into hashed classes here; the head words, known by name, are taken out again
     mass = np.zeros(TAIL_CLASSES)
@@ -257,8 +262,10 @@ def sequences(docs: DataFrame, v: Vocabulary) -> DataFrame:
 def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS):
     """Start, transition and emission-ratio parameters by Baum-Welch over all rows of sequences().
 
-    A bounded number of documents gives the first parameters, from seeded noise; every full round
-    then sums the expected counts of all documents across partitions, by class, and replaces them.
+    A round sums the expected counts of all documents across partitions, by class, and replaces the
+    parameters; rounds go on until the likelihood settles. A bounded number of bounded documents only
+    gives the seeds of the first round, from seeded noise. Where no document is short enough to be a
+    seed, the noise is the seed.
     """
     spark = rows.sparkSession
     noise = np.random.default_rng(5)
@@ -267,32 +274,42 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS):
     move /= move.sum(axis=1, keepdims=True)
     ratio = noise.gamma(2.0, 0.5, (classes, STATES))
     ratio /= (v.share[:, None] * ratio).sum(axis=0) / v.share.sum()
-    few = rows.select("doc_id", "ids").orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(START_DOCS).collect()
+    few = rows.where(F.col("n_tokens") <= SEED_TOKENS).select("doc_id", "ids").orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(SEED_DOCS).collect()
     some = [Batch(part) for part in _batches(_sequences([r["ids"] for r in few]))]
-    for _ in range(START_ROUNDS if some else 0):
+    for _ in range(SEED_ROUNDS if some else 0):
         sums = [expected_counts(b, start, move, ratio)[:3] for b in some]
         start, move, ratio = _maximised(*(sum(x) for x in zip(*sums, strict=True)), v.share)
 
-    for _ in range(rounds if some else 0):
+    before = None
+    for _ in range(rounds):
         now = spark.sparkContext.broadcast((start, move, ratio))
 
         def own(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            sums = None
+            sums, gained = None, 0.0
             for pdf in batches:
                 for part in _batches(_sequences(pdf["ids"])):
-                    found = expected_counts(Batch(part), *now.value)[:3]
+                    *found, total = expected_counts(Batch(part), *now.value)
                     sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
+                    gained += float(total.sum())
             if sums is not None:
-                table = np.vstack([sums[0][None, :], sums[1], sums[2]])
-                met = np.nonzero(table.sum(axis=1))[0]
+                # the last row: the log likelihood ratio of these documents
+                table = np.vstack([sums[0][None, :], sums[1], sums[2], np.r_[gained, np.zeros(STATES - 1)][None, :]])
+                met = np.nonzero(np.abs(table).sum(axis=1))[0]
                 yield pd.DataFrame({"at": met.astype(np.int32)} | {f"s{k}": table[met, k] for k in range(STATES)})
 
         fields = ", ".join(f"s{k} double" for k in range(STATES))
         parts = rows.select("ids").mapInPandas(own, f"at int, {fields}")
         whole = parts.groupBy("at").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toPandas()
-        table = np.zeros((1 + STATES + classes, STATES))
+        if not len(whole):
+            break
+        table = np.zeros((2 + STATES + classes, STATES))
         table[whole["at"].to_numpy()] = whole[[f"s{k}" for k in range(STATES)]].to_numpy()
-        start, move, ratio = _maximised(table[0], table[1 : 1 + STATES], table[1 + STATES :], v.share)
+        start, move, ratio = _maximised(table[0], table[1 : 1 + STATES], table[1 + STATES : -1], v.share)
+        now.unpersist()
+        gained = table[-1, 0] / v.total
+        if before is not None and gained - before < SETTLED:
+            break
+        before = gained
     return start, move, ratio
 
 
@@ -330,7 +347,8 @@ def score(rows: DataFrame, counts: DataFrame, v: Vocabulary, parameters) -> Data
 def score_held_out(docs: DataFrame, folds: int = 7, held_out: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """score() of all rows by a model of those whose crc32(doc_id as text) modulo folds is not
     held_out. Rows of a null doc_id count by the empty text. Columns beside doc_id and text are
-    ignored. Without training rows every count is 0 and states do not differ."""
+    ignored. Without training rows every count is 0, and states differ by noise only; an empty table
+    gives an empty result."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"))
     counts = write_stage(word_counts(rows.where("not held_out")), "words")
