@@ -9,36 +9,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, small_batches, write_stage
+from quarry.llm.common import drop_stage, small_batches, write_stage
 
-#: Frame and hop at FRAME_RATE, to which other rates are brought by picking samples.
+#: Frame and hop at FRAME_RATE, to which other rates are brought; rates outside the bounds are refused.
 FRAME_RATE, FRAME, HOP = 5512, 1024, 256
+LOWEST_RATE, HIGHEST_RATE = 2000, 384_000
 #: Notes that count, from A1 on, in equal temperament.
 LOWEST_HZ, OCTAVES = 55.0, 5
 #: Weights by which neighbouring frames are averaged.
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3
 #: Recordings that a worker holds at a time.
 BATCH = 128
-BLOCK = 512
+#: Places of one value in recordings that a task joins at a time; lists beyond it are split by hash.
+SPLIT = 20_000
 #: (rectangle pattern, first pitch class, pitch classes, frames): 16 filters by rule.
 FILTERS = [(k % 4, (5 * k) % 12, 2 + k % 5, 4 + 3 * (k % 6)) for k in range(16)]
 WIDEST = max(f[3] for f in FILTERS)
 
 
-def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
+_HZ = np.fft.rfftfreq(FRAME, 1 / FRAME_RATE)
+_INSIDE = (_HZ >= LOWEST_HZ) & (_HZ < LOWEST_HZ * 2**OCTAVES)
+_BINS = np.eye(12)[np.round(12 * np.log2(_HZ[_INSIDE] / LOWEST_HZ)).astype(np.int64) % 12]
+_WINDOW = np.hanning(FRAME)
+
+
+def resampled(samples: np.ndarray, rate: float) -> np.ndarray:
+    """A signal at FRAME_RATE: frequencies beyond its range are filtered out first (a windowed sinc),
+    then samples are interpolated."""
+    if rate == FRAME_RATE or not len(samples):
+        return samples
+    if rate > FRAME_RATE:
+        half = int(np.ceil(8 * rate / FRAME_RATE))
+        kernel = np.sinc(np.arange(-half, half + 1) * FRAME_RATE / rate) * np.hanning(2 * half + 3)[1:-1]
+        samples = np.convolve(samples, kernel / kernel.sum(), mode="full")[half : half + len(samples)]
+    n = int(len(samples) * FRAME_RATE / rate)
+    return np.interp(np.arange(n) * (rate / FRAME_RATE), np.arange(len(samples)), samples)
+
+
+def chroma(samples: np.ndarray, rate: float) -> np.ndarray:
     """Frames by 12 pitch classes of a mono signal, each frame of unit length; silence is zero."""
-    if rate != FRAME_RATE and len(samples):
-        samples = samples[np.minimum((np.arange(int(len(samples) * FRAME_RATE / rate)) * (rate / FRAME_RATE)).astype(np.int64), len(samples) - 1)]
+    samples = resampled(samples, rate)
     if len(samples) < FRAME:
         return np.zeros((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
-    hz = np.fft.rfftfreq(FRAME, 1 / FRAME_RATE)
-    inside = (hz >= LOWEST_HZ) & (hz < LOWEST_HZ * 2**OCTAVES)
-    note = np.round(12 * np.log2(hz[inside] / LOWEST_HZ)).astype(np.int64) % 12
-    bins = np.zeros((inside.sum(), 12))
-    bins[np.arange(len(note)), note] = 1
-    out = power[:, inside] @ bins
+    out = np.concatenate([np.abs(np.fft.rfft(frames[i : i + 2048] * _WINDOW, axis=1)[:, _INSIDE]) ** 2 @ _BINS for i in range(0, len(frames), 2048)])
     out = out / np.maximum(out.sum(axis=1, keepdims=True), 1.0)
     padded = np.pad(out, ((len(SMOOTH) // 2, len(SMOOTH) // 2), (0, 0)), mode="edge")
     out = np.tensordot(np.lib.stride_tricks.sliding_window_view(padded, len(SMOOTH), axis=0), SMOOTH, axes=(2, 0))
@@ -72,93 +86,71 @@ def packed(image: np.ndarray) -> np.ndarray:
 
 def fingerprint(media: DataFrame, audio: str = "audio", rate: str = "rate") -> DataFrame:
     """media with fingerprint, an array of integers, of a binary column of 16-bit little-endian mono
-    samples. Null, empty, silent and too short recordings and rates that are null or not positive
-    have an empty one. Extra columns pass through; one named fingerprint is replaced."""
+    samples. Null, empty, silent and too short recordings have an empty one, and so have those whose rate
+    is null, not finite or outside LOWEST_RATE to HIGHEST_RATE. Extra columns pass through; one named fingerprint is replaced."""
     small_batches(media.sparkSession, BATCH)
 
     @F.pandas_udf("array<int>")
     def printed(sounds: pd.Series, rates: pd.Series) -> pd.Series:
         out = []
         for sound, r in zip(sounds, rates, strict=True):
-            usable = sound is not None and len(sound) > 1 and r is not None and r == r and r > 0
+            usable = sound is not None and len(sound) > 1 and r is not None and LOWEST_RATE <= r <= HIGHEST_RATE
             x = np.frombuffer(sound[: len(sound) // 2 * 2], "<i2").astype(np.float64) / 32768 if usable else np.empty(0)
-            out.append(packed(chroma(x, int(r))).view(np.int32) if usable else np.empty(0, np.int32))
+            out.append(packed(chroma(x, float(r))).view(np.int32) if usable else np.empty(0, np.int32))
         return pd.Series(out, dtype=object)
 
     return media.withColumn("fingerprint", printed(audio, rate))
 
 
-def best_offset(query: np.ndarray, other: np.ndarray) -> tuple[int, int, float]:
-    """The offset at which most equal values meet, their number, and the share of unlike bits over
-    the overlap there. (0, 0, 1.0) where no value meets."""
-    order = np.argsort(query, kind="stable")
-    lo, hi = (np.searchsorted(query[order], other, side=s) for s in ("left", "right"))
-    times = hi - lo
-    if not times.sum():
-        return 0, 0, 1.0
-    at = np.repeat(np.arange(len(other)), times)
-    within = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
-    offsets, counts = np.unique(at - order[np.repeat(lo, times) + within], return_counts=True)
-    best = int(offsets[counts.argmax()])
-    a, b = (query, other[best:]) if best >= 0 else (query[-best:], other)
-    n = min(len(a), len(b))
-    return best, int(counts.max()), float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n)
-
-
-def _ranks(fingerprint) -> tuple[np.ndarray, np.ndarray]:
-    """A fingerprint, and the hashes of its distinct values in order: the order of its lists."""
-    values = np.asarray(fingerprint, np.int32).view(np.uint32)
-    return values, np.sort(mix64(np.unique(values).astype(np.uint64), 41))
-
-
-def _aligned(most_errors: float, least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = mix64(np.array([pdf["value"].iloc[0]], np.int32).view(np.uint32).astype(np.uint64), 41)[0]
-        asked, held = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        prints, ranks = zip(*map(_ranks, held["fingerprint"]), strict=True) if len(held) else ((), ())
-        earlier = [r[: np.searchsorted(r, own)] for r in ranks]
-        owner = np.repeat(np.arange(len(earlier)), [len(r) for r in earlier])
-        flat = np.concatenate([*earlier, np.empty(0, np.uint64)])
-        ids, found = held["id"].to_numpy(), []
-        for q, p in zip(asked["id"], asked["fingerprint"], strict=True):
-            p, mine = _ranks(p)
-            # pairs with an earlier value in common met in its list
-            seen = np.bincount(owner[np.isin(flat, mine[: np.searchsorted(mine, own)])], minlength=len(ids)) > 0
-            for k in np.nonzero(~seen & (ids != q))[0]:
-                offset, votes, errors = best_offset(p, prints[k])
-                if votes >= least and errors <= most_errors:
-                    found.append((q, ids[k], offset, votes, errors))
-        return pd.DataFrame(found, columns=["query_id", "id", "offset", "votes", "bit_errors"])
-
-    return run
-
-
 def align(queries: DataFrame, recordings: DataFrame, most_errors: float = 0.2, least: int = 4) -> DataFrame:
     """Rows (query_id, id, offset, votes, bit_errors) of recordings that align with a query.
 
-    Both sides have id and fingerprint. A match needs equal values, so two recordings meet in the list
-    of every value they share, and nothing is lost; at the first of these, by hash, the offset
-    histogram of their equal values gives the alignment, and the bits of the overlap confirm it.
-    Lists without both sides end before fingerprints join them; the others are cut into blocks of
-    about BLOCK recordings and queries. A recording never matches its own id; null ids and empty
-    fingerprints match nothing; repeated rows give repeated results.
+    Both sides have id and fingerprint. Every pair of equal values is a vote for an offset (place in
+    the recording less place in the query), and a pair of recordings whose best offset has `least`
+    votes is aligned there; of offsets with equally many votes the one of fewest bit errors over the
+    overlap counts, and of those the smallest. Pairs whose share of unlike bits exceeds most_errors
+    go. A recording never matches its own id; null ids and empty fingerprints match nothing; repeated
+    rows give repeated results. Other columns are ignored.
+
+    Equal fingerprints form a class that votes once. Votes are an equi-join on the value, summed by
+    (query, recording, offset) in Spark; whole fingerprints join only pairs with enough votes. Places
+    of a frequent value are split by hash, so that no value is left to one task.
     """
 
     def marked(df: DataFrame, asks: bool) -> DataFrame:
         some = df.where("id is not null and size(fingerprint) > 0").select(F.col("id").cast("long").alias("id"), "fingerprint")
-        return some.withColumn("asks", F.lit(asks)).withColumn("row_id", F.expr("uuid()"))
-
-    both = write_stage(marked(queries, True).unionByName(marked(recordings, False)), "recordings")
-    posts = both.select("row_id", "id", "asks", F.explode(F.array_distinct("fingerprint")).alias("value"))
-    sizes = posts.groupBy("value").agg(F.count_if("asks").alias("n_asking"), F.count_if(~F.col("asks")).alias("n_held"))
-    posts = posts.join(sizes.where("n_asking > 0 and n_held > 0"), "value")
-    parts = {True: F.ceil(F.col("n_asking") / BLOCK), False: F.ceil(F.col("n_held") / BLOCK)}
-    own, others = (F.when(F.col("asks"), parts[x]).otherwise(parts[not x]).cast("int") for x in (True, False))
-    block = F.pmod(F.xxhash64("id"), own).cast("int")
-    dealt = posts.withColumn("block", block).withColumn("against", F.explode(F.sequence(F.lit(0), others - 1)))
-    i, j = F.when(F.col("asks"), F.col("block")).otherwise(F.col("against")), F.when(F.col("asks"), F.col("against")).otherwise(F.col("block"))
-    dealt = dealt.select("value", i.alias("i"), j.alias("j"), "row_id").join(both, "row_id")
-    return dealt.groupBy("value", "i", "j").applyInPandas(_aligned(most_errors, least), "query_id long, id long, offset int, votes int, bit_errors double")
+        return some.withColumn("asks", F.lit(asks))
+
+    both = marked(queries, True).unionByName(marked(recordings, False))
+    both = write_stage(both.select("id", "asks", "fingerprint", F.xxhash64("fingerprint").alias("h1"), F.xxhash64(F.lit("second"), "fingerprint").alias("h2")), "recordings")
+    key = ["h1", "h2"]
+    classes = both.groupBy(*key).agg(F.first("fingerprint").alias("fingerprint"), F.bool_or("asks").alias("asking"), F.bool_or(~F.col("asks")).alias("held"))
+    classes = write_stage(classes.withColumn("node", F.monotonically_increasing_id()), "fingerprint-classes")
+    members = both.select("id", "asks", *key).join(classes.select(*key, "node"), key)
+
+    place = F.posexplode("fingerprint").alias("place", "value")
+    held = classes.where("held").select(F.col("node").alias("other"), place).withColumnRenamed("place", "at")
+    parts = held.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    split = lambda df: df.join(parts, "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = split(held).select("value", "other", "at", F.pmod(F.xxhash64("other", "at"), "parts").cast("int").alias("part"))
+    asked = split(classes.where("asking").select("node", place)).select("value", "node", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    votes = asked.join(held, ["value", "part"]).groupBy("node", "other", (F.col("at") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    votes = write_stage(votes.where(F.col("votes") >= least), "votes")
+
+    most = votes.groupBy("node", "other").agg(F.max("votes").alias("most"))
+    best = votes.join(most, ["node", "other"]).where("votes = most").select("node", "other", "offset", "votes")
+    prints = classes.select("node", "fingerprint")
+    best = best.join(prints, "node").join(prints.select(F.col("node").alias("other"), F.col("fingerprint").alias("second")), "other")
+    a = F.when(F.col("offset") < 0, F.slice("fingerprint", 1 - F.col("offset"), F.size("fingerprint"))).otherwise(F.col("fingerprint"))
+    b = F.when(F.col("offset") > 0, F.slice("second", F.col("offset") + 1, F.size("second"))).otherwise(F.col("second"))
+    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0))), F.lit(0), lambda s, x: s + x)
+    best = best.select("node", "other", "offset", "votes", (unlike / (32.0 * F.least(F.size(a), F.size(b)))).alias("bit_errors"))
+    one = best.groupBy("node", "other").agg(F.min(F.struct("bit_errors", "offset", "votes")).alias("m")).where(F.col("m.bit_errors") <= most_errors)
+    one = write_stage(one.select("node", "other", F.col("m.offset").cast("int").alias("offset"), F.col("m.votes").cast("int").alias("votes"), F.col("m.bit_errors").alias("bit_errors")), "alignments")
+    drop_stage(votes)
+    asking = members.where("asks").select("node", F.col("id").alias("query_id"))
+    found = one.join(asking, "node").join(members.where("not asks").select(F.col("node").alias("other"), "id"), "other")
+    return found.where("query_id <> id").select("query_id", "id", "offset", "votes", "bit_errors")
 
 
 def sonify(vectors: DataFrame, seconds_per_note: float = 0.1) -> DataFrame:
