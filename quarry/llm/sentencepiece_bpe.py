@@ -11,14 +11,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, small_batches
 
 SPACE = "▁"
-#: Small keys that draws are compared under; in a text each word has a 64-bit key of its own.
-VARIANTS = 2
 #: Segmentations remembered in a worker, of words that a batch has twice, none longer than LONG_WORD.
 REMEMBERED, LONG_WORD = 300_000, 48
 NONE = float("-inf")
@@ -290,11 +288,12 @@ def _encoder(vocabulary: tuple, dropout: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, copy: Column | None = None) -> DataFrame:
     """docs with ids (array<int>) and n_tokens of each whole text.
 
-    A null text has null ids and no tokens, an empty one an empty list. The same seed, doc_id and
-    text give the same ids in every run; repeated rows agree. Dropout 0 gives the model's own
+    A null text has null ids and no tokens, an empty one an empty list. The same seed, doc_id, copy and
+    text give the same ids in every run. copy numbers the repetitions of a row, from 1 on, so that each
+    has draws of its own; without it repeated rows agree. Dropout 0 gives the model's own
     segmentation (a literal U+2581 apart, which stays itself here). Extra columns pass through;
     those named ids or n_tokens are replaced.
     """
@@ -309,7 +308,10 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
         for keys, texts in batches:
             yield pd.Series(encoder.texts(texts.tolist(), keys.tolist()), dtype=object)
 
-    out = docs.withColumn("ids", encoded(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    if copy is not None:
+        key = F.when(copy > 1, F.xxhash64(key, copy.cast("long"))).otherwise(key)
+    out = docs.withColumn("ids", encoded(key, "text"))
     return out.withColumn("n_tokens", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long"))
 
 
