@@ -1,6 +1,8 @@
 """The ten operators against brute force, on small tables with nulls, ties, repeats and empty rows."""
 
+import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -193,9 +195,44 @@ def test_toxicity_learns_and_ignores_identity_terms(spark):
     assert np.mean([got[i]["predicted"] == (i % 4 == 0) for i in held]) > 0.97
     assert got[900]["score"] == got[901]["score"] < 0.5
     assert got[902]["predicted"] == 0
-    features, weights, _ = toxicity.fit(docs, marks)
-    gap = [w for f, w in zip(features, weights, strict=True) if f in ("<muslim>", "<christian>")]
+    model = toxicity.fit(docs, marks)
+    gap = [w for f, w in zip(model.features, model.weights, strict=True) if f in ("<muslim>", "<christian>")]
     assert all(abs(g) < 0.3 for g in gap)
+    for text in (None, "", "a vermin met RottenEr things. and a muslim", "vermin vermin 12"):
+        found = {g for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for n in (4, 5, 6, len(w) + 2) for g in [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]}
+        want = model.bias + sum(w for f, w in zip(model.features, model.weights, strict=True) if f in found)
+        one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert toxicity.score(one, model).first()["score"] == pytest.approx(1 / (1 + np.exp(-want)))
+
+
+def test_toxicity_penalty_shrinks_changes_under_swaps(spark):
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(600):
+        w = rand_text(rng, 30).split()
+        toxic = i % 3 == 0
+        if toxic:
+            w[3:3] = ["vermin"]
+        if rng.random() < (0.6 if toxic else 0.1):
+            w[7:7] = ["muslim."]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    held = docs.where("doc_id % 5 = 0")
+    plain, penalised = (toxicity.fit(docs, train, counterfactual=c) for c in (0.0, toxicity.COUNTERFACTUAL))
+    assert plain.pairs == penalised.pairs >= 480
+    (n, before), (m, after) = (toxicity.mean_swap_change(held, x) for x in (plain, penalised))
+    assert n == m >= 120 and after < 0.2 * before
+
+
+def test_counterfactuals_swap_or_insert_terms_in_sentences():
+    two = toxicity.counterfactuals("A muslim came. Nothing here! The men and a muslim.", "7")
+    assert [len(a) for a, _ in two] == [3, 5] and two == toxicity.counterfactuals("A muslim came. Nothing here! The men and a muslim.", "7")
+    assert all(len(a - b) == len(b - a) in (1, 2) and "muslim" in a - b for a, b in two)
+    [(a, b)] = toxicity.counterfactuals("Nothing here. Nor there", "8")
+    assert len(a - b) == len(b - a) == 1 and len(a & b) == 2
+    assert toxicity.counterfactuals(None, "9") == toxicity.counterfactuals(" .\n", "9") == []
 
 
 def test_toxicity_without_labels(spark):
@@ -389,12 +426,88 @@ def test_chroma_meets_every_pair_that_brute_force_aligns(spark):
     for a, p in rows[:55]:
         for b, q in rows[:55]:
             if a % 2 == 0 and a != b:
-                offset, votes, errors = chroma.best_offset(*(np.array(x, np.int32).view(np.uint32) for x in (p, q)))
+                offset, votes, errors = brute_offset(p, q)
                 if votes >= 2 and errors <= 0.5:
                     want[a, b] = (offset, votes, round(errors, 9))
     assert got == want and len(want) > 15
 
 
+def brute_offset(p, q):
+    votes = collections.Counter(j - i for i, x in enumerate(p) for j, y in enumerate(q) if x == y)
+    if not votes:
+        return 0, 0, 1.0
+    most, rated = max(votes.values()), []
+    for offset in (o for o, n in votes.items() if n == most):
+        both = [(x, q[i + offset]) for i, x in enumerate(p) if 0 <= i + offset < len(q)]
+        rated.append((sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in both) / (32 * len(both)), offset))
+    errors, offset = min(rated)
+    return offset, most, errors
+
+
+def test_chroma_ties_copies_and_hot_values(spark, monkeypatch):
+    monkeypatch.setattr(chroma, "SPLIT", 7)
+    rows = [(i, [5] * 6) for i in range(5)] + [(10, [5, 9, 5, 9, 5, 9]), (11, [9, 5, 9, 5, 9, 5, -1]), (12, [-1, -2, -3, -4])]
+    rows.append(rows[0])
+    prints = spark.createDataFrame(rows, "id long, fingerprint array<int>")
+    got = sorted((r["query_id"], r["id"], r["offset"], r["votes"], round(r["bit_errors"], 9)) for r in chroma.align(prints, prints, most_errors=1.0, least=3).collect())
+    want = sorted((a, b, o, n, round(e, 9)) for a, p in rows for b, q in rows for o, n, e in [brute_offset(p, q)] if a != b and n >= 3)
+    assert got == want and (1, 2, 0, 6, 0.0) in got
+
+
+def test_chroma_rates(spark):
+    tune = tone(220 * 2 ** (np.arange(24) / 12), 0.2, rate=22050)
+    pcm = (tune * 9000).astype("<i2").tobytes()
+    rows = [(i, pcm, r) for i, r in enumerate([0.5, 1.0, float("inf"), float("nan"), -3.0, 1e9, 22050.0])]
+    got = [r["fingerprint"] for r in chroma.fingerprint(spark.createDataFrame(rows, "id long, audio binary, rate double")).orderBy("id").collect()]
+    assert [len(x) for x in got[:6]] == [0] * 6 and len(got[6]) > 50
+    # a tone beyond the kept range leaves no trace after the filter
+    high = np.sin(2 * np.pi * 5400 * np.arange(22050) / 22050)
+    assert np.abs(chroma.resampled(high, 22050)[200:-200]).max() < 0.02
+    low = np.sin(2 * np.pi * 440 * np.arange(22050) / 22050)
+    assert np.abs(chroma.resampled(low, 22050)[200:-200]).max() > 0.95
+
+
+def brute_print(samples):
+    """The definition of the fingerprint, frame by frame and rectangle by rectangle."""
+    frames = [samples[i : i + 1024] for i in range(0, len(samples) - 1023, 256)]
+    rows = []
+    for f in frames:
+        power, row = np.abs(np.fft.rfft(f * np.hanning(1024))) ** 2, np.zeros(12)
+        for k, x in enumerate(power):
+            hz = k * 5512 / 1024
+            if 55 <= hz < 55 * 32:
+                row[round(12 * np.log2(hz / 55)) % 12] += x
+        rows.append(row / max(row.sum(), 1.0))
+    padded = [rows[0]] * 2 + rows + [rows[-1]] * 2
+    image = [sum(w * padded[i + k] for k, w in enumerate(chroma.SMOOTH)) for i in range(len(rows))]
+    image = [x / np.linalg.norm(x) if np.linalg.norm(x) > 1e-3 else x * 0 for x in image]
+    area = lambda t0, t1, y0, y1: sum(image[t][y % 12] for t in range(t0, t1) for y in range(y0, y1))
+    out = []
+    for t in range(len(image) - chroma.WIDEST + 1):
+        bits = 0
+        for kind, y, h, w in chroma.FILTERS:
+            half = [
+                lambda y=y, h=h, w=w: area(t, t + w // 2, y, y + h),
+                lambda y=y, h=h, w=w: area(t, t + w, y, y + h // 2),
+                lambda y=y, h=h, w=w: area(t, t + w // 2, y, y + h // 2) + area(t + w // 2, t + w, y + h // 2, y + h),
+                lambda y=y, h=h, w=w: area(t + w // 3, t + w - w // 3, y, y + h),
+            ][kind]()
+            value = np.log1p(half) - np.log1p(area(t, t + w, y, y + h) - half)
+            level = sum(value > x for x in (-0.25, 0, 0.25))
+            bits = bits << 2 | (level ^ level >> 1)
+        out.append(bits)
+    return out
+
+
+def test_fingerprints_match_brute_force():
+    rng = np.random.default_rng(6)
+    tune = tone(220 * 2 ** (rng.integers(0, 24, 8) / 12), 0.25) + rng.normal(size=8 * 1378) * 0.05
+    got, want = chroma.packed(chroma.chroma(tune, 5512)).tolist(), brute_print(tune)
+    assert len(got) == len(want) > 20
+    # rectangle sums in another order may cross a threshold now and then
+    assert sum((a ^ b).bit_count() for a, b in zip(got, want, strict=True)) <= 0.002 * 32 * len(got)
+
+
 @pytest.fixture(scope="module")
 def model_path():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
@@ -431,7 +544,7 @@ def test_words_side_by_side_agree_with_single_ones(model_path):
     for dropout in (0, 0.1, 0.5):
         encoder = sentencepiece_bpe.Encoder(pieces, byte_ids, dropout, 5)
         chunks = ["".join(rng.choice(" thereandioné日▁🙂\0") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
-        for v in range(sentencepiece_bpe.VARIANTS):
+        for v in (0, 1, 2**40 + 3):
             assert encoder.encode_many(chunks, v) == [encoder.word(c, v) for c in chunks]
 
 
