@@ -145,13 +145,14 @@ class Batch:
 
 
 def _products(batch: Batch, move: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The product of transition and emission over each segment, scaled, and the log of its scale."""
+    """The product of transition and emission over each segment, scaled, and the log of its scale. All
+    recursions work in the precision of the parameters: double for scores, single for training."""
     k = len(move)
-    x = np.broadcast_to(np.eye(k), (batch.ids.shape[1], k, k)).copy()
+    x = np.broadcast_to(np.eye(k, dtype=ratio.dtype), (batch.ids.shape[1], k, k)).copy()
     logs = np.zeros(len(x))
     for t, n in enumerate(batch.active):
         x[:n] = (x[:n].reshape(-1, k) @ move).reshape(n, k, k) * ratio[batch.ids[t, :n]][:, None, :]
-        if t % 16 == 15 or t == len(batch.active) - 1:
+        if t % 8 == 7 or t == len(batch.active) - 1:
             scale = x.sum(axis=(1, 2))
             x /= scale[:, None, None]
             logs += np.log(scale)
@@ -164,7 +165,7 @@ def forward(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np.ndarray
     a = start * ratio[batch.first]
     scale = a.sum(axis=1)
     a /= scale[:, None]
-    total, before = np.log(scale), np.zeros((len(x), len(move)))
+    total, before = np.log(scale, dtype=np.float64), np.zeros((len(x), len(move)), ratio.dtype)
     first = a.copy()
     for segs in batch.by_turn:
         d = batch.of[segs]
@@ -180,8 +181,8 @@ def expected_counts(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np
     """Baum-Welch: expected starts, transitions and emissions, and the log likelihood ratio."""
     total, x, before, first = forward(batch, start, move, ratio)
     k = len(move)
-    after = np.ones((len(x), k))
-    b = np.ones((len(batch.first), k))
+    after = np.ones((len(x), k), ratio.dtype)
+    b = np.ones((len(batch.first), k), ratio.dtype)
     for segs in reversed(batch.by_turn):
         d = batch.of[segs]
         after[segs] = b[d]
@@ -193,7 +194,7 @@ def expected_counts(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np
     np.add.at(emitted, batch.first, g)
     moved = np.zeros((k, k))
     if batch.active:
-        alphas = np.zeros((len(batch.active) + 1, len(x), k))
+        alphas = np.zeros((len(batch.active) + 1, len(x), k), ratio.dtype)
         alphas[0] = before
         for t, n in enumerate(batch.active):
             a = (alphas[t, :n] @ move) * ratio[batch.ids[t, :n]]
@@ -282,7 +283,7 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS):
 
     before = None
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast((start, move, ratio))
+        now = spark.sparkContext.broadcast(tuple(p.astype(np.float32) for p in (start, move, ratio)))
 
         def own(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             sums, gained = None, 0.0

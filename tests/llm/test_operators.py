@@ -298,6 +298,9 @@ def test_hmm_recursions_match_brute_force(monkeypatch):
     want = [sum(x) for x in zip(*[brute_counts(t, start, move, ratio) for t in texts], strict=True)]
     for got, x in zip(sums, want, strict=True):
         assert np.allclose(got, x)
+    single = hmm.expected_counts(hmm.Batch(texts), *(p.astype(np.float32) for p in (start, move, ratio)))
+    for got, x in zip(single, [*want, total], strict=True):
+        assert np.allclose(got, x, rtol=1e-4, atol=1e-4)
 
 
 def test_hmm_base_scores_and_gain(spark, monkeypatch):
