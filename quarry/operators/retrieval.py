@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import cosine, mentions_relation, normalised_query, tokens
+from quarry.functions.text import digit_counts, dot, hash_digits, mentions_relation, normalised_query, tokens, unit
 
 BEST_BELOW_ONE = 0.999999
 
@@ -36,34 +36,93 @@ def top_candidates(scored: DataFrame, limit: Column | str = "candidate_limit") -
     return ranked.where(F.col("rank") <= (F.col(limit) if isinstance(limit, str) else limit))
 
 
-def in_scope(plans: DataFrame, scope: DataFrame, chunks: DataFrame, heads: DataFrame) -> DataFrame:
-    """(query, chunk) rows: chunks of active heads in the spaces of each query."""
+def in_scope(plans: DataFrame, scope: DataFrame, chunks: DataFrame, heads: DataFrame, *more: str) -> DataFrame:
+    """(query, chunk) rows: chunks of active heads in the spaces of each query. `more` names columns of
+    plans to carry along."""
     live = chunks.join(heads.where("status = 'ACTIVE'").select("revision_id", "title", "authority", "source_uri"), "revision_id")
     asked = plans.join(scope, ["query_id", "tenant_id"])
-    return live.join(asked.select("query_id", "tenant_id", "space_id", "normalised", "candidate_limit"), ["tenant_id", "space_id"])
+    return live.join(asked.select("query_id", "tenant_id", "space_id", "normalised", "candidate_limit", *more), ["tenant_id", "space_id"])
+
+
+def filtered(pairs: DataFrame, **columns: str) -> DataFrame:
+    """Rows that meet the optional filters of their query: pairs has a map column `filters`, and columns
+    names the column that each key restricts. A missing key restricts nothing."""
+    for key, column in columns.items():
+        wanted = F.element_at("filters", F.lit(key))
+        pairs = pairs.where(wanted.isNull() | (F.col(column) == wanted))
+    return pairs
+
+
+def hashing_embedder(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with a unit vector of 16 numbers for a text column, null where it has no token: how many
+    tokens fall to each hash digit. A stand-in for a model's embedder, in built-in functions; another
+    one takes and gives the same columns. Each step is a column of its own, so that none is computed twice."""
+    rows = rows.withColumn("digits_", hash_digits(F.col(text)))
+    rows = rows.withColumn("counts_", digit_counts(F.col("digits_")))
+    rows = rows.withColumn("length_", F.sqrt(F.aggregate("counts_", F.lit(0.0), lambda s, x: s + x * x)))
+    return rows.withColumn(name, F.when(F.col("length_") > 0, F.transform("counts_", lambda x: x / F.col("length_")))).drop("digits_", "counts_", "length_")
+
+
+def text_channel(pairs: DataFrame, text: str = "content", dims: int = 16) -> DataFrame:
+    """The vector channel over text: cosine of the hashing embeddings of query and chunk, which pairs
+    has as query_unit and unit; candidates by score, in [0, 1]. Texts without tokens are not found."""
+    raw = sum((F.col("unit")[i] * F.col("query_unit")[i] for i in range(1, dims)), F.col("unit")[0] * F.col("query_unit")[0])
+    scored = pairs.where("unit is not null and query_unit is not null").withColumn("raw_score", F.round(raw, 9))
+    return top_candidates(scored).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_score")))
+
+
+def cover_density(hits: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, density) of hits(query_id, chunk_id, place, term, needed): the places in a
+    chunk of the terms of a query, of which `needed` have to be there.
+
+    A cover is a window of places that holds all needed terms and none shorter within it; it adds 0.1,
+    less by the other words inside: 0.1 / (1 + words between the places). With one needed term each of
+    its places is a cover. One fold over the places of a chunk keeps the last place of each term: they
+    begin the window that ends here, and of windows with one begin the first counts.
+    """
+    place = F.struct(F.col("place").cast("int").alias("place"), "term")
+    rows = hits.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(place)).alias("places"), F.max("needed").alias("needed"))
+    last = "map_concat(map_filter(a.last, (k, v) -> k <> x.term), map(x.term, struct(x.place AS place, a.n + 1 AS n)))"
+    fold = f"""aggregate(places, struct(CAST(map() AS map<string, struct<place: int, n: int>>) AS last, 0 AS n, -1 AS begin, CAST(0 AS double) AS total),
+        (a, x) -> struct({last} AS last, a.n + 1 AS n,
+            IF(size({last}) = needed, array_min(map_values({last})).place, a.begin) AS begin,
+            a.total + IF(size({last}) = needed AND array_min(map_values({last})).place <> a.begin,
+                0.1D / (1 + (x.place - array_min(map_values({last})).place) - (a.n + 1 - array_min(map_values({last})).n)), 0D) AS total),
+        a -> a.total)"""
+    return rows.select("query_id", "chunk_id", F.expr(fold).alias("density"))
+
+
+def literal_scores(pairs: DataFrame) -> DataFrame:
+    """0.75 for a literal match in the content, 0.95 in the title, whichever is more."""
+    match = lambda c, s: F.when(F.contains(F.lower(c), F.lower("normalised")), s).otherwise(0.0)
+    return pairs.withColumn("raw_score", F.greatest(match("content", 0.75), match("title", 0.95)))
 
 
 def keyword_substring(pairs: DataFrame) -> DataFrame:
-    """0.75 for a literal match in the content, 0.95 in the title, whichever is more."""
-    match = lambda c, s: F.when(F.contains(F.lower(c), F.lower("normalised")), s).otherwise(0.0)
-    scored = pairs.withColumn("raw_score", F.greatest(match("content", 0.75), match("title", 0.95)))
+    """Candidates by literal_scores()."""
+    scored = literal_scores(pairs)
     return top_candidates(scored.where("raw_score > 0")).withColumn("score", F.least("raw_score", F.lit(BEST_BELOW_ONE)))
 
 
 def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
-    """(key, term, tf, length): the inverted index of a text column."""
-    terms = chunks.select(key, tokens(F.col(text)).alias("terms"))
-    rows = terms.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    """(key, tenant_id, term, tf, length): the inverted index of a text column."""
+    terms = chunks.select(key, "tenant_id", tokens(F.col(text)).alias("terms"))
+    rows = terms.select(key, "tenant_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return rows.groupBy(key, "tenant_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
 
 def bm25(index: DataFrame, asked: DataFrame, stats: DataFrame, key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, raw_score) of asked(query_id, term) against an index of postings; stats is one
-    row with n and mean_length. Documents of a term are counted over the whole index."""
+    row with n and mean_length. Documents of a term are counted over the whole index, whatever the
+    scope of a query; only postings of asked terms are joined. Where asked and index both have a
+    column tenant_id, hits stay within the tenant."""
+    asked = asked.distinct()
+    index = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    hits = index.join(asked.distinct(), "term").join(df, "term").join(F.broadcast(stats))  # one row
+    own = ["term", "tenant_id"] if "tenant_id" in index.columns and "tenant_id" in asked.columns else ["term"]
+    hits = index.join(asked, own).join(df, "term").join(F.broadcast(stats))  # one row
     return hits.groupBy("query_id", key).agg(F.sum(idf * tf).alias("raw_score"))
 
 
@@ -72,7 +131,7 @@ def index_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 
 def query_terms(plans: DataFrame) -> DataFrame:
-    return plans.select("query_id", F.explode(F.array_distinct(tokens(F.col("normalised")))).alias("term"))
+    return plans.select("query_id", "tenant_id", F.explode(F.array_distinct(tokens(F.col("normalised")))).alias("term"))
 
 
 def relative_to_best(scored: DataFrame) -> DataFrame:
@@ -84,8 +143,9 @@ def relative_to_best(scored: DataFrame) -> DataFrame:
 def vector_search(asked: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """Exact cosine top-k of asked(query_id, tenant_id, space_id, query_vec, query_embedding): the join
     is on tenant and space, and a vector never meets itself."""
-    pairs = vectors.join(asked, ["tenant_id", "space_id"]).where("vec_id <> query_vec")
-    scored = pairs.withColumn("raw_score", cosine(F.col("embedding"), F.col("query_embedding")))
+    asked = asked.withColumn("query_embedding", unit(F.col("query_embedding")))
+    pairs = vectors.withColumn("embedding", unit(F.col("embedding"))).join(asked, ["tenant_id", "space_id"]).where("vec_id <> query_vec")
+    scored = pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("query_embedding")))
     scored = top_candidates(scored, F.lit(limit))
     return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_score")))
 

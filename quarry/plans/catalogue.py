@@ -84,44 +84,66 @@ def keyword_substring_topk(m: Model) -> DataFrame:
     return keyword_of(m).select("query_id", "chunk_id", big("rank", "rank"), "score")
 
 
-def websearch_pairs(m: Model) -> DataFrame:
-    """The two words of a query: both, or either, or the first without the second, by query_id."""
-    plans = retrieval.plan_queries(m.queries).where(F.size(tx.tokens(F.col("normalised"))) == 2)
-    words = tx.tokens(F.col("normalised"))
-    asked = plans.select("query_id", "tenant_id", F.get(words, F.lit(0)).alias("first"), F.get(words, F.lit(1)).alias("second"), (F.col("query_id") % 3).alias("mode"))
-    terms = asked.select("query_id", "tenant_id", "mode", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("first").alias("term")), F.struct(F.lit(1).alias("at"), F.col("second").alias("term")))).alias("t"))
-    live = m.chunks.join(m.heads.where("status = 'ACTIVE'").select("revision_id"), "revision_id", "left_semi")
-    index = retrieval.postings(live).join(live.select("chunk_id", "tenant_id"), "chunk_id")
-    hits = terms.select("query_id", "tenant_id", "mode", "t.*").join(index, ["tenant_id", "term"])
-    has = lambda at: F.coalesce(F.bool_or(F.col("at") == at), F.lit(False))
-    grouped = hits.groupBy("query_id", "mode", "chunk_id").agg(has(0).alias("a"), has(1).alias("b"))
-    return grouped.where("mode = 0 and a and b or mode = 1 and (a or b) or mode = 2 and a and not b")
+def websearch_terms(m: Model) -> DataFrame:
+    """Searches of four shapes by query_id: all words, any word, a word without another, and two or the
+    third. One row per term: its group (groups are alternatives) and whether it is excluded."""
+    words = tx.tokens(F.col("passage"))
+    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit", words.alias("w"), (F.col("query_id") % 4).alias("shape"))
+    term = lambda i, grp, out=False: F.struct(F.get("w", F.lit(i)).alias("term"), F.lit(grp).alias("grp"), F.lit(out).alias("excluded"))
+    shape = lambda n, *terms: F.when(F.col("shape") == n, F.array(*terms))
+    shapes = F.coalesce(shape(0, term(0, 0), term(1, 0)), shape(1, term(0, 0), term(1, 1)), shape(2, term(0, 0), term(1, 0, True)), F.array(term(0, 0), term(1, 0), term(2, 1)))
+    return plans.select("query_id", "tenant_id", "candidate_limit", "normalised", F.explode(shapes).alias("t")).select("query_id", "tenant_id", "candidate_limit", "normalised", "t.*").where("term is not null").distinct()
 
 
 @query
 def keyword_websearch_topk(m: Model) -> DataFrame:
-    return websearch_pairs(m).select("query_id", "chunk_id")
+    """Searches with alternatives and exclusions, in scope, ranked by the greatest of cover density,
+    literal match in the content (0.75) and in the title (0.95)."""
+    terms = websearch_terms(m)
+    live = m.chunks.join(m.heads.where("status = 'ACTIVE'").select("revision_id", "title"), "revision_id")
+    scope = scope_of(m)
+    places = live.select("chunk_id", "tenant_id", "space_id", F.posexplode(tx.tokens(F.col("content"))).alias("place", "term"))
+    hits = places.join(terms.select("query_id", "tenant_id", "term", "grp", "excluded"), ["tenant_id", "term"]).join(scope, ["query_id", "tenant_id", "space_id"], "left_semi")
+    needed = terms.where("not excluded").groupBy("query_id", "grp").agg(F.count_distinct("term").alias("needed"))
+    found = hits.groupBy("query_id", "grp", "chunk_id").agg(F.count_distinct(F.when(~F.col("excluded"), F.col("term"))).alias("n"), F.bool_or("excluded").alias("barred"))
+    matched = found.join(needed, ["query_id", "grp"]).where("n = needed and not barred").select("query_id", "grp", "chunk_id", "needed")
+    own = hits.where("not excluded").join(matched, ["query_id", "grp", "chunk_id"])
+    # one group at a time: its key stands for the query, and alternatives add their covers
+    keyed = own.select(F.struct("query_id", "grp").alias("query_id"), "chunk_id", "place", "term", "needed")
+    density = retrieval.cover_density(keyed).groupBy(F.col("query_id.query_id").alias("query_id"), "chunk_id").agg(F.sum("density").alias("density"))
+    asked = terms.select("query_id", "tenant_id", "normalised", "candidate_limit").distinct()
+    literal = retrieval.literal_scores(retrieval.in_scope(asked, scope, m.chunks, m.heads)).select("query_id", "chunk_id", "candidate_limit", F.col("raw_score").alias("literal"))
+    both = literal.where("literal > 0").join(density, ["query_id", "chunk_id"], "full_outer").drop("candidate_limit").join(asked.select("query_id", "candidate_limit"), "query_id")
+    scored = both.withColumn("raw_score", F.round(F.greatest(F.coalesce("density", F.lit(0.0)), F.coalesce("literal", F.lit(0.0))), 9))
+    best = retrieval.top_candidates(scored)
+    return best.select("query_id", "chunk_id", big("rank", "rank"), F.least("raw_score", F.lit(retrieval.BEST_BELOW_ONE)).alias("score"))
+
+
+def in_reach(m: Model, scored: DataFrame) -> DataFrame:
+    """Scored chunks within the tenant and the spaces of their query."""
+    return scored.join(m.chunks.select("chunk_id", "tenant_id", "space_id", "document_id", "revision_id"), "chunk_id").join(scope_of(m), ["query_id", "tenant_id", "space_id"], "left_semi")
 
 
 @query
 def bm25_topk(m: Model) -> DataFrame:
+    """Content only, in scope; ranks are given before inactive revisions go, and keep their gaps."""
     plans = retrieval.plan_queries(m.queries)
     scored = retrieval.bm25(retrieval.postings(m.chunks), retrieval.query_terms(plans), retrieval.index_stats(m.chunks))
-    scored = scored.withColumn("raw_score", F.round("raw_score", 9))
-    best = retrieval.top_candidates(scored, F.lit(10))
-    return best.select("query_id", "chunk_id", big("rank", "rank"), "raw_score")
+    best = retrieval.top_candidates(in_reach(m, scored.withColumn("raw_score", F.round("raw_score", 9))), F.lit(40))
+    return retrieval.retain_active(best, m.heads).select("query_id", "chunk_id", big("rank", "rank"), "raw_score")
 
 
 @query
 def bm25_best_fields_topk(m: Model) -> DataFrame:
-    """The better of title (weight 3) and content, on documents, relative to the best."""
+    """The best of title (weight 3), section path (2) and content of each chunk, in scope, relative to
+    the best of the query; ranks are given before inactive revisions go."""
     terms = retrieval.query_terms(retrieval.plan_queries(m.queries))
-    docs = m.heads.where("status = 'ACTIVE'")
-    title = retrieval.bm25(retrieval.postings(docs, "title", "document_id"), terms, retrieval.index_stats(docs, "title"), "document_id")
-    body = retrieval.bm25(retrieval.postings(docs, "content", "document_id"), terms, retrieval.index_stats(docs), "document_id")
-    both = title.withColumn("raw_score", 3 * F.col("raw_score")).unionByName(body).groupBy("query_id", "document_id").agg(F.round(F.max("raw_score"), 9).alias("raw_score"))
-    ranked = retrieval.relative_to_best(retrieval.top_candidates(both.withColumnRenamed("document_id", "chunk_id"), F.lit(10)))
-    return ranked.select("query_id", F.col("chunk_id").alias("document_id"), big("rank", "rank"), r9("score", "score"))
+    rows = m.chunks.join(m.documents.select("document_id", "title"), "document_id")
+    fields = [("title", 3.0), ("section_path", 2.0), ("content", 1.0)]
+    parts = [retrieval.bm25(retrieval.postings(rows, f), terms, retrieval.index_stats(rows, f)).withColumn("raw_score", F.col("raw_score") * w) for f, w in fields]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id", "chunk_id").agg(F.round(F.max("raw_score"), 9).alias("raw_score"))
+    ranked = retrieval.relative_to_best(retrieval.top_candidates(in_reach(m, both), F.lit(40)))
+    return retrieval.retain_active(ranked, m.heads).select("query_id", "chunk_id", big("rank", "rank"), r9("score", "score"))
 
 
 def vector_queries(m: Model) -> DataFrame:
@@ -163,11 +185,13 @@ def active_guard(m: Model) -> DataFrame:
 
 
 def two_channels(m: Model) -> DataFrame:
-    """Keyword hits of the benchmark queries, and as vector hits the same chunks by length."""
-    keyword = keyword_of(m).select("query_id", "chunk_id", "tenant_id", "space_id", "document_id", "revision_id", "content", "rank", "score")
-    by_size = keyword.where("rank % 3 <> 0").withColumn("raw_score", 1 / (1.0 + F.length("content")))
-    vector = retrieval.top_candidates(by_size.drop("rank", "score"), F.lit(100)).withColumn("score", F.col("raw_score")).drop("raw_score")
-    return keyword.withColumn("channel", F.lit("KEYWORD")).unionByName(vector.withColumn("channel", F.lit("VECTOR"))).drop("content")
+    """Keyword and vector candidates of the benchmark queries, both in scope."""
+    plans = retrieval.plan_queries(m.queries)
+    embed = retrieval.hashing_embedder
+    pairs = retrieval.in_scope(embed(plans, "normalised", "query_unit"), scope_of(m), embed(m.chunks, "content", "unit"), m.heads, "query_unit")
+    names = ["query_id", "chunk_id", "tenant_id", "space_id", "document_id", "revision_id", "rank", "score"]
+    vector = retrieval.text_channel(pairs).select(*names, F.lit("VECTOR").alias("channel"))
+    return keyword_of(m).select(*names, F.lit("KEYWORD").alias("channel")).unionByName(vector)
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import sha256, uuid3
+from quarry.functions.text import tokens
 from quarry.operators.state import latest
 
 
@@ -72,15 +73,20 @@ class Model:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """One chunk per line of every revision, active or not."""
-        lines = self.revisions.select("doc_id", "tenant_id", "space_id", "document_id", "revision_id", "language", F.posexplode(F.split("content", "\n")).alias("ordinal", "content"))
-        lines = lines.where(F.trim("content") != "")
+        """One chunk per line of every revision, active or not; its section path is the first two tokens of
+        the line before."""
+        own = ["doc_id", "tenant_id", "space_id", "document_id", "revision_id", "language"]
+        parts = self.revisions.select(*own, F.split("content", "\n").alias("lines"))
+        lines = parts.select(*own, "lines", F.posexplode("lines").alias("ordinal", "content")).where(F.trim("content") != "")
+        before = F.when(F.col("ordinal") > 0, F.get("lines", F.col("ordinal") - 1))
+        lines = lines.select(*own, "ordinal", "content", F.coalesce(F.array_join(F.slice(tokens(before), 1, 2), " "), F.lit("")).alias("section_path"))
         key = F.concat("revision_id", F.lit(":"), F.col("ordinal").cast("string"))
         return lines.withColumn("chunk_id", uuid3(key)).withColumn("content_hash", sha256(F.col("content")))
 
     @cached_property
     def queries(self) -> DataFrame:
-        """Four words of each benchmark passage, asked in the tenant whose turn it is."""
+        """The first two words of each benchmark passage as a search, asked in the tenant whose turn it is;
+        passage is the whole text."""
         words = F.split("text", " ")
         langs = F.array(*[F.lit(x) for x in ("en", "de", "es", "fr")])
         return self.raw("benchmark").select(

@@ -13,6 +13,13 @@ def tokens(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
+def embedded(rows: str, text: str) -> str:
+    """rows with u, the unit hashing embedding of a text column; rows without tokens go."""
+    counts = ", ".join(f"(length(digits) - length(replace(digits, '{d:x}', '')))::DOUBLE" for d in range(16))
+    return f"""(SELECT * EXCLUDE (v, digits), list_transform(v, lambda x: x / len) AS u FROM (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM (SELECT *, [{counts}] AS v FROM (
+        SELECT *, array_to_string(list_transform({tokens(text)}, lambda t: substr(md5(t), 1, 1)), '') AS digits FROM {rows}) WHERE digits <> '')))"""
+
+
 NORMALISED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 MARKERS = "依赖|关系|调用|影响|关联|上游|下游|depends|calls|related|impact|upstream|downstream"
 
@@ -33,8 +40,9 @@ PARTS = {
         FROM kdoc, (VALUES (1), (2)) v(n) WHERE n <= active_revision""",
     "head": """SELECT k.* EXCLUDE (text), r.revision_id, r.content, r.content_hash FROM kdoc k
         JOIN rev r ON r.document_id = k.document_id AND r.revision_number = k.active_revision""",
-    "chunk": f"""SELECT *, {uuid3("revision_id || ':' || ordinal")} AS chunk_id, sha256(content) AS content_hash FROM (
-        SELECT doc_id, tenant_id, space_id, document_id, revision_id, language,
+    "chunk": f"""SELECT * EXCLUDE (lines), {uuid3("revision_id || ':' || ordinal")} AS chunk_id, sha256(content) AS content_hash,
+        coalesce(array_to_string(list_slice({tokens('lines[ordinal]')}, 1, 2), ' '), '') AS section_path FROM (
+        SELECT doc_id, tenant_id, space_id, document_id, revision_id, language, string_split(content, chr(10)) AS lines,
             unnest(string_split(content, chr(10))) AS content,
             generate_subscripts(string_split(content, chr(10)), 1) - 1 AS ordinal FROM rev) WHERE trim(content) <> ''""",
     "q": f"""SELECT query_id, tenant_id, principal_id, text, 8 AS top_k, {NORMALISED} AS normalised, 40 AS candidate_limit FROM (
@@ -60,10 +68,13 @@ PARTS = {
         FROM q JOIN scope s ON s.query_id = q.query_id AND s.tenant_id = q.tenant_id
         JOIN chunk c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id
         JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE') WHERE raw_score > 0) WHERE rank <= candidate_limit""",
-    "both": """SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, score, 'KEYWORD' AS channel FROM kw
-        UNION ALL SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, score, 'VECTOR' FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-                SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, 1 / (1.0::DOUBLE + length(content)) AS score FROM kw WHERE rank % 3 <> 0)) WHERE rank <= 100""",
+    "both": f"""SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, score, 'KEYWORD' AS channel FROM kw
+        UNION ALL SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, least(1.0, greatest(0.0, raw)) AS score, 'VECTOR' FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM (
+                SELECT q.query_id, c.chunk_id, c.tenant_id, c.space_id, c.document_id, c.revision_id, round(list_dot_product(q.u, c.u), 9) AS raw
+                FROM {embedded('q', 'normalised')} q JOIN scope s ON s.query_id = q.query_id AND s.tenant_id = q.tenant_id
+                JOIN {embedded('chunk', 'content')} c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id
+                JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE')) WHERE rank <= 40""",
     "fused": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, substr(chunk_id, 1, 1) >= '8' DESC, chunk_id) AS position FROM (
         SELECT *, rrf / max(rrf) OVER (PARTITION BY query_id) * score AS relevance FROM (
             SELECT query_id, chunk_id, any_value(document_id) AS document_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf,
@@ -133,6 +144,7 @@ def stats_of(source: str, text: str) -> str:
 
 
 TERMS = f"SELECT DISTINCT query_id, unnest({tokens('normalised')}) AS term FROM q"
+REACH = "JOIN chunk c ON c.chunk_id = x.chunk_id JOIN scope s ON s.query_id = x.query_id AND s.tenant_id = c.tenant_id AND s.space_id = c.space_id"
 TOP10 = "row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, {key}) AS rank"
 
 ORACLES = {
@@ -145,22 +157,39 @@ ORACLES = {
     "accessible_spaces": sql("SELECT s.query_id, s.space_id, 'Space ' || s.space_id AS name, (SELECT count(*) FROM kdoc k WHERE k.tenant_id = s.tenant_id AND k.space_id = s.space_id AND k.status = 'ACTIVE') AS active_documents FROM scope s", "scope", "kdoc"),
     "keyword_substring_topk": sql("SELECT query_id, chunk_id, rank, score FROM kw", "kw"),
     "keyword_websearch_topk": sql(
-        f"""SELECT query_id, chunk_id FROM (SELECT a.query_id, a.query_id % 3 AS mode, c.chunk_id, list_contains(c.t, a.t[1]) AS x, list_contains(c.t, a.t[2]) AS y
-        FROM (SELECT query_id, tenant_id, {tokens('normalised')} AS t FROM q) a JOIN (SELECT c.chunk_id, c.tenant_id, {tokens('c.content')} AS t FROM chunk c JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE') c
-        ON c.tenant_id = a.tenant_id WHERE len(a.t) = 2) WHERE (mode = 0 AND x AND y) OR (mode = 1 AND (x OR y)) OR (mode = 2 AND x AND NOT y)""",
-        "q", "chunk", "head",
+        f"""SELECT query_id, chunk_id, rank, least(raw_score, 0.999999) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, chunk_id) AS rank FROM (
+        WITH asked AS (SELECT item_id AS query_id, item_id % 4 AS shape, {tokens('text')} AS w FROM benchmark),
+        terms AS (SELECT DISTINCT query_id, tenant_id, t.term, t.grp, t.excluded FROM (SELECT a.query_id, q.tenant_id, unnest(CASE shape WHEN 0 THEN [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 0, excluded: false}}]
+            WHEN 1 THEN [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 1, excluded: false}}] WHEN 2 THEN [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 0, excluded: true}}]
+            ELSE [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 0, excluded: false}}, {{term: w[3], grp: 1, excluded: false}}] END) AS t FROM asked a JOIN q ON q.query_id = a.query_id) WHERE t.term IS NOT NULL),
+        place AS (SELECT chunk_id, tenant_id, space_id, unnest(t) AS term, generate_subscripts(t, 1) AS place FROM (SELECT c.chunk_id, c.tenant_id, c.space_id, {tokens('c.content')} AS t FROM chunk c JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE')),
+        hit AS (SELECT t.query_id, t.grp, t.excluded, p.chunk_id, p.place, p.term FROM place p JOIN terms t ON t.term = p.term AND t.tenant_id = p.tenant_id JOIN scope s ON s.query_id = t.query_id AND s.space_id = p.space_id),
+        need AS (SELECT query_id, grp, count(DISTINCT term) AS needed FROM terms WHERE NOT excluded GROUP BY query_id, grp),
+        ok AS (SELECT h.query_id, h.grp, h.chunk_id, any_value(needed) AS needed FROM hit h JOIN need n ON n.query_id = h.query_id AND n.grp = h.grp GROUP BY h.query_id, h.grp, h.chunk_id
+            HAVING count(DISTINCT CASE WHEN NOT excluded THEN term END) = any_value(needed) AND NOT bool_or(excluded)),
+        own AS (SELECT h.query_id, h.grp, h.chunk_id, h.place, h.term, o.needed FROM hit h JOIN ok o ON o.query_id = h.query_id AND o.grp = h.grp AND o.chunk_id = h.chunk_id WHERE NOT excluded),
+        pair AS (SELECT *, lag(term) OVER w AS prev, lag(place) OVER w AS prev_place FROM own WINDOW w AS (PARTITION BY query_id, grp, chunk_id ORDER BY place)),
+        dens AS (SELECT query_id, chunk_id, sum(CASE needed WHEN 1 THEN 0.1::DOUBLE ELSE 0.1::DOUBLE / (place - prev_place) END) AS density FROM pair WHERE needed = 1 OR prev <> term GROUP BY query_id, chunk_id),
+        lit AS (SELECT q.query_id, c.chunk_id, greatest(CASE WHEN contains(lower(c.content), lower(q.normalised)) THEN 0.75::DOUBLE ELSE 0 END, CASE WHEN contains(lower(h.title), lower(q.normalised)) THEN 0.95::DOUBLE ELSE 0 END) AS literal
+            FROM q JOIN scope s ON s.query_id = q.query_id AND s.tenant_id = q.tenant_id JOIN chunk c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE')
+        SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.chunk_id, d.chunk_id) AS chunk_id, round(greatest(coalesce(density, 0), coalesce(literal, 0)), 9) AS raw_score
+        FROM (SELECT * FROM lit WHERE literal > 0) l FULL JOIN dens d ON d.query_id = l.query_id AND d.chunk_id = l.chunk_id)) WHERE rank <= 40""",
+        "q", "chunk", "head", "scope",
     ),
     "bm25_topk": sql(
-        f"""SELECT query_id, chunk_id, rank, raw_score FROM (SELECT *, {TOP10.format(key='chunk_id')} FROM (SELECT query_id, chunk_id, round(raw_score, 9) AS raw_score FROM (
-        WITH terms AS ({TERMS}), ix AS ({index_of('chunk', 'content', 'chunk_id')}), st AS ({stats_of('chunk', 'content')}) {bm25('ix', 'st', 'chunk_id')}))) WHERE rank <= 10""",
-        "q", "chunk",
+        f"""SELECT b.query_id, b.chunk_id, b.rank, b.raw_score FROM (SELECT *, {TOP10.format(key='chunk_id')} FROM (SELECT x.query_id, x.chunk_id, c.revision_id, round(raw_score, 9) AS raw_score FROM (
+        WITH terms AS ({TERMS}), ix AS ({index_of('chunk', 'content', 'chunk_id')}), st AS ({stats_of('chunk', 'content')}) {bm25('ix', 'st', 'chunk_id')}) x {REACH})) b
+        JOIN head h ON h.revision_id = b.revision_id AND h.status = 'ACTIVE' WHERE rank <= 40""",
+        "q", "chunk", "scope", "head",
     ),
     "bm25_best_fields_topk": sql(
-        f"""SELECT query_id, document_id, rank, round(least(raw_score / max(raw_score) OVER (PARTITION BY query_id), 0.999999), 9) AS score FROM (SELECT *, {TOP10.format(key='document_id')} FROM (
-        SELECT query_id, document_id, round(max(raw_score), 9) AS raw_score FROM (WITH live AS (SELECT * FROM head WHERE status = 'ACTIVE'), terms AS ({TERMS}),
-            ti AS ({index_of('live', 'title', 'document_id')}), ts AS ({stats_of('live', 'title')}), bi AS ({index_of('live', 'content', 'document_id')}), bs AS ({stats_of('live', 'content')})
-            SELECT query_id, document_id, 3 * raw_score AS raw_score FROM ({bm25('ti', 'ts', 'document_id')}) UNION ALL {bm25('bi', 'bs', 'document_id')}) GROUP BY query_id, document_id)) WHERE rank <= 10""",
-        "q", "head",
+        f"""SELECT b.query_id, b.chunk_id, b.rank, round(least(raw_score / top, 0.999999), 9) AS score FROM (SELECT *, max(raw_score) OVER (PARTITION BY query_id) AS top FROM (SELECT *, {TOP10.format(key='chunk_id')} FROM (
+        SELECT x.query_id, x.chunk_id, any_value(c.revision_id) AS revision_id, round(max(raw_score), 9) AS raw_score FROM (WITH rows_ AS (SELECT c.*, k.title FROM chunk c JOIN kdoc k ON k.document_id = c.document_id), terms AS ({TERMS}),
+            ti AS ({index_of('rows_', 'title', 'chunk_id')}), ts AS ({stats_of('rows_', 'title')}), si AS ({index_of('rows_', 'section_path', 'chunk_id')}), ss AS ({stats_of('rows_', 'section_path')}),
+            bi AS ({index_of('rows_', 'content', 'chunk_id')}), bs AS ({stats_of('rows_', 'content')})
+            SELECT query_id, chunk_id, 3 * raw_score AS raw_score FROM ({bm25('ti', 'ts', 'chunk_id')}) UNION ALL SELECT query_id, chunk_id, 2 * raw_score FROM ({bm25('si', 'ss', 'chunk_id')}) UNION ALL {bm25('bi', 'bs', 'chunk_id')}) x {REACH} GROUP BY x.query_id, x.chunk_id)) WHERE rank <= 40) b
+        JOIN head h ON h.revision_id = b.revision_id AND h.status = 'ACTIVE'""",
+        "q", "chunk", "scope", "head",
     ),
     "vector_cosine_topk": sql("SELECT query_id, vec_id, rank, round(least(1.0, greatest(0.0, raw)), 9) AS score FROM vtop", "vtop"),
     "vector_filtered_topk": sql("SELECT query_id, vec_id, rank, round(least(1.0, greatest(0.0, raw)), 9) AS score FROM vtop", "vtop", more="AND b.document_id IN (SELECT document_id FROM kdoc WHERE doc_id % 2 = 0)"),
