@@ -11,14 +11,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import mix64, small_batches
 
 SPACE = "▁"
 #: Segmentations remembered in a worker, of words that a batch has twice, none longer than LONG_WORD.
-REMEMBERED, LONG_WORD = 300_000, 48
+REMEMBERED, LONG_WORD = 100_000, 48
+#: Texts that a worker is given at a time, and words of them that it encodes side by side.
+BATCH, RUN = 256, 100_000
 NONE = float("-inf")
 _K1, _K2, _K3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Pairs of symbols are keyed by left * _PAIR + right; code points beyond the ids stay below it.
@@ -139,13 +141,16 @@ class Encoder:
             rows = rows[row[hit]]
             owners = np.searchsorted(sizes.cumsum(), steps, side="right").tolist()
             turns = [(nodes[o], int(m)) for o, m in zip(owners, merges[steps].tolist(), strict=True)]
-            lacking = [(o, m) for o, m in turns if o.after is None or m not in o.after]
-            for (o, m), node in zip(lacking, self._nodes([(o.chunk, (*o.skipped, m)) for o, m in lacking]), strict=True):
-                o.after = o.after or {}
-                o.after[m] = node
-                self.known[o.chunk].size += 1
-                self.remembered += 1
-            nodes = [o.after[m] for o, m in turns]
+            found = [o.after and o.after.get(m) for o, m in turns]
+            lacking = [i for i, node in enumerate(found) if node is None]
+            for i, node in zip(lacking, self._nodes([(turns[i][0].chunk, (*turns[i][0].skipped, turns[i][1])) for i in lacking]), strict=True):
+                found[i], (o, m) = node, turns[i]
+                if not o.skipped:  # what two skips give is many and rarely met again
+                    o.after = o.after or {}
+                    o.after[m] = node
+                    self.known[o.chunk].size += 1
+                    self.remembered += 1
+            nodes = found
         self.remembered += len(new)
         for c in new:
             if met[c] == 1:
@@ -265,7 +270,10 @@ class Encoder:
         split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
         keys = [self._keys(len(chunks), key) for chunks, key in zip(split, doc_keys, strict=True)]
         gc.disable()  # nodes hold no cycles, and looking for them is slow
-        found = self.encode_many(list(chain.from_iterable(split)), np.concatenate([np.empty(0, np.uint64), *keys]))
+        chunks, drawn = list(chain.from_iterable(split)), np.concatenate([np.empty(0, np.uint64), *keys])
+        found: list[bytes] = []
+        for i in range(0, len(chunks), RUN):
+            found += self.encode_many(chunks[i : i + RUN], drawn[i : i + RUN])
         gc.enable()
         ends = np.cumsum([0, *map(len, split)]).tolist()
         return [None if t is None else np.frombuffer(b"".join(found[a:b]), np.int32) for t, a, b in zip(texts, ends, ends[1:], strict=False)]
@@ -288,30 +296,33 @@ def _encoder(vocabulary: tuple, dropout: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, copy: Column | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, turns: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens of each whole text.
 
-    A null text has null ids and no tokens, an empty one an empty list. The same seed, doc_id, copy and
-    text give the same ids in every run. copy numbers the repetitions of a row, from 1 on, so that each
-    has draws of its own; without it repeated rows agree. Dropout 0 gives the model's own
+    A null text has null ids and no tokens, an empty one an empty list. The same seed, doc_id and text
+    give the same ids in every run, and repeated rows agree. With turns, rows of one doc_id that follow
+    each other, as mixing leaves the copies of a document, have draws by their turn: the first those of
+    a single row, the others their own (a run that is cut between two tasks starts anew). Dropout 0 gives the model's own
     segmentation (a literal U+2581 apart, which stays itself here). Extra columns pass through;
     those named ids or n_tokens are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     pieces, byte_ids, _ = load_pieces(model_path)
     shared = spark.sparkContext.broadcast((pieces, byte_ids))  # one vocabulary
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encoder = _encoder(shared.value, dropout, seed)
+        last, turn = None, 0
         for keys, texts in batches:
-            yield pd.Series(encoder.texts(texts.tolist(), keys.tolist()), dtype=object)
+            drawn = []
+            for key in keys.tolist():
+                last, turn = key, turn + 1 if turns and key == last else 0
+                drawn.append(key + turn * _K2)
+            yield pd.Series(encoder.texts(texts.tolist(), drawn), dtype=object)
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    if copy is not None:
-        key = F.when(copy > 1, F.xxhash64(key, copy.cast("long"))).otherwise(key)
-    out = docs.withColumn("ids", encoded(key, "text"))
+    out = docs.withColumn("ids", encoded(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"))
     return out.withColumn("n_tokens", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long"))
 
 

@@ -197,7 +197,7 @@ def test_copies_of_a_document_draw_for_themselves(spark, model_path):
 
     rows = [(i, "internationalization and understanding") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    got = sentencepiece_bpe.encode(docs, model_path, 0.3, 3, copy=F.col("copy"))
+    got = sentencepiece_bpe.encode(docs, model_path, 0.3, 3, turns=True)
     assert len({tuple(r["ids"]) for r in got.collect()}) > 100
     same = got.groupBy("doc_id").agg(F.count_distinct("ids").alias("n")).where("n = 2").count()
     assert same > 200
