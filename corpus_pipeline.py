@@ -6,7 +6,7 @@ into the shared folder and reads it again as the next stage's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup, minhash, mixing, queries, sentencepiece_bpe, toxicity
@@ -38,12 +38,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every whole text. The copies that the mix made of a document are numbered (two at most, so
-    that no group is large), and each has dropout draws of its own."""
-    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars"))
-    numbered = docs.select("doc_id", "text", "source", copy.alias("copy"))
-    tokens = sentencepiece_bpe.encode(numbered, queries.tokenizer_path(), dropout=0.1, seed=17, copy=F.col("copy"))
-    return tokens.select("doc_id", "source", "copy", "n_tokens", "ids")
+    """Ids of every whole text. The copies that the mix made of a document follow each other, and each
+    has dropout draws of its own."""
+    tokens = sentencepiece_bpe.encode(docs.select("doc_id", "text", "source"), queries.tokenizer_path(), dropout=0.1, seed=17, turns=True)
+    return tokens.select("doc_id", "source", "n_tokens", "ids")
 
 
 STAGES = [
