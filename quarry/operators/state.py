@@ -76,11 +76,11 @@ def fail(jobs: DataFrame, longest_attempts: int = 5) -> DataFrame:
 
 
 def requeue_dead(jobs: DataFrame, heads: DataFrame) -> DataFrame:
-    """DEAD jobs of active revisions are PENDING again; others keep their status."""
+    """DEAD jobs of active revisions are due again (RETRY, no attempts); others stay as they are."""
     live = heads.where("status = 'ACTIVE'").select("revision_id", F.lit(True).alias("live"))
     joined = jobs.join(live, "revision_id", "left")
     again = (F.col("status") == "DEAD") & F.coalesce("live", F.lit(False))
-    return joined.select(*[F.when(again, "PENDING").otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in jobs.columns])
+    return joined.withColumns({"attempts": F.when(again, 0).otherwise(F.col("attempts")), "status": F.when(again, "RETRY").otherwise(F.col("status"))}).select(jobs.columns)
 
 
 def single_flight(runs: DataFrame) -> DataFrame:

@@ -407,7 +407,7 @@ def job_fail_backoff(m: Model) -> DataFrame:
 
 @query
 def job_requeue_dead(m: Model) -> DataFrame:
-    return state.requeue_dead(m.jobs, m.heads).select("job_id", "status")
+    return state.requeue_dead(m.jobs, m.heads).select("job_id", "status", big("attempts", "attempts"))
 
 
 @query
@@ -463,7 +463,7 @@ def constraint_violations(m: Model) -> DataFrame:
         ("running_per_connector", state.repeated_keys(m.sync_runs.where("status = 'RUNNING'"), ["connector_id"])),
         ("order_customer", state.orphans(m.raw("orders").select(F.col("o_custkey").alias("c_custkey")), m.raw("customer"), ["c_custkey"])),
         ("lineitem_order", state.orphans(m.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), m.raw("orders"), ["o_orderkey"])),
-        ("lease_iff_running", m.jobs.where("status = 'RUNNING' and lease_until is null")),
+        ("lease_iff_running", m.jobs.where("(status = 'RUNNING') <> (lease_until is not null)")),
     ]
     out = None
     for name, rows in checks:
@@ -501,10 +501,13 @@ def heading_chunks(m: Model) -> DataFrame:
 
 
 def notes_of(m: Model) -> DataFrame:
-    """A vault note of each document, from its first words."""
+    """A vault note of each document: front matter, links and tags from its first words, then the whole
+    text with a link and a tag at the end of each line."""
     words = tx.tokens(F.col("text"))
     w = [F.coalesce(F.get(words, F.lit(i)), F.lit("x")) for i in range(4)]
-    note = F.concat(F.lit("---\ntitle: \"T "), w[0], F.lit("\"\ntags: [#"), w[1], F.lit(", z]\n---\n# Head\nsee [["), w[2], F.lit("#part|alias]] and ![["), w[3], F.lit("]] #"), w[0], F.lit("/sub ok\n"))
+    first = lambda x: F.coalesce(F.get(tx.tokens(x), F.lit(0)), F.lit("x"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit(" [["), first(x), F.lit("]] #"), first(x)))
+    note = F.concat(F.lit("---\ntitle: \"T "), w[0], F.lit("\"\ntags: [#"), w[1], F.lit(", z]\n---\n# Head\nsee [["), w[2], F.lit("#part|alias]] and ![["), w[3], F.lit("]] #"), w[0], F.lit("/sub ok\n"), F.array_join(lines, "\n"))
     return m.raw("documents").select("doc_id", note.alias("note"))
 
 

@@ -154,7 +154,7 @@ class Model:
             (F.col("event_id") % 6).alias("attempts"),
             F.col("ts").alias("available_at"),
             F.col("ts").alias("created_at"),
-            (F.col("ts") + F.expr("interval 2 minutes")).alias("lease_until"),
+            F.when(F.col("event_type") == "click", F.col("ts") + F.expr("interval 2 minutes")).alias("lease_until"),
         )
         return latest(rows, ["revision_id", "projection_type"], [F.desc("available_at"), F.desc("job_id")])
 

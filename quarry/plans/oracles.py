@@ -92,7 +92,7 @@ PARTS = {
     "job": """SELECT * EXCLUDE (place) FROM (SELECT e.event_id AS job_id, h.tenant_id, h.document_id, h.revision_id, h.status AS document_status,
             CASE WHEN user_id % 2 = 0 THEN 'KEYWORD' ELSE 'VECTOR' END AS projection_type,
             CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'RUNNING' WHEN 'error' THEN 'RETRY' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'signup' THEN 'DEAD' END AS status,
-            event_id % 6 AS attempts, ts AS available_at, ts AS created_at, ts + INTERVAL 2 MINUTE AS lease_until,
+            event_id % 6 AS attempts, ts AS available_at, ts AS created_at, CASE event_type WHEN 'click' THEN ts + INTERVAL 2 MINUTE END AS lease_until,
             row_number() OVER (PARTITION BY h.revision_id, user_id % 2 = 0 ORDER BY ts DESC, event_id DESC) AS place
         FROM events e JOIN head h ON h.doc_id = e.event_id % (SELECT count(*) FROM documents)) WHERE place = 1""",
     "run": """SELECT o_orderkey AS run_id, o_custkey AS connector_id, o_orderdate AS started_at,
@@ -232,14 +232,14 @@ ORACLES = {
     "next_revision_number": sql("SELECT document_id, draft, (active_revision + n)::BIGINT AS revision_number FROM kdoc, (VALUES ('a', 1), ('b', 2)) d(draft, n) WHERE doc_id % 3 = 0", "kdoc"),
     "job_claim": sql("SELECT job_id, (attempts + 1)::BIGINT AS attempts FROM (SELECT * FROM job WHERE (status IN ('PENDING', 'RETRY') AND available_at <= TIMESTAMP '2024-01-15 00:00:00') OR (status = 'RUNNING' AND lease_until < TIMESTAMP '2024-01-15 00:00:00') ORDER BY available_at, created_at, job_id LIMIT 20)", "job"),
     "job_fail_backoff": sql("SELECT job_id, CASE WHEN attempts >= 5 THEN 'DEAD' ELSE 'RETRY' END AS status, CASE WHEN attempts < 5 THEN least(300000, 2000 * pow(2, greatest(attempts - 1, 0)))::BIGINT END AS delay_ms FROM job WHERE status = 'RUNNING'", "job"),
-    "job_requeue_dead": sql("SELECT job_id, CASE WHEN status = 'DEAD' AND document_status = 'ACTIVE' THEN 'PENDING' ELSE status END AS status FROM job", "job"),
+    "job_requeue_dead": sql("SELECT job_id, CASE WHEN status = 'DEAD' AND document_status = 'ACTIVE' THEN 'RETRY' ELSE status END AS status, CASE WHEN status = 'DEAD' AND document_status = 'ACTIVE' THEN 0 ELSE attempts END::BIGINT AS attempts FROM job", "job"),
     "generation_fingerprint": sql(f"SELECT tenant_id, space_id, sha256(c) AS contract_hash, {uuid3('c')} AS generation_id FROM (SELECT tenant_id, space_id, concat_ws(chr(31), 'hashing', 'v1', '64', 'COSINE', tenant_id, space_id) AS c FROM space)", "space"),
     "projection_status": sql("SELECT h.revision_id, coalesce(max(CASE WHEN projection_type = 'KEYWORD' THEN s END), 'SKIPPED') AS keyword_status, coalesce(max(CASE WHEN projection_type = 'VECTOR' THEN s END), 'SKIPPED') AS vector_status FROM head h LEFT JOIN (SELECT revision_id, projection_type, CASE status WHEN 'SUCCEEDED' THEN 'SUCCEEDED' WHEN 'DEAD' THEN 'FAILED' ELSE 'PENDING' END AS s FROM job) j ON j.revision_id = h.revision_id WHERE h.status = 'ACTIVE' GROUP BY h.revision_id", "job"),
     "single_flight_cancel": sql("SELECT run_id, CASE WHEN status = 'RUNNING' AND row_number() OVER (PARTITION BY connector_id, status ORDER BY started_at DESC, run_id DESC) > 1 THEN 'CANCELLED' ELSE status END AS status FROM run", "run"),
     "acl_grant_revoke": sql("SELECT DISTINCT tenant_id, space_id, subject_type, subject_id, permission FROM acl WHERE NOT (subject_type = 'ROLE' AND subject_id = 'role-1')", "acl"),
     "connector_configure": sql("SELECT s.tenant_id, s.space_id, 1::BIGINT AS version, CASE WHEN n % 2 = 0 THEN n ELSE 70 END::BIGINT AS authority FROM space s JOIN num m ON m.tenant_id = s.tenant_id AND m.space_id = s.space_id WHERE s.status = 'ACTIVE'", "num"),
     "legacy_space_repair": sql("SELECT j.job_id, k.space_id FROM job j JOIN kdoc k ON k.document_id = j.document_id", "job"),
-    "constraint_violations": sql("SELECT 'document_key' AS name, (SELECT count(*) FROM (SELECT document_id FROM kdoc GROUP BY document_id HAVING count(*) > 1)) AS violations UNION ALL SELECT 'chunk_ordinal', (SELECT count(*) FROM (SELECT revision_id FROM chunk GROUP BY revision_id, ordinal HAVING count(*) > 1)) UNION ALL SELECT 'running_per_connector', (SELECT count(*) FROM (SELECT connector_id FROM run WHERE status = 'RUNNING' GROUP BY connector_id HAVING count(*) > 1)) UNION ALL SELECT 'order_customer', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'lineitem_order', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'lease_iff_running', (SELECT count(*) FROM job WHERE status = 'RUNNING' AND lease_until IS NULL)", "chunk", "run", "job"),
+    "constraint_violations": sql("SELECT 'document_key' AS name, (SELECT count(*) FROM (SELECT document_id FROM kdoc GROUP BY document_id HAVING count(*) > 1)) AS violations UNION ALL SELECT 'chunk_ordinal', (SELECT count(*) FROM (SELECT revision_id FROM chunk GROUP BY revision_id, ordinal HAVING count(*) > 1)) UNION ALL SELECT 'running_per_connector', (SELECT count(*) FROM (SELECT connector_id FROM run WHERE status = 'RUNNING' GROUP BY connector_id HAVING count(*) > 1)) UNION ALL SELECT 'order_customer', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'lineitem_order', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'lease_iff_running', (SELECT count(*) FROM job WHERE (status = 'RUNNING') <> (lease_until IS NOT NULL))", "chunk", "run", "job"),
     "signed_uuid_order": sql("SELECT chunk_id, row_number() OVER (PARTITION BY revision_id ORDER BY substr(chunk_id, 1, 1) >= '8' DESC, chunk_id) AS place FROM chunk", "chunk"),
 }
 
@@ -255,10 +255,15 @@ def _requeued(resets: str, wanted: str) -> str:
 ORACLES["job_enqueue"] = sql(_requeued("j.status IN ('SUCCEEDED', 'DEAD')", "SELECT * FROM want"), "job", "want")
 ORACLES["job_rebuild"] = sql(_requeued("j.status <> 'RUNNING'", "SELECT * FROM want WHERE revision_id IN (SELECT revision_id FROM chunk)"), "job", "want", "chunk")
 
-WORDS = f"(SELECT doc_id, {tokens('text')} AS w FROM documents)"
 W = [f"coalesce(w[{i}], 'x')" for i in (1, 2, 3, 4)]
-ORACLES["vault_links_tags"] = f"SELECT doc_id, {W[2]} AS wikilinks, {W[3]} AS embeds, array_to_string(list_sort(list_distinct([{W[0]} || '/sub', {W[1]}, 'z'])), ',') AS tags FROM {WORDS}"
-ORACLES["vault_frontmatter"] = f"SELECT doc_id, 'T ' || {W[0]} AS title, '[#' || {W[1]} || ', z]' AS raw_tags FROM {WORDS}"
+FIRST = f"coalesce(({tokens('line')})[1], 'x')"
+# the same notes, with patterns that need no lookbehind
+NOTES = f"""(SELECT doc_id, w, '---' || chr(10) || 'title: "T ' || {W[0]} || '"' || chr(10) || 'tags: [#' || {W[1]} || ', z]' || chr(10) || '---' || chr(10) || '# Head' || chr(10) || 'see [[' || {W[2]} || '#part|alias]] and ![[' || {W[3]} || ']] #' || {W[0]} || '/sub ok' || chr(10) || body AS note
+    FROM (SELECT doc_id, {tokens('text')} AS w, array_to_string(list_transform(string_split(text, chr(10)), lambda line: line || ' [[' || {FIRST} || ']] #' || {FIRST}), chr(10)) AS body FROM documents))"""
+ORACLES["vault_links_tags"] = rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(note, '(?:^|[^!])\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]', 1), lambda x: trim(x)))), ',') AS wikilinks,
+    array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(note, '!\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]', 1), lambda x: trim(x)))), ',') AS embeds,
+    array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(note, '(?:^|[^\p{{L}}\p{{N}}_])#([\p{{L}}\p{{N}}_/-]+)', 1), [{W[1]}, 'z']))), ',') AS tags FROM {NOTES}"""
+ORACLES["vault_frontmatter"] = f"SELECT doc_id, 'T ' || {W[0]} AS title, '[#' || {W[1]} || ', z]' AS raw_tags FROM {NOTES}"
 ORACLES["outbox_stream"] = """SELECT job_id, status, attempts::BIGINT AS attempts, CASE WHEN status = 'RETRY' THEN (2000 * pow(2, attempts - 1))::BIGINT END AS delay_ms FROM (
     SELECT job_id, CASE WHEN first_ok <= 5 THEN 'SUCCEEDED' WHEN n >= 5 THEN 'DEAD' ELSE 'RETRY' END AS status, least(coalesce(first_ok, 5), 5, n) AS attempts FROM (
     SELECT user_id AS job_id, count(*) AS n, min(CASE WHEN event_type IN ('purchase', 'signup') THEN place END) AS first_ok FROM (
