@@ -43,6 +43,19 @@ def macro_report(metrics: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+def complete_runs(runs: DataFrame, kept: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Next runs and next case results. metrics has a row per case of each run that ends: run_id, case_id,
+    hit, recall, reciprocal_rank and ndcg, null where the case failed. Only RUNNING runs end; the results
+    of others are not taken. Results replace those kept under the same run and case."""
+    ended = metrics.join(runs.where("status = 'RUNNING'").select("run_id"), "run_id", "left_semi")
+    scored = ended.select("run_id", "case_id", F.when(F.col("hit").isNull(), "FAILED").otherwise("SUCCEEDED").alias("status"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("hit", "recall", "reciprocal_rank", "ndcg")])
+    means = [F.avg(c).alias(n) for c, n in (("hit", "hit_rate"), ("recall", "recall"), ("reciprocal_rank", "mrr"), ("ndcg", "ndcg"))]
+    report = scored.groupBy("run_id").agg(F.count(F.lit(1)).alias("case_count"), F.count_if(F.col("status") == "FAILED").alias("failed_count"), *means)
+    rows = runs.select("run_id", "status").join(report, "run_id", "left")
+    next_runs = rows.withColumn("status", F.when(F.col("case_count").isNotNull(), "SUCCEEDED").otherwise(F.col("status")))
+    return next_runs, kept.join(scored.select("run_id", "case_id"), ["run_id", "case_id"], "left_anti").unionByName(scored)
+
+
 def next_version(rows: DataFrame, existing: DataFrame, key: list[str], version: str, order: list[str]) -> DataFrame:
     """New rows numbered on from the highest version of their key."""
     high = existing.groupBy(*key).agg(F.max(version).alias("high"))

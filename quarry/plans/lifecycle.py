@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ids import sha256
 from quarry.functions.text import tokens
-from quarry.operators import lifecycle, state
-from quarry.plans.catalogue import NOW, QUERIES, big, query
+from quarry.operators import access, evaluation, gateway, lifecycle, state
+from quarry.plans.catalogue import NOW, QUERIES, big, evaluation_parts, query, r9
 from quarry.plans.model import Model
 
 __all__ = ["QUERIES"]
@@ -190,3 +190,48 @@ def constraint_violations_planted(m: Model) -> DataFrame:
         one = rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("name"), "violations")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def evaluated(m: Model) -> tuple[DataFrame, DataFrame]:
+    """Five runs over the cases by number, of which the last was stopped before; an earlier result is kept
+    of every third case."""
+    cases, expected, results = evaluation_parts(m)
+    metrics = cases.join(evaluation.case_metrics(cases, expected, results, k=5), "query_id", "left")
+    run = F.floor(F.col("query_id") / 20) % 5
+    metrics = metrics.select(run.alias("run_id"), F.col("query_id").alias("case_id"), "hit", "recall", "reciprocal_rank", "ndcg")
+    runs = m.spark.range(5).select(F.col("id").alias("run_id"), F.when(F.col("id") == 4, "FAILED").otherwise("RUNNING").alias("status"))
+    zero = [F.lit(0.0).alias(c) for c in ("hit", "recall", "reciprocal_rank", "ndcg")]
+    kept = metrics.where("case_id % 3 = 0").select("run_id", "case_id", F.lit("FAILED").alias("status"), *zero)
+    return evaluation.complete_runs(runs, kept, metrics)
+
+
+@query
+def evaluation_runs(m: Model) -> DataFrame:
+    numbers = [r9(c, c) for c in ("hit_rate", "recall", "mrr", "ndcg")]
+    return evaluated(m)[0].select("run_id", "status", "case_count", "failed_count", *numbers)
+
+
+@query
+def evaluation_results(m: Model) -> DataFrame:
+    numbers = [r9(c, c) for c in ("hit", "recall", "reciprocal_rank", "ndcg")]
+    return evaluated(m)[1].select("run_id", "case_id", "status", *numbers)
+
+
+@query
+def retrieve_bundles(m: Model) -> DataFrame:
+    """The whole retrieval in one call. Every third query names the spaces it wants: those of even number,
+    and every ninth of them asks for too many results."""
+    requests = m.queries.withColumn("top_k", F.when(F.col("query_id") % 9 == 0, 1000).otherwise(F.col("top_k")))
+    even = F.regexp_extract("space_id", "([0-9]+)", 1).cast("int") % 2 == 0
+    requested = requests.where("query_id % 3 = 0").select("query_id", "tenant_id").join(m.spaces.where(even).select("tenant_id", "space_id"), "tenant_id").select("query_id", "space_id")
+    found = gateway.retrieve(requests, m.principals, requested, gateway.Tables(m.spaces, m.grants, m.heads, m.chunks))
+    ids = F.array_join(F.transform("evidences", lambda e: e["evidence_id"]), ",")
+    return found.select("query_id", "outcome", big("n_evidence", "n_evidence"), F.coalesce(ids, F.lit("")).alias("evidence_ids"), "sufficient")
+
+
+@query
+def scope_restricted(m: Model) -> DataFrame:
+    """The scope within requested spaces: every second query names the space of number 1."""
+    one = F.regexp_extract("space_id", "([0-9]+)", 1).cast("int") == 1
+    requested = m.queries.where("query_id % 2 = 0").select("query_id", "tenant_id").join(m.spaces.where(one).select("tenant_id", "space_id"), "tenant_id").select("query_id", "space_id")
+    return access.restrict(access.resolve_scope(m.principals, m.spaces, m.grants), requested)

@@ -118,3 +118,32 @@ ORACLES["constraint_violations_planted"] = sql(
     + ")",
     "head", "chunk", "job",
 )
+EVALUATED = """(SELECT v.vec_id AS case_id, (v.vec_id // 20) % 5 AS run_id, c.query_id IS NULL AS failed, coalesce(hit::INT::DOUBLE, 0) AS hit, coalesce(recall, 0) AS recall,
+    coalesce(reciprocal_rank, 0) AS reciprocal_rank, coalesce(ndcg, 0) AS ndcg FROM vec v LEFT JOIN case_ c ON c.query_id = v.vec_id WHERE v.vec_id % 20 = 0)"""
+ORACLES["evaluation_runs"] = sql(
+    f"""SELECT r.run_id::BIGINT AS run_id, CASE WHEN r.run_id = 4 THEN 'FAILED' WHEN n IS NULL THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status, n AS case_count, f AS failed_count, a AS hit_rate, b AS recall, c AS mrr, d AS ndcg
+        FROM range(5) r(run_id) LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE failed) AS f, round(avg(hit), 9) AS a, round(avg(recall), 9) AS b, round(avg(reciprocal_rank), 9) AS c, round(avg(ndcg), 9) AS d
+        FROM {EVALUATED} WHERE run_id <> 4 GROUP BY run_id) e ON e.run_id = r.run_id""",
+    "case_",
+)
+ORACLES["evaluation_results"] = sql(
+    f"""SELECT run_id, case_id, CASE WHEN failed OR run_id = 4 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+        {", ".join(f"CASE WHEN run_id = 4 THEN 0 ELSE round({c}, 9) END AS {c}" for c in ("hit", "recall", "reciprocal_rank", "ndcg"))} FROM {EVALUATED} WHERE run_id <> 4 OR case_id % 3 = 0""",
+    "case_",
+)
+SPACE_NUMBER = "CAST(regexp_extract(space_id, '([0-9]+)', 1) AS INTEGER)"
+ORACLES["scope_restricted"] = sql(
+    f"""SELECT query_id, tenant_id, space_id FROM scope s WHERE query_id % 2 <> 0 OR {SPACE_NUMBER} = 1
+        OR NOT EXISTS (SELECT 1 FROM space t WHERE t.tenant_id = s.tenant_id AND CAST(regexp_extract(t.space_id, '([0-9]+)', 1) AS INTEGER) = 1)""",
+    "scope",
+)
+# the scope is narrowed before the candidates are found, so those parts are made over it
+NARROW = f"""SELECT query_id, tenant_id, space_id FROM ({{}}) s WHERE query_id % 9 <> 0 AND (query_id % 3 <> 0 OR {SPACE_NUMBER} % 2 = 0
+    OR NOT EXISTS (SELECT 1 FROM space t WHERE t.tenant_id = s.tenant_id AND CAST(regexp_extract(t.space_id, '([0-9]+)', 1) AS INTEGER) % 2 = 0))"""
+ORACLES["retrieve_bundles"] = sql(
+    """SELECT q.query_id, CASE WHEN q.query_id % 9 = 0 THEN 'INVALID' WHEN q.query_id NOT IN (SELECT query_id FROM scope) THEN 'DENY_ALL' ELSE 'OK' END AS outcome,
+        count(e.evidence_id) AS n_evidence, coalesce(string_agg(evidence_id, ',' ORDER BY position), '') AS evidence_ids, coalesce(arg_min(relevance, position) >= 0.5, false) AS sufficient
+        FROM q LEFT JOIN evid e ON e.query_id = q.query_id GROUP BY q.query_id""",
+    "evid", "scope",
+    over={"scope": NARROW},
+)

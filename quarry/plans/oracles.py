@@ -112,8 +112,8 @@ NEEDS = {
 }
 
 
-def sql(select: str, *parts: str, more: str = "") -> str:
-    """A statement with the named parts, and those they need, as common table expressions."""
+def sql(select: str, *parts: str, more: str = "", over: dict[str, str] | None = None) -> str:
+    """A statement with the named parts, and those they need, as common table expressions; over wraps parts."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -125,7 +125,7 @@ def sql(select: str, *parts: str, more: str = "") -> str:
     for p in parts:
         add(p)
     named = {"both": "both_"}
-    body = ", ".join(f"{named.get(n, n)} AS MATERIALIZED ({PARTS[n].replace('{more}', more)})" for n in order)
+    body = ", ".join(f"{named.get(n, n)} AS MATERIALIZED ({(over or {}).get(n, '{}').replace('{}', PARTS[n].replace('{more}', more))})" for n in order)
     return (f"WITH {body} " if body else "") + select
 
 

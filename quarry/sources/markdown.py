@@ -80,17 +80,28 @@ def parse_elements(revisions: DataFrame, text: str = "content") -> DataFrame:
     return rows.withColumn("element_id", uuid3(key)).withColumn("content", F.regexp_replace("content", r"^\p{javaWhitespace}+|\p{javaWhitespace}+$", ""))
 
 
+def units(text: str) -> int:
+    """Length in UTF-16 code units, in which all limits count."""
+    return len(text) + sum(c > "\uffff" for c in text)
+
+
 def pieces(text: str, longest: int) -> list[str]:
-    """Cuts of at most `longest` characters, at the last sentence or line end beyond the middle (and
-    beyond 64 characters) where there is one."""
+    """Cuts of at most `longest` UTF-16 units, at the last sentence or line end beyond the middle (and
+    beyond 64 units) where there is one. No character is cut in two."""
+    wide = text.encode("utf-16-le", "surrogatepass")
+    codes = wide.decode("utf-16-le", "surrogatepass") if units(text) == len(text) else "".join(map(chr, memoryview(wide).cast("H")))
     out, start = [], 0
-    while start < len(text):
-        end = min(start + longest, len(text))
-        if end < len(text):
+    while start < len(codes):
+        end = min(start + longest, len(codes))
+        if end < len(codes):
             least = start + max(64, (end - start) // 2)
-            end = next((i for i in range(end, least, -1) if text[i - 1] in SENTENCE_ENDS), end)
-        out.append(text[start:end].strip())
-        start = end + len(text[end:]) - len(text[end:].lstrip())
+            end = next((i for i in range(end, least, -1) if codes[i - 1] in SENTENCE_ENDS), end)
+            if "\ud800" <= codes[end - 1] <= "\udbff" and "\udc00" <= codes[end] <= "\udfff":
+                end -= 1
+        out.append(codes[start:end].strip().encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass"))
+        start = end
+        while start < len(codes) and codes[start].isspace():
+            start += 1
     return out
 
 
@@ -105,9 +116,9 @@ def packed(elements: list[dict], target: int, longest: int) -> list[tuple[list[s
             fresh = False
         path, ids, parts = out[-1]
         if e["element_type"] != "HEADING":
-            if ids and sum(map(len, parts)) + 2 * len(parts) + len(content) > target:
+            if ids and sum(map(units, parts)) + 2 * len(parts) + units(content) > target:
                 out.append((list(e["section_path"]), [], []))
-            if len(content) > longest:
+            if units(content) > longest:
                 if not out[-1][1]:
                     out.pop()
                 out += [(list(e["section_path"]), [e["element_id"]], [p]) for p in pieces(content, longest)]

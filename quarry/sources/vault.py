@@ -65,8 +65,10 @@ def read_vault(spark: SparkSession, root: str, connector_id: str, vault: str, ig
     files = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
     path = F.col("_metadata.file_path")
     files = files.select(F.col("value").alias("content"), path.alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified_at"))
-    plain = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.url_decode(F.regexp_replace("file_path", r".*?" + plain.replace(".", r"\.") + "/", ""))
+    below = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    # file paths are percent-encoded, but a plus in them is a plus
+    decoded = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    relative = decoded.substr(F.locate(below, decoded) + len(below), F.length(decoded))
     parts = F.split(relative, "/")
     kept = ~F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.isin(*ignored))
     files = files.withColumn("external_id", relative).where(kept & (F.col("file_size") <= LONGEST_FILE))

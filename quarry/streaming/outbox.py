@@ -31,7 +31,10 @@ def advance(status: str, attempts: int, outcome: str) -> tuple[str, int, int | N
 def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     status, attempts = state.get if state.exists else ("PENDING", 0)
     wait = None
-    events = pd.concat(list(batches)).sort_values(["at", "event_id"])
+    # a job ends within MAX_ATTEMPTS outcomes, so later ones of this run change nothing and are not held
+    events = None
+    for batch in batches:
+        events = pd.concat([events, batch]).sort_values(["at", "event_id"]).head(MAX_ATTEMPTS)
     for outcome in events["outcome"]:
         status, attempts, wait = advance(status, attempts, outcome)
     state.update((status, attempts))
