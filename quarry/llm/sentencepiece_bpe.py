@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,8 +15,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import mix64, small_batches
 
 SPACE = "▁"
-#: Segmentations remembered in a worker, of words that a batch has twice, none longer than LONG_WORD.
-REMEMBERED, LONG_WORD = 100_000, 48
+#: Segmentations remembered in a worker until all are forgotten, of words not longer than LONG_WORD.
+REMEMBERED, LONG_WORD = 400_000, 48
 #: Texts that a worker is given at a time, and words of them that it encodes side by side.
 BATCH, RUN = 256, 100_000
 NONE = float("-inf")
@@ -50,33 +48,58 @@ def load_pieces(model_path: str) -> tuple[dict[str, tuple[int, float]], list[int
     return pieces, byte_ids, surface
 
 
-class Node:
-    """What a word becomes if the pairs on the way here are skipped: ids, the merges in their order
-    (start * 64 + length), and what follows if one of those is skipped too. Without ids it holds a
-    symbol that has no piece, and is encoded by heap."""
+class Rows:
+    """Rows of unlike length, one after another in one array that grows by doubling."""
 
-    __slots__ = ("chunk", "ids", "merges", "skipped", "after", "size")
+    def __init__(self, *kinds: type):
+        self.columns = [np.empty(1 << 16, k) for k in kinds]
+        self.ends, self.n = np.zeros(1 << 14, np.int64), 0
 
-    def __init__(self, chunk: str, ids: bytes | None, merges: bytes, skipped: tuple[int, ...]):
-        self.chunk, self.ids, self.merges, self.skipped = chunk, ids, merges, skipped
-        self.after: dict[int, Node] | None = None
-        self.size = 1
+    def add(self, sizes: np.ndarray, *columns: np.ndarray | int) -> np.ndarray:
+        """The numbers of the rows added."""
+        first, last = self.n, self.n + len(sizes)
+        low = self.ends[first]
+        high = low + int(sizes.sum())
+        if last + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(last + 1, np.int64)])
+        self.ends[first + 1 : last + 1] = low + sizes.cumsum()
+        for i, values in enumerate(columns):
+            if high > len(self.columns[i]):
+                self.columns[i] = np.concatenate([self.columns[i], np.empty(high, self.columns[i].dtype)])
+            self.columns[i][low:high] = values
+        self.n = last
+        return np.arange(first, last)
+
+    def sizes(self, rows: np.ndarray) -> np.ndarray:
+        return self.ends[rows + 1] - self.ends[rows]
+
+    def places(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the values of these rows, which may repeat, stand in the columns."""
+        return np.repeat(self.ends[rows] - (sizes.cumsum() - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Encoder:
     """Encodes words by agenda: the adjacent pair whose merged piece scores best goes first, the
     leftmost of equals. A pair that comes up is skipped when the hash of the occurrence's key and the pair's
-    place falls below the dropout; symbols left without a piece become their bytes."""
+    place falls below the dropout; symbols left without a piece become their bytes.
+
+    What a word becomes if some pairs are skipped is a node. A node has ids and its merges in their
+    order (start * 64 + length); each merge knows the node that follows if it is skipped too."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], dropout: float, seed: int):
         self.ids, self.byte_ids = {p: i for p, (i, _) in pieces.items()}, byte_ids
         self.scores = {p: s for p, (_, s) in pieces.items()}
         self.limit, self.seed = int(dropout * 2**32), seed
         self.size = max(self.ids.values(), default=0) + 1
-        self.piece_scores, self.lengths = np.full(self.size, NONE, np.float32), np.zeros(self.size, np.uint64)
-        self.slots, self.values = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int64)
+        # at -1, which stands for no piece, there is no score
+        self.piece_scores, self.lengths = np.full(self.size + 1, NONE, np.float32), np.zeros(self.size + 1, np.int64)
+        self.slots, self.values = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int32)
+        # a symbol without a piece is its code beyond all ids: no pair has it; a literal U+2581 is one
+        self.symbols = np.arange(0x110000, dtype=np.int32) + self.size
         for p, (i, score) in pieces.items():
             self.piece_scores[i], self.lengths[i] = score, len(p)
+            if len(p) == 1:
+                self.symbols[32 if p == SPACE else ord(p)] = i
             for cut in range(1, len(p)):
                 a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
                 if a is not None and b is not None:
@@ -84,8 +107,15 @@ class Encoder:
                     while self.slots[slot] >= 0:
                         slot = (slot + 1) % len(self.slots)
                     self.slots[slot], self.values[slot] = a * _PAIR + b, i
-        self.known: dict[str, Node] = {}
-        self.remembered = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.words, self.nodes = Rows(np.int32), Rows(np.int32)
+        #: Of each merge: place in the hash, start and length, node, and the node after it (or -1).
+        self.merges = Rows(np.uint64, np.int64, np.int32, np.int32)
+        #: Of each node: its word, the node it comes from and the merge skipped there.
+        self.origin = Rows(np.int64, np.int64, np.int64)
 
     def word(self, chunk: str, key: int = 0) -> bytes:
         """The ids of one occurrence of a word, as packed 32-bit integers."""
@@ -102,137 +132,149 @@ class Encoder:
         return ((((draw ^ (draw >> 31)) * _K3) & 0xFFFFFFFFFFFFFFFF) >> 32) < self.limit
 
     def encode_many(self, chunks: list[str], keys: int | np.ndarray) -> list[bytes]:
-        """word() for many occurrences: those of a word that skip the same pairs share a Node, and new
-        nodes are encoded side by side. Each round finds the first merge that an occurrence skips."""
-        keys = np.broadcast_to(np.asarray(keys, np.uint64), len(chunks))
-        met = Counter(chunks)
-        if self.remembered > REMEMBERED:
-            self.known.clear()
-            self.remembered = 0
-        new = [c for c in met if len(c) <= LONG_WORD and c not in self.known]
-        self.known.update(zip(new, self._nodes([(c, ()) for c in new]), strict=True))
-        place = {c: i for i, c in enumerate(met)}
-        nodes: list[Node | None] = [self.known.get(c) for c in met]
-        by_heap = np.array([n is None or n.ids is None for n in nodes], bool)
-        at = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
-        out = np.empty(len(chunks), object)
-        for i in np.nonzero(by_heap[at])[0].tolist():
-            out[i] = self.word(chunks[i], int(keys[i]))
-        rows = np.nonzero(~by_heap[at])[0]
-        at = at[rows]
-        while len(rows):
-            ids = np.empty(len(nodes), object)
-            ids[:] = [n and n.ids for n in nodes]
-            out[rows] = ids[at]
-            if not self.limit:
-                break
-            sizes = np.array([len(n.merges) // 2 if n else 0 for n in nodes], np.int64)
-            merges = np.frombuffer(b"".join(n.merges for n in nodes if n), np.int16).astype(np.uint64)
+        """word() for many occurrences."""
+        ids, sizes = self.encode_run(chunks, np.broadcast_to(np.asarray(keys, np.uint64), len(chunks)))
+        packed, ends = ids.tobytes(), (4 * sizes.cumsum()).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_run(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many occurrences in a row, and how many each has. Occurrences of a word that skip
+        the same pairs share a node, and new nodes are encoded side by side. Each round finds the first
+        merge that an occurrence skips."""
+        if self.nodes.n > REMEMBERED:
+            self.forget()
+        self._learn([c for c in set(chunks).difference(self.known) if len(c) <= LONG_WORD])
+        node = np.array([self.known.get(c, -1) for c in chunks], np.int64)
+        heaped = np.nonzero(node < 0)[0]
+        singles = [np.frombuffer(self.word(chunks[i], int(keys[i])), np.int32) for i in heaped.tolist()]
+        rows = np.nonzero(node >= 0)[0]
+        while self.limit and len(rows):
+            at = node[rows]
+            sizes = self.merges.sizes(at)
+            places = self.merges.places(at, sizes)
             with np.errstate(over="ignore"):
-                places = (merges >> np.uint64(6)) * np.uint64(_K1) + (merges & np.uint64(63)) * np.uint64(_K2)
-                n = sizes[at]
-                row = np.repeat(np.arange(len(rows)), n)
-                step = np.arange(len(row)) + np.repeat((sizes.cumsum() - sizes)[at] - (n.cumsum() - n), n)
-                draw = keys[rows][row] + places[step]
-                draw = ((draw ^ (draw >> np.uint64(31))) * np.uint64(_K3)) >> np.uint64(32)
-            hit = np.nonzero(draw < np.uint64(self.limit))[0]
-            hit = hit[np.diff(row[hit], prepend=-1) > 0]  # the first of each row
-            steps, at = np.unique(step[hit], return_inverse=True)
-            rows = rows[row[hit]]
-            owners = np.searchsorted(sizes.cumsum(), steps, side="right").tolist()
-            turns = [(nodes[o], int(m)) for o, m in zip(owners, merges[steps].tolist(), strict=True)]
-            found = [o.after and o.after.get(m) for o, m in turns]
-            lacking = [i for i, node in enumerate(found) if node is None]
-            for i, node in zip(lacking, self._nodes([(turns[i][0].chunk, (*turns[i][0].skipped, turns[i][1])) for i in lacking]), strict=True):
-                found[i], (o, m) = node, turns[i]
-                if not o.skipped:  # what two skips give is many and rarely met again
-                    o.after = o.after or {}
-                    o.after[m] = node
-                    self.known[o.chunk].size += 1
-                    self.remembered += 1
-            nodes = found
-        self.remembered += len(new)
-        for c in new:
-            if met[c] == 1:
-                self.remembered -= self.known.pop(c).size
-        return out.tolist()
-
-    def _nodes(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[Node]:
-        """A node for each (word, merges skipped); all of them skip equally many."""
-        out: list[Node] = [None] * len(wanted)
-        sizes = np.fromiter((len(c) for c, _ in wanted), np.int64, len(wanted))
-        for low, high in ((0, 8), (8, 16), (16, LONG_WORD)):
+                draw = np.repeat(keys[rows], sizes)
+                draw += self.merges.columns[0][places]
+                draw ^= draw >> np.uint64(31)
+                draw *= np.uint64(_K3)
+            hit = np.nonzero(draw <= np.uint64((self.limit << 32) - 1))[0]
+            row = np.searchsorted(sizes.cumsum(), hit, side="right")
+            first = np.diff(row, prepend=-1) > 0
+            rows, turns = rows[row[first]], places[hit[first]]
+            lacking = np.unique(turns[self.merges.columns[3][turns] < 0])
+            if len(lacking):
+                self._follow(lacking)
+            node[rows] = self.merges.columns[3][turns]
+        sizes = np.zeros(len(chunks), np.int64)
+        plain = node >= 0
+        sizes[plain] = self.nodes.sizes(node[plain])
+        found = self.nodes.columns[0][self.nodes.places(node[plain], sizes[plain])]
+        if not len(heaped):
+            return found, sizes
+        sizes[heaped] = [len(ids) for ids in singles]
+        out, own = np.empty(int(sizes.sum()), np.int32), np.repeat(plain, sizes)
+        out[own], out[~own] = found, np.concatenate(singles)
+        return out, sizes
+
+    def _learn(self, new: list[str]) -> None:
+        """Nodes for words in which nothing is skipped. A word with a symbol that has no piece gets -1."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        symbols = self.symbols[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        owner = np.repeat(np.arange(len(new)), sizes)
+        whole = np.bincount(owner[symbols >= self.size], minlength=len(new)) == 0
+        words = self.words.add(sizes[whole], symbols[whole[owner]])
+        node = np.full(len(new), -1, np.int64)
+        node[whole] = self._add(words, np.zeros((len(words), 0), np.int64), -1, -1)
+        self.known.update(zip(new, node.tolist(), strict=True))
+
+    def _follow(self, turns: np.ndarray) -> None:
+        """The nodes after these merges, if they are skipped; all of them skip equally many."""
+        _, merge, owner, _ = self.merges.columns
+        parents, last = owner[turns].astype(np.int64), merge[turns]
+        word, parent, skipped = self.origin.columns
+        lasts, up = [last], parents
+        while parent[up[0]] >= 0:
+            lasts.append(skipped[up])
+            up = parent[up]
+        nodes = self._add(word[parents], np.stack(lasts, axis=1), parents, last)
+        self.merges.columns[3][turns] = nodes
+
+    def _add(self, words: np.ndarray, skipped: np.ndarray, parents: np.ndarray | int, last: np.ndarray | int) -> np.ndarray:
+        out = np.empty(len(words), np.int64)
+        sizes = self.words.sizes(words)
+        parents, last = np.broadcast_to(parents, len(words)), np.broadcast_to(last, len(words))
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, LONG_WORD)):
             at = np.nonzero((sizes > low) & (sizes <= high))[0]
             if len(at):
-                part = [wanted[i] for i in at.tolist()]
-                found = self._side_by_side([c for c, _ in part], sizes[at], np.array([s for _, s in part], np.int64))
-                for i, (ids, merges) in zip(at.tolist(), found, strict=True):
-                    out[i] = Node(wanted[i][0], ids, merges, wanted[i][1])
+                ids, n_ids, merges, n_merges = self._side_by_side(words[at], sizes[at], skipped[at])
+                out[at] = nodes = self.nodes.add(n_ids, ids)
+                with np.errstate(over="ignore"):
+                    places = (merges >> 6).astype(np.uint64) * np.uint64(_K1) + (merges & 63).astype(np.uint64) * np.uint64(_K2)
+                self.merges.add(n_merges, places, merges, np.repeat(nodes, n_merges), -1)
+                self.origin.add(np.ones(len(at), np.int64), words[at], parents[at], last[at])
         return out
 
-    def _side_by_side(self, chunks: list[str], sizes: np.ndarray, skipped: np.ndarray) -> list[tuple[bytes | None, bytes]]:
-        """Ids and merges of each word, whose row of `skipped` holds the pairs that do not merge."""
-        n, width = len(chunks), int(sizes.max())
-        codes = np.array(chunks, dtype=f"U{width}").view(np.uint32).reshape(n, width)
-        met, where = np.unique(codes, return_inverse=True)
-        names = [self.ids.get(SPACE if c == 32 else chr(c)) if c != ord(SPACE) else None for c in met.tolist()]
-        # a symbol without a piece is its code beyond all ids: no pair has it
-        symbols = np.array([self.size + c if i is None else i for c, i in zip(met.tolist(), names, strict=True)], np.int64)[where].reshape(n, width)
-        place = np.arange(width)
-        after = np.where(place + 1 < sizes[:, None], place + 1, width)
-        before = np.broadcast_to(place - 1, (n, width)).copy()
-        merged = np.full((n, width), -1, np.int64)
-        best = np.full((n, width), NONE, np.float32)
-        alive = place < sizes[:, None]
-
-        def propose(r: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-            found = self._pair(symbols[r, i], symbols[r, j])
-            merged[r, i] = found
-            best[r, i] = np.where(found >= 0, self.piece_scores[found], NONE)
-
-        r, i = np.nonzero(place + 1 < sizes[:, None])
-        propose(r, i, i + 1)
+    def _side_by_side(self, words: np.ndarray, sizes: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and merges of words, whose rows of `skipped` hold the pairs that do not merge, each with
+        their number by word. Symbols are addressed by row * width + place."""
+        n, width = len(words), int(sizes.max())
+        alive = np.arange(width) < sizes[:, None]
+        symbols = np.zeros((n, width), np.int64)
+        symbols[alive] = self.words.columns[0][self.words.places(words, sizes)]
+        after = np.arange(1, n * width + 1).reshape(n, width)
+        after[np.arange(n), sizes - 1] = -1
+        before = np.arange(-1, n * width - 1).reshape(n, width)
+        before[:, 0] = -1
+        symbols, after, before, living = symbols.ravel(), after.ravel(), before.ravel(), alive.ravel()
+        merged, best = np.full(n * width, -1, np.int64), np.full((n, width), NONE, np.float32)
+        scores = best.ravel()
+
+        def propose(f: np.ndarray, g: np.ndarray) -> None:
+            merged[f] = found = self._pair(symbols[f], symbols[g])
+            scores[f] = self.piece_scores[found]
+
+        f = np.nonzero(living & (after >= 0))[0]
+        propose(f, f + 1)
         rows = np.arange(n)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = [(rows[:0], rows[:0])]
         while len(rows):
-            k = best[rows].argmax(axis=1)
-            open_ = best[rows, k] > NONE
-            rows, k = rows[open_], k[open_]
-            pair = k * 64 + self.lengths[merged[rows, k]].astype(np.int64)
-            goes = ~(skipped[rows] == pair[:, None]).any(axis=1)
-            best[rows[~goes], k[~goes]] = NONE
-            r, i = rows[goes], k[goes]
-            done.append((r, pair[goes]))
-            j = after[r, i]
-            symbols[r, i] = merged[r, i]
-            alive[r, j] = False
-            best[r, j] = best[r, i] = NONE
-            following = after[r, j]
-            after[r, i] = following
-            has = following < width
-            before[r[has], following[has]] = i[has]
-            propose(r[has], i[has], following[has])
-            has = before[r, i] >= 0
-            propose(r[has], before[r, i][has], i[has])
+            k = best.take(rows, axis=0).argmax(axis=1)
+            f = rows * width + k
+            open_ = scores[f] > NONE
+            rows, k, f = rows[open_], k[open_], f[open_]
+            pair, r = k * 64 + self.lengths[merged[f]], rows
+            if skipped.shape[1]:
+                goes = (skipped[rows] != pair[:, None]).all(axis=1)
+                scores[f[~goes]] = NONE
+                r, f, pair = rows[goes], f[goes], pair[goes]
+            done.append((r, pair))
+            g = after[f]
+            symbols[f] = merged[f]
+            living[g] = False
+            scores[f] = scores[g] = NONE
+            following, leading = after[g], before[f]
+            after[f] = following
+            has, led = following >= 0, leading >= 0
+            before[following[has]] = f[has]
+            propose(np.concatenate([f[has], leading[led]]), np.concatenate([following[has], f[led]]))
         owner = np.concatenate([r for r, _ in done])
-        merges = np.concatenate([m for _, m in done])[np.argsort(owner, kind="stable")].astype(np.int16).tobytes()
-        turns = (2 * np.bincount(owner, minlength=n).cumsum()).tolist()
-        packed, ends = symbols[alive].astype(np.int32).tobytes(), (4 * alive.sum(axis=1).cumsum()).tolist()
-        plain = ~(alive & (symbols >= self.size)).any(axis=1)  # symbols without a piece become bytes
-        return [(packed[a:b] if p else None, merges[c:d]) for p, a, b, c, d in zip(plain.tolist(), [0, *ends], ends, [0, *turns], turns, strict=False)]
+        merges = np.concatenate([m for _, m in done])[np.argsort(owner, kind="stable")]
+        return symbols[living], alive.sum(axis=1), merges, np.bincount(owner, minlength=n)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two adjacent symbols make, or -1."""
         key = a * _PAIR + b
-        slot = ((key.astype(np.uint64) * np.uint64(_K1)) >> np.uint64(44)).astype(np.int64)
-        out = np.full(len(key), -1, np.int64)
-        left = np.arange(len(key))
+        with np.errstate(over="ignore"):
+            slot = ((key.view(np.uint64) * np.uint64(_K1)) >> np.uint64(44)).view(np.int64)
+        seen = self.slots[slot]
+        out = np.where(seen == key, self.values[slot], -1)
+        left = np.nonzero((seen >= 0) & (seen != key))[0]
         while len(left):
+            slot[left] = (slot[left] + 1) % len(self.slots)
             seen = self.slots[slot[left]]
             hit = seen == key[left]
             out[left[hit]] = self.values[slot[left[hit]]]
             left = left[~hit & (seen >= 0)]
-            slot[left] = (slot[left] + 1) % len(self.slots)
         return out
 
     def by_heap(self, symbols: list[str], key: int) -> list[str]:
@@ -269,14 +311,12 @@ class Encoder:
         the text, so each occurrence of a word has draws of its own."""
         split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
         keys = [self._keys(len(chunks), key) for chunks, key in zip(split, doc_keys, strict=True)]
-        gc.disable()  # nodes hold no cycles, and looking for them is slow
         chunks, drawn = list(chain.from_iterable(split)), np.concatenate([np.empty(0, np.uint64), *keys])
-        found: list[bytes] = []
-        for i in range(0, len(chunks), RUN):
-            found += self.encode_many(chunks[i : i + RUN], drawn[i : i + RUN])
-        gc.enable()
-        ends = np.cumsum([0, *map(len, split)]).tolist()
-        return [None if t is None else np.frombuffer(b"".join(found[a:b]), np.int32) for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+        runs = [self.encode_run(chunks[i : i + RUN], drawn[i : i + RUN]) for i in range(0, len(chunks), RUN)]
+        ids = np.concatenate([np.empty(0, np.int32), *[r[0] for r in runs]])
+        tokens = np.concatenate([np.zeros(1, np.int64), *[r[1] for r in runs]]).cumsum()
+        ends = tokens[np.cumsum([0, *map(len, split)])].tolist()
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, ends, ends[1:], strict=False)]
 
     def _keys(self, n: int, doc_key: int) -> np.ndarray:
         start = mix64(np.array([(doc_key * _K1 + self.seed) & 0xFFFFFFFFFFFFFFFF], np.uint64), 7)
