@@ -28,7 +28,7 @@ ROUNDS, SETTLED = 8, 0.003
 #: Tokens' worth of the plain word distribution that each state's emissions are smoothed with.
 SMOOTHING = 200.0
 #: Tokens of one segment: segments of all texts of a batch advance together.
-SEGMENT = 128
+SEGMENT = 256
 END = b""
 
 
@@ -144,40 +144,43 @@ class Batch:
         self.by_turn = [np.nonzero(self.turn == j)[0] for j in range(int(self.turn.max()) + 1)] if len(order) else []
 
 
-def _row_sums(x: np.ndarray) -> np.ndarray:
-    """As a product with ones: sums along short rows are several times slower."""
-    return x @ np.ones(x.shape[1], x.dtype)
-
-
 def _products(batch: Batch, move: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The product of transition and emission over each segment, scaled, and the log of its scale. All
+    """The product of transition and emission over each segment (to state, from state, segment), scaled,
+    and the log of its scale. Segments are the last axis, so that work runs along long rows. All
     recursions work in the precision of the parameters: double for scores, single for training."""
-    k = len(move)
-    x = np.broadcast_to(np.eye(k, dtype=ratio.dtype), (batch.ids.shape[1], k, k)).copy()
-    logs = np.zeros(len(x))
+    k, size = len(move), batch.ids.shape[1]
+    out, logs = np.empty((k, k, size), ratio.dtype), np.zeros(size)
+    x = np.repeat(np.eye(k, dtype=ratio.dtype)[:, :, None], size, axis=2)
+    emit = np.ascontiguousarray(ratio.T)
     for t, n in enumerate(batch.active):
-        x[:n] = (x[:n].reshape(-1, k) @ move).reshape(n, k, k) * ratio[batch.ids[t, :n]][:, None, :]
-        if t % 8 == 7 or t == len(batch.active) - 1:
-            scale = _row_sums(x.reshape(len(x), -1))
-            x /= scale[:, None, None]
-            logs += np.log(scale)
-    return x, logs
+        if n < x.shape[2]:
+            out[:, :, n : x.shape[2]] = x[:, :, n:]
+            x = np.ascontiguousarray(x[:, :, :n])
+        x = (move.T @ x.reshape(k, -1)).reshape(k, k, n)
+        x *= emit.take(batch.ids[t, :n], axis=1)[:, None, :]
+        if t % 8 == 7:
+            scale = x.reshape(k * k, n).sum(axis=0)
+            x /= scale
+            logs[:n] += np.log(scale)
+    out[:, :, : x.shape[2]] = x
+    return out, logs
 
 
 def forward(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np.ndarray):
-    """Scaled forward recursion: the log likelihood ratio of each text, and what training needs."""
+    """Scaled forward recursion: the log likelihood ratio of each text, and what training needs (states
+    before each segment and at first tokens, by state)."""
     x, logs = _products(batch, move, ratio)
-    a = start * ratio[batch.first]
-    scale = _row_sums(a)
-    a /= scale[:, None]
-    total, before = np.log(scale, dtype=np.float64), np.zeros((len(x), len(move)), ratio.dtype)
+    a = start[:, None] * ratio[batch.first].T
+    scale = a.sum(axis=0)
+    a /= scale
+    total, before = np.log(scale, dtype=np.float64), np.zeros((len(move), x.shape[2]), ratio.dtype)
     first = a.copy()
     for segs in batch.by_turn:
         d = batch.of[segs]
-        before[segs] = a[d]
-        after = np.einsum("sk,skl->sl", a[d], x[segs])
-        scale = _row_sums(after)
-        a[d] = after / scale[:, None]
+        before[:, segs] = a[:, d]
+        after = np.einsum("ks,lks->ls", a[:, d], x[:, :, segs])
+        scale = after.sum(axis=0)
+        a[:, d] = after / scale
         total[d] += np.log(scale) + logs[segs]
     return total, x, before, first
 
@@ -186,38 +189,35 @@ def expected_counts(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np
     """Baum-Welch: expected starts, transitions and emissions, and the log likelihood ratio."""
     total, x, before, first = forward(batch, start, move, ratio)
     k = len(move)
-    after = np.ones((len(x), k), ratio.dtype)
-    b = np.ones((len(batch.first), k), ratio.dtype)
+    after, b = np.ones_like(before), np.ones_like(first)
     for segs in reversed(batch.by_turn):
         d = batch.of[segs]
-        after[segs] = b[d]
-        back = np.einsum("skl,sl->sk", x[segs], b[d])
-        b[d] = back / _row_sums(back)[:, None]
-    emitted = np.zeros((len(ratio), k))
+        after[:, segs] = b[:, d]
+        back = np.einsum("lks,ls->ks", x[:, :, segs], b[:, d])
+        b[:, d] = back / back.sum(axis=0)
     g = first * b
-    g /= _row_sums(g)[:, None]
-    np.add.at(emitted, batch.first, g)
+    g /= g.sum(axis=0)
+    emit = np.ascontiguousarray(ratio.T)
+    states, emits = [before], [emit.take(batch.ids[t, :n], axis=1) for t, n in enumerate(batch.active)]
+    for e in emits:
+        a = (move.T @ states[-1][:, : e.shape[1]]) * e
+        a /= a.sum(axis=0)
+        states.append(a)
     moved = np.zeros((k, k))
-    if batch.active:
-        alphas = np.zeros((len(batch.active) + 1, len(x), k), ratio.dtype)
-        alphas[0] = before
-        for t, n in enumerate(batch.active):
-            a = (alphas[t, :n] @ move) * ratio[batch.ids[t, :n]]
-            alphas[t + 1, :n] = a / _row_sums(a)[:, None]
-        for t in range(len(batch.active) - 1, -1, -1):
-            n = batch.active[t]
-            now = after[:n]
-            seen = alphas[t + 1, :n] * now
-            u = ratio[batch.ids[t, :n]] * now
-            v = u @ move.T
-            moved += (alphas[t, :n] / _row_sums(alphas[t, :n] * v)[:, None]).T @ u
-            alphas[t + 1, :n] = seen / _row_sums(seen)[:, None]
-            after[:n] = v / _row_sums(v)[:, None]
-        ids = np.concatenate([batch.ids[t, :n] for t, n in enumerate(batch.active)])
-        seen = np.concatenate([alphas[t + 1, :n] for t, n in enumerate(batch.active)])
-        for s in range(k):
-            emitted[:, s] += np.bincount(ids, weights=seen[:, s], minlength=len(ratio))
-    return g.sum(axis=0), moved * move, emitted, total
+    for t in range(len(emits) - 1, -1, -1):
+        n = emits[t].shape[1]
+        now, came = after[:, :n], states[t][:, :n]
+        seen = states[t + 1] * now
+        u = emits[t] * now
+        v = move @ u
+        moved += (came / (came * v).sum(axis=0)) @ u.T
+        # the state before is needed once more as it is: what was seen goes where its emission stood
+        emits[t] = seen / seen.sum(axis=0)
+        after[:, :n] = v / v.sum(axis=0)
+    ids = np.concatenate([batch.first, *[batch.ids[t, :n] for t, n in enumerate(batch.active)]])
+    seen = np.concatenate([g, *emits], axis=1)
+    emitted = np.stack([np.bincount(ids, weights=row, minlength=len(ratio)) for row in seen], axis=1)
+    return g.sum(axis=1), moved * move, emitted, total
 
 
 def _maximised(starts: np.ndarray, moved: np.ndarray, emitted: np.ndarray, share: np.ndarray):
