@@ -1,11 +1,14 @@
-"""The queries of the ten operators: thin digests of what the operators return."""
+"""The queries of the operators: thin digests of what the operators return."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quarry.llm import chroma, hmm, language, line_dedup, minhash, mixing, pivot_index, sentencepiece_bpe, toxicity, url_filter
+from quarry.llm import chroma, divergence, hmm, language, line_dedup, minhash, mixing, pivot_index, sentencepiece_bpe, token_cache, toxicity, turn_repair, url_filter
 from quarry.llm.common import table, write_stage
+from quarry.sources.shared import shared_dir
 
 #: (verdict, host, path): the rules that op6 judges by.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -76,4 +79,21 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hmm, op3_pivot_index, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op8_chroma, op9_minhash, op10_mixing)}
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"), least_docs=30, keep=50)
+
+
+def op12_token_cache(spark, sf_dir):
+    """Each call begins with a cache of its own, so that all distinct texts are misses once."""
+    cache = f"{shared_dir(spark)}/quarry-token-counts/{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_cache.count_tokens(docs, token_cache.Tokenizer.load(tokenizer_path()), cache, limit=4096)
+
+
+def op13_turn_repair(spark, sf_dir):
+    report, marked = turn_repair.diagnose(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+    hashes = turn_repair.repaired_hashes(report, marked).withColumnRenamed("conv_id", "of_conv")
+    return report.join(hashes, report["conv_id"].eqNullSafe(hashes["of_conv"])).drop("of_conv")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hmm, op3_pivot_index, op4_sentencepiece, op5_language_id, op6_url_filter, op7_line_dedup, op8_chroma, op9_minhash, op10_mixing, op11_divergence, op12_token_cache, op13_turn_repair)}
