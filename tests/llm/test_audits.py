@@ -57,7 +57,7 @@ def source_rows():
     return [*rows, ("de", "no terms", "1 2 3"), ("xx", "a", "rare"), ("xx", "b", "other"), ("fr", "long", "lang " * 200_000), *[rows[1]] * 40]
 
 
-def test_divergences_equal_brute_force(spark, monkeypatch):
+def test_divergences_equal_brute_force(spark):
     rows = source_rows()
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
     want = divergences(rows, 12, 6)
@@ -68,22 +68,24 @@ def test_divergences_equal_brute_force(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_small_parts_and_shards_change_no_sum(spark, monkeypatch):
+def test_parts_of_counts_add_up_in_a_shard(spark, monkeypatch):
     rows = source_rows()[:200]
     monkeypatch.setattr(divergence, "HELD", 5)
     batches = spark.createDataFrame(rows, "lang string, source string, text string").na.fill("").toArrow().to_batches(max_chunksize=7)
-    counted = list(divergence._counted(iter(batches)))
+    groups = sorted({(a or "", b or "") for a, b, _ in rows})
+    ids = {g: (len(g[0]), i) for i, g in enumerate(groups)}
+    counted = list(divergence._counted(ids)(iter(batches)))
     assert len(counted) > 20
-    monkeypatch.setattr(divergence, "GATHERED", 10)
     small = [r for b in divergence._kept_terms(3)(iter(counted)) for r in b.to_pylist()]
     monkeypatch.undo()
-    plain = [r for b in divergence._kept_terms(3)(divergence._counted(iter(batches))) for r in b.to_pylist()]
-    key = lambda rows: sorted((r["lang"], r["term"], sorted(zip(r["sources"], r["counts"], strict=True))) for r in rows)
+    plain = [r for b in divergence._kept_terms(3)(divergence._counted(ids)(iter(batches))) for r in b.to_pylist()]
+    key = lambda rows: sorted((r["lang"], r["term"], sorted(zip(r["groups"], r["counts"], strict=True))) for r in rows)
     assert key(small) == key(plain) and plain
+    assert list(divergence._kept_terms(3)(iter([]))) == []
 
 
 def test_audit_of_an_empty_table_and_of_other_columns(spark):
-    fields = "lang string, source string, text string, item long, value string, rank string, term string, id string, a int, b int, n int, v int, absent int"
+    fields = "lang string, source string, text string, item long, value string, rank string, term string, grp string, a int, b int, n int, v int, absent int"
     rows = [(*r, 1, *"xxxx", 1, 2, 3, 4, 5) for r in source_rows()]
     docs = spark.createDataFrame(rows, fields)
     assert {tuple(r) for r in divergence.audit(docs, 12, 6).collect()} == divergences([r[:3] for r in rows], 12, 6)
