@@ -184,5 +184,7 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str, limit: int =
     counts = texts.mapInArrow(_counted(spark.sparkContext.broadcast(tokenizer)), "digest binary, n_tokens long")  # one file of MAX_FILE at most
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts.write.mode("append").parquet(f"{cache.rstrip('/')}/tokenizer={tokenizer.version}")
-    done = rows.join(read_cache(spark, cache, tokenizer.version), "digest", "left")
+    told = read_cache(spark, cache, tokenizer.version).join(rows.select("digest").distinct(), "digest", "left_semi")
+    # written, so that both sides of the join are plain shuffles, which Spark splits where a text has many rows
+    done = rows.join(write_stage(told, "counts"), "digest", "left")
     return done.select(*unpacked, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
