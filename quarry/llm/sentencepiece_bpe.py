@@ -336,15 +336,15 @@ def _encoder(vocabulary: tuple, dropout: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, turns: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, copies: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens of each whole text.
 
     A null text has null ids and no tokens, an empty one an empty list. The same seed, doc_id and text
-    give the same ids in every run, and repeated rows agree. With turns, rows of one doc_id that follow
-    each other, as mixing leaves the copies of a document, have draws by their turn: the first those of
-    a single row, the others their own (a run that is cut between two tasks starts anew). Dropout 0 gives the model's own
-    segmentation (a literal U+2581 apart, which stays itself here). Extra columns pass through;
-    those named ids or n_tokens are replaced.
+    give the same ids in every run, and repeated rows agree. With copies, rows of one doc_id and text are numbered
+    (column `copy`, from 1) and have draws by their number: the first those of a single row, the others
+    their own. Such rows meet in one task, so that neither files nor partitions change what they get. Dropout 0
+    gives the model's own segmentation (a literal U+2581 apart, which stays itself here). Null doc_ids count as
+    one. Extra columns pass through; those named ids, n_tokens (and copy, with copies) are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark, BATCH)
@@ -352,20 +352,33 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     shared = spark.sparkContext.broadcast((pieces, byte_ids))  # one vocabulary
 
     @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encoder = _encoder(shared.value, dropout, seed)
-        last, turn = None, 0
-        for keys, texts in batches:
-            drawn = []
-            for key in keys.tolist():
-                last, turn = key, turn + 1 if turns and key == last else 0
-                drawn.append(key + turn * _K2)
+        for keys, numbers, texts in batches:
+            drawn = [k + (n - 1) * _K2 for k, n in zip(keys.tolist(), numbers.tolist(), strict=True)]
             yield pd.Series(encoder.texts(texts.tolist(), drawn), dtype=object)
 
-    out = docs.withColumn("ids", encoded(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"))
+    key, number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(1)
+    if copies:
+        # the hash deals; a task tells rows apart by doc_id and hash, and counts each
+        hashed = F.xxhash64("text")
+        docs = docs.repartition(key, hashed).withColumn("copy", F.pandas_udf(_numbered, "long")(key, hashed))
+        number = F.col("copy")
+    out = docs.withColumn("ids", encoded(key, number, "text"))
     return out.withColumn("n_tokens", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long"))
 
 
+def _numbered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How often a pair of keys has come up in this task so far."""
+    seen: dict[tuple[int, int], int] = {}
+    for a, b in batches:
+        numbers = []
+        for row in zip(a.tolist(), b.tolist(), strict=True):
+            seen[row] = seen.get(row, 0) + 1
+            numbers.append(seen[row])
+        yield pd.Series(numbers, dtype="int64")
+
+
 def decode(tokens: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """tokens with the text that each list of ids stands for; null for null, empty for empty."""
     small_batches(tokens.sparkSession)

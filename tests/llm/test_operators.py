@@ -560,3 +560,26 @@ def test_each_occurrence_of_a_word_draws_for_itself(model_path):
     forms = [[encoder.word(" understanding", int(k)) for k in own] for own in keys]
     assert [b"".join(f) for f in forms] == [r.tobytes() for r in ids]
     assert len(set(forms[0])) > 20 and forms[0] != forms[1]
+
+
+def test_copies_have_draws_by_number_whatever_the_partitions(spark):
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    rng = random.Random(3)
+    texts = [rand_text(rng, 60) for _ in range(3)]
+    rows = [(1, texts[0])] * 6 + [(2, texts[1])] * 2 + [(2, texts[2])] * 2 + [(3, texts[1]), (None, texts[0]), (None, texts[0]), (4, None), (4, None)]
+    rng.shuffle(rows)
+    got = []
+    for n in (1, 6):
+        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, copy string").repartition(n)
+        found = sentencepiece_bpe.encode(docs, path, 0.1, 17, copies=True).select("doc_id", "text", "copy", "ids").collect()
+        got.append(sorted((str(r["doc_id"]), r["text"] or "", r["copy"], tuple(r["ids"] or ())) for r in found))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    by_row = collections.defaultdict(list)
+    for doc, text, copy, ids in got[0]:
+        by_row[doc, text].append((copy, ids))
+    for (_, text), found in by_row.items():
+        assert [c for c, _ in found] == list(range(1, len(found) + 1))
+        assert not text or len({ids for _, ids in found}) == len(found)
+    # the first copy is what a single row gets
+    plain = {(str(r["doc_id"]), r["text"] or ""): tuple(r["ids"] or ()) for r in sentencepiece_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, 0.1, 17).collect()}
+    assert all(found[0][1] == plain[key] for key, found in by_row.items())

@@ -88,7 +88,7 @@ def test_ids_decode_to_the_texts_and_copies_vary(spark, stages):
 
     rows = stages["SentencePiece"]
     assert len(rows) == len(stages["mixing sources"])
-    decoded = sentencepiece_bpe.decode(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, ids array<int>"), queries.tokenizer_path()).collect()
+    decoded = sentencepiece_bpe.decode(spark.createDataFrame(rows, "doc_id long, source string, copy long, n_tokens long, ids array<int>"), queries.tokenizer_path()).collect()
     assert sorted((r["doc_id"], r["decoded"] or "") for r in decoded) == sorted((r["doc_id"], r["text"] or "") for r in stages["mixing sources"])
     by_doc = {}
     for r in rows:
