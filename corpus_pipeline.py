@@ -16,32 +16,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.5 or more go."""
+    """Documents that the classifier scores at 0.5 or more go. Null and empty texts have a score like any
+    other; repeated rows share theirs. Columns beyond those of documents go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.judge(docs, labels).where("score < 0.5").select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of repeated three-line windows go; n_chars follows the text. Every document stays."""
+    """Lines of repeated three-line windows go; n_chars follows the text. Every document stays, null texts
+    as they are; of repeated rows the first keeps its lines."""
     done = line_dedup.dedupe_lines(docs)
     return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates one row stays, that of smallest doc_id."""
+    """Of each component of near-duplicates one row stays, that of smallest doc_id. Rows without words, null
+    texts among them, are near nothing and stay."""
     return minhash.keep_one(docs).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out as the mix of sources takes them."""
+    """Documents repeated or left out as the mix of sources takes them. Rows without words are left out;
+    null sources are one source."""
     return mixing.repeat_rows(mixing.mix(docs)).select(COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every whole text. The copies that the mix made of a document follow each other, and each
-    has dropout draws of its own."""
-    tokens = sentencepiece_bpe.encode(docs.select("doc_id", "text", "source"), queries.tokenizer_path(), dropout=0.1, seed=17, turns=True)
-    return tokens.select("doc_id", "source", "n_tokens", "ids")
+    """Ids of every whole text. Rows of one doc_id and text are copies that the mix made: they are
+    numbered, and each has dropout draws of its own."""
+    tokens = sentencepiece_bpe.encode(docs.select("doc_id", "text", "source"), queries.tokenizer_path(), dropout=0.1, seed=17, copies=True)
+    return tokens.select("doc_id", "source", "copy", "n_tokens", "ids")
 
 
 STAGES = [
