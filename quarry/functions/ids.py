@@ -27,7 +27,3 @@ def sha256(text: Column) -> Column:
 
 def joined(*parts: Column) -> Column:
     return F.concat_ws(UNIT_SEPARATOR, *parts)
-
-
-def utf16_length(text: Column) -> Column:
-    return (F.length(F.encode(text, "UTF-16BE")) / 2).cast("int")

@@ -14,11 +14,6 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\p{javaWhitespace}+|\p{javaWhitespace}+$", "")
 
 
-def required_text(text: Column, longest: int) -> Column:
-    """The stripped text, or null where nothing or too much is left."""
-    s = stripped(text)
-    return F.when((s != "") & (F.length(s) <= longest), s)
-
 
 def normalised_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -32,9 +27,6 @@ def mentions_relation(text: Column) -> Column:
     return found
 
 
-def contains_literal(text: Column, part: Column) -> Column:
-    return F.contains(F.lower(text), F.lower(part))
-
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -64,55 +56,8 @@ def authority(raw: Column) -> Column:
     return F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(number, F.lit(50))))
 
 
-def error_code(name: Column) -> Column:
-    return F.upper(F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2"))
-
 
 def backoff_ms(attempt: Column, initial: int = 2_000, longest: int = 300_000) -> Column:
     """Doubling delay by attempt, its exponent capped at 20 and itself at the longest."""
     exponent = F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(20))
     return F.least(F.lit(float(longest)), initial * F.pow(F.lit(2.0), exponent)).cast("long")
-
-
-def dot(a: Column, b: Column) -> Column:
-    """In double precision, of equally long arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit(v: Column) -> Column:
-    """The vector in double precision and of length one; null where its norm is zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
-
-
-def is_finite(v: Column) -> Column:
-    """Whether an array has values, all of them finite numbers."""
-    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-
-
-def hash_digits(text: Column) -> Column:
-    """One of 16 hash digits for each token of a text, as a string."""
-    return F.array_join(F.transform(tokens(text), lambda t: F.substring(F.md5(t.cast("binary")), 1, 1)), "")
-
-
-def digit_counts(digits: Column) -> Column:
-    return F.array(*[(F.length(digits) - F.length(F.replace(digits, F.lit(f"{i:x}"), F.lit("")))).cast("double") for i in range(16)])
-
-
-def identifier(value: Column) -> Column:
-    """A name part for collections: lower case, runs of other characters as one _; null if nothing or
-    more than 64 characters are left."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(stripped(value)), "[^a-z0-9_]", "_"), "_+", "_")
-    s = F.regexp_replace(s, "^_+|_+$", "")
-    return F.when((s != "") & (F.length(s) <= 64), s)
-
-
-def url_key(*parts: Column) -> Column:
-    """Parts joined by U+001F, in URL-safe base64 without padding."""
-    coded = F.base64(F.encode(F.concat_ws("\x1f", *parts), "UTF-8"))
-    return F.regexp_replace(F.translate(coded, "+/", "-_"), "=+$", "")
-
-
-def duration_ms(start: Column, end: Column) -> Column:
-    """Milliseconds from start to end, none below zero."""
-    return F.greatest(F.lit(0).cast("long"), F.unix_millis(end) - F.unix_millis(start))

@@ -33,10 +33,9 @@ def identity_conflicts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("query_id", "chunk_id").agg(F.count_distinct(identity).alias("identities")).where("identities > 1")
 
 
-def evidence(fused: DataFrame, heads: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Evidence rows with stable ids, citation fields and the document's authority."""
-    docs = heads.select("document_id", "title", "source_uri", F.col("authority").cast("string").alias("raw_authority"))
-    rows = fused.join(docs, "document_id").join(chunks.select("chunk_id", "content_hash", "ordinal"), "chunk_id")
+def evidence(fused: DataFrame, live: DataFrame) -> DataFrame:
+    """Evidence rows with stable ids, citation fields and the document's authority, of live chunks."""
+    rows = fused.join(live.select("chunk_id", "content_hash", "ordinal", "title", "source_uri", F.col("authority").cast("string").alias("raw_authority")), "chunk_id")
     return rows.withColumn("authority", authority(F.col("raw_authority"))).withColumn("evidence_id", uuid3(F.concat(F.col("query_id").cast("string"), F.lit(":"), "chunk_id")))
 
 
@@ -47,12 +46,15 @@ def bundles(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return grouped.withColumn("sufficient", F.get("evidences", F.lit(0))["relevance"] >= threshold)
 
 
-def trace_steps(counts: list[tuple[str, DataFrame]], queries: DataFrame) -> DataFrame:
-    """(query_id, ordinal, step_name, output_count) from a frame per step; 0 where a step gave none."""
+def trace_steps(steps: list[tuple[str, int, DataFrame | None]], queries: DataFrame) -> DataFrame:
+    """(query_id, ordinal, step_name, duration_ms, output_count, status) from the steps of one run: name,
+    milliseconds and written rows, or None where the step failed. The milliseconds are the batch's; a
+    step that gave a query nothing has 0."""
     out = None
-    for ordinal, (name, frame) in enumerate(counts):
-        n = frame.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        step = queries.select("query_id").join(n, "query_id", "left")
-        step = step.select("query_id", F.lit(ordinal).alias("ordinal"), F.lit(name).alias("step_name"), F.coalesce("n", F.lit(0)).alias("output_count"))
-        out = step if out is None else out.unionByName(step)
+    for ordinal, (name, ms, frame) in enumerate(steps):
+        own = queries.select("query_id")
+        n = own.limit(0).withColumn("n", F.lit(0)) if frame is None else frame.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        fixed = [F.lit(ordinal).alias("ordinal"), F.lit(name).alias("step_name"), F.lit(ms).cast("long").alias("duration_ms")]
+        one = own.join(n, "query_id", "left").select("query_id", *fixed, F.coalesce("n", F.lit(0)).cast("long").alias("output_count"), F.lit("FAILED" if frame is None else "OK").alias("status"))
+        out = one if out is None else out.unionByName(one)
     return out

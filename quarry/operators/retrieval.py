@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import digit_counts, dot, hash_digits, mentions_relation, normalised_query, tokens, unit
+from quarry.functions.text import mentions_relation, normalised_query, tokens
+from quarry.operators.vectors import DIMS, HASHING, Contract, hashed, token_codes, top_k, weighed_queries
 
 BEST_BELOW_ONE = 0.999999
 
 
 def plan_queries(queries: DataFrame, multiplier: int = 5) -> DataFrame:
-    """Normalised text, channel hint and candidate limit of each query, and its input errors."""
+    """Normalised text, channel hint and candidate limit of each query, and its input errors: TOP_K beyond 1 to
+    100, TEXT beyond 1 to 16000 characters, FILTER_KEY for filters that nobody knows, FILTER_VALUE for values
+    beyond 1 to 128 characters."""
+    if not 1 <= multiplier <= 20:
+        raise ValueError("multiplier from 1 to 20")
+    filters = F.coalesce(F.col("filters") if "filters" in queries.columns else F.lit(None).cast("map<string,string>"), F.create_map().cast("map<string,string>"))
+    unfit = F.exists(F.map_values(filters), lambda v: ~F.coalesce((F.trim(v) != "") & (F.length(v) <= 128), F.lit(False)))
     errors = F.array_compact(
         F.array(
+            F.when(F.size(unsupported_filters(filters)) > 0, "FILTER_KEY"),
+            F.when(unfit, "FILTER_VALUE"),
             F.when(~F.coalesce(F.col("top_k").between(1, 100), F.lit(False)), "TOP_K"),
             F.when(~F.coalesce(F.length(F.trim("text")).between(1, 16_000), F.lit(False)), "TEXT"),
         )
@@ -36,39 +43,49 @@ def top_candidates(scored: DataFrame, limit: Column | str = "candidate_limit") -
     return ranked.where(F.col("rank") <= (F.col(limit) if isinstance(limit, str) else limit))
 
 
-def in_scope(plans: DataFrame, scope: DataFrame, chunks: DataFrame, heads: DataFrame, *more: str) -> DataFrame:
-    """(query, chunk) rows: chunks of active heads in the spaces of each query. `more` names columns of
-    plans to carry along."""
-    live = chunks.join(heads.where("status = 'ACTIVE'").select("revision_id", "title", "authority", "source_uri"), "revision_id")
-    asked = plans.join(scope, ["query_id", "tenant_id"])
-    return live.join(asked.select("query_id", "tenant_id", "space_id", "normalised", "candidate_limit", *more), ["tenant_id", "space_id"])
+#: Requests whose texts are looked for in one pass over a chunk.
+NEEDLES = 512
+
+
+def asked_in_scope(plans: DataFrame, scope: DataFrame, *more: str) -> DataFrame:
+    """(query, space) rows: what each query asks in each space that it may read."""
+    names = ["normalised", "candidate_limit", *[c for c in ("filters",) if c in plans.columns], *more]
+    return plans.join(scope, ["query_id", "tenant_id"]).select("query_id", "tenant_id", "space_id", *names)
+
 
+#: Filters of a request, and the column of a chunk that each restricts.
+FILTERS = {"language": "language", "sourceType": "source_type"}
 
-def filtered(pairs: DataFrame, **columns: str) -> DataFrame:
-    """Rows that meet the optional filters of their query: pairs has a map column `filters`, and columns
-    names the column that each key restricts. A missing key restricts nothing."""
-    for key, column in columns.items():
-        wanted = F.element_at("filters", F.lit(key))
-        pairs = pairs.where(wanted.isNull() | (F.col(column) == wanted))
-    return pairs
 
+def unsupported_filters(filters: Column) -> Column:
+    """The keys that no channel knows."""
+    return F.array_except(F.map_keys(filters), F.array(*[F.lit(k) for k in FILTERS]))
 
-def hashing_embedder(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with a unit vector of 16 numbers for a text column, null where it has no token: how many
-    tokens fall to each hash digit. A stand-in for a model's embedder, in built-in functions; another
-    one takes and gives the same columns. Each step is a column of its own, so that none is computed twice."""
-    rows = rows.withColumn("digits_", hash_digits(F.col(text)))
-    rows = rows.withColumn("counts_", digit_counts(F.col("digits_")))
-    rows = rows.withColumn("length_", F.sqrt(F.aggregate("counts_", F.lit(0.0), lambda s, x: s + x * x)))
-    return rows.withColumn(name, F.when(F.col("length_") > 0, F.transform("counts_", lambda x: x / F.col("length_")))).drop("digits_", "counts_", "length_")
 
+def literal_hits(chunks: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """(query, chunk) rows of literal matches, whatever the case: raw_score is 0.75 for one in the
+    content, 0.95 in the title. asked has query_id, normalised, candidate_limit and the columns of `on`; if it has
+    `filters`, a chunk has to agree with those that it names.
 
-def text_channel(pairs: DataFrame, text: str = "content", dims: int = 16) -> DataFrame:
-    """The vector channel over text: cosine of the hashing embeddings of query and chunk, which pairs
-    has as query_unit and unit; candidates by score, in [0, 1]. Texts without tokens are not found."""
-    raw = sum((F.col("unit")[i] * F.col("query_unit")[i] for i in range(1, dims)), F.col("unit")[0] * F.col("query_unit")[0])
-    scored = pairs.where("unit is not null and query_unit is not null").withColumn("raw_score", F.round(raw, 9))
-    return top_candidates(scored).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_score")))
+    The requests of a key travel as lists of at most NEEDLES: a chunk meets a list, not each request, and only
+    matches become rows."""
+    place = F.floor((F.row_number().over(Window.partitionBy(*on).orderBy("query_id")) - 1) / NEEDLES)
+    filters = F.col("filters") if "filters" in asked.columns else F.create_map().cast("map<string,string>")
+    item = F.struct("query_id", "candidate_limit", F.lower("normalised").alias("needle"), *[F.try_element_at(filters, F.lit(k)).alias(k) for k in FILTERS])
+    needles = asked.withColumn("part", place).groupBy(*on, "part").agg(F.collect_list(item).alias("needles")).drop("part")
+    rows = chunks.withColumns({"content_l": F.lower("content"), "title_l": F.lower("title")}).join(needles, on)
+    in_title, in_content = (lambda n, c=c: F.coalesce(F.contains(c, n["needle"]), F.lit(False)) for c in ("title_l", "content_l"))
+    agrees = lambda n: _all(n[k].isNull() | F.coalesce(F.col(c) == n[k], F.lit(False)) for k, c in FILTERS.items() if c in chunks.columns)
+    hits = rows.withColumn("n", F.explode(F.filter("needles", lambda n: (in_content(n) | in_title(n)) & agrees(n)))).drop("needles")
+    score = F.when(in_title(F.col("n")), 0.95).otherwise(0.75)
+    return hits.select(*chunks.columns, "n.query_id", "n.candidate_limit", score.alias("raw_score"))
+
+
+def _all(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
 def cover_density(hits: DataFrame) -> DataFrame:
@@ -92,16 +109,9 @@ def cover_density(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.expr(fold).alias("density"))
 
 
-def literal_scores(pairs: DataFrame) -> DataFrame:
-    """0.75 for a literal match in the content, 0.95 in the title, whichever is more."""
-    match = lambda c, s: F.when(F.contains(F.lower(c), F.lower("normalised")), s).otherwise(0.0)
-    return pairs.withColumn("raw_score", F.greatest(match("content", 0.75), match("title", 0.95)))
-
-
-def keyword_substring(pairs: DataFrame) -> DataFrame:
-    """Candidates by literal_scores()."""
-    scored = literal_scores(pairs)
-    return top_candidates(scored.where("raw_score > 0")).withColumn("score", F.least("raw_score", F.lit(BEST_BELOW_ONE)))
+def keyword_substring(chunks: DataFrame, asked: DataFrame, on: tuple[str, ...] = ("tenant_id", "space_id")) -> DataFrame:
+    """Candidates by literal_hits()."""
+    return top_candidates(literal_hits(chunks, asked, list(on))).withColumn("score", F.least("raw_score", F.lit(BEST_BELOW_ONE)))
 
 
 def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
@@ -141,13 +151,28 @@ def relative_to_best(scored: DataFrame) -> DataFrame:
 
 
 def vector_search(asked: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """Exact cosine top-k of asked(query_id, tenant_id, space_id, query_vec, query_embedding): the join
-    is on tenant and space, and a vector never meets itself."""
-    asked = asked.withColumn("query_embedding", unit(F.col("query_embedding")))
-    pairs = vectors.withColumn("embedding", unit(F.col("embedding"))).join(asked, ["tenant_id", "space_id"]).where("vec_id <> query_vec")
-    scored = pairs.withColumn("raw_score", dot(F.col("embedding"), F.col("query_embedding")))
-    scored = top_candidates(scored, F.lit(limit))
-    return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_score")))
+    """Exact cosine top-k of asked(query_id, tenant_id, space_id, self_id, vector) within tenant and space:
+    vectors(chunk_id, embedding, ...) with query_id, rank, raw_score and score."""
+    index = vectors.select("tenant_id", "space_id", F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+    best = top_k(asked.withColumn("limit", F.lit(limit)), index, ["tenant_id", "space_id"])
+    found = best.withColumnRenamed("id", "chunk_id").join(vectors.drop("embedding"), "chunk_id")
+    return found.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_score")))
+
+
+def text_index(live: DataFrame) -> DataFrame:
+    """What the vector channel over text keeps of each chunk: its token codes, and its distinct tokens."""
+    return live.select("tenant_id", "space_id", F.col("chunk_id").alias("id"), token_codes(F.col("content")).alias("vector"), F.array_distinct(tokens(F.col("content"))).alias("words"))
+
+
+def text_channel(asked: DataFrame, index: DataFrame, contract: Contract = HASHING) -> DataFrame:
+    """(query_id, chunk_id, raw_score, rank, score) of the vector channel over text: asked has query_id,
+    normalised, candidate_limit and a row for each space; index is text_index(), of the embedder's contract.
+    Texts without tokens are not found."""
+    contract.check(DIMS)
+    queries = weighed_queries(asked.select("query_id", "normalised").distinct(), "normalised", index).select("query_id", "vector")
+    rows = asked.select("query_id", "tenant_id", "space_id", F.col("candidate_limit").alias("limit")).join(queries, "query_id")
+    best = top_k(rows, index.where(F.size("vector") > 0), ["tenant_id", "space_id"], hashed, digits=9)
+    return best.withColumnRenamed("id", "chunk_id").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw_score")))
 
 
 def route_vector_queries(plans: DataFrame) -> DataFrame:
@@ -160,13 +185,3 @@ def retain_active(candidates: DataFrame, heads: DataFrame) -> DataFrame:
     """Candidates whose revision is the active one of an active document; ranks keep their gaps."""
     live = heads.where("status = 'ACTIVE'").select("tenant_id", "document_id", "revision_id")
     return candidates.join(live, ["tenant_id", "document_id", "revision_id"], "left_semi")
-
-
-CHANNELS: dict[str, Callable] = {}
-
-
-def register_channel(name: str, retrieve: Callable) -> None:
-    """Add a channel (queries, scope, tables) -> candidates; names are unique."""
-    if name in CHANNELS:
-        raise ValueError(f"channel {name} is registered")
-    CHANNELS[name] = retrieve

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions.ids import joined, sha256, signed_order, uuid3
-from quarry.operators import access, evaluation, fusion, retrieval, state
+from quarry.operators import access, evaluation, fusion, gateway, retrieval, state
 from quarry.plans.model import Model
 from quarry.sources import markdown, vault
-from quarry.sources.shared import shared_dir
+from quarry.sources.shared import shared_dir, staged
 from quarry.streaming import outbox
 
 QUERIES = {}
@@ -75,8 +75,7 @@ def accessible_spaces(m: Model) -> DataFrame:
 
 
 def keyword_of(m: Model) -> DataFrame:
-    plans = retrieval.plan_queries(m.queries)
-    return retrieval.keyword_substring(retrieval.in_scope(plans, scope_of(m), m.chunks, m.heads))
+    return retrieval.keyword_substring(m.live, retrieval.asked_in_scope(retrieval.plan_queries(m.queries), scope_of(m)))
 
 
 @query
@@ -149,7 +148,7 @@ def bm25_best_fields_topk(m: Model) -> DataFrame:
 def vector_queries(m: Model) -> DataFrame:
     """Every 20th vector asks in its own tenant and space."""
     v = m.vectors.where("vec_id % 20 = 0")
-    return v.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("query_vec"), "tenant_id", "space_id", F.col("embedding").alias("query_embedding"))
+    return v.select(F.col("vec_id").alias("query_id"), F.col("chunk_id").alias("self_id"), "tenant_id", "space_id", F.col("embedding").alias("vector"))
 
 
 def vectors_of(m: Model, limit: int = 10) -> DataFrame:
@@ -175,31 +174,44 @@ def vector_filter_rejected(m: Model) -> DataFrame:
     return retrieval.route_vector_queries(m.queries.withColumn("filters", filters))
 
 
+def tenant_hits(m: Model) -> DataFrame:
+    """Literal hits in the content of all chunks of the tenant, whatever their revision or space."""
+    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit")
+    return retrieval.keyword_substring(m.chunks.withColumn("title", F.lit(None).cast("string")), plans, on=("tenant_id",))
+
+
 @query
 def active_guard(m: Model) -> DataFrame:
     """Hits over all revisions, kept where the revision is active; ranks keep their gaps."""
-    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit")
-    all_chunks = m.chunks.withColumn("title", F.lit(""))
-    hits = retrieval.keyword_substring(all_chunks.join(plans, "tenant_id"))
-    return retrieval.retain_active(hits, m.heads).select("query_id", "chunk_id", big("rank", "rank"))
+    return retrieval.retain_active(tenant_hits(m), m.heads).select("query_id", "chunk_id", big("rank", "rank"))
 
 
-def two_channels(m: Model) -> DataFrame:
-    """Keyword and vector candidates of the benchmark queries, both in scope."""
-    plans = retrieval.plan_queries(m.queries)
-    embed = retrieval.hashing_embedder
-    pairs = retrieval.in_scope(embed(plans, "normalised", "query_unit"), scope_of(m), embed(m.chunks, "content", "unit"), m.heads, "query_unit")
-    names = ["query_id", "chunk_id", "tenant_id", "space_id", "document_id", "revision_id", "rank", "score"]
-    vector = retrieval.text_channel(pairs).select(*names, F.lit("VECTOR").alias("channel"))
-    return keyword_of(m).select(*names, F.lit("KEYWORD").alias("channel")).unionByName(vector)
+def tables_of(m: Model) -> gateway.Tables:
+    return gateway.Tables(m.spaces, m.grants, m.heads, m.live)
+
+
+def two_channels(m: Model) -> tuple[DataFrame, gateway.Tables]:
+    """Keyword and vector candidates of the benchmark queries, both in scope and each written once."""
+    tables, asked = tables_of(m), staged(retrieval.asked_in_scope(retrieval.plan_queries(m.queries), scope_of(m)), "asked")
+    channels = {"KEYWORD": gateway.keyword_channel, "VECTOR": gateway.vector_channel}
+    found = [staged(f(asked, tables).select(*gateway.CANDIDATE, F.lit(name).alias("channel")), name.lower()) for name, f in channels.items()]
+    return found[0].unionByName(found[1]), tables
 
 
 @query
 def rrf_fusion(m: Model) -> DataFrame:
-    fused = fusion.fuse(two_channels(m))
+    fused = fusion.fuse(two_channels(m)[0])
     return fused.select("query_id", "chunk_id", big("position", "position"), r9("rrf", "rrf"), F.array_join("channels", ",").alias("channels"), r9("relevance", "relevance"))
 
 
+@query
+def vector_text_topk(m: Model) -> DataFrame:
+    """The vector channel over text: signed hashing of 256 dimensions, requests weighed by idf."""
+    asked = retrieval.asked_in_scope(retrieval.plan_queries(m.queries), scope_of(m))
+    found = retrieval.text_channel(asked, staged(retrieval.text_index(m.live), "vectors"))
+    return found.select("query_id", "chunk_id", big("rank", "rank"), "score")
+
+
 @query
 def rrf_ties_signed_uuid(m: Model) -> DataFrame:
     """All chunks of a document tie in one channel: the order is that of signed ids."""
@@ -209,7 +221,8 @@ def rrf_ties_signed_uuid(m: Model) -> DataFrame:
 
 
 def evidence_of(m: Model) -> DataFrame:
-    return fusion.evidence(fusion.fuse(two_channels(m)), m.heads, m.chunks)
+    found, tables = two_channels(m)
+    return fusion.evidence(fusion.fuse(found), tables.stage)
 
 
 @query
@@ -223,34 +236,47 @@ def evidence_bundle(m: Model) -> DataFrame:
 @query
 def scope_violations(m: Model) -> DataFrame:
     """Keyword hits over the whole tenant that leave the scope of their query."""
-    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit")
-    hits = retrieval.keyword_substring(m.chunks.withColumn("title", F.lit("")).join(plans, "tenant_id"))
-    return access.violations(hits, scope_of(m)).select("query_id", "chunk_id")
+    return access.violations(tenant_hits(m), scope_of(m)).select("query_id", "chunk_id")
+
+
+def filtered_requests(m: Model) -> DataFrame:
+    """By number: no filter, a language, a source type, or both."""
+    turn, pair = F.col("query_id") % 4, lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    both = F.map_concat(pair("language", "en"), pair("sourceType", "OBSIDIAN"))
+    filters = F.when(turn == 0, pair("language", "en")).when(turn == 1, pair("sourceType", "OBSIDIAN")).when(turn == 2, both).otherwise(F.create_map().cast("map<string,string>"))
+    return m.queries.withColumn("filters", filters)
+
+
+@query
+def keyword_filtered_topk(m: Model) -> DataFrame:
+    """Literal matches of requests with filters by language and source type."""
+    found = retrieval.keyword_substring(m.live, retrieval.asked_in_scope(retrieval.plan_queries(filtered_requests(m)), scope_of(m)))
+    return found.select("query_id", "chunk_id", big("rank", "rank"), "score")
+
+
+def everything(m: Model) -> DataFrame:
+    return m.queries.limit(0).select("query_id", F.lit("").alias("space_id"))
 
 
 @query
 def channel_status_warnings(m: Model) -> DataFrame:
-    plans = m.queries.select("query_id")
-    channels = m.spark.createDataFrame([("KEYWORD", True), ("VECTOR", True), ("GRAPH", False)], "channel string, configured boolean")
-    failed = (F.col("channel") == "VECTOR") & (F.col("query_id") % 4 == 0)
-    status = F.when(~F.col("configured"), "NOT_CONFIGURED").when(failed, "FAILED").otherwise("OK")
-    rows = plans.crossJoin(F.broadcast(channels)).withColumn("status", status)  # three rows
-    return rows.select("query_id", "channel", "status", F.when(F.col("status") != "OK", F.concat(F.lit("RETRIEVER_"), "channel", F.lit("_UNAVAILABLE"))).alias("warning"))
+    """Of one run: the vector channel takes no filters, which three of four requests have, and there is
+    no graph channel."""
+    run = gateway.default_gateway().retrieve(filtered_requests(m), m.principals, everything(m), tables_of(m))
+    return run.statuses.select("query_id", "channel", "status", "warning")
 
 
 @query
 def trace_steps(m: Model) -> DataFrame:
-    both = two_channels(m)
-    steps = [
-        ("ACCESS", scope_of(m)),
-        ("PLAN", m.queries),
-        ("KEYWORD", both.where("channel = 'KEYWORD'")),
-        ("VECTOR", both.where("channel = 'VECTOR'")),
-        ("GUARD", retrieval.retain_active(both, m.heads)),
-        ("FUSE", fusion.fuse(both)),
-        ("EVIDENCE", evidence_of(m)),
-    ]
-    return fusion.trace_steps(steps, m.queries).select("query_id", big("ordinal", "ordinal"), "step_name", big("output_count", "output_count"))
+    run = gateway.default_gateway().retrieve(m.queries, m.principals, everything(m), tables_of(m))
+    return run.steps.select("query_id", big("ordinal", "ordinal"), "step_name", "output_count", "status")
+
+
+@query
+def retrieval_traces(m: Model) -> DataFrame:
+    """What is kept of each request of a run: no text, its hash; ids and times are left out here."""
+    run = gateway.default_gateway().retrieve(m.queries, m.principals, everything(m), tables_of(m))
+    return run.traces.select("query_id", "tenant_id", "principal_id", "outcome", "query_hash", "result_count")
 
 
 def evaluation_parts(m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:

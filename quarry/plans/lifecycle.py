@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.ids import sha256
 from quarry.functions.text import tokens
 from quarry.operators import access, evaluation, gateway, lifecycle, state
-from quarry.plans.catalogue import NOW, QUERIES, big, evaluation_parts, query, r9
+from quarry.plans.catalogue import NOW, QUERIES, big, evaluation_parts, everything, query, r9, tables_of
 from quarry.plans.model import Model
 
 __all__ = ["QUERIES"]
@@ -224,11 +224,34 @@ def retrieve_bundles(m: Model) -> DataFrame:
     requests = m.queries.withColumn("top_k", F.when(F.col("query_id") % 9 == 0, 1000).otherwise(F.col("top_k")))
     even = F.regexp_extract("space_id", "([0-9]+)", 1).cast("int") % 2 == 0
     requested = requests.where("query_id % 3 = 0").select("query_id", "tenant_id").join(m.spaces.where(even).select("tenant_id", "space_id"), "tenant_id").select("query_id", "space_id")
-    found = gateway.retrieve(requests, m.principals, requested, gateway.Tables(m.spaces, m.grants, m.heads, m.chunks))
+    found = gateway.default_gateway().retrieve(requests, m.principals, requested, tables_of(m)).bundles
     ids = F.array_join(F.transform("evidences", lambda e: e["evidence_id"]), ",")
     return found.select("query_id", "outcome", big("n_evidence", "n_evidence"), F.coalesce(ids, F.lit("")).alias("evidence_ids"), "sufficient")
 
 
+def straying(m: Model):
+    """A channel that also gives every fifth query a chunk of another tenant."""
+
+    def retrieve(asked: DataFrame, tables: gateway.Tables) -> DataFrame:
+        own = gateway.keyword_channel(asked, tables).select(*gateway.CANDIDATE)
+        first = tables.stage.groupBy("tenant_id").agg(F.min("chunk_id").alias("chunk_id")).drop("tenant_id")
+        other = tables.stage.join(first, "chunk_id", "left_semi").select(*gateway.CANDIDATE[1:6])
+        stray = asked.where("query_id % 5 = 0").select("query_id", F.col("tenant_id").alias("own")).distinct()
+        # four tenants at most: each stray request meets the first chunk of each other one
+        foreign = other.join(F.broadcast(stray), F.col("tenant_id") != F.col("own")).drop("own")
+        return own.unionByName(foreign.select("query_id", *gateway.CANDIDATE[1:6], F.lit(1).alias("rank"), F.lit(0.5).alias("score")))
+
+    return retrieve
+
+
+@query
+def retrieve_straying(m: Model) -> DataFrame:
+    """A retrieval whose keyword channel strays: its requests FAIL as a whole."""
+    rogue = gateway.Gateway().register("KEYWORD", gateway.Channel(straying(m)))
+    found = rogue.retrieve(m.queries, m.principals, everything(m), tables_of(m)).bundles
+    return found.select("query_id", "outcome", big("n_evidence", "n_evidence"))
+
+
 @query
 def scope_restricted(m: Model) -> DataFrame:
     """The scope within requested spaces: every second query names the space of number 1."""

@@ -147,3 +147,9 @@ ORACLES["retrieve_bundles"] = sql(
     "evid", "scope",
     over={"scope": NARROW},
 )
+ORACLES["retrieve_straying"] = sql(
+    """SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM scope) THEN 'DENY_ALL' WHEN query_id % 5 = 0 THEN 'FAILED' ELSE 'OK' END AS outcome,
+        CASE WHEN query_id % 5 = 0 THEN 0 ELSE (SELECT count(*) FROM evid e WHERE e.query_id = q.query_id) END AS n_evidence FROM q""",
+    "evid", "scope",
+    novector="AND false",
+)

@@ -41,6 +41,7 @@ class Model:
             F.when(F.col("quality") == 1, 80).when(F.col("quality") == 0, 40).otherwise(50).alias("authority"),
             F.when(F.col("doc_id") % 17 == 0, "ARCHIVED").otherwise("ACTIVE").alias("status"),
             F.col("lang").alias("language"),
+            F.when(F.col("doc_id") % 3 == 0, "OBSIDIAN").otherwise("API").alias("source_type"),
             F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_uri"),
             F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("active_revision"),
             "text",
@@ -83,6 +84,12 @@ class Model:
         key = F.concat("revision_id", F.lit(":"), F.col("ordinal").cast("string"))
         return lines.withColumn("chunk_id", uuid3(key)).withColumn("content_hash", sha256(F.col("content")))
 
+    @cached_property
+    def live(self) -> DataFrame:
+        """The chunks of the active heads of active documents, with what a citation needs."""
+        cited = self.heads.where("status = 'ACTIVE'").select("revision_id", "title", "authority", "source_uri", "source_type")
+        return self.chunks.drop("doc_id", "section_path").join(cited, "revision_id")
+
     @cached_property
     def queries(self) -> DataFrame:
         """The first two words of each benchmark passage as a search, asked in the tenant whose turn it is;

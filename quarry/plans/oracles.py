@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.functions.text import RELATION_MARKERS
+
 
 def uuid3(key: str) -> str:
     m = f"md5({key})"
@@ -13,15 +15,8 @@ def tokens(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-def embedded(rows: str, text: str) -> str:
-    """rows with u, the unit hashing embedding of a text column; rows without tokens go."""
-    counts = ", ".join(f"(length(digits) - length(replace(digits, '{d:x}', '')))::DOUBLE" for d in range(16))
-    return f"""(SELECT * EXCLUDE (v, digits), list_transform(v, lambda x: x / len) AS u FROM (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM (SELECT *, [{counts}] AS v FROM (
-        SELECT *, array_to_string(list_transform({tokens(text)}, lambda t: substr(md5(t), 1, 1)), '') AS digits FROM {rows}) WHERE digits <> '')))"""
-
-
 NORMALISED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-MARKERS = "依赖|关系|调用|影响|关联|上游|下游|depends|calls|related|impact|upstream|downstream"
+MARKERS = "|".join(RELATION_MARKERS)
 
 PARTS = {
     "kdoc": f"""SELECT d.doc_id, 'tenant-' || lang AS tenant_id, source AS space_id, 'api-upload:' || source AS connector_id,
@@ -29,7 +24,7 @@ PARTS = {
         {uuid3("'tenant-' || lang || ':' || source || ':api-upload:' || source || ':doc-' || d.doc_id")} AS document_id,
         substr(split_part(text, chr(10), 1), 1, 80) AS title,
         CASE quality WHEN 1 THEN 80 WHEN 0 THEN 40 ELSE 50 END AS authority,
-        CASE WHEN d.doc_id % 17 = 0 THEN 'ARCHIVED' ELSE 'ACTIVE' END AS status, lang AS language,
+        CASE WHEN d.doc_id % 17 = 0 THEN 'ARCHIVED' ELSE 'ACTIVE' END AS status, lang AS language, CASE WHEN d.doc_id % 3 = 0 THEN 'OBSIDIAN' ELSE 'API' END AS source_type,
         'https://example.org/' || d.doc_id AS source_uri,
         CASE WHEN d.doc_id % 5 = 0 THEN 2 ELSE 1 END AS active_revision, text
         FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id""",
@@ -68,13 +63,20 @@ PARTS = {
         FROM q JOIN scope s ON s.query_id = q.query_id AND s.tenant_id = q.tenant_id
         JOIN chunk c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id
         JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE') WHERE raw_score > 0) WHERE rank <= candidate_limit""",
-    "both": f"""SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, score, 'KEYWORD' AS channel FROM kw
-        UNION ALL SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, least(1.0, greatest(0.0, raw)) AS score, 'VECTOR' FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM (
-                SELECT q.query_id, c.chunk_id, c.tenant_id, c.space_id, c.document_id, c.revision_id, round(list_dot_product(q.u, c.u), 9) AS raw
-                FROM {embedded('q', 'normalised')} q JOIN scope s ON s.query_id = q.query_id AND s.tenant_id = q.tenant_id
-                JOIN {embedded('chunk', 'content')} c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id
-                JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE')) WHERE rank <= 40""",
+    "live": "SELECT c.*, h.title, h.authority, h.source_uri, h.source_type FROM chunk c JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE'",
+    # signed counts of tokens by the first hex digits of their md5; those of a query by the whole bits of n / df
+    "word": f"SELECT chunk_id, tenant_id, space_id, unnest({tokens('content')}) AS word FROM live",
+    "cvec": "SELECT chunk_id, tenant_id, space_id, dim, x, sum(x * x) OVER (PARTITION BY chunk_id) AS norm FROM (SELECT chunk_id, tenant_id, space_id, substr(md5(word), 1, 2) AS dim, sum(CASE WHEN substr(md5(word), 3, 1) < '8' THEN 1 ELSE -1 END) AS x FROM word GROUP BY ALL)",
+    "qvec": f"""SELECT query_id, dim, x, sum(x * x) OVER (PARTITION BY query_id) AS norm FROM (SELECT query_id, substr(md5(w.word), 1, 2) AS dim,
+        sum(CASE WHEN substr(md5(w.word), 3, 1) < '8' THEN 1 ELSE -1 END * length(bin(((SELECT count(*) FROM live) // coalesce(d.df, 1))::BIGINT))) AS x
+        FROM (SELECT query_id, unnest({tokens('normalised')}) AS word FROM q) w LEFT JOIN (SELECT word, count(DISTINCT chunk_id) AS df FROM word GROUP BY word) d ON d.word = w.word GROUP BY ALL)""",
+    # pairs that share no dimension have a dot product of 0 and count as well
+    "vtext": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM (SELECT p.query_id, p.chunk_id, round(coalesce(dot, 0)::DOUBLE / sqrt((p.qn * p.cn)::DOUBLE), 9) AS raw
+        FROM (SELECT s.query_id, c.chunk_id, q.norm AS qn, c.norm AS cn FROM scope s JOIN (SELECT DISTINCT query_id, norm FROM qvec WHERE norm > 0) q ON q.query_id = s.query_id
+            JOIN (SELECT DISTINCT chunk_id, tenant_id, space_id, norm FROM cvec WHERE norm > 0) c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id) p
+        LEFT JOIN (SELECT q.query_id, c.chunk_id, sum(q.x * c.x) AS dot FROM qvec q JOIN cvec c ON c.dim = q.dim GROUP BY ALL) d ON d.query_id = p.query_id AND d.chunk_id = p.chunk_id)""",
+    "both": """SELECT query_id, chunk_id, tenant_id, space_id, document_id, revision_id, rank, score, 'KEYWORD' AS channel FROM kw
+        UNION ALL SELECT v.query_id, v.chunk_id, c.tenant_id, c.space_id, c.document_id, c.revision_id, rank, least(1.0, greatest(0.0, raw)) AS score, 'VECTOR' FROM vtext v JOIN live c ON c.chunk_id = v.chunk_id WHERE rank <= 40 {novector}""",
     "fused": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, substr(chunk_id, 1, 1) >= '8' DESC, chunk_id) AS position FROM (
         SELECT *, rrf / max(rrf) OVER (PARTITION BY query_id) * score AS relevance FROM (
             SELECT query_id, chunk_id, any_value(document_id) AS document_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf,
@@ -107,12 +109,12 @@ PARTS = {
 }
 NEEDS = {
     "rev": ["kdoc"], "head": ["rev"], "chunk": ["rev"], "space": ["kdoc"], "num": ["space"], "acl": ["num"], "prin": ["q"],
-    "scope": ["prin", "acl"], "kw": ["scope", "chunk", "head"], "both": ["kw"], "fused": ["both"], "evid": ["fused"],
+    "scope": ["prin", "acl"], "kw": ["scope", "chunk", "head"], "both": ["kw", "vtext"], "live": ["chunk", "head"], "word": ["live"], "cvec": ["word"], "qvec": ["word", "q"], "vtext": ["cvec", "qvec", "scope"], "fused": ["both"], "evid": ["fused"],
     "tenant_hits": ["q", "chunk"], "vec": ["chunk", "head"], "vtop": ["vec"], "job": ["head"], "want": ["head"], "ebase": ["vec"], "case_": ["ebase", "vtop"],
 }
 
 
-def sql(select: str, *parts: str, more: str = "", over: dict[str, str] | None = None) -> str:
+def sql(select: str, *parts: str, more: str = "", novector: str = "", over: dict[str, str] | None = None) -> str:
     """A statement with the named parts, and those they need, as common table expressions; over wraps parts."""
     order: list[str] = []
 
@@ -125,7 +127,7 @@ def sql(select: str, *parts: str, more: str = "", over: dict[str, str] | None =
     for p in parts:
         add(p)
     named = {"both": "both_"}
-    body = ", ".join(f"{named.get(n, n)} AS MATERIALIZED ({(over or {}).get(n, '{}').replace('{}', PARTS[n].replace('{more}', more))})" for n in order)
+    body = ", ".join(f"{named.get(n, n)} AS MATERIALIZED ({(over or {}).get(n, '{}').replace('{}', PARTS[n].replace('{more}', more).replace('{novector}', novector))})" for n in order)
     return (f"WITH {body} " if body else "") + select
 
 
@@ -199,14 +201,32 @@ ORACLES = {
     "rrf_ties_signed_uuid": sql("SELECT query_id, chunk_id, position FROM (SELECT c.doc_id AS query_id, c.chunk_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY substr(chunk_id, 1, 1) >= '8' DESC, chunk_id) AS position FROM chunk c JOIN head h ON h.revision_id = c.revision_id) WHERE position <= 8", "chunk", "head"),
     "evidence_bundle": sql("SELECT query_id, count(*) AS n_evidence, string_agg(evidence_id, ',' ORDER BY position) AS evidence_ids, round(arg_min(relevance, position), 9) AS best_relevance, arg_min(authority, position)::BIGINT AS best_authority, arg_min(relevance, position) >= 0.5 AS sufficient FROM evid GROUP BY query_id", "evid"),
     "scope_violations": sql("SELECT t.query_id, t.chunk_id FROM tenant_hits t ANTI JOIN scope s ON s.query_id = t.query_id AND s.tenant_id = t.tenant_id AND s.space_id = t.space_id", "tenant_hits", "scope"),
-    "channel_status_warnings": "SELECT query_id, channel, status, CASE WHEN status <> 'OK' THEN 'RETRIEVER_' || channel || '_UNAVAILABLE' END AS warning FROM (SELECT item_id AS query_id, channel, CASE WHEN channel = 'GRAPH' THEN 'NOT_CONFIGURED' WHEN channel = 'VECTOR' AND item_id % 4 = 0 THEN 'FAILED' ELSE 'OK' END AS status FROM benchmark, (VALUES ('KEYWORD'), ('VECTOR'), ('GRAPH')) c(channel))",
+    "vector_text_topk": sql("SELECT query_id, chunk_id, rank, least(1.0, greatest(0.0, raw)) AS score FROM vtext WHERE rank <= 40", "vtext"),
+    "keyword_filtered_topk": sql(
+        """SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, chunk_id) AS rank, least(raw_score, 0.999999) AS score FROM (
+        SELECT q.query_id, c.chunk_id, CASE WHEN contains(lower(title), lower(normalised)) THEN 0.95::DOUBLE ELSE 0.75 END AS raw_score FROM q JOIN scope s ON s.query_id = q.query_id
+        JOIN live c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id WHERE (contains(lower(title), lower(normalised)) OR contains(lower(content), lower(normalised)))
+        AND (q.query_id % 4 NOT IN (0, 2) OR language = 'en') AND (q.query_id % 4 NOT IN (1, 2) OR source_type = 'OBSIDIAN')) QUALIFY rank <= 40""",
+        "live", "scope",
+    ),
+    "channel_status_warnings": sql(
+        """SELECT query_id, channel, status, CASE WHEN status <> 'OK' THEN 'RETRIEVER_' || channel || '_UNAVAILABLE' END AS warning FROM (
+        SELECT query_id, channel, CASE WHEN channel = 'GRAPH' THEN 'NOT_CONFIGURED' WHEN channel = 'VECTOR' AND query_id % 4 <> 3 THEN 'FAILED' ELSE 'OK' END AS status
+        FROM (SELECT DISTINCT query_id FROM scope), (VALUES ('KEYWORD'), ('VECTOR'), ('GRAPH')) c(channel))""",
+        "scope",
+    ),
     "trace_steps": sql(
         """SELECT q.query_id, s.ordinal::BIGINT AS ordinal, s.step_name, CASE s.ordinal WHEN 0 THEN (SELECT count(*) FROM scope x WHERE x.query_id = q.query_id) WHEN 1 THEN 1
         WHEN 2 THEN (SELECT count(*) FROM both_ x WHERE x.query_id = q.query_id AND channel = 'KEYWORD') WHEN 3 THEN (SELECT count(*) FROM both_ x WHERE x.query_id = q.query_id AND channel = 'VECTOR')
-        WHEN 4 THEN (SELECT count(*) FROM both_ x WHERE x.query_id = q.query_id) ELSE (SELECT count(*) FROM fused x WHERE x.query_id = q.query_id AND position <= 8) END AS output_count
+        WHEN 4 THEN (SELECT count(*) FROM both_ x WHERE x.query_id = q.query_id) ELSE (SELECT count(*) FROM fused x WHERE x.query_id = q.query_id AND position <= 8) END AS output_count, 'OK' AS status
         FROM q, (VALUES (0, 'ACCESS'), (1, 'PLAN'), (2, 'KEYWORD'), (3, 'VECTOR'), (4, 'GUARD'), (5, 'FUSE'), (6, 'EVIDENCE')) s(ordinal, step_name)""",
         "scope", "fused",
     ),
+    "retrieval_traces": sql(
+        """SELECT query_id, tenant_id, principal_id, CASE WHEN query_id IN (SELECT query_id FROM scope) THEN 'OK' ELSE 'DENY_ALL' END AS outcome, sha256(normalised) AS query_hash,
+        (SELECT count(*) FROM evid e WHERE e.query_id = q.query_id) AS result_count FROM q""",
+        "scope", "evid",
+    ),
     "eval_case_metrics": sql("SELECT query_id, hit, round(recall, 9) AS recall, round(reciprocal_rank, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg FROM case_", "case_"),
     "eval_macro_report": sql("SELECT count(*) AS cases, count(*) FILTER (WHERE c.query_id IS NULL) AS failed, round(avg(coalesce(hit::INT::DOUBLE, 0)), 9) AS hit_rate, round(avg(coalesce(recall, 0)), 9) AS recall, round(avg(coalesce(reciprocal_rank, 0)), 9) AS mrr, round(avg(coalesce(ndcg, 0)), 9) AS ndcg FROM (SELECT vec_id FROM vec WHERE vec_id % 20 = 0) v LEFT JOIN case_ c ON c.query_id = v.vec_id", "case_"),
     "eval_datasets": "SELECT n_nationkey::BIGINT AS dataset_id, n_name AS name, count(DISTINCT c_custkey) AS case_count, count(DISTINCT o_orderkey) AS run_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, n_name",

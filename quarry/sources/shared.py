@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -20,3 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return _LOCAL_DIRS[context.applicationId]
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df, written as Parquet into the shared folder and read back: what follows does not make it again, and a
+    lost executor costs the stage that ran."""
+    path = f"{shared_dir(df.sparkSession)}/quarry-steps/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

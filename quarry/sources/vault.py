@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.ids import UNIT_SEPARATOR, sha256
+from quarry.functions.ids import sha256
 from quarry.functions.text import stripped
 
 #: Note syntax. Fixed values.
@@ -60,7 +60,8 @@ def note_columns(text: Column, file_name: Column) -> dict[str, Column]:
 
 def read_vault(spark: SparkSession, root: str, connector_id: str, vault: str, ignored: tuple[str, ...] = (".obsidian", ".git", ".trash"), stream: bool = False, files_per_trigger: int = 100) -> DataFrame:
     """Source records of the .md files below a root in any store Spark reads, or a stream of new ones.
-    Files below ignored directories and files beyond LONGEST_FILE are left out."""
+    Files below ignored directories are left out; a file beyond LONGEST_FILE is an error. Links of a file system are
+    followed here as Spark's reader does; the data source of `registry` refuses them."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
     files = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
     path = F.col("_metadata.file_path")
@@ -71,7 +72,9 @@ def read_vault(spark: SparkSession, root: str, connector_id: str, vault: str, ig
     relative = decoded.substr(F.locate(below, decoded) + len(below), F.length(decoded))
     parts = F.split(relative, "/")
     kept = ~F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.isin(*ignored))
-    files = files.withColumn("external_id", relative).where(kept & (F.col("file_size") <= LONGEST_FILE))
+    too_long = F.raise_error(F.concat(F.lit("note of more than "), F.lit(str(LONGEST_FILE)), F.lit(" bytes: "), "external_id"))
+    files = files.withColumn("external_id", relative).where(kept)
+    files = files.withColumn("content", F.when(F.col("file_size") > LONGEST_FILE, too_long).otherwise(F.col("content")))
     return files.select(
         F.lit(connector_id).alias("connector_id"),
         "external_id",
@@ -81,9 +84,3 @@ def read_vault(spark: SparkSession, root: str, connector_id: str, vault: str, ig
         "modified_at",
         *[c.alias(n) for n, c in note_columns(F.col("content"), F.col("file_name")).items()],
     )
-
-
-def as_metadata(records: DataFrame) -> DataFrame:
-    """Link and tag lists as joined metadata entries beside those of the front matter."""
-    more = F.create_map(F.lit("wikilinks"), F.array_join("wikilinks", UNIT_SEPARATOR), F.lit("embeds"), F.array_join("embeds", UNIT_SEPARATOR), F.lit("tags"), F.array_join("tags", UNIT_SEPARATOR))
-    return records.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, v: ~k.isin("wikilinks", "embeds", "tags")), more))

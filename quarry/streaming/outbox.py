@@ -63,8 +63,3 @@ def superseded(outcomes: DataFrame, heads: DataFrame) -> DataFrame:
 def run_once(states: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> None:
     """Process what is there and stop. Delivery is at least once: apply must be idempotent by batch."""
     states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
-
-
-def accept(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Connector records to ingest, and deleted ones, which are set aside: nothing reconciles them."""
-    return records.where("not deleted"), records.where("deleted")
