@@ -33,6 +33,36 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Scripts that are written without spaces between words. Fixed values.
+CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+
+
+def analysed(text: Column) -> Column:
+    """tokens(), but runs of Han, Kana and Hangul as overlapping pairs of characters (one alone as itself),
+    so that a part of a run can be found."""
+    low = F.lower(text)
+    apart = F.when(low.rlike(f"[{CJK}]"), F.regexp_replace(low, f"([{CJK}]+)", " $1 ")).otherwise(low)
+    words = F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    split = F.flatten(F.transform(words, lambda t: F.when(t.rlike(f"^[{CJK}]") & (F.length(t) > 1), pairs(t)).otherwise(F.array(t))))
+    return F.when(low.rlike(f"[{CJK}]"), split).otherwise(words)
+
+
+def search_parts(text: Column) -> Column:
+    """A search as an array of (grp, item, excluded, words): what stands between `or` is a group of its
+    own; in quotes, or within one word, several tokens are a phrase; a minus excludes. Parts without
+    tokens say nothing."""
+    raw = F.regexp_extract_all(text, F.lit(r"(-?\"[^\"]*\"?|[^\s\"]+)"), 1)
+    is_or = lambda p: F.lower(p) == "or"
+    parts = F.transform(
+        raw,
+        lambda p, i: F.struct(
+            F.size(F.filter(F.slice(raw, F.lit(1), i), is_or)).alias("grp"), i.alias("item"), p.startswith("-").alias("excluded"), F.when(is_or(p), F.array().cast("array<string>")).otherwise(tokens(p)).alias("words")
+        ),
+    )
+    return F.filter(parts, lambda p: F.size(p["words"]) > 0)
+
+
 def allows_source_uri(uri: Column, schemes=("http", "https")) -> Column:
     """Absolute, of an allowed scheme; http(s) needs a host and no user information."""
     part = lambda name: F.try_parse_url(uri, F.lit(name))

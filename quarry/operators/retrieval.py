@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import mentions_relation, normalised_query, tokens
+from quarry.functions.text import analysed, mentions_relation, normalised_query, search_parts, tokens
 from quarry.operators.vectors import DIMS, HASHING, Contract, hashed, token_codes, top_k, weighed_queries
 
 BEST_BELOW_ONE = 0.999999
@@ -104,7 +104,7 @@ def cover_density(hits: DataFrame) -> DataFrame:
         (a, x) -> struct({last} AS last, a.n + 1 AS n,
             IF(size({last}) = needed, array_min(map_values({last})).place, a.begin) AS begin,
             a.total + IF(size({last}) = needed AND array_min(map_values({last})).place <> a.begin,
-                0.1D / (1 + (x.place - array_min(map_values({last})).place) - (a.n + 1 - array_min(map_values({last})).n)), 0D) AS total),
+                0.1D / (1 + greatest(0, (x.place - array_min(map_values({last})).place) - (a.n + 1 - array_min(map_values({last})).n))), 0D) AS total),
         a -> a.total)"""
     return rows.select("query_id", "chunk_id", F.expr(fold).alias("density"))
 
@@ -114,9 +114,40 @@ def keyword_substring(chunks: DataFrame, asked: DataFrame, on: tuple[str, ...] =
     return top_candidates(literal_hits(chunks, asked, list(on))).withColumn("score", F.least("raw_score", F.lit(BEST_BELOW_ONE)))
 
 
+def websearch(live: DataFrame, asked: DataFrame, scope: DataFrame) -> DataFrame:
+    """Candidates of searches with phrases, alternatives and exclusions (see search_parts()): asked has
+    query_id, tenant_id, normalised, candidate_limit; live has the chunks of active heads with their titles.
+
+    A chunk is found by a group all of whose parts it has, and none of the excluded ones; a group of
+    exclusions alone finds nothing. A phrase is found where each of its words stands at its place: the places of its words,
+    moved back by their number in the phrase, meet. The score is the greatest of the cover density, summed over the
+    groups (a phrase counts at its first word), and of a literal match of the whole search in the content (0.75) or title (0.95). Chunks
+    are cut to the spaces in reach, and their places to the words asked, before anything is joined."""
+    parts = asked.select("query_id", "tenant_id", F.explode(search_parts(F.col("normalised"))).alias("p")).select("query_id", "tenant_id", "p.*")
+    able = parts.where("not excluded").select("query_id", "grp").distinct()
+    parts = parts.join(able, ["query_id", "grp"], "left_semi")
+    words = parts.select("query_id", "tenant_id", "grp", "item", "excluded", F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "term"))
+    reach = live.join(scope.select("tenant_id", "space_id").distinct(), ["tenant_id", "space_id"], "left_semi")
+    places = reach.select("chunk_id", "tenant_id", "space_id", F.posexplode(tokens(F.col("content"))).alias("place", "term"))
+    places = places.join(words.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
+    hits = places.join(words, ["tenant_id", "term"]).join(scope, ["query_id", "tenant_id", "space_id"], "left_semi")
+    met = hits.groupBy("query_id", "grp", "item", "excluded", "n_words", "chunk_id", (F.col("place") - F.col("offset")).alias("place")).agg(F.count(F.lit(1)).alias("n")).where("n = n_words")
+    needed = parts.where("not excluded").groupBy("query_id", "grp").agg(F.count_distinct("item").alias("needed"))
+    found = met.groupBy("query_id", "grp", "chunk_id").agg(F.count_distinct(F.when(~F.col("excluded"), F.col("item"))).alias("n"), F.bool_or("excluded").alias("barred"))
+    matched = found.join(needed, ["query_id", "grp"]).where("n = needed and not barred").select("query_id", "grp", "chunk_id", "needed")
+    own = met.where("not excluded").join(matched, ["query_id", "grp", "chunk_id"])
+    # one group at a time: its key stands for the query, and alternatives add their covers
+    keyed = own.select(F.struct("query_id", "grp").alias("query_id"), "chunk_id", "place", F.col("item").cast("string").alias("term"), "needed")
+    density = cover_density(keyed).groupBy(F.col("query_id.query_id").alias("query_id"), "chunk_id").agg(F.sum("density").alias("density"))
+    literal = literal_hits(live, asked_in_scope(asked, scope), ["tenant_id", "space_id"]).select("query_id", "chunk_id", F.col("raw_score").alias("literal"))
+    both = literal.join(density, ["query_id", "chunk_id"], "full_outer").join(asked.select("query_id", "candidate_limit"), "query_id")
+    scored = both.withColumn("raw_score", F.round(F.greatest(F.coalesce("density", F.lit(0.0)), F.coalesce("literal", F.lit(0.0))), 9))
+    return top_candidates(scored).withColumn("score", F.least("raw_score", F.lit(BEST_BELOW_ONE)))
+
+
 def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
     """(key, tenant_id, term, tf, length): the inverted index of a text column."""
-    terms = chunks.select(key, "tenant_id", tokens(F.col(text)).alias("terms"))
+    terms = chunks.select(key, "tenant_id", analysed(F.col(text)).alias("terms"))
     rows = terms.select(key, "tenant_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     return rows.groupBy(key, "tenant_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
@@ -137,11 +168,11 @@ def bm25(index: DataFrame, asked: DataFrame, stats: DataFrame, key: str = "chunk
 
 
 def index_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length"))
+    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(analysed(F.col(text)))).alias("mean_length"))
 
 
 def query_terms(plans: DataFrame) -> DataFrame:
-    return plans.select("query_id", "tenant_id", F.explode(F.array_distinct(tokens(F.col("normalised")))).alias("term"))
+    return plans.select("query_id", "tenant_id", F.explode(F.array_distinct(analysed(F.col("normalised")))).alias("term"))
 
 
 def relative_to_best(scored: DataFrame) -> DataFrame:

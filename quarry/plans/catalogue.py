@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -83,39 +84,54 @@ def keyword_substring_topk(m: Model) -> DataFrame:
     return keyword_of(m).select("query_id", "chunk_id", big("rank", "rank"), "score")
 
 
-def websearch_terms(m: Model) -> DataFrame:
-    """Searches of four shapes by query_id: all words, any word, a word without another, and two or the
-    third. One row per term: its group (groups are alternatives) and whether it is excluded."""
+def searches(m: Model) -> DataFrame:
+    """Searches of six shapes by query_id: all words, any word, a word without another, two or a third, a
+    phrase, and a phrase with a word or a word without a phrase."""
     words = tx.tokens(F.col("passage"))
-    plans = retrieval.plan_queries(m.queries).select("query_id", "tenant_id", "normalised", "candidate_limit", words.alias("w"), (F.col("query_id") % 4).alias("shape"))
-    term = lambda i, grp, out=False: F.struct(F.get("w", F.lit(i)).alias("term"), F.lit(grp).alias("grp"), F.lit(out).alias("excluded"))
-    shape = lambda n, *terms: F.when(F.col("shape") == n, F.array(*terms))
-    shapes = F.coalesce(shape(0, term(0, 0), term(1, 0)), shape(1, term(0, 0), term(1, 1)), shape(2, term(0, 0), term(1, 0, True)), F.array(term(0, 0), term(1, 0), term(2, 1)))
-    return plans.select("query_id", "tenant_id", "candidate_limit", "normalised", F.explode(shapes).alias("t")).select("query_id", "tenant_id", "candidate_limit", "normalised", "t.*").where("term is not null").distinct()
+    w = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    text = lambda pattern: F.concat(*[w(int(x[1:])) if x[0] == "$" else F.lit(x) for x in re.split(r"(\$\d)", pattern) if x])
+    shapes = ["$0 $1", "$0 OR $1", "$0 -$1", "$0 $1 or $2", '"$1 $2"', '"$0 $1" $3 or -"$4 $5" $6']
+    chosen = F.coalesce(*[F.when(F.col("query_id") % 6 == i, text(p)) for i, p in enumerate(shapes)])
+    return retrieval.plan_queries(m.queries.withColumn("text", chosen)).select("query_id", "tenant_id", "normalised", "candidate_limit")
 
 
 @query
 def keyword_websearch_topk(m: Model) -> DataFrame:
-    """Searches with alternatives and exclusions, in scope, ranked by the greatest of cover density,
-    literal match in the content (0.75) and in the title (0.95)."""
-    terms = websearch_terms(m)
-    live = m.chunks.join(m.heads.where("status = 'ACTIVE'").select("revision_id", "title"), "revision_id")
-    scope = scope_of(m)
-    places = live.select("chunk_id", "tenant_id", "space_id", F.posexplode(tx.tokens(F.col("content"))).alias("place", "term"))
-    hits = places.join(terms.select("query_id", "tenant_id", "term", "grp", "excluded"), ["tenant_id", "term"]).join(scope, ["query_id", "tenant_id", "space_id"], "left_semi")
-    needed = terms.where("not excluded").groupBy("query_id", "grp").agg(F.count_distinct("term").alias("needed"))
-    found = hits.groupBy("query_id", "grp", "chunk_id").agg(F.count_distinct(F.when(~F.col("excluded"), F.col("term"))).alias("n"), F.bool_or("excluded").alias("barred"))
-    matched = found.join(needed, ["query_id", "grp"]).where("n = needed and not barred").select("query_id", "grp", "chunk_id", "needed")
-    own = hits.where("not excluded").join(matched, ["query_id", "grp", "chunk_id"])
-    # one group at a time: its key stands for the query, and alternatives add their covers
-    keyed = own.select(F.struct("query_id", "grp").alias("query_id"), "chunk_id", "place", "term", "needed")
-    density = retrieval.cover_density(keyed).groupBy(F.col("query_id.query_id").alias("query_id"), "chunk_id").agg(F.sum("density").alias("density"))
-    asked = terms.select("query_id", "tenant_id", "normalised", "candidate_limit").distinct()
-    literal = retrieval.literal_scores(retrieval.in_scope(asked, scope, m.chunks, m.heads)).select("query_id", "chunk_id", "candidate_limit", F.col("raw_score").alias("literal"))
-    both = literal.where("literal > 0").join(density, ["query_id", "chunk_id"], "full_outer").drop("candidate_limit").join(asked.select("query_id", "candidate_limit"), "query_id")
-    scored = both.withColumn("raw_score", F.round(F.greatest(F.coalesce("density", F.lit(0.0)), F.coalesce("literal", F.lit(0.0))), 9))
-    best = retrieval.top_candidates(scored)
-    return best.select("query_id", "chunk_id", big("rank", "rank"), F.least("raw_score", F.lit(retrieval.BEST_BELOW_ONE)).alias("score"))
+    """Searches with phrases, alternatives and exclusions, in scope, ranked by the greatest of cover
+    density, literal match in the content (0.75) and in the title (0.95)."""
+    best = retrieval.websearch(m.live, searches(m), scope_of(m))
+    return best.select("query_id", "chunk_id", big("rank", "rank"), "score")
+
+
+@query
+def search_syntax(m: Model) -> DataFrame:
+    """The parts of each search: group, exclusion and words."""
+    parts = searches(m).select("query_id", F.explode(tx.search_parts(F.col("normalised"))).alias("p"))
+    return parts.select("query_id", big("p.grp", "grp"), big("p.item", "item"), "p.excluded", F.array_join("p.words", " ").alias("words"))
+
+
+def cjk_lines(m: Model) -> DataFrame:
+    """The lines of every document with vowels as Han, Kana and Hangul: runs of these between Latin letters."""
+    rows = m.raw("documents").select("doc_id", F.concat(F.lit("tenant-"), "lang").alias("tenant_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    text = F.translate(F.lower("line"), "aeioustn", "\u4f9d\u8d56\u5173\u304b\u30ab\ud55c\u7cfb\u8c03")
+    return rows.select("doc_id", "tenant_id", "ordinal", F.concat("doc_id", F.lit(":"), "ordinal").alias("chunk_id"), text.alias("content"))
+
+
+@query
+def cjk_tokens(m: Model) -> DataFrame:
+    terms = tx.analysed(F.col("content"))
+    return cjk_lines(m).select("doc_id", big("ordinal", "ordinal"), big(F.size(terms), "n_terms"), sha256(F.array_join(terms, " ")).alias("terms_sha256"))
+
+
+@query
+def cjk_bm25_topk(m: Model) -> DataFrame:
+    """Requests of three characters out of a run: parts of longer runs are found."""
+    rows = staged(cjk_lines(m), "cjk")
+    text = F.translate(F.substring(F.lower("text"), 2, 3), "aeioustn", "\u4f9d\u8d56\u5173\u304b\u30ab\ud55c\u7cfb\u8c03")
+    terms = retrieval.query_terms(m.queries.select("query_id", "tenant_id", text.alias("normalised")))
+    scored = retrieval.bm25(retrieval.postings(rows), terms, retrieval.index_stats(rows))
+    best = retrieval.top_candidates(scored.withColumn("raw_score", F.round("raw_score", 9)), F.lit(20))
+    return best.select("query_id", "chunk_id", big("rank", "rank"), "raw_score")
 
 
 def in_reach(m: Model, scored: DataFrame) -> DataFrame:

@@ -145,6 +145,23 @@ def stats_of(source: str, text: str) -> str:
     return f"SELECT count(*)::DOUBLE AS n, avg(len({tokens(text)})) AS mean_length FROM {source}"
 
 
+CJK_CLASS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
+
+
+def analysed(text: str) -> str:
+    """tokens() with runs of CJK_CLASS as overlapping pairs."""
+    return rf"""flatten(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({text}), '([{CJK_CLASS}]+)', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''),
+        lambda t: CASE WHEN regexp_matches(t, '^[{CJK_CLASS}]') AND length(t) > 1 THEN list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) ELSE [t] END))"""
+
+
+CJK_LINES = """SELECT doc_id, tenant_id, ordinal, doc_id || ':' || ordinal AS chunk_id, translate(lower(line), 'aeioustn', '依赖关かカ한系调') AS content
+    FROM (SELECT doc_id, 'tenant-' || lang AS tenant_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents)"""
+SEARCHES = rf"""SELECT query_id, trim(regexp_replace(CASE query_id % 6 WHEN 0 THEN w0 || ' ' || w1 WHEN 1 THEN w0 || ' OR ' || w1 WHEN 2 THEN w0 || ' -' || w1 WHEN 3 THEN w0 || ' ' || w1 || ' or ' || w2
+    WHEN 4 THEN '"' || w1 || ' ' || w2 || '"' ELSE '"' || w0 || ' ' || w1 || '" ' || w3 || ' or -"' || w4 || ' ' || w5 || '" ' || w6 END, '\s+', ' ', 'g')) AS text
+    FROM (SELECT item_id AS query_id, {", ".join(f"coalesce(w[{i + 1}], '') AS w{i}" for i in range(7))} FROM (SELECT item_id, {tokens('text')} AS w FROM benchmark))"""
+SEARCH_PARTS = rf"""SELECT query_id, len(list_filter(raw[1:i], lambda p: lower(p) = 'or')) AS grp, i AS item, starts_with(p, '-') AS excluded, {tokens('p')} AS words
+    FROM (SELECT query_id, raw, unnest(raw) AS p, generate_subscripts(raw, 1) - 1 AS i FROM (SELECT query_id, regexp_extract_all(text, '(-?"[^"]*"?|[^\s"]+)', 1) AS raw FROM ({SEARCHES})))
+    WHERE lower(p) <> 'or' AND len({tokens('p')}) > 0"""
 TERMS = f"SELECT DISTINCT query_id, unnest({tokens('normalised')}) AS term FROM q"
 REACH = "JOIN chunk c ON c.chunk_id = x.chunk_id JOIN scope s ON s.query_id = x.query_id AND s.tenant_id = c.tenant_id AND s.space_id = c.space_id"
 TOP10 = "row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, {key}) AS rank"
@@ -160,24 +177,33 @@ ORACLES = {
     "keyword_substring_topk": sql("SELECT query_id, chunk_id, rank, score FROM kw", "kw"),
     "keyword_websearch_topk": sql(
         f"""SELECT query_id, chunk_id, rank, least(raw_score, 0.999999) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, chunk_id) AS rank FROM (
-        WITH asked AS (SELECT item_id AS query_id, item_id % 4 AS shape, {tokens('text')} AS w FROM benchmark),
-        terms AS (SELECT DISTINCT query_id, tenant_id, t.term, t.grp, t.excluded FROM (SELECT a.query_id, q.tenant_id, unnest(CASE shape WHEN 0 THEN [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 0, excluded: false}}]
-            WHEN 1 THEN [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 1, excluded: false}}] WHEN 2 THEN [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 0, excluded: true}}]
-            ELSE [{{term: w[1], grp: 0, excluded: false}}, {{term: w[2], grp: 0, excluded: false}}, {{term: w[3], grp: 1, excluded: false}}] END) AS t FROM asked a JOIN q ON q.query_id = a.query_id) WHERE t.term IS NOT NULL),
-        place AS (SELECT chunk_id, tenant_id, space_id, unnest(t) AS term, generate_subscripts(t, 1) AS place FROM (SELECT c.chunk_id, c.tenant_id, c.space_id, {tokens('c.content')} AS t FROM chunk c JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE')),
-        hit AS (SELECT t.query_id, t.grp, t.excluded, p.chunk_id, p.place, p.term FROM place p JOIN terms t ON t.term = p.term AND t.tenant_id = p.tenant_id JOIN scope s ON s.query_id = t.query_id AND s.space_id = p.space_id),
-        need AS (SELECT query_id, grp, count(DISTINCT term) AS needed FROM terms WHERE NOT excluded GROUP BY query_id, grp),
-        ok AS (SELECT h.query_id, h.grp, h.chunk_id, any_value(needed) AS needed FROM hit h JOIN need n ON n.query_id = h.query_id AND n.grp = h.grp GROUP BY h.query_id, h.grp, h.chunk_id
-            HAVING count(DISTINCT CASE WHEN NOT excluded THEN term END) = any_value(needed) AND NOT bool_or(excluded)),
-        own AS (SELECT h.query_id, h.grp, h.chunk_id, h.place, h.term, o.needed FROM hit h JOIN ok o ON o.query_id = h.query_id AND o.grp = h.grp AND o.chunk_id = h.chunk_id WHERE NOT excluded),
-        pair AS (SELECT *, lag(term) OVER w AS prev, lag(place) OVER w AS prev_place FROM own WINDOW w AS (PARTITION BY query_id, grp, chunk_id ORDER BY place)),
-        dens AS (SELECT query_id, chunk_id, sum(CASE needed WHEN 1 THEN 0.1::DOUBLE ELSE 0.1::DOUBLE / (place - prev_place) END) AS density FROM pair WHERE needed = 1 OR prev <> term GROUP BY query_id, chunk_id),
-        lit AS (SELECT q.query_id, c.chunk_id, greatest(CASE WHEN contains(lower(c.content), lower(q.normalised)) THEN 0.75::DOUBLE ELSE 0 END, CASE WHEN contains(lower(h.title), lower(q.normalised)) THEN 0.95::DOUBLE ELSE 0 END) AS literal
-            FROM q JOIN scope s ON s.query_id = q.query_id AND s.tenant_id = q.tenant_id JOIN chunk c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE')
+        WITH part AS ({SEARCH_PARTS}),
+        able AS (SELECT * FROM part p WHERE EXISTS (SELECT 1 FROM part o WHERE o.query_id = p.query_id AND o.grp = p.grp AND NOT o.excluded)),
+        asked AS (SELECT query_id, grp, item, excluded, len(words) AS n, unnest(words) AS term, generate_subscripts(words, 1) AS off FROM able),
+        place AS (SELECT chunk_id, tenant_id, space_id, unnest(t) AS term, generate_subscripts(t, 1) AS place FROM (SELECT chunk_id, tenant_id, space_id, {tokens('content')} AS t FROM live)),
+        met AS (SELECT a.query_id, grp, item, excluded, p.chunk_id, place - off AS start FROM place p JOIN asked a ON a.term = p.term JOIN scope s ON s.query_id = a.query_id AND s.tenant_id = p.tenant_id AND s.space_id = p.space_id
+            GROUP BY ALL HAVING count(*) = any_value(n)),
+        need AS (SELECT query_id, grp, count(DISTINCT item) AS needed FROM able WHERE NOT excluded GROUP BY query_id, grp),
+        ok AS (SELECT m.query_id, m.grp, m.chunk_id, any_value(needed) AS needed FROM met m JOIN need n ON n.query_id = m.query_id AND n.grp = m.grp GROUP BY m.query_id, m.grp, m.chunk_id
+            HAVING count(DISTINCT CASE WHEN NOT excluded THEN item END) = any_value(needed) AND NOT bool_or(excluded)),
+        own AS (SELECT m.*, o.needed FROM met m JOIN ok o ON o.query_id = m.query_id AND o.grp = m.grp AND o.chunk_id = m.chunk_id WHERE NOT excluded),
+        pair AS (SELECT *, lag(item) OVER w AS prev, lag(start) OVER w AS prev_start FROM own WINDOW w AS (PARTITION BY query_id, grp, chunk_id ORDER BY start, item::VARCHAR)),
+        dens AS (SELECT query_id, chunk_id, sum(CASE needed WHEN 1 THEN 0.1::DOUBLE ELSE 0.1::DOUBLE / (1 + greatest(0, start - prev_start - 1)) END) AS density FROM pair WHERE needed = 1 OR prev <> item GROUP BY query_id, chunk_id),
+        lit AS (SELECT a.query_id, c.chunk_id, CASE WHEN contains(lower(title), lower(a.text)) THEN 0.95::DOUBLE ELSE 0.75 END AS literal FROM ({SEARCHES}) a JOIN scope s ON s.query_id = a.query_id
+            JOIN live c ON c.tenant_id = s.tenant_id AND c.space_id = s.space_id WHERE contains(lower(content), lower(a.text)) OR contains(lower(title), lower(a.text)))
         SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.chunk_id, d.chunk_id) AS chunk_id, round(greatest(coalesce(density, 0), coalesce(literal, 0)), 9) AS raw_score
-        FROM (SELECT * FROM lit WHERE literal > 0) l FULL JOIN dens d ON d.query_id = l.query_id AND d.chunk_id = l.chunk_id)) WHERE rank <= 40""",
-        "q", "chunk", "head", "scope",
+        FROM lit l FULL JOIN dens d ON d.query_id = l.query_id AND d.chunk_id = l.chunk_id)) WHERE rank <= 40""",
+        "live", "scope",
     ),
+    "search_syntax": f"SELECT query_id, grp::BIGINT AS grp, item::BIGINT AS item, excluded, array_to_string(words, ' ') AS words FROM ({SEARCH_PARTS})",
+    "cjk_tokens": f"SELECT doc_id, ordinal, len(t)::BIGINT AS n_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT *, {analysed('content')} AS t FROM ({CJK_LINES}))",
+    "cjk_bm25_topk": f"""SELECT query_id, chunk_id, rank, raw_score FROM (SELECT *, {TOP10.format(key='chunk_id')} FROM (SELECT query_id, chunk_id, round(raw_score, 9) AS raw_score FROM (
+        WITH line AS MATERIALIZED (SELECT chunk_id, tenant_id, {analysed('content')} AS t FROM ({CJK_LINES})), terms AS (SELECT DISTINCT query_id, tenant_id, unnest({analysed('a')}) AS term FROM (SELECT item_id AS query_id, 'tenant-' || (['en','de','es','fr'])[(item_id % 2) * (item_id % 4) + 1] AS tenant_id,
+            translate(substr(lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')), 2, 3), 'aeioustn', '依赖关かカ한系调') AS a FROM benchmark)),
+        ix AS MATERIALIZED (SELECT chunk_id, any_value(tenant_id) AS tenant_id, term, count(*)::DOUBLE AS tf, any_value(length)::DOUBLE AS length FROM (SELECT chunk_id, tenant_id, len(t) AS length, unnest(t) AS term FROM line) GROUP BY chunk_id, term),
+        st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean_length FROM line)
+        SELECT t.query_id, i.chunk_id, sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * i.tf * 2.2 / (i.tf + 1.2 * (0.25 + 0.75 * i.length / s.mean_length))) AS raw_score
+        FROM terms t JOIN ix i ON i.term = t.term AND i.tenant_id = t.tenant_id JOIN (SELECT term, count(*)::DOUBLE AS df FROM ix GROUP BY term) d ON d.term = t.term, st s GROUP BY t.query_id, i.chunk_id))) WHERE rank <= 20""",
     "bm25_topk": sql(
         f"""SELECT b.query_id, b.chunk_id, b.rank, b.raw_score FROM (SELECT *, {TOP10.format(key='chunk_id')} FROM (SELECT x.query_id, x.chunk_id, c.revision_id, round(raw_score, 9) AS raw_score FROM (
         WITH terms AS ({TERMS}), ix AS ({index_of('chunk', 'content', 'chunk_id')}), st AS ({stats_of('chunk', 'content')}) {bm25('ix', 'st', 'chunk_id')}) x {REACH})) b
