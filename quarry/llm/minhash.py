@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from quarry.llm.bloom import build_filter, held
-from quarry.llm.common import drop_stage, mix64, packed, shingles, small_batches, write_stage
+from quarry.llm.common import drop_stage, give_back, mix64, packed, shingles, small_batches, tidy, write_stage
 from quarry.llm.components import block_turns, connected_components, local_roots, named_by_smallest
 
 #: Signature length, and the chance at which a pair of exactly the asked similarity may be lost.
@@ -71,7 +71,7 @@ def describe(docs: DataFrame, size: int = 5, row_key: Column | None = None) -> D
     """doc_id, row_key (0 unless given), n_shingles, a 128-bit fingerprint of the shingle set, and its
     MinHash signature, of each row."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0).cast("long") if row_key is None else row_key).alias("row_key"), "text")
-    return read.mapInPandas(_describe(size), "doc_id long, row_key long, n_shingles long, print_a long, print_b long, sig binary")
+    return read.mapInPandas(tidy(_describe(size)), "doc_id long, row_key long, n_shingles long, print_a long, print_b long, sig binary")
 
 
 def _keys(sigs: pd.Series) -> np.ndarray:
@@ -170,7 +170,7 @@ def _linked_blocks(members: DataFrame, group: str, linked_of, block_rows: int) -
             found = {e for rows, same in zip(pdf["rows"], pdf["same"], strict=True) for e in _forest(rows, same, linked_of)}
             yield pd.DataFrame(sorted(found), columns=["node", "root"], dtype="int64")
 
-    return dealt.select("rows", (F.col("i") == F.col("j")).alias("same")).mapInPandas(run, "node long, root long")
+    return dealt.select("rows", (F.col("i") == F.col("j")).alias("same")).mapInPandas(tidy(run), "node long, root long")
 
 
 def _classes(docs: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
@@ -184,9 +184,9 @@ def _classes(docs: DataFrame, described: DataFrame, size: int, percent: int) ->
     reps = classes.select("node", "sig")
 
     counts = np.zeros(SKETCH_CELLS, np.int64)
-    for row in reps.select("sig").mapInPandas(_sketch, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH_CELLS rows at most
+    for row in reps.select("sig").mapInPandas(tidy(_sketch), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH_CELLS rows at most
         counts[row["cell"]] = row["n"]
-    posts = write_stage(reps.mapInPandas(_post(counts, COORDINATES - matches + 1), "key long, node long"), "posts")
+    posts = write_stage(reps.mapInPandas(tidy(_post(counts, COORDINATES - matches + 1)), "key long, node long"), "posts")
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = posts.join(lists, "key").join(reps, "node")
     collisions = write_stage(_linked_blocks(members, "key", _colliding(matches), BLOCK).distinct(), "collisions")
@@ -206,7 +206,9 @@ def _classes(docs: DataFrame, described: DataFrame, size: int, percent: int) ->
     @F.pandas_udf("print long, members binary")
     def sets(text: pd.Series) -> pd.DataFrame:
         found = [shingles(t, size) for t in text]
-        return pd.DataFrame({"print": [_print(h, 7) for h in found], "members": [h.tobytes() for h in found]})
+        out = pd.DataFrame({"print": [_print(h, 7) for h in found], "members": [h.tobytes() for h in found]})
+        give_back()
+        return out
 
     sets = sets.asNondeterministic()  # evaluated once, after the join
     whole = texts.select("component", "n", "node", "print_a", sets("text").alias("s")).where("s.print = print_a")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, drop_stage, small_batches, write_stage
+from quarry.llm.common import crc_mod, drop_stage, give_back, small_batches, tidy, write_stage
 
 #: Labelled rows the fit reads: those of lowest hash of doc_id.
 MAX_LABELLED = 20_000
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, co
     rows = write_stage(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled-texts")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n_pos, n_neg = max(1, total["pos"]), max(1, total["n"] - total["pos"])
-    counted = rows.select("text", "toxic").mapInPandas(_count, "gram string, neg long, pos long").groupBy("gram").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counted = rows.select("text", "toxic").mapInPandas(tidy(_count), "gram string, neg long, pos long").groupBy("gram").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p, q = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("neg") + 0.5) / (n_neg + 1.0)
     both = (F.col("pos") + F.col("neg") + 1.0) / (n_pos + n_neg + 2.0)
     z = F.abs(p - q) / F.sqrt(both * (1 - both) * (1.0 / n_pos + 1.0 / n_neg))
@@ -212,12 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, co
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "toxic": pdf["toxic"], "has": [scorer.features(words(t)) for t in pdf["text"]]})
 
-    seen = rows.mapInPandas(describe, "doc_id string, toxic int, has array<int>").collect()  # max_labelled rows at most
+    seen = rows.mapInPandas(tidy(describe), "doc_id string, toxic int, has array<int>").collect()  # max_labelled rows at most
     seen.sort(key=lambda r: r["doc_id"])  # the sums of the fit come out alike in every run
     x, products, pairs = np.zeros((len(seen), len(features)), np.float32), np.zeros((len(features), len(features))), 0
     for i, r in enumerate(seen):
         x[i, r["has"]] = 1
-    sums = rows.select("doc_id", "text").mapInPandas(_products(features), "i int, j int, total long").groupBy("i", "j").agg(F.sum("total").alias("total"))
+    sums = rows.select("doc_id", "text").mapInPandas(tidy(_products(features)), "i int, j int, total long").groupBy("i", "j").agg(F.sum("total").alias("total"))
     for r in sums.collect():  # MAX_FEATURES squared at most
         if r["i"] < 0:
             pairs = r["total"]
@@ -239,6 +239,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for texts in batches:
             sums = np.array([model.bias + model.weights[scorer.features(words(t))].sum() for t in texts])
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -50, 50))))
+        give_back()
 
     return docs.withColumn(name, scored("text"))
 
