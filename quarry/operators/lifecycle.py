@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import joined, uuid3
+from quarry.functions.text import backoff_ms
 from quarry.operators.state import enqueue, latest, revision_actions
 
 
@@ -72,26 +73,34 @@ def lease(jobs: DataFrame, taken: DataFrame, owner: str, now: str, minutes: int
     ).drop("mine")
 
 
-def settle(jobs: DataFrame, outcomes: DataFrame, owner: str, longest_attempts: int = 5) -> DataFrame:
-    """Next jobs after work: outcomes (job_id, ok) count only for RUNNING jobs under the owner's lease.
-    Done ones are SUCCEEDED, others RETRY or, at the last attempt, DEAD; their leases end. applied says
-    whether an outcome counted."""
-    rows = jobs.join(outcomes.select("job_id", "ok"), "job_id", "left")
+def settle(jobs: DataFrame, outcomes: DataFrame, owner: str, longest_attempts: int = 5, now: str | None = None) -> DataFrame:
+    """Next jobs after work: outcomes (job_id, ok, perhaps error_code) count only for RUNNING jobs under the
+    owner's lease. Done ones are SUCCEEDED; others RETRY, due again after the doubled delay of their
+    attempts, or DEAD at the last attempt, with the error's code; leases end. applied says whether an outcome
+    counted. Delays run from now, or from available_at."""
+    code = F.col("error_code") if "error_code" in outcomes.columns else F.lit(None).cast("string")
+    rows = jobs.join(outcomes.select("job_id", "ok", code.alias("new_code")), "job_id", "left")
+    if "last_error_code" not in jobs.columns:
+        rows = rows.withColumn("last_error_code", F.lit(None).cast("string"))
     counts = F.col("ok").isNotNull() & (F.col("status") == "RUNNING") & F.coalesce(F.col("lease_owner") == owner, F.lit(False))
     end = F.when(F.col("ok"), "SUCCEEDED").when(F.col("attempts") >= longest_attempts, "DEAD").otherwise("RETRY")
-    rows = rows.withColumn("applied", counts)
+    rows = rows.withColumn("applied", counts).withColumn("end", F.when(F.col("applied"), end))
+    start = F.col("available_at") if now is None else F.lit(now).cast("timestamp")
+    due = F.timestamp_millis(F.unix_millis(start) + backoff_ms(F.col("attempts")))
     return rows.withColumns(
         {
-            "status": F.when(F.col("applied"), end).otherwise(F.col("status")),
+            "status": F.coalesce("end", "status"),
+            "available_at": F.when(F.col("end") == "RETRY", due).otherwise(F.col("available_at")),
+            "last_error_code": F.when(~F.col("applied"), F.col("last_error_code")).when(~F.col("ok"), F.col("new_code")),
             "lease_owner": F.when(~F.col("applied"), F.col("lease_owner")),
             "lease_until": F.when(~F.col("applied"), F.col("lease_until")),
         }
-    ).drop("ok")
+    ).drop("ok", "new_code", "end")
 
 
 def sync_counts(records: DataFrame) -> DataFrame:
     """records(run_id, batch, changed, failed) of connector runs: the batches before the first failed one
-    are checkpoints; a failed run reports no counts."""
+    are checkpoints (none if it is the first); a failed run reports no counts."""
     batches = records.groupBy("run_id", "batch").agg(F.count(F.lit(1)).alias("seen"), F.count_if("changed").alias("changed"), F.bool_or("failed").alias("failed"))
     runs = batches.groupBy("run_id").agg(
         F.sum("seen").alias("seen"),
@@ -106,7 +115,7 @@ def sync_counts(records: DataFrame) -> DataFrame:
         F.when(F.col("failed"), "FAILED").otherwise("SUCCEEDED").alias("status"),
         count("seen").alias("records_seen"),
         count("changed").alias("records_changed"),
-        F.when(F.col("failed"), F.col("stop") - 1).otherwise(F.col("last")).cast("long").alias("checkpoint"),
+        F.when(F.col("failed"), F.when(F.col("stop") > 0, F.col("stop") - 1)).otherwise(F.col("last")).cast("long").alias("checkpoint"),
         F.when(F.col("failed"), "CONNECTOR_SYNC_FAILED").alias("error_code"),
     )
 

@@ -3,14 +3,21 @@ whole catalogue."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import sha256
 from quarry.functions.text import tokens
-from quarry.operators import access, evaluation, gateway, lifecycle, state
+from quarry.operators import access, evaluation, gateway, generations, lifecycle, publishing, retrieval, state
+from quarry.operators.vectors import Contract
 from quarry.plans.catalogue import NOW, QUERIES, big, evaluation_parts, everything, query, r9, tables_of
 from quarry.plans.model import Model
+from quarry.sources import registry
+from quarry.sources.shared import shared_dir, staged
+from quarry.sources.snapshot import SnapshotStore
+from quarry.streaming import projection, sync
 
 __all__ = ["QUERIES"]
 OWNER = "worker-1"
@@ -70,9 +77,11 @@ def job_lease(m: Model) -> DataFrame:
 
 @query
 def job_settle(m: Model) -> DataFrame:
-    """Two of three jobs report an outcome, whoever holds them; only the owner's count."""
-    outcomes = m.jobs.where("job_id % 3 <> 0").select("job_id", (F.col("job_id") % 2 == 0).alias("ok"))
-    return lifecycle.settle(leased(m), outcomes, OWNER).select("job_id", "status", "attempts", "lease_owner", "applied")
+    """Two of three jobs report an outcome, whoever holds them; only the owner's count. What fails is due
+    again after a delay."""
+    outcomes = m.jobs.where("job_id % 3 <> 0").select("job_id", (F.col("job_id") % 2 == 0).alias("ok"), F.lit("PROJECTION_FAILED").alias("error_code"))
+    done = lifecycle.settle(leased(m), outcomes, OWNER, now=NOW)
+    return done.select("job_id", "status", "attempts", "lease_owner", "applied", "last_error_code", F.unix_millis("available_at").alias("available_ms"))
 
 
 @query
@@ -229,6 +238,137 @@ def retrieve_bundles(m: Model) -> DataFrame:
     return found.select("query_id", "outcome", big("n_evidence", "n_evidence"), F.coalesce(ids, F.lit("")).alias("evidence_ids"), "sufficient")
 
 
+def store_of(m: Model, tables: dict) -> SnapshotStore:
+    """A store of its own for each call, in the shared folder."""
+    return SnapshotStore(m.spark, f"{shared_dir(m.spark)}/quarry-store-{uuid.uuid4().hex}", tables)
+
+
+def source_records(m: Model, title: str = "Doc ", more: str = "") -> DataFrame:
+    """Documents as source records of one space and connector."""
+    number = F.col("doc_id").cast("string")
+    return m.raw("documents").select(
+        "doc_id",
+        F.lit("tenant-a").alias("tenant_id"),
+        F.lit("engineering").alias("space_id"),
+        F.lit("c1").alias("connector_id"),
+        number.alias("external_id"),
+        F.lit("API").alias("source_type"),
+        F.concat(F.lit("https://example.org/"), number).alias("source_uri"),
+        F.concat(F.lit(title), number).alias("title"),
+        F.lit(50).alias("authority"),
+        F.lit("{}").alias("metadata"),
+        F.lit("text/markdown").alias("media_type"),
+        F.coalesce("lang", F.lit("und")).alias("language"),
+        F.concat("text", F.lit(more)).alias("content"),
+        F.lit(None).cast("timestamp").alias("modified_at"),
+        F.lit(False).alias("deleted"),
+    )
+
+
+def three_batches(m: Model, tables: dict) -> SnapshotStore:
+    """Batch 0 has all documents; batch 1 new titles and new texts by number, and is begun twice (the first
+    attempt dies before its commit) and delivered twice; batch 2 has first texts again."""
+    store = store_of(m, tables)
+    turn = F.col("doc_id") % 4
+    second = source_records(m).where(turn == 0).unionByName(source_records(m, title="New ").where(turn == 1)).unionByName(source_records(m, more="\nmore").where(turn == 3))
+    lost = source_records(m, title="Lost ", more="\nlost")
+    for number, rows, ends in ((0, source_records(m), True), (1, lost, False), (1, second, True), (1, lost, True), (2, source_records(m).where("doc_id % 8 = 3"), True)):
+        txn = store.begin("batches", number)
+        publishing.publish(txn, rows.drop("doc_id"), NOW)
+        if ends and not txn.done:
+            txn.commit()
+    return store
+
+
+@query
+def snapshot_publish(m: Model) -> DataFrame:
+    """What the store holds after three_batches(): heads, revisions, jobs, and the letters of the head's
+    chunks in their order."""
+    store = three_batches(m, publishing.TABLES)
+    revisions = store.read("revisions")
+    heads = store.read("documents").select(F.col("external_id").cast("long").alias("doc_id"), "document_id", "version", "title", F.col("active_revision_id").alias("revision_id"))
+    counted = revisions.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_revisions"))
+    jobs = store.read("jobs").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_jobs"))
+    plain = F.regexp_replace("content", r"[^\p{L}\p{N}]", "")
+    chunks = store.read("chunks").groupBy("revision_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", plain.alias("content")))).alias("parts"))
+    rows = heads.join(revisions.select("revision_id", "revision_number"), "revision_id").join(counted, "document_id").join(jobs, "document_id").join(chunks, "revision_id")
+    return rows.select("doc_id", "version", "revision_number", "title", "n_revisions", "n_jobs", F.md5(F.array_join("parts.content", "").cast("binary")).alias("letters"))
+
+
+@query
+def snapshot_results(m: Model) -> DataFrame:
+    """What each batch did, of the results that were stored with it."""
+    return three_batches(m, publishing.TABLES).read("results").groupBy("batch", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def connector_pages(m: Model) -> DataFrame:
+    """A run that fails at its second page, one that goes on behind the first, and one that finds
+    everything known."""
+    store, n = store_of(m, sync.SYNC_TABLES), m.raw("documents").count()
+    definition = registry.Definition("c1", "TABLE", "tenant-a", "engineering")
+    connector = registry.TableConnector(definition, source_records(m).drop("doc_id"), ["external_id"])
+    size = min(registry.LONGEST_PAGE, max(1, -(-n // 3)))
+    pull = connector.pull
+    connector.pull = lambda offset, limit: pull(offset, limit) if offset == 0 else pull(-1, limit)
+    try:
+        sync.synchronize(store, connector, "2024-01-01 00:00:00", size)
+    except ValueError:  # of the second page
+        connector.pull = pull
+    for now in ("2024-01-02 00:00:00", "2024-01-03 00:00:00"):
+        sync.synchronize(store, connector, now, size)
+    place = (F.dayofmonth("started_at") - 1).alias("run_id")
+    return store.read("sync_runs").select(place, "status", "records_seen", "records_changed", "error_code", F.lit(n).cast("long").alias("documents"))
+
+
+@query
+def projection_worker(m: Model) -> DataFrame:
+    """The keyword jobs of three_batches() worked off: what the index holds of each head, and its jobs."""
+    store = three_batches(m, projection.PROJECTION_TABLES)
+    projection.drain(store, OWNER, NOW, limit=1_000_000)
+    index = store.read("keyword_index").groupBy("revision_id").agg(F.sum(F.size("terms")).cast("long").alias("n_terms"))
+    jobs = store.read("jobs").where("projection_type = 'KEYWORD'").groupBy("document_id").agg(F.min("status").alias("low"), F.max("status").alias("status"), F.count(F.lit(1)).alias("n_jobs")).where("low = status")
+    heads = store.read("documents").select(F.col("external_id").cast("long").alias("doc_id"), "document_id", F.col("active_revision_id").alias("revision_id"))
+    rows = heads.join(index, "revision_id").join(jobs, "document_id").join(store.read("revisions").select("revision_id", "revision_number"), "revision_id")
+    return rows.select("doc_id", "revision_number", "n_terms", "status", "n_jobs")
+
+
+def switched(m: Model) -> tuple[SnapshotStore, list[tuple[str, int]]]:
+    """A store whose spaces change from vectors of 64 numbers to their first 32, and the versions before,
+    while the new ones are there but not active, and after."""
+    store, vectors = store_of(m, generations.TABLES), staged(m.vectors.select("tenant_id", "space_id", "chunk_id", "vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
+    phases = []
+    for number, (dims, phase) in enumerate(((64, "BEFORE"), (32, "BUILDING"))):
+        contract, txn = Contract("given", f"first-{dims}", dims), store.begin("generations", number)
+        made = generations.resolve(txn, vectors.select("tenant_id", "space_id").distinct(), contract, NOW)
+        generations.add_vectors(txn, made, vectors.withColumn("embedding", F.slice("embedding", 1, dims)), contract)
+        phases.append((phase, txn.commit()))
+    txn = store.begin("generations", 2)
+    generations.activate(txn, made)
+    return store, [*phases, ("AFTER", txn.commit())]
+
+
+@query
+def generation_switch(m: Model) -> DataFrame:
+    """The nearest vectors before, during and after a switch of generations; only the active one answers."""
+    store, phases = switched(m)
+    out = None
+    for phase, version in phases:
+        rows = staged(generations.active_vectors(store, version), "active")
+        asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("chunk_id").alias("self_id"), "tenant_id", "space_id", F.col("embedding").alias("vector"))
+        found = retrieval.vector_search(asked, rows, 5).select(F.lit(phase).alias("phase"), "query_id", "vec_id", big("rank", "rank"), r9("score", "score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def generation_states(m: Model) -> DataFrame:
+    """All generations after the switch, and their vectors."""
+    store, _ = switched(m)
+    n = store.read("vectors").groupBy("tenant_id", "space_id", "generation_id").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).cast("long").alias("dims"))
+    return store.read("generations").join(n, ["tenant_id", "space_id", "generation_id"]).select("tenant_id", "space_id", "dims", "status", "vectors")
+
+
 def straying(m: Model):
     """A channel that also gives every fifth query a chunk of another tenant."""
 

@@ -52,12 +52,14 @@ ORACLES["ingest_results"] = sql(
 )
 ORACLES["job_lease"] = sql(f"SELECT * FROM {LEASED}", "job")
 ORACLES["job_settle"] = sql(
-    f"""SELECT job_id, CASE WHEN NOT applied THEN status WHEN job_id % 2 = 0 THEN 'SUCCEEDED' WHEN attempts >= 5 THEN 'DEAD' ELSE 'RETRY' END AS status, attempts,
-        CASE WHEN NOT applied THEN lease_owner END AS lease_owner, applied FROM (SELECT *, job_id % 3 <> 0 AND status = 'RUNNING' AND coalesce(lease_owner = 'worker-1', false) AS applied FROM {LEASED})""",
+    f"""SELECT job_id, status, attempts, lease_owner, applied, last_error_code, CASE WHEN status = 'RETRY' AND applied THEN epoch_ms({NOW}) + least(300000, 2000 * pow(2, greatest(attempts - 1, 0)))::BIGINT ELSE epoch_us(available_at) // 1000 END AS available_ms FROM (
+        SELECT job_id, CASE WHEN NOT applied THEN status WHEN job_id % 2 = 0 THEN 'SUCCEEDED' WHEN attempts >= 5 THEN 'DEAD' ELSE 'RETRY' END AS status, attempts, available_at,
+        CASE WHEN NOT applied THEN lease_owner END AS lease_owner, CASE WHEN applied AND job_id % 2 <> 0 THEN 'PROJECTION_FAILED' END AS last_error_code, applied
+        FROM (SELECT l.*, j.available_at, l.job_id % 3 <> 0 AND l.status = 'RUNNING' AND coalesce(l.lease_owner = 'worker-1', false) AS applied FROM {LEASED} l JOIN job j ON j.job_id = l.job_id))""",
     "job",
 )
 ORACLES["connector_sync_runs"] = """SELECT l_orderkey AS run_id, CASE WHEN bad THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN bad THEN 0 ELSE seen END::BIGINT AS records_seen,
-    CASE WHEN bad THEN 0 ELSE changed END::BIGINT AS records_changed, CASE WHEN bad THEN stop - 1 ELSE last END::BIGINT AS checkpoint, CASE WHEN bad THEN 'CONNECTOR_SYNC_FAILED' END AS error_code FROM (
+    CASE WHEN bad THEN 0 ELSE changed END::BIGINT AS records_changed, CASE WHEN NOT bad THEN last WHEN stop > 0 THEN stop - 1 END::BIGINT AS checkpoint, CASE WHEN bad THEN 'CONNECTOR_SYNC_FAILED' END AS error_code FROM (
     SELECT l_orderkey, count(*) AS seen, count(*) FILTER (WHERE l_returnflag = 'R') AS changed, bool_or(l_quantity >= 48) AS bad, max((l_linenumber - 1) // 2) AS last,
         min(CASE WHEN l_quantity >= 48 THEN (l_linenumber - 1) // 2 END) AS stop FROM lineitem GROUP BY l_orderkey)"""
 ORACLES["principals_provisioned"] = sql(
@@ -153,3 +155,23 @@ ORACLES["retrieve_straying"] = sql(
     "evid", "scope",
     novector="AND false",
 )
+LETTERS = r"'[^\p{L}\p{N}]'"
+ORACLES["snapshot_publish"] = rf"""SELECT doc_id, CASE WHEN doc_id % 8 = 3 THEN 3 WHEN doc_id % 4 IN (1, 3) THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN doc_id % 8 = 7 THEN 2 ELSE 1 END::BIGINT AS revision_number,
+    CASE WHEN doc_id % 4 = 1 THEN 'New ' ELSE 'Doc ' END || doc_id AS title, CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END::BIGINT AS n_revisions, CASE WHEN doc_id % 4 = 3 THEN 4 ELSE 2 END::BIGINT AS n_jobs,
+    md5(regexp_replace(text || CASE WHEN doc_id % 8 = 7 THEN chr(10) || 'more' ELSE '' END, {LETTERS}, '', 'g')) AS letters
+    FROM documents WHERE regexp_matches(text, '\S')"""
+ORACLES["snapshot_results"] = r"""SELECT batch::BIGINT AS batch, action, count(*) AS n FROM (SELECT 0 AS batch, CASE WHEN regexp_matches(text, '\S') THEN 'CREATE' ELSE 'REJECTED' END AS action FROM documents
+    UNION ALL SELECT 1, CASE WHEN NOT regexp_matches(text, '\S') THEN 'REJECTED' WHEN doc_id % 4 = 1 THEN 'METADATA' WHEN doc_id % 4 = 3 THEN 'CREATE' ELSE 'NONE' END FROM documents WHERE doc_id % 4 <> 2
+    UNION ALL SELECT 2, CASE WHEN NOT regexp_matches(text, '\S') THEN 'REJECTED' ELSE 'REACTIVATE' END FROM documents WHERE doc_id % 8 = 3) GROUP BY ALL"""
+ORACLES["connector_pages"] = r"""SELECT n.run_id, status, seen::BIGINT AS records_seen, changed::BIGINT AS records_changed, error_code, (SELECT count(*) FROM documents)::BIGINT AS documents FROM (SELECT 0 AS run_id, 'FAILED' AS status, NULL::BIGINT AS seen, NULL::BIGINT AS changed, 'CONNECTOR_SYNC_FAILED' AS error_code
+    UNION ALL SELECT 1, 'SUCCEEDED', (SELECT count(*) FROM documents), (SELECT count(*) FROM documents WHERE regexp_matches(text, '\S')), NULL
+    UNION ALL SELECT 2, 'SUCCEEDED', (SELECT count(*) FROM documents), 0, NULL) n"""
+ORACLES["projection_worker"] = rf"""SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN 2 ELSE 1 END::BIGINT AS revision_number, len({tokens("text || CASE WHEN doc_id % 8 = 7 THEN chr(10) || 'more' ELSE '' END")})::BIGINT AS n_terms, 'SUCCEEDED' AS status,
+    CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END::BIGINT AS n_jobs FROM documents WHERE regexp_matches(text, '\S')"""
+ORACLES["generation_switch"] = sql(
+    """SELECT phase, query_id, vec_id, rank, round(least(1.0, greatest(0.0, raw)), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY phase, query_id ORDER BY raw DESC, chunk_id) AS rank FROM (
+        SELECT p.phase, a.vec_id AS query_id, b.vec_id, b.chunk_id, CASE p.phase WHEN 'AFTER' THEN list_cosine_similarity(b.embedding[1:32], a.embedding[1:32]) ELSE list_cosine_similarity(b.embedding, a.embedding) END AS raw
+        FROM vec a JOIN vec b ON b.tenant_id = a.tenant_id AND b.space_id = a.space_id AND b.vec_id <> a.vec_id, (VALUES ('BEFORE'), ('BUILDING'), ('AFTER')) p(phase) WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""",
+    "vec",
+)
+ORACLES["generation_states"] = sql("SELECT tenant_id, space_id, dims::BIGINT AS dims, CASE dims WHEN 64 THEN 'RETIRED' ELSE 'ACTIVE' END AS status, count(*) AS vectors FROM vec, (VALUES (64), (32)) d(dims) GROUP BY ALL", "vec")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quarry.functions.ids import UNIT_SEPARATOR
+from quarry.sources.shared import staged
 from quarry.sources.vault import LONGEST_FILE, note_columns
 
 IGNORED = (".obsidian", ".git", ".trash")
@@ -218,6 +219,32 @@ class VaultConnector:
         )
 
 
+class TableConnector:
+    """Records of a table, in an order that is frozen when it is opened: written once, numbered by what the
+    parts before theirs hold, so that no task sees them all."""
+
+    def __init__(self, definition: Definition, records: DataFrame, order: list[str]):
+        self.definition = definition
+        place = F.monotonically_increasing_id()
+        rows = staged(records.orderBy(*order).withColumn("place", place), "snapshot")
+        sizes = rows.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a task
+        before, self.n = [], 0
+        for r in sizes:
+            before.append((r["part"], self.n))
+            self.n += r["n"]
+        starts = records.sparkSession.createDataFrame(before, "part long, before long")
+        inner = F.col("place").bitwiseAND((1 << 33) - 1)
+        self.rows = rows.join(F.broadcast(starts), F.shiftright("place", 33) == F.col("part")).withColumn("number", F.col("before") + inner).drop("place", "part", "before")
+        self.snapshot_id = hashlib.sha256(repr([definition.connector_id, rows.inputFiles()[:1], self.n]).encode()).hexdigest()
+
+    def pull(self, offset: int, limit: int) -> Page:
+        if not 1 <= limit <= LONGEST_PAGE or not 0 <= offset <= self.n:
+            raise ValueError(f"offset from 0 to {self.n}, limit from 1 to {LONGEST_PAGE}")
+        end = min(self.n, offset + limit)
+        page = self.rows.where((F.col("number") >= offset) & (F.col("number") < end)).drop("number")
+        return Page(page, end if end < self.n else 0, end < self.n)
+
+
 class SourceRegistry:
     """One provider for each connector type."""
 

@@ -137,11 +137,12 @@ class Transaction:
         return self.store._merged(name, self.base["parts"].get(name, []))
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write rows (their columns by name) and give what was written, for later tables to build on."""
+        """Write rows (their columns by name; those they lack are null) and give what was written, for later
+        tables to build on."""
         spec = self.store.tables[name]
         columns = self.store.spark.createDataFrame([], spec.schema).schema
         part = f"{name}/{uuid.uuid4().hex}"
-        own = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
+        own = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
         own.withColumn(VERSION, F.lit(self.base["version"] + 1).cast("long")).write.parquet(f"{self.store.root}/{part}")
         self.written.setdefault(name, []).append(part)
         return self.store.spark.read.schema(columns).parquet(f"{self.store.root}/{part}")
