@@ -26,8 +26,8 @@ parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM split),
 named AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') END AS canon FROM parts),
 rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS said FROM named, rules
-    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+best AS (SELECT page_id, h || p AS rule, verdict AS said FROM named, rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p, verdict) = 1)
 SELECT n.page_id, host, path, rule, coalesce(said, CASE WHEN canon IN (SELECT canon FROM named WHERE contains(url, 'utm_source=') AND canon IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
 FROM named n LEFT JOIN best b ON b.page_id = n.page_id"""
 

@@ -34,7 +34,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
 
     rules are (verdict, host, path), MAX_RULES at most: one fits its host and all subdomains where
     the url's path starts with its own; of several the longest host + path wins, then the first by
-    code point. listed has a column url: pages whose canonical form is that of a listed url are
+    code point, then allow. listed has a column url: pages whose canonical form is that of a listed url are
     blocked unless a rule fits; all others are allowed. A null url, or one without ://, has empty
     host and path and is allowed. Null or malformed listed urls are ignored, repeated ones count
     once. Extra columns of pages pass through; those named like an added column are replaced.
@@ -67,8 +67,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     probed = write_stage(asked.withColumn("maybe", possible(bloom, spark)("asked")).where(F.array_contains("maybe", True)).drop("asked"), "possible")
     keys = F.filter("rule_keys", lambda k, i: F.get("maybe", i + 1))
     by_rule = probed.select("of_url", F.explode(keys).alias("rule_key")).join(F.broadcast(rule_df), "rule_key")
-    by_rule = by_rule.select("of_url", F.struct(F.length("rule_key").alias("n"), "rule_key", "rule_verdict").alias("r"))
-    by_rule = by_rule.groupBy("of_url").agg(F.max_by("r", F.struct("r.n", "r.rule_key")).alias("r"))
+    by_rule = by_rule.groupBy("of_url").agg(F.min(F.struct(-F.length("rule_key"), "rule_key", "rule_verdict")).alias("r"))
     by_list = probed.where(F.get("maybe", F.lit(0)) & F.col("canon").isNotNull()).join(known, F.col("canon") == F.col("listed_key"), "left_semi")
     found = by_rule.select("of_url", F.col("r.rule_key").alias("rule"), F.col("r.rule_verdict").alias("said")).union(by_list.select("of_url", F.lit(None).cast("string"), F.lit("block")))
     found = found.groupBy("of_url").agg(F.max("rule").alias("rule"), F.max_by("said", F.col("rule").isNotNull()).alias("said"))

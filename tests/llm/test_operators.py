@@ -583,3 +583,11 @@ def test_copies_have_draws_by_number_whatever_the_partitions(spark):
     # the first copy is what a single row gets
     plain = {(str(r["doc_id"]), r["text"] or ""): tuple(r["ids"] or ()) for r in sentencepiece_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, 0.1, 17).collect()}
     assert all(found[0][1] == plain[key] for key, found in by_row.items())
+
+
+def test_rules_of_equal_length_go_by_code_point(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.org/xyz"), (2, "http://c.org/x"), (3, "http://b.org/xz")], "page_id long, url string")
+    listed = spark.createDataFrame([], "url string")
+    rules = [("allow", "b.org", "/xy"), ("block", "a.b.org", "/"), ("block", "c.org", "/"), ("allow", "c.org", "/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, listed).collect()}
+    assert got == {1: ("a.b.org/", "block"), 2: ("c.org/", "allow"), 3: (None, "allow")}
