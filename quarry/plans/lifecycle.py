@@ -109,11 +109,13 @@ def spaces_provisioned(m: Model) -> DataFrame:
 
 @query
 def document_lookup(m: Model) -> DataFrame:
-    """Documents by source key; the key of every tenth pair of documents is asked in another tenant."""
+    """Documents by source key: the key of every tenth is asked in another tenant, and every thirtieth
+    (by remainder 7) is there twice, under another id."""
     tenant = F.when(F.col("doc_id") % 10 == 0, "tenant-none").otherwise(F.col("tenant_id"))
     asked = m.documents.select("doc_id", tenant.alias("tenant_id"), "space_id", "connector_id", "external_id")
     key = ["tenant_id", "space_id", "connector_id", "external_id"]
-    found = m.documents.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("document_id"))
+    twice = m.documents.where("doc_id % 30 = 7").withColumn("document_id", F.concat("document_id", F.lit("-2")))
+    found = m.documents.unionByName(twice).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("document_id"))
     rows = asked.join(found, key, "left")
     return rows.select("doc_id", F.when(F.col("n") == 1, F.col("document_id")).alias("document_id"), (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous"))
 
@@ -138,9 +140,12 @@ def keyword_projection(m: Model) -> DataFrame:
 
 @query
 def vector_projection(m: Model) -> DataFrame:
-    """Finite vectors under the collection of their space's generation."""
+    """Finite vectors under the collection of their space's generation. By number some have become null,
+    empty, or hold null, infinity or no number."""
+    turn, first = F.col("vec_id") % 13, lambda x: F.concat(F.array(x.cast("float")), F.slice("embedding", 2, 1000))
+    bad = F.when(turn == 1, F.lit(None)).when(turn == 2, F.array().cast("array<float>")).when(turn == 3, first(F.lit(None))).when(turn == 4, first(F.lit("Infinity"))).when(turn == 5, first(F.lit("NaN")))
     name = F.concat(F.lit("Quarry "), "tenant_id", F.lit("--"), "space_id", F.lit("__64 "))
-    rows = m.vectors.where(lifecycle.finite(F.col("embedding")))
+    rows = m.vectors.withColumn("embedding", F.when(turn.between(1, 5), bad).otherwise(F.col("embedding"))).where(lifecycle.finite(F.col("embedding")))
     return rows.select(lifecycle.projection_key("tenant_id", "chunk_id").alias("key"), "vec_id", lifecycle.safe_identifier(name).alias("collection"))
 
 
@@ -326,11 +331,11 @@ def projection_worker(m: Model) -> DataFrame:
     """The keyword jobs of three_batches() worked off: what the index holds of each head, and its jobs."""
     store = three_batches(m, projection.PROJECTION_TABLES)
     projection.drain(store, OWNER, NOW, limit=1_000_000)
-    index = store.read("keyword_index").groupBy("revision_id").agg(F.sum(F.size("terms")).cast("long").alias("n_terms"))
+    index = store.read("keyword_index").groupBy("revision_id").agg(F.sum(F.length(F.array_join("terms", ""))).cast("long").alias("n_letters"))
     jobs = store.read("jobs").where("projection_type = 'KEYWORD'").groupBy("document_id").agg(F.min("status").alias("low"), F.max("status").alias("status"), F.count(F.lit(1)).alias("n_jobs")).where("low = status")
     heads = store.read("documents").select(F.col("external_id").cast("long").alias("doc_id"), "document_id", F.col("active_revision_id").alias("revision_id"))
     rows = heads.join(index, "revision_id").join(jobs, "document_id").join(store.read("revisions").select("revision_id", "revision_number"), "revision_id")
-    return rows.select("doc_id", "revision_number", "n_terms", "status", "n_jobs")
+    return rows.select("doc_id", "revision_number", "n_letters", "status", "n_jobs")
 
 
 def switched(m: Model) -> tuple[SnapshotStore, list[tuple[str, int]]]:

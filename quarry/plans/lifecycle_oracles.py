@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans.oracles import ORACLES, sql, tokens, uuid3
+from quarry.plans.oracles import ELEMENTS, ORACLES, sql, tokens, uuid3
 
 __all__ = ["ORACLES"]
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -73,7 +73,7 @@ ORACLES["spaces_provisioned"] = sql(
         UNION ALL SELECT DISTINCT tenant_id, 'space-new', 'New', 'ACTIVE' FROM space""",
     "space",
 )
-ORACLES["document_lookup"] = sql("SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN document_id END AS document_id, false AS ambiguous FROM kdoc", "kdoc")
+ORACLES["document_lookup"] = sql("SELECT doc_id, CASE WHEN doc_id % 10 <> 0 AND doc_id % 30 <> 7 THEN document_id END AS document_id, doc_id % 30 = 7 AS ambiguous FROM kdoc", "kdoc")
 ORACLES["projection_source"] = sql(
     """SELECT c.chunk_id, c.ordinal::BIGINT AS ordinal, '{"space":"' || c.space_id || '","language":"' || coalesce(c.language, 'und') || '"}' AS metadata
         FROM chunk c JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE'""",
@@ -82,7 +82,7 @@ ORACLES["projection_source"] = sql(
 ORACLES["keyword_projection"] = sql(f"SELECT {KEY} AS key, c.chunk_id, len({tokens('c.content')})::BIGINT AS length FROM chunk c JOIN head h ON h.revision_id = c.revision_id AND h.status = 'ACTIVE'", "chunk", "head")
 ORACLES["vector_projection"] = sql(
     rf"""SELECT {KEY} AS key, vec_id, trim(regexp_replace(lower('Quarry ' || tenant_id || '--' || space_id || '__64 '), '[^a-z0-9]+', '_', 'g'), '_') AS collection
-        FROM vec c WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0""",
+        FROM vec c WHERE vec_id % 13 NOT BETWEEN 1 AND 5 AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0""",
     "vec",
 )
 ORACLES["trace_sink"] = """SELECT user_id, event_type, event_id FROM events
@@ -166,7 +166,7 @@ ORACLES["snapshot_results"] = r"""SELECT batch::BIGINT AS batch, action, count(*
 ORACLES["connector_pages"] = r"""SELECT n.run_id, status, seen::BIGINT AS records_seen, changed::BIGINT AS records_changed, error_code, (SELECT count(*) FROM documents)::BIGINT AS documents FROM (SELECT 0 AS run_id, 'FAILED' AS status, NULL::BIGINT AS seen, NULL::BIGINT AS changed, 'CONNECTOR_SYNC_FAILED' AS error_code
     UNION ALL SELECT 1, 'SUCCEEDED', (SELECT count(*) FROM documents), (SELECT count(*) FROM documents WHERE regexp_matches(text, '\S')), NULL
     UNION ALL SELECT 2, 'SUCCEEDED', (SELECT count(*) FROM documents), 0, NULL) n"""
-ORACLES["projection_worker"] = rf"""SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN 2 ELSE 1 END::BIGINT AS revision_number, len({tokens("text || CASE WHEN doc_id % 8 = 7 THEN chr(10) || 'more' ELSE '' END")})::BIGINT AS n_terms, 'SUCCEEDED' AS status,
+ORACLES["projection_worker"] = rf"""SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN 2 ELSE 1 END::BIGINT AS revision_number, length(array_to_string({tokens("text || CASE WHEN doc_id % 8 = 7 THEN chr(10) || 'more' ELSE '' END")}, ''))::BIGINT AS n_letters, 'SUCCEEDED' AS status,
     CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END::BIGINT AS n_jobs FROM documents WHERE regexp_matches(text, '\S')"""
 ORACLES["generation_switch"] = sql(
     """SELECT phase, query_id, vec_id, rank, round(least(1.0, greatest(0.0, raw)), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY phase, query_id ORDER BY raw DESC, chunk_id) AS rank FROM (
@@ -175,3 +175,4 @@ ORACLES["generation_switch"] = sql(
     "vec",
 )
 ORACLES["generation_states"] = sql("SELECT tenant_id, space_id, dims::BIGINT AS dims, CASE dims WHEN 64 THEN 'RETIRED' ELSE 'ACTIVE' END AS status, count(*) AS vectors FROM vec, (VALUES (64), (32)) d(dims) GROUP BY ALL", "vec")
+ORACLES["markdown_elements"] = ELEMENTS
