@@ -67,15 +67,42 @@ def _listed(pivots: dict[int, tuple[np.ndarray, float]], n_pivots: int, cosine:
                 k = min(PREFIX, cosines.shape[1])
                 top = np.argpartition(-cosines, k - 1, axis=1)[:, :k].astype(np.int32)
                 close = np.take_along_axis(cosines, top, axis=1)
+                order = np.argsort(-close, axis=1, kind="stable")  # nearest first
+                top, close = np.take_along_axis(top, order, axis=1), np.take_along_axis(close, order, axis=1)
                 # a vector close to a pivot meets all its links there, and needs no list of far pivots
-                listed = (close >= near) | (close.max(axis=1) < own)[:, None]
-                yield part[["node", "copies", "label", "dim"]].assign(unit=list(x), prefix=[t[m] for t, m in zip(top, listed, strict=True)])
+                sparse = close[:, 0] < own
+                listed = (close >= near) | sparse[:, None]
+                angles = np.arccos(np.clip(close, -1, 1))
+                # every pivot within its radius lists the vector
+                radius = angles[:, -1] if k < cosines.shape[1] else np.full(len(part), np.pi)
+                radius = np.where(sparse, radius, np.minimum(radius, np.arccos(near)))
+                rows = zip(top, angles.astype(np.float32), listed, strict=True)
+                prefix, far = zip(*[(t[m], a[m]) for t, a, m in rows], strict=True)
+                yield part[["node", "copies", "label", "dim"]].assign(unit=list(x), prefix=list(prefix), angles=list(far), radius=radius)
 
     return run
 
 
+def _incidence(part: pd.DataFrame, names: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(part), len(names)), np.float32)
+    rows = np.repeat(np.arange(len(part)), part["prefix"].map(len))
+    out[rows, np.searchsorted(names, np.concatenate(part["prefix"].to_numpy()))] = 1
+    return out
+
+
+def _needed(part: pd.DataFrame, other: pd.DataFrame, angle: float) -> np.ndarray:
+    """How many of its pivots a vector shares at least with another that is within the angle: all those
+    that are nearer than the other's radius less the angle."""
+    angles = np.full((len(part), PREFIX), np.inf, np.float32)
+    for i, a in enumerate(part["angles"]):
+        angles[i, : len(a)] = a
+    bound = (other["radius"].to_numpy() - angle - 1e-5).astype(np.float32)
+    return sum((angles[:, k][:, None] <= bound[None, :]).astype(np.int8) for k in range(PREFIX))
+
+
 def _links(cosine: float):
     """Within one block pair of one list: links found here and in no list of an earlier pivot."""
+    angle = float(np.arccos(min(1.0, cosine)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
@@ -83,17 +110,14 @@ def _links(cosine: float):
         empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return empty
-        pivot = pdf["pivot"].iloc[0]
         names = np.unique(np.concatenate(pdf["prefix"].to_numpy()))
-        names = names[names < pivot]
-
-        def earlier(part: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(part), len(names)), np.float32)
-            rows, own = np.repeat(np.arange(len(part)), part["prefix"].map(len)), np.concatenate(part["prefix"].to_numpy())
-            out[rows[own < pivot], np.searchsorted(names, own[own < pivot])] = 1
-            return out
-
-        candidate = earlier(left) @ earlier(right).T == 0
+        a, b = _incidence(left, names), _incidence(right, names)
+        before = int(np.searchsorted(names, pdf["pivot"].iloc[0]))
+        # a pair is met at the first pivot it shares, and is a candidate if it shares as many as links do
+        candidate = a[:, :before] @ b[:, :before].T == 0
+        candidate &= a @ b.T >= np.maximum(_needed(left, right, angle), _needed(right, left, angle).T)
+        if not candidate.any():
+            return empty
         x, y = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
         linked = candidate & (x @ y.T >= cosine) & (left["node"].to_numpy()[:, None] != right["node"].to_numpy()[None, :])
         if not linked.any():
@@ -118,9 +142,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     vectors are linked and are compared once; repeated rows count as vectors of their own, and rows
     of one vec_id with different vectors have links and a component each. Other columns are ignored.
 
-    Each vector is described by its PREFIX nearest pivots; pivots are kept apart. Rows meet in the
-    inverted list of a pivot (within label), in blocks, and all pairs of a list are verified, at the
-    first pivot they share. No link is lost of a vector close to a pivot (see _reach), so none within
+    Each vector is described by its PREFIX nearest pivots in their order; pivots are kept apart. Rows meet in
+    the inverted list of a pivot (within label), in blocks, at the first pivot they share. Their shared
+    pivots are counted: by the triangle inequality a link shares every pivot of one end that is nearer than the
+    other's farthest listed one less the link's angle, so that pairs with fewer are no links, and
+    only the others are verified. No link is lost of a vector close to a pivot (see _reach), so none within
     a tight group that has one; other pairs are lost if they share none of PREFIX pivots. Neither
     links nor vectors go to the driver, apart from the sample. A block gives sums of links and a
     spanning forest, not pairs.
@@ -145,13 +171,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     n_pivots = int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, 4 * classes.count() ** 0.5)))
     sample = classes.orderBy(F.xxhash64("id"), "id", "h1").limit(n_pivots).select("dim", "embedding").toPandas()
     pivots = {int(d): _thin(_unit(part["embedding"])) for d, part in sample.groupby("dim") if len(part) >= PREFIX}
-    fields = "node long, copies long, label string, dim int, unit array<double>, prefix array<int>"
+    fields = "node long, copies long, label string, dim int, unit array<double>, prefix array<int>, angles array<float>, radius double"
     listed = write_stage(classes.select("node", "copies", "label", "dim", "embedding").mapInPandas(_listed(pivots, n_pivots, cosine), fields), "prefixes")
-    posts = listed.select("node", "copies", "label", "dim", "unit", "prefix", F.explode("prefix").alias("pivot"))
+    posts = listed.select("node", "copies", "label", "dim", "unit", "prefix", "angles", "radius", F.explode("prefix").alias("pivot"))
     sizes = listed.select("label", "dim", F.explode("prefix").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     posts = posts.join(sizes, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = posts.withColumn("t", F.explode(block_turns(F.col("block"), blocks))).select("label", "dim", "pivot", "t.*", "node", "copies", "unit", "prefix")
+    dealt = posts.withColumn("t", F.explode(block_turns(F.col("block"), blocks))).select("label", "dim", "pivot", "t.*", "node", "copies", "unit", "prefix", "angles", "radius")
     found = write_stage(dealt.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(_links(cosine), "node long, links long, root long"), "vector-links")
     drop_stage(listed)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

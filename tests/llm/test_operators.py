@@ -591,3 +591,23 @@ def test_rules_of_equal_length_go_by_code_point(spark):
     rules = [("allow", "b.org", "/xy"), ("block", "a.b.org", "/"), ("block", "c.org", "/"), ("allow", "c.org", "/")]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, listed).collect()}
     assert got == {1: ("a.b.org/", "block"), 2: ("c.org/", "allow"), 3: (None, "allow")}
+
+
+def test_shared_pivot_counts_prune_pairs_but_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(120, 16))
+    rows = np.concatenate([base, base[:60] + rng.normal(scale=0.04, size=(60, 16)), base[:60] + rng.normal(scale=0.3, size=(60, 16))])
+    unit = rows / np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    known, apart = pivot_index._thin(unit[::3])
+    listed = list(pivot_index._listed({16: (known, apart)}, 40, 0.98)(iter([__import__("pandas").DataFrame({"node": range(len(rows)), "copies": 1, "label": "a", "dim": 16, "embedding": list(rows)})])))[0]
+    assert all((np.diff(a) >= 0).all() for a in listed["angles"])
+    names = np.arange(len(known))
+    inside = pivot_index._incidence(listed, names)
+    shared, angle = inside @ inside.T, float(np.arccos(0.98))
+    needed = pivot_index._needed(listed, listed, angle)
+    allowed = shared >= np.maximum(needed, needed.T)
+    linked = unit @ unit.T >= 0.98
+    met = shared > 0
+    assert allowed[linked & met].all() and linked.sum() > len(rows) + 60
+    # of the pairs that meet but are no links many are never verified
+    assert (~allowed & met & ~linked).sum() > 0.2 * (met & ~linked).sum()
