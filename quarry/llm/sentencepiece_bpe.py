@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, small_batches
+from quarry.llm.common import give_back, mix64, small_batches
 
 SPACE = "▁"
 #: Segmentations remembered in a worker until all are forgotten, of words not longer than LONG_WORD.
@@ -351,34 +352,39 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     pieces, byte_ids, _ = load_pieces(model_path)
     shared = spark.sparkContext.broadcast((pieces, byte_ids))  # one vocabulary
 
+    def drawn(encoder: Encoder, keys: pd.Series, numbers: list[int], texts: pd.Series) -> pd.Series:
+        return pd.Series(encoder.texts(texts.tolist(), [k + (n - 1) * _K2 for k, n in zip(keys.tolist(), numbers, strict=True)]), dtype=object)
+
     @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encoder = _encoder(shared.value, dropout, seed)
-        for keys, numbers, texts in batches:
-            drawn = [k + (n - 1) * _K2 for k, n in zip(keys.tolist(), numbers.tolist(), strict=True)]
-            yield pd.Series(encoder.texts(texts.tolist(), drawn), dtype=object)
+        for keys, texts in batches:
+            yield drawn(encoder, keys, [1] * len(keys), texts)
+        give_back()
 
-    key, number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(1)
+    @F.pandas_udf("ids array<int>, copy long")
+    def numbered(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(shared.value, dropout, seed)
+        seen: Counter[tuple[int, int]] = Counter()  # how often a row has come up in this task
+        for keys, hashes, texts in batches:
+            numbers = []
+            for row in zip(keys.tolist(), hashes.tolist(), strict=True):
+                seen[row] += 1
+                numbers.append(seen[row])
+            yield pd.DataFrame({"ids": drawn(encoder, keys, numbers, texts), "copy": numbers})
+        give_back()
+
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     if copies:
-        # the hash deals; a task tells rows apart by doc_id and hash, and counts each
+        # the hash deals; one function numbers and encodes, so that a task needs one Python worker
         hashed = F.xxhash64("text")
-        docs = docs.repartition(key, hashed).withColumn("copy", F.pandas_udf(_numbered, "long")(key, hashed))
-        number = F.col("copy")
-    out = docs.withColumn("ids", encoded(key, number, "text"))
+        both = docs.repartition(key, hashed).withColumn("ids", numbered.asNondeterministic()(key, hashed, "text"))
+        out = both.withColumn("copy", F.col("ids.copy")).withColumn("ids", F.col("ids.ids"))
+    else:
+        out = docs.withColumn("ids", encoded(key, "text"))
     return out.withColumn("n_tokens", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long"))
 
 
-def _numbered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """How often a pair of keys has come up in this task so far."""
-    seen: dict[tuple[int, int], int] = {}
-    for a, b in batches:
-        numbers = []
-        for row in zip(a.tolist(), b.tolist(), strict=True):
-            seen[row] = seen.get(row, 0) + 1
-            numbers.append(seen[row])
-        yield pd.Series(numbers, dtype="int64")
-
-
 def decode(tokens: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """tokens with the text that each list of ids stands for; null for null, empty for empty."""
     small_batches(tokens.sparkSession)
