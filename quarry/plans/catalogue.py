@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions.ids import joined, sha256, signed_order, uuid3
-from quarry.operators import access, evaluation, fusion, gateway, retrieval, state
+from quarry.operators import access, administration, evaluation, fusion, gateway, retrieval, state
 from quarry.plans.model import Model
 from quarry.sources import markdown, vault
 from quarry.sources.shared import shared_dir, staged
@@ -325,13 +325,40 @@ def eval_datasets(m: Model) -> DataFrame:
     return rows.select(big("n_nationkey", "dataset_id"), F.col("n_name").alias("name"), F.coalesce("case_count", F.lit(0)).alias("case_count"), F.coalesce("run_count", F.lit(0)).alias("run_count"))
 
 
+def tenant_of(number: str):
+    """The tenant whose turn it is."""
+    return F.concat(F.lit("tenant-"), F.get(F.array(*[F.lit(x) for x in ("en", "de", "es", "fr")]), (F.col(number) % 4).cast("int")))
+
+
 @query
 def admin_overview(m: Model) -> DataFrame:
-    docs = m.documents.groupBy("tenant_id").agg(F.count_if(F.col("status") == "ACTIVE").alias("documents"), F.count_distinct("space_id").alias("spaces"), F.count_distinct("connector_id").alias("connectors"))
-    chunks = m.chunks.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("chunks"))
-    jobs = m.jobs.groupBy("tenant_id").agg(F.count_if(F.col("status").isin("PENDING", "RETRY", "RUNNING")).alias("open_jobs"), F.count_if(F.col("status") == "DEAD").alias("dead_jobs"))
-    rows = docs.join(chunks, "tenant_id", "left").join(jobs, "tenant_id", "left")
-    return rows.select("tenant_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "spaces", "connectors", "chunks", "open_jobs", "dead_jobs")])
+    """Eight numbers by tenant; nations stand for evaluation datasets, orders of their customers for runs."""
+    datasets = m.raw("nation").select("n_nationkey", tenant_of("n_nationkey").alias("tenant_id"))
+    owners = m.raw("customer").select("c_custkey", tenant_of("c_nationkey").alias("tenant_id"))
+    return administration.overview(
+        {
+            "spaces": m.spaces.where("status <> 'DELETED'"),
+            "documents": m.documents.where("status = 'ACTIVE'"),
+            "chunks": m.chunks,
+            "connectors": m.documents.select("tenant_id", "connector_id").distinct(),
+            "open_jobs": m.jobs.where("status in ('PENDING', 'RETRY', 'RUNNING')"),
+            "dead_jobs": m.jobs.where("status = 'DEAD'"),
+            "datasets": datasets,
+            "runs": m.raw("orders").join(owners, F.col("o_custkey") == F.col("c_custkey")),
+        }
+    )
+
+
+@query
+def admin_documents_pages(m: Model) -> DataFrame:
+    """Pages of documents by tenant, space and status, of many sizes and offsets; nations stand for requests."""
+    k = F.col("n_nationkey")
+    space = F.when(k % 3 == 0, F.concat(F.lit("src"), (k % 20).cast("string"))).when(k % 3 == 1, "  ")
+    status = F.when(k % 5 == 0, "ACTIVE").when(k % 5 == 1, "ARCHIVED").when(k % 5 == 2, "")
+    asked = m.raw("nation").select(k.alias("request_id"), tenant_of("n_nationkey").alias("tenant_id"), space.alias("space_id"), status.alias("status"), (k * 37 % 300 - 20).alias("limit"), (k * 3 - 15).alias("offset"))
+    rows = m.documents.select("document_id", "tenant_id", "space_id", "status", "title", "doc_id")
+    found = administration.pages(rows, asked, [F.desc("doc_id"), F.asc("document_id")])
+    return found.select(big("request_id", "request_id"), big("place", "place"), "total", "document_id")
 
 
 @query

@@ -256,7 +256,10 @@ ORACLES = {
     "eval_case_metrics": sql("SELECT query_id, hit, round(recall, 9) AS recall, round(reciprocal_rank, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg FROM case_", "case_"),
     "eval_macro_report": sql("SELECT count(*) AS cases, count(*) FILTER (WHERE c.query_id IS NULL) AS failed, round(avg(coalesce(hit::INT::DOUBLE, 0)), 9) AS hit_rate, round(avg(coalesce(recall, 0)), 9) AS recall, round(avg(coalesce(reciprocal_rank, 0)), 9) AS mrr, round(avg(coalesce(ndcg, 0)), 9) AS ndcg FROM (SELECT vec_id FROM vec WHERE vec_id % 20 = 0) v LEFT JOIN case_ c ON c.query_id = v.vec_id", "case_"),
     "eval_datasets": "SELECT n_nationkey::BIGINT AS dataset_id, n_name AS name, count(DISTINCT c_custkey) AS case_count, count(DISTINCT o_orderkey) AS run_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, n_name",
-    "admin_overview": sql("SELECT k.tenant_id, count(*) FILTER (WHERE status = 'ACTIVE') AS documents, count(DISTINCT space_id) AS spaces, count(DISTINCT connector_id) AS connectors, (SELECT count(*) FROM chunk c WHERE c.tenant_id = k.tenant_id) AS chunks, (SELECT count(*) FROM job j WHERE j.tenant_id = k.tenant_id AND j.status IN ('PENDING', 'RETRY', 'RUNNING')) AS open_jobs, (SELECT count(*) FROM job j WHERE j.tenant_id = k.tenant_id AND j.status = 'DEAD') AS dead_jobs FROM kdoc k GROUP BY k.tenant_id", "chunk", "job"),
+    "admin_overview": sql("SELECT k.tenant_id, (SELECT count(*) FROM space s WHERE s.tenant_id = k.tenant_id) AS spaces, count(*) FILTER (WHERE status = 'ACTIVE') AS documents, (SELECT count(*) FROM chunk c WHERE c.tenant_id = k.tenant_id) AS chunks, count(DISTINCT connector_id) AS connectors, (SELECT count(*) FROM job j WHERE j.tenant_id = k.tenant_id AND j.status IN ('PENDING', 'RETRY', 'RUNNING')) AS open_jobs, (SELECT count(*) FROM job j WHERE j.tenant_id = k.tenant_id AND j.status = 'DEAD') AS dead_jobs, (SELECT count(*) FROM nation WHERE 'tenant-' || (['en','de','es','fr'])[n_nationkey % 4 + 1] = k.tenant_id) AS datasets, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE 'tenant-' || (['en','de','es','fr'])[c_nationkey % 4 + 1] = k.tenant_id) AS runs FROM kdoc k GROUP BY k.tenant_id", "chunk", "job", "space"),
+    "admin_documents_pages": sql("""SELECT request_id::BIGINT AS request_id, place, total, document_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY doc_id DESC, document_id) AS place, count(*) OVER (PARTITION BY request_id) AS total FROM (
+        SELECT n_nationkey AS request_id, document_id, doc_id, greatest(1, least(200, n_nationkey * 37 % 300 - 20)) AS n, greatest(0, n_nationkey * 3 - 15) AS first FROM nation JOIN kdoc k ON k.tenant_id = 'tenant-' || (['en','de','es','fr'])[n_nationkey % 4 + 1]
+        AND (n_nationkey % 3 <> 0 OR k.space_id = 'src' || n_nationkey % 20) AND (n_nationkey % 5 > 1 OR k.status = (['ACTIVE','ARCHIVED'])[n_nationkey % 5 + 1]))) WHERE place > first AND place <= first + n""", "kdoc"),
     "admin_spaces": sql("SELECT s.tenant_id, s.space_id, s.name, s.status, (SELECT count(*) FROM kdoc k WHERE k.tenant_id = s.tenant_id AND k.space_id = s.space_id) AS document_count FROM space s", "space", "kdoc"),
     "admin_documents_page": sql("SELECT h.document_id, h.space_id, h.title, h.status, (SELECT count(*) FROM chunk c WHERE c.revision_id = h.revision_id) AS chunk_count, coalesce((SELECT j.status FROM job j WHERE j.revision_id = h.revision_id AND j.projection_type = 'KEYWORD'), 'SKIPPED') AS keyword_status, (SELECT count(*) FROM head WHERE tenant_id = 'tenant-en') AS total FROM (SELECT * FROM head WHERE tenant_id = 'tenant-en' ORDER BY doc_id DESC, document_id LIMIT 50 OFFSET 50) h", "head", "chunk", "job"),
     "admin_connectors_last_run": sql("SELECT c_custkey AS connector_id, c_name AS name, r.run_id AS last_run, r.status AS last_status FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY connector_id ORDER BY started_at DESC, run_id DESC) AS place FROM run) r ON r.connector_id = c_custkey AND r.place = 1", "run"),
