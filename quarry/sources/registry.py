@@ -63,6 +63,10 @@ def read_note(root: str, name: str, longest: int) -> tuple:
     return name, data.decode("utf-8"), hashlib.sha256(data).hexdigest(), datetime.fromtimestamp(info.st_mtime, UTC), info.st_size
 
 
+def snapshot_of(root: str, names: list[str]) -> str:
+    return hashlib.sha256("\n".join([root, *names]).encode()).hexdigest()
+
+
 class Files(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names
@@ -106,20 +110,23 @@ class VaultReader(_Vault, DataSourceReader):
 
 class VaultStream(_Vault, DataSourceStreamReader):
     """The files in their order of path, frozen when the stream begins; the offset is the number of files
-    given so far. A file that is added later belongs to the next run."""
+    given so far and the digest of the list they were counted in. A stream that goes on with another list gives
+    all of it again, since new files may stand anywhere in it: what is known already changes nothing."""
 
     def __init__(self, options: dict, allowed: tuple[str, ...]):
         super().__init__(options, allowed)
         self.frozen = _Vault.names(self)
+        self.snapshot = snapshot_of(self.root, self.frozen)
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"offset": 0}
+        return {"offset": 0, "snapshot": self.snapshot}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"offset": len(self.frozen)}
+        return {"offset": len(self.frozen), "snapshot": self.snapshot}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
-        return _tasks(self.frozen[start["offset"] : end["offset"]])
+        same = start["snapshot"] == end["snapshot"] == self.snapshot
+        return _tasks(self.frozen[start["offset"] : end["offset"]] if same else self.frozen)
 
     def commit(self, end: dict) -> None:
         pass
@@ -179,7 +186,7 @@ class VaultConnector:
         self.spark, self.definition, self.root, self.longest = spark, definition, root, longest
         self.vault = definition.required("vaultName")
         self.names = list_notes(root)
-        self.snapshot_id = hashlib.sha256("\n".join([root, *self.names]).encode()).hexdigest()
+        self.snapshot_id = snapshot_of(root, self.names)
 
     def pull(self, offset: int, limit: int) -> Page:
         if not 1 <= limit <= LONGEST_PAGE:

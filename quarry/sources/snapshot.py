@@ -154,9 +154,13 @@ class Transaction:
         self.staged.append(path)
         return self.store.spark.read.schema(rows.schema).parquet(f"{self.store.root}/{path}")
 
+    def discard(self) -> None:
+        """Remove what stage() has written."""
+        while self.staged:
+            self.store._fs.delete(self.store._path(self.staged.pop()), True)
+
     def commit(self) -> int:
         """The new version. What was written is visible from here on, or, on a Conflict, never."""
-        for path in self.staged:
-            self.store._fs.delete(self.store._path(path), True)
+        self.discard()
         parts = {name: [*self.base["parts"].get(name, []), *self.written.get(name, [])] for name in self.store.tables}
         return self.store._commit(self.base["version"], self.base["applied"] | {self.app: self.batch}, parts)

@@ -63,10 +63,10 @@ def run_batch(store: SnapshotStore, worker: str, batch: int, now: str, limit: in
     held = _jobs(store.read("jobs")).where((F.col("status") == "RUNNING") & (F.col("lease_owner") == worker) & (F.col("projection_type") == kind))
     n = held.count()
     live = active(held, store.read("documents"))
-    work, error = None, None
+    work, error, kept = None, None, store.begin(app, batch)
     try:
         chunks = store.read("chunks").join(live.select("tenant_id", "revision_id"), ["tenant_id", "revision_id"], "left_semi")
-        work = store.begin(app, batch).stage("projected", project(chunks))
+        work = kept.stage("projected", project(chunks))
     except Exception as failure:  # whatever a projection raises is its jobs' failure
         error = type(failure).__name__
     while True:
@@ -84,6 +84,7 @@ def run_batch(store: SnapshotStore, worker: str, batch: int, now: str, limit: in
         txn.write("projection_runs", row)
         try:
             txn.commit()
+            kept.discard()
             return n
         except Conflict:
             continue

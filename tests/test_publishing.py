@@ -260,3 +260,16 @@ def test_a_stream_is_published_once(spark, store, vault, tmp_path):
     # the stream forgets, the store does not
     sync.ingest_stream(store, connector.stream(), "stream", str(tmp_path / "other"), T1)
     assert store.version() == 1 and store.read("results").count() == 7
+
+
+def test_a_stream_that_goes_on_gives_new_files_wherever_they_stand(spark, store, tmp_path):
+    root = tmp_path / "vaults" / "v"
+    root.mkdir(parents=True)
+    provider = registry.vault_provider(spark, (str(tmp_path / "vaults"),))
+    (root / "m.md").write_text("first")
+    open_ = lambda: provider(spark, definition(root)).stream()
+    sync.ingest_stream(store, open_(), "stream", str(tmp_path / "cp"), T0)
+    (root / "a.md").write_text("stands before")
+    sync.ingest_stream(store, open_(), "stream", str(tmp_path / "cp"), T1)
+    assert {r["external_id"] for r in store.read("documents").collect()} == {"a.md", "m.md"}
+    assert {r["action"] for r in store.read("results").where("batch = 1").collect()} == {"CREATE", "NONE"} and store.applied("stream") == 1
