@@ -72,12 +72,39 @@ def allows_source_uri(uri: Column, schemes=("http", "https")) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
+#: Old codes of languages and those that replace them. Fixed values.
+LANGUAGE_CODES = {"iw": "he", "ji": "yi", "in": "id"}
+#: A well-formed tag in lower case: language with its extensions, script, region, variants, single-letter
+#: extensions, private use; or private use alone.
+TAG = (
+    r"^(?:(?:[a-z]{2,3}(?:-[a-z]{3}){0,3}|[a-z]{4,8})(?:-[a-z]{4})?(?:-(?:[a-z]{2}|[0-9]{3}))?(?:-(?:[a-z0-9]{5,8}|[0-9][a-z0-9]{3}))*"
+    r"(?:-[a-wyz0-9](?:-[a-z0-9]{2,8})+)*(?:-x(?:-[a-z0-9]{1,8})+)?|x(?:-[a-z0-9]{1,8})+)$"
+)
+
+
 def language_tag(tag: Column) -> Column:
-    """Canonical case of `ll` and `ll-RR` tags; null for anything else."""
-    t = stripped(tag)
-    plain = F.lower(t)
-    region = F.concat(F.lower(F.substring_index(t, "-", 1)), F.lit("-"), F.upper(F.substring_index(t, "-", -1)))
-    return F.when(t.rlike("^[A-Za-z]{2,3}$"), plain).when(t.rlike("^[A-Za-z]{2,3}-([A-Za-z]{2}|[0-9]{3})$"), region)
+    """The canonical form of a well-formed tag of language, script, region, variants, extensions and private use,
+    stripped: an extended language stands for the language before it, old codes become new ones, and
+    extensions are sorted by their letter. Null for a tag that is blank, ill-formed, or repeats a variant or an
+    extension's letter."""
+    low = F.lower(stripped(tag))
+    private = F.when(low.startswith("x-"), low).otherwise(F.nullif(F.regexp_extract(low, "-(x-.*)$", 1), F.lit("")))
+    public = F.when(low.startswith("x-"), F.lit("")).otherwise(F.regexp_replace(low, "-x-.*$", ""))
+    plain = F.regexp_replace(public, "-[a-z0-9]-.*$", "")
+    extensions = F.array_sort(F.regexp_extract_all(public, F.lit("-([a-z0-9](?:-[a-z0-9]{2,8})+)"), 1))
+    letters = F.transform(extensions, lambda e: F.substring(e, 1, 1))
+    words = F.split(plain, "-")
+    extended = F.regexp_extract(plain, "^[a-z]{2,3}-([a-z]{3})(?:-|$)", 1)
+    language = F.when(extended != "", extended).otherwise(F.get(words, F.lit(0)))
+    for old, new in LANGUAGE_CODES.items():
+        language = F.when(language == old, new).otherwise(language)
+    rest = F.regexp_replace(plain, "^[a-z]{2,8}(?:-[a-z]{3}(?=-|$)){0,3}-?", "")
+    parts = F.filter(F.split(rest, "-"), lambda w: w != "")
+    shaped = F.transform(parts, lambda w: F.when(w.rlike("^[a-z]{4}$"), F.initcap(w)).when(w.rlike("^(?:[a-z]{2}|[0-9]{3})$"), F.upper(w)).otherwise(w))
+    variants = F.filter(parts, lambda w: F.length(w) > 3)
+    fine = low.rlike(TAG) & (F.size(F.array_distinct(variants)) == F.size(variants)) & (F.size(F.array_distinct(letters)) == F.size(letters))
+    whole = F.when(low.startswith("x-"), private).otherwise(F.concat_ws("-", language, F.nullif(F.array_join(F.concat(shaped, extensions), "-"), F.lit("")), private))
+    return F.when(fine, whole)
 
 
 def authority(raw: Column) -> Column:

@@ -55,7 +55,8 @@ def vector_channel(asked: DataFrame, tables: Tables) -> DataFrame:
 @dataclass
 class Retrieval:
     """bundles: a row per request. statuses: a row per request that was carried out and channel. steps: what
-    each step gave and took. traces: a row per request, with an id drawn once and the hash of its text."""
+    each step gave and took. traces: a row per request, with its request_id (drawn once where it brings none) and
+    the hash of its text."""
 
     bundles: DataFrame
     statuses: DataFrame
@@ -145,7 +146,7 @@ class Gateway:
     def _traces(rows: DataFrame, evidence: DataFrame, total_ms: int) -> DataFrame:
         n = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         out = rows.join(n, "query_id", "left").select(
-            F.uuid().alias("request_id"),
+            (F.coalesce("request_id", F.uuid()) if "request_id" in rows.columns else F.uuid()).alias("request_id"),
             *["query_id", "tenant_id", "principal_id", "outcome"],
             sha256(F.col("normalised")).alias("query_hash"),
             F.lit(total_ms).cast("long").alias("total_duration_ms"),

@@ -6,8 +6,8 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans.lifecycle import QUERIES
-from quarry.plans.lifecycle_oracles import ORACLES
+from quarry.plans.governance import QUERIES
+from quarry.plans.governance_oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 
