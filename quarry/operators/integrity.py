@@ -57,7 +57,8 @@ def _parents(parent: DataFrame, rule: Reference) -> DataFrame:
 def violations(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     """(rule, violations) of every rule: rows beyond the first of a key, rows without a parent, rows whose
     condition is false. All checks of a table are one scan; children are counted by key before they meet
-    their parents, so that a parent of a third of all rows is one row of the join."""
+    their parents, so that a parent of a third of all rows is one row of the join. Each key and reference reads its tables
+    once: write tables that are dear to make before."""
     counted, checks = [], {}
     for rule in rules:
         if isinstance(rule, Check):
