@@ -58,11 +58,19 @@ def violations(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     """(rule, violations) of every rule: rows beyond the first of a key, rows without a parent, rows whose
     condition is false. All checks of a table are one scan; children are counted by key before they meet
     their parents, so that a parent of a third of all rows is one row of the join. Each key and reference reads its tables
-    once: write tables that are dear to make before."""
-    counted, checks = [], {}
+    once: write tables that are dear to make before. The counts of a table's rules are written before the next table's
+    turn: one plan of all rules would be more than a small driver holds."""
+    by_table: dict[str, list[Rule]] = {}
+    for rule in rules:
+        by_table.setdefault(rule.table, []).append(rule)
+    return reduce(DataFrame.unionByName, [staged(_violations_of(tables, own), f"violations-{name}") for name, own in by_table.items()])
+
+
+def _violations_of(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
+    """violations() of the rules of one table."""
+    counted, checks = [], [r for r in rules if isinstance(r, Check)]
     for rule in rules:
         if isinstance(rule, Check):
-            checks.setdefault(rule.table, []).append(rule)
             continue
         rows = _whole(tables[rule.table], rule.key)
         if isinstance(rule, Unique):
@@ -73,9 +81,9 @@ def violations(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
         else:
             n, total = n.join(_parents(tables[rule.parent], rule), list(rule.key), "left_anti"), F.sum("n")
         counted.append(n.agg(F.coalesce(total, F.lit(0)).cast("long").alias("violations")).select(F.lit(rule.name).alias("rule"), "violations"))
-    for table, own in checks.items():
-        row = tables[table].agg(*[F.count_if(~F.expr(r.holds)).alias(f"n{i}") for i, r in enumerate(own)])
-        each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"n{i}").alias("violations")) for i, r in enumerate(own)])).alias("c")
+    if checks:
+        row = tables[checks[0].table].agg(*[F.count_if(~F.expr(r.holds)).alias(f"n{i}") for i, r in enumerate(checks)])
+        each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"n{i}").alias("violations")) for i, r in enumerate(checks)])).alias("c")
         counted.append(row.select(each).select("c.*"))
     return reduce(DataFrame.unionByName, counted)
 
