@@ -13,6 +13,9 @@ WIKI_LINK = r"(?<!\!)\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?]]"
 EMBED = r"!\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?]]"
 TAG = r"(?<![\p{L}\p{N}_])#([\p{L}\p{N}_/-]+)"
 LONGEST_FILE = 2_097_152
+#: Front matter: its first line, what lies before the closing one (or the end), in group 1, and that.
+_RULE = r"[\p{javaWhitespace}&&[^\r\n]]*---[\p{javaWhitespace}&&[^\r\n]]*(?=[\r\n]|\z)"
+FRONT = rf"\A{_RULE}((?s:.*?))(?:[\r\n]{_RULE}|\z)"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -26,17 +29,19 @@ def unquoted(value: Column) -> Column:
 
 def front_matter(text: Column) -> Column:
     """The scalars between the opening and the closing --- as a map; the last of equal keys counts."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    closing = F.array_position(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: stripped(x)), "---")
-    inner = F.slice(lines, 2, F.when(closing > 0, closing - 1).otherwise(F.size(lines)).cast("int"))
+    # the block alone is cut into lines: the text behind it is not looked at
+    inner = F.split(F.regexp_replace(F.regexp_extract(text, FRONT, 1), "\r\n?", "\n"), "\n")
     pairs = F.transform(
         F.filter(inner, lambda x: F.instr(x, ":") > 1),
         lambda x: F.struct(stripped(F.substring_index(x, ":", 1)).alias("key"), unquoted(stripped(F.substring(x, F.instr(x, ":") + 1, F.length(x)))).alias("value")),
     )
     pairs = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["key"] == p["key"]))
+    # what a lambda names from outside is made again for each element, so lists are handed in as its variable
+    numbered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+    last = F.get(F.transform(F.array(numbered), lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["key"] != p["key"], F.lit(True)))), F.lit(0))
+    in_order = F.array_sort(F.transform(last, lambda p: F.struct(p["at"], p["key"].alias("key"), p["value"].alias("value"))))
     empty = F.create_map().cast("map<string,string>")
-    return F.when(stripped(F.get(lines, F.lit(0))) == "---", F.map_from_entries(last)).otherwise(empty)
+    return F.when(F.regexp_extract(text, FRONT, 0) != "", F.map_from_entries(F.transform(in_order, lambda p: F.struct(p["key"], p["value"])))).otherwise(empty)
 
 
 def front_matter_tags(raw: Column) -> Column:

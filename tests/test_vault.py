@@ -1,6 +1,7 @@
 """Vaults of files, read at once and as a stream, and chunk limits in UTF-16 units."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quarry.sources import markdown, vault
 from quarry.streaming import outbox
@@ -56,3 +57,18 @@ def test_a_job_with_many_outcomes_ends_as_one_at_a_time():
     state = State()
     out = list(outbox._run((1,), iter([events[:400], events[400:]]), state))[0]
     assert state.value == ("SUCCEEDED", 2) and out["status"].tolist() == ["SUCCEEDED"]
+
+
+def test_front_matter_is_cut_out_before_its_lines_are_looked_at(spark):
+    """Notes of many lines, and of many keys: both once took the square of their lines or more."""
+    import time
+
+    text = "---\ntitle: T\ntags: [a]\n---\n" + "a line: of text\n" * 20_000
+    keys = "---\n" + "".join(f"k{i % 4000}: v{i}\n" for i in range(8_000))
+    odd = "--- \r\na: 'b'\r\nb: \"q\"\r\na: c\r\n ---\t\r\nz: 1"
+    rows = spark.createDataFrame([(1, text), (2, keys), (3, odd), (4, "---\n---\nx: y"), (5, "--- x\na: b\n---"), (6, None)], "i int, note string")
+    began = time.time()
+    found = {r["i"]: r["m"] for r in rows.select("i", vault.front_matter(F.col("note")).alias("m")).collect()}
+    assert time.time() - began < 30
+    assert found[1] == {"title": "T", "tags": "[a]"} and found[3] == {"b": "q", "a": "c"} and found[4] == found[5] == found[6] == {}
+    assert len(found[2]) == 4000 and found[2]["k0"] == "v4000" and found[2]["k3999"] == "v7999"
