@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ids import sha256, uuid3
 from quarry.functions.text import stripped
-from quarry.operators.state import enqueue, latest
+from quarry.operators.state import enqueue, latest, repeated_keys
 from quarry.sources import markdown
 from quarry.sources.snapshot import TableSpec, Transaction
 
@@ -41,7 +41,7 @@ def with_identity(records: DataFrame) -> DataFrame:
 
 
 def decided(records: DataFrame, documents: DataFrame, revisions: DataFrame) -> DataFrame:
-    """What publishing does to each record (one for each document): action, revision_number, revision_id
+    """What publishing does to each record (one for each document, with content_hash and `blank` for its content): action, revision_number, revision_id
     and error_code, beside the stored document's columns (old_...).
 
     A new fingerprint (content, media type, language and parser) is CREATE, a known one that is not
@@ -52,13 +52,13 @@ def decided(records: DataFrame, documents: DataFrame, revisions: DataFrame) -> D
     high = revisions.groupBy("tenant_id", "document_id").agg(F.max("revision_number").alias("high"))
     kept = ["space_id", "connector_id", "external_id", "source_type", "source_uri", "title", "status", "authority", "metadata", "active_revision_id", "version", "created_at", "updated_at"]
     stored = documents.select("tenant_id", "document_id", *[F.col(c).alias(f"old_{c}") for c in kept])
-    rows = records.withColumn("content_hash", sha256(F.col("content"))).withColumn("parser_version", F.lit(PARSER_VERSION))
+    rows = records.withColumn("parser_version", F.lit(PARSER_VERSION))
     rows = rows.join(stored, ["tenant_id", "document_id"], "left").join(high, ["tenant_id", "document_id"], "left").join(known, fingerprint, "left")
     differs = lambda *names: ~_all(F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in names)
     there = F.col("old_version").isNotNull()
     error = (
         F.when(F.coalesce("deleted", F.lit(False)), "DELETED_RECORD")
-        .when(F.coalesce(stripped(F.col("content")), F.lit("")) == "", "EMPTY_CONTENT")
+        .when(F.col("blank"), "EMPTY_CONTENT")
         .when(there & differs("space_id", "connector_id", "external_id", "source_type"), "IDENTITY_MOVED")
     )
     active = (F.col("known_id") == F.col("old_active_revision_id")) & (F.col("old_status") == "ACTIVE")
@@ -92,7 +92,14 @@ def publish(txn: Transaction, records: DataFrame, now: str, types: tuple[str, ..
     if txn.done:
         return txn.read("results").where((F.col("app") == txn.app) & (F.col("batch") == txn.batch))
     key = ["tenant_id", "document_id"]
-    incoming = latest(with_identity(records), key, [F.desc_nulls_last("modified_at"), F.desc("content")])
+    # texts are read once, and go to another task once, if they are new: what is decided, is decided by their hashes
+    given = with_identity(records).withColumn("content_hash", sha256(F.col("content"))).withColumn("blank", F.coalesce(stripped(F.col("content")), F.lit("")) == "")
+    given = txn.stage("records", given)
+    repeated = txn.stage("repeated", repeated_keys(given, key).select(*key))
+    if not repeated.isEmpty():
+        last = latest(given.join(repeated, key, "left_semi"), key, [F.desc_nulls_last("modified_at"), F.desc("content")])
+        given = given.join(repeated, key, "left_anti").unionByName(txn.stage("latest", last))
+    incoming = given.drop("content")
     ids = incoming.select(*key)
     # documents and revisions of this batch alone: the joins are on their keys
     documents, revisions = (txn.read(t).join(ids, key, "left_semi") for t in ("documents", "revisions"))
@@ -101,11 +108,11 @@ def publish(txn: Transaction, records: DataFrame, now: str, types: tuple[str, ..
 
     made = plan.where("action = 'CREATE'")
     txn.write("revisions", made.withColumn("created_at", at))
-    own = made.select("tenant_id", "space_id", "document_id", "revision_id")
-    parsed = markdown.parse_elements(made.select("revision_id", "content"))
-    elements = txn.write("elements", parsed.join(own.select("tenant_id", "revision_id"), "revision_id"))
-    packed = markdown.pack_chunks(elements.select("revision_id", "ordinal", "element_id", "element_type", "section_path", "content"), target, longest)
-    chunks = txn.write("chunks", packed.join(own, "revision_id"))
+    own = ["tenant_id", "space_id", "document_id", "revision_id"]
+    texts = given.select(*key, "content").join(made.select(*own), key)
+    parsed = txn.stage("parsed", markdown.parse_arrays(texts))
+    elements = txn.write("elements", parsed.select("tenant_id", "revision_id", F.explode("elements").alias("e")).select("tenant_id", "revision_id", "e.*"))
+    chunks = txn.write("chunks", markdown.pack_arrays(parsed, target, longest, own[:3]))
 
     moved = plan.where(changed)
     txn.write(

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import sha256, uuid3
+from quarry.functions.text import stripped
+from quarry.sources.shared import give_back, small_batches, tidy
 
 #: Block patterns. Fixed values.
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
@@ -65,19 +67,41 @@ def elements_of(text: str | None) -> list[tuple]:
     return [(i, *e) for i, e in enumerate(out)]
 
 
-def parse_elements(revisions: DataFrame, text: str = "content") -> DataFrame:
-    """revisions(revision_id, text) to element rows with deterministic ids. Null and empty texts have
-    none; content is stripped after the id is taken from it."""
+#: Texts whose elements are Python objects at one time.
+FEW = 64
+
+
+def slices(batch: pa.Array | pa.RecordBatch) -> Iterator:
+    return (batch.slice(i, FEW) for i in range(0, len(batch), FEW))
+
+
+def parse_arrays(revisions: DataFrame, text: str = "content") -> DataFrame:
+    """revisions(revision_id, text, ...) with `elements`, the array of their elements, in place of the text: ids
+    are deterministic, and content is stripped after the id is taken from it."""
     inner = f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in ELEMENT.split(','))}>>"
+    kind = pa.list_(pa.struct([("ordinal", pa.int32()), ("element_type", pa.string()), ("section_path", pa.list_(pa.string())), ("content", pa.string()), ("language", pa.string())]))
+
+    @F.arrow_udf(inner)
+    def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys = [f.name for f in kind.value_type]
+        try:
+            for texts in batches:
+                few = [pa.array([[dict(zip(keys, e, strict=True)) for e in elements_of(t)] for t in part.to_pylist()], kind) for part in slices(texts)]
+                yield pa.concat_arrays(few) if few else pa.array([], kind)
+        finally:
+            give_back()
+
+    small_batches(revisions.sparkSession)
+    key = lambda e: F.concat_ws(":", "revision_id", e["ordinal"].cast("string"), e["element_type"], e["content"])
+    made = lambda e: F.struct(*[e[c].alias(c) for c in ("ordinal", "element_type", "section_path")], stripped(e["content"]).alias("content"), e["language"].alias("language"), uuid3(key(e)).alias("element_id"))
+    rows = revisions.withColumn("elements", parsed(text))
+    return rows.withColumn("elements", F.transform("elements", made)).drop(text)
 
-    @F.pandas_udf(inner)
-    def parsed(texts: pd.Series) -> pd.Series:
-        keys = [f.split()[0] for f in ELEMENT.split(", ")]
-        return texts.map(lambda t: [dict(zip(keys, e, strict=True)) for e in elements_of(t)])
 
-    rows = revisions.select("revision_id", F.explode(parsed(text)).alias("e")).select("revision_id", "e.*")
-    key = F.concat_ws(":", "revision_id", F.col("ordinal").cast("string"), "element_type", "content")
-    return rows.withColumn("element_id", uuid3(key)).withColumn("content", F.regexp_replace("content", r"^\p{javaWhitespace}+|\p{javaWhitespace}+$", ""))
+def parse_elements(revisions: DataFrame, text: str = "content") -> DataFrame:
+    """revisions(revision_id, text) to element rows (see parse_arrays()). Null and empty texts have none."""
+    arrays = parse_arrays(revisions.select("revision_id", text), text)
+    return arrays.select("revision_id", F.explode("elements").alias("e")).select("revision_id", "e.*")
 
 
 def units(text: str) -> int:
@@ -133,16 +157,29 @@ def pack_chunks(elements: DataFrame, target: int = 1200, longest: int = 2000) ->
     """Elements to chunks: a heading starts one, one ends where the next element would pass the target,
     and an element beyond `longest` is cut. One revision's elements meet in one row. Returns revision_id,
     ordinal, section_path, element_ids, content, content_hash and chunk_id."""
+    item = F.struct("ordinal", "element_id", "element_type", "section_path", "content")
+    return pack_arrays(elements.groupBy("revision_id").agg(F.array_sort(F.collect_list(item)).alias("elements")), target, longest)
+
+
+def pack_arrays(rows: DataFrame, target: int = 1200, longest: int = 2000, kept: Sequence[str] = ()) -> DataFrame:
+    """pack_chunks() of rows(revision_id, elements), whose arrays are in order already; kept names columns of
+    text that each chunk has as well."""
     if not (128 <= target <= 20_000 and target <= longest <= 50_000):
         raise ValueError("target 128 to 20000, and longest from there to 50000")
-    item = F.struct("ordinal", "element_id", "element_type", "section_path", "content")
-    grouped = elements.groupBy("revision_id").agg(F.array_sort(F.collect_list(item)).alias("elements"))
+    names = [*kept, "revision_id"]
+
+    kinds = [*[(n, pa.string()) for n in names], ("ordinal", pa.int32()), ("section_path", pa.list_(pa.string())), ("element_ids", pa.list_(pa.string())), ("content", pa.string())]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = [(*[row[n] for n in names], i, *c) for row in part.to_pylist() for i, c in enumerate(packed(row["elements"] or [], target, longest))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, (_, t) in enumerate(kinds)], schema=pa.schema(kinds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(r, i, *c) for r, es in zip(pdf["revision_id"], pdf["elements"], strict=True) for i, c in enumerate(packed(list(es), target, longest))]
-            yield pd.DataFrame(rows, columns=["revision_id", "ordinal", "section_path", "element_ids", "content"])
+    small_batches(rows.sparkSession)
 
-    chunks = grouped.mapInPandas(run, "revision_id string, ordinal int, section_path array<string>, element_ids array<string>, content string")
+    item = lambda e: F.struct(*[e[c].alias(c) for c in ("ordinal", "element_id", "element_type", "section_path", "content")])
+    chunks = rows.select(*names, F.transform("elements", item).alias("elements")).mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", ordinal int, section_path array<string>, element_ids array<string>, content string")
     chunks = chunks.withColumn("content_hash", sha256(F.col("content")))
     return chunks.withColumn("chunk_id", uuid3(F.concat_ws(":", "revision_id", F.col("ordinal").cast("string"), "content_hash")))

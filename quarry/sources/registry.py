@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import os
@@ -233,24 +234,39 @@ class TableConnector:
     def __init__(self, definition: Definition, records: DataFrame, order: list[str]):
         self.definition = definition
         place = F.monotonically_increasing_id()
-        rows = staged(records.orderBy(*order).withColumn("place", place), "snapshot")
+        rows = self.rows = staged(records.orderBy(*order).withColumn("place", place), "snapshot")
         sizes = rows.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a task
         before, self.n = [], 0
         for r in sizes:
             before.append((r["part"], self.n))
             self.n += r["n"]
-        starts = records.sparkSession.createDataFrame(before, "part long, before long")
-        inner = F.col("place").bitwiseAND((1 << 33) - 1)
-        self.rows = rows.join(F.broadcast(starts), F.shiftright("place", 33) == F.col("part")).withColumn("number", F.col("before") + inner).drop("place", "part", "before")
+        self.before = before
         self.snapshot_id = hashlib.sha256(repr([definition.connector_id, rows.inputFiles()[:1], self.n]).encode()).hexdigest()
 
     def pull(self, offset: int, limit: int) -> Page:
         if not 1 <= limit <= LONGEST_PAGE or not 0 <= offset <= self.n:
             raise ValueError(f"offset from 0 to {self.n}, limit from 1 to {LONGEST_PAGE}")
-        end = min(self.n, offset + limit)
-        page = self.rows.where((F.col("number") >= offset) & (F.col("number") < end)).drop("number")
+        return self._range(offset, min(self.n, offset + limit))
+
+    def pull_pages(self, offset: int, limit: int, pages: int) -> tuple[Page, int]:
+        """As many pages of `limit` records as there are, up to `pages`, as one range, and their number."""
+        if not 1 <= limit <= LONGEST_PAGE or not 0 <= offset <= self.n or pages < 1:
+            raise ValueError(f"offset from 0 to {self.n}, limit from 1 to {LONGEST_PAGE}, a page at least")
+        end = min(self.n, offset + limit * pages)
+        return self._range(offset, end), max(1, -(-(end - offset) // limit))
+
+    def _range(self, offset: int, end: int) -> Page:
+        """Numbers rise with places, so that a range of them is one of places, of which Parquet reads little else."""
+        page = self.rows.where((F.col("place") >= self._place(offset)) & (F.col("place") < self._place(end))).drop("place")
         return Page(page, end if end < self.n else 0, end < self.n)
 
+    def _place(self, number: int) -> int:
+        """The place of a record's number; one behind all for the number behind the last."""
+        if number >= self.n:
+            return (1 << 63) - 1
+        part, before = self.before[bisect.bisect_right(self.before, number, key=lambda x: x[1]) - 1]
+        return (part << 33) + number - before
+
 
 class SourceRegistry:
     """One provider for each connector type."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.state import latest
+from quarry.sources.shared import CODEC
 
 VERSION = "commit_version"
 
@@ -93,7 +94,7 @@ class SnapshotStore:
         for name, spec in self.tables.items():
             if spec.key and len(parts.get(name, [])) > 1:
                 part = f"{name}/{uuid.uuid4().hex}"
-                self.read(name, now["version"]).withColumn(VERSION, F.lit(now["version"]).cast("long")).write.parquet(f"{self.root}/{part}")
+                self.read(name, now["version"]).withColumn(VERSION, F.lit(now["version"]).cast("long")).write.option("compression", CODEC).parquet(f"{self.root}/{part}")
                 parts[name] = [part]
         return self._commit(now["version"], now["applied"], parts)
 
@@ -143,14 +144,14 @@ class Transaction:
         columns = self.store.spark.createDataFrame([], spec.schema).schema
         part = f"{name}/{uuid.uuid4().hex}"
         own = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
-        own.withColumn(VERSION, F.lit(self.base["version"] + 1).cast("long")).write.parquet(f"{self.store.root}/{part}")
+        own.withColumn(VERSION, F.lit(self.base["version"] + 1).cast("long")).write.option("compression", CODEC).parquet(f"{self.store.root}/{part}")
         self.written.setdefault(name, []).append(part)
         return self.store.spark.read.schema(columns).parquet(f"{self.store.root}/{part}")
 
     def stage(self, tag: str, rows: DataFrame) -> DataFrame:
         """Rows that this transaction uses several times, written; they go when it ends."""
         path = f"_work/{tag}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.store.root}/{path}")
+        rows.write.option("compression", CODEC).parquet(f"{self.store.root}/{path}")
         self.staged.append(path)
         return self.store.spark.read.schema(rows.schema).parquet(f"{self.store.root}/{path}")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import generations, publishing
 from quarry.operators.vectors import Contract
-from quarry.sources.snapshot import SnapshotStore
+from quarry.sources.snapshot import SnapshotStore, Transaction
 from quarry.streaming import projection
 from tests.test_publishing import T0, T1, frame, record
 
@@ -157,3 +157,12 @@ def test_generations_are_built_beside_the_active_one_and_switched_at_once(spark,
     txn.commit()
     with pytest.raises(ValueError, match="two active"):
         generations.active_vectors(store)
+
+
+def test_a_projection_is_written_once_where_nobody_commits_meanwhile(spark, store, monkeypatch):
+    put(store, 0, [record("a", "one"), record("b", "two")])
+    written, write = [], Transaction.write
+    monkeypatch.setattr(Transaction, "write", lambda self, name, rows: written.append(name) or write(self, name, rows))
+    monkeypatch.setattr(Transaction, "stage", lambda self, tag, rows, stage=Transaction.stage: written.append(tag) or stage(self, tag, rows))
+    assert projection.run_batch(store, "w", 0, T1) == 2
+    assert written.count("keyword_index") == 1 and "projected" not in written and indexed(store) == {"a": ["one"], "b": ["two"]}

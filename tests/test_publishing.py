@@ -273,3 +273,25 @@ def test_a_stream_that_goes_on_gives_new_files_wherever_they_stand(spark, store,
     sync.ingest_stream(store, open_(), "stream", str(tmp_path / "cp"), T1)
     assert {r["external_id"] for r in store.read("documents").collect()} == {"a.md", "m.md"}
     assert {r["action"] for r in store.read("results").where("batch = 1").collect()} == {"CREATE", "NONE"} and store.applied("stream") == 1
+
+
+def test_what_is_decided_is_decided_without_texts(spark, store, monkeypatch):
+    staged = {}
+    stage = publishing.Transaction.stage
+    monkeypatch.setattr(publishing.Transaction, "stage", lambda self, tag, rows: staged.setdefault(tag, stage(self, tag, rows)))
+    txn = store.begin("test", 0)
+    publishing.publish(txn, frame(spark, [record("x", "# H\n\none"), record("y", "two")]), T0)
+    txn.commit()
+    assert "content" not in staged["plan"].columns and "content_hash" in staged["plan"].columns
+    assert sorted(r["content"] for r in store.read("chunks").collect()) == ["H\n\none", "two"]
+
+
+def test_commits_of_a_table_grow_with_the_logarithm_of_its_pages(spark, store):
+    rows = frame(spark, [record(f"n{i:02}", f"text {i}") for i in range(9)])
+    connector = registry.TableConnector(registry.Definition("c", "TABLE", "t", "s"), rows, ["external_id"])
+    sync.synchronize(store, connector, T0, page_size=1)
+    # a start, pages 1, 1, 2, 4, 1 and an end
+    assert store.version() == 7 and store.read("documents").count() == 9
+    (run,) = store.read("sync_runs").collect()
+    assert (run["status"], run["records_seen"], run["records_changed"]) == ("SUCCEEDED", 9, 9)
+    assert sync.checkpoint(store, connector)["page"] == 8
