@@ -60,13 +60,16 @@ def run_batch(store: SnapshotStore, worker: str, batch: int, now: str, limit: in
             continue
     if store.applied(app) >= batch:
         return 0
-    held = _jobs(store.read("jobs")).where((F.col("status") == "RUNNING") & (F.col("lease_owner") == worker) & (F.col("projection_type") == kind))
-    n = held.count()
-    live = active(held, store.read("documents"))
-    work, error, kept = None, None, store.begin(app, batch)
+    first = store.begin(app, batch)
+    held = _jobs(first.read("jobs")).where((F.col("status") == "RUNNING") & (F.col("lease_owner") == worker) & (F.col("projection_type") == kind))
+    # jobs are leased in the order of their ids: the range of a batch's revisions leaves most other chunks unread
+    n, low, high = held.agg(F.count(F.lit(1)), F.min("revision_id"), F.max("revision_id")).first()
+    live = active(held, first.read("documents"))
+    work, error = None, None
     try:
-        chunks = store.read("chunks").join(live.select("tenant_id", "revision_id"), ["tenant_id", "revision_id"], "left_semi")
-        work = kept.stage("projected", project(chunks))
+        near = first.read("chunks").where(F.col("revision_id").between(low, high))
+        chunks = near.join(live.select("tenant_id", "revision_id"), ["tenant_id", "revision_id"], "left_semi")
+        work = first.write(table, project(chunks))
     except Exception as failure:  # whatever a projection raises is its jobs' failure
         error = type(failure).__name__
     while True:
@@ -77,14 +80,15 @@ def run_batch(store: SnapshotStore, worker: str, batch: int, now: str, limit: in
         outcomes = held.join(failed.select("job_id", F.lit(False).alias("ok")), "job_id", "left").select("job_id", F.coalesce("ok", F.lit(True)).alias("ok"), F.lit(error).alias("error_code"))
         settled = settle(held, outcomes, worker, now=now)
         txn.write("jobs", settled)
-        if work is not None:
+        if work is not None and txn.base["version"] == first.base["version"]:
+            txn.written[table] = first.written[table]  # nobody has committed since: what is written holds as it is
+        elif work is not None:
             txn.write(table, active(work, documents))
         published = 0 if error else still.count()
         row = store.spark.range(1).select(*[F.lit(v).alias(k) for k, v in {"worker": worker, "batch": batch, "leased": n, "published": published, "superseded": n - (published if error is None else failed.count()), "failed": 0 if error is None else failed.count()}.items()])
         txn.write("projection_runs", row)
         try:
             txn.commit()
-            kept.discard()
             return n
         except Conflict:
             continue
