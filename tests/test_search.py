@@ -78,3 +78,12 @@ def test_a_part_of_a_run_is_found_by_bm25(spark):
     asked = spark.createDataFrame([(1, "t", "故障处理")], "query_id long, tenant_id string, normalised string")
     got = retrieval.bm25(retrieval.postings(chunks), retrieval.query_terms(asked), retrieval.index_stats(chunks)).collect()
     assert [r["chunk_id"] for r in got] == ["c1"]
+
+
+def test_postings_of_asked_terms_are_those_of_the_whole_index(spark):
+    rows = spark.createDataFrame([("c1", "t", "a b a 依赖关系"), ("c2", "t", "b c"), ("c3", "t", None)], "chunk_id string, tenant_id string, content string")
+    asked = spark.createDataFrame([("a",), ("赖关",), ("a",), ("z",)], "term string")
+    plain = lambda found: sorted(tuple(r[c] for c in ("chunk_id", "term", "tf", "length")) for r in found.collect())
+    want = [x for x in plain(retrieval.postings(rows)) if x[1] in ("a", "赖关")]
+    assert plain(retrieval.postings(rows, asked=asked)) == plain(retrieval.postings(retrieval.with_terms(rows, "content"), asked=asked)) == want == [("c1", "a", 2, 6), ("c1", "赖关", 1, 6)]
+    assert retrieval.index_stats(rows).collect() == retrieval.index_stats(retrieval.with_terms(rows, "content")).collect()
