@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, small_batches, words_of, write_stage
+from quarry.llm.common import crc_mod, small_batches, write_stage
 
 STATES = 8
 #: Emission classes: the most frequent words each, all others by hash. Within a class, words are
@@ -27,24 +29,35 @@ SEED_DOCS, SEED_TOKENS, SEED_ROUNDS = 400, 5000, 8
 ROUNDS, SETTLED = 8, 0.003
 #: Tokens' worth of the plain word distribution that each state's emissions are smoothed with.
 SMOOTHING = 200.0
-#: Tokens of one segment: segments of all texts of a batch advance together.
-SEGMENT = 256
+#: Tokens of one segment: segments of all texts of a batch, of about BATCH_TOKENS, advance together.
+SEGMENT, BATCH_TOKENS = 512, 400_000
 END = b""
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _text() -> Column:
+    """Whole texts as bytes, which no task has to decode."""
+    return F.col("text").cast("string").cast("binary").alias("text")
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    """A-Z lower-cased words between ASCII white space, and the end."""
+    words = text.lower().split() if text else []
+    words.append(END)
+    return words
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met: Counter = Counter()
 
-    def flushed():
-        items = list(met.items())
+    def flushed() -> Iterator[pa.RecordBatch]:
+        words, n = pa.array(list(met), pa.binary()), pa.array(list(met.values()), pa.int64())
         met.clear()
-        for i in range(0, len(items), 100_000):
-            yield pd.DataFrame(items[i : i + 100_000], columns=["word", "n"])
+        for i in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([words[i : i + 100_000], n[i : i + 100_000]], names=["word", "n"])
 
-    for pdf in batches:
-        for text in pdf["text"]:
-            met.update(words_of(text))
-            met[END] += 1
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            met.update(_words(text))
         if len(met) > 250_000:
             yield from flushed()
     yield from flushed()
@@ -52,7 +65,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary; the empty one is the end of a text) and n over all whole texts of docs."""
-    return docs.select("text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(_text()).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -74,12 +87,14 @@ class Vocabulary:
 
 
 class Mapper(dict):
-    """Words to (class, log10(count + 1)), remembering words met; -1 marks counts that a join gives."""
+    """Words to their number here, remembering words met. By number: class and log10(count + 1), where
+    -1 marks counts that a join gives."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
-        self.classes, self.logs = np.zeros(1 << 16, np.int32), np.zeros(1 << 16)
+        self.words: list[bytes] = []
+        self.classes, self.logs = np.zeros(1 << 16, np.int16), np.zeros(1 << 16)
 
     def __missing__(self, word: bytes) -> int:
         at, v = len(self), self.vocabulary
@@ -87,14 +102,16 @@ class Mapper(dict):
             self.classes, self.logs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.classes, self.logs))
         n = v.held.get(word)
         self.classes[at], self.logs[at] = v.class_of(word), math.log10(n + 1) if n is not None else -1.0
+        self.words.append(word)
         self[word] = at
         return at
 
-    def map(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def map(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of the words of many texts in a row, until the next call."""
         if len(self) > 250_000:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return self.classes[at], self.logs[at]
+            self.words.clear()
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -122,100 +139,162 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 class Batch:
-    """Class sequences of many texts, cut into segments that advance side by side. The first token
-    of a text stands alone, so that every token of a segment has a predecessor."""
+    """Class sequences of many texts, cut into segments that advance side by side, the longest first. The
+    first token of a text stands alone, so that every token of a segment has a predecessor. Only a text of
+    more than two segments has middle ones, whose neighbours are both unknown when they are met."""
 
     def __init__(self, texts: list[np.ndarray]):
-        self.first = np.array([t[0] for t in texts], np.int32)
-        pieces, self.of, self.turn = [], [], []
-        for d, t in enumerate(texts):
-            for j, i in enumerate(range(1, len(t), SEGMENT)):
-                pieces.append(t[i : i + SEGMENT])
-                self.of.append(d)
-                self.turn.append(j)
-        order = np.argsort([-len(p) for p in pieces], kind="stable")
-        self.of, self.turn = np.array(self.of, np.int64)[order], np.array(self.turn, np.int64)[order]
-        sizes = np.array([len(pieces[i]) for i in order], np.int64)
-        longest = int(sizes[0]) if len(sizes) else 0
-        self.ids = np.zeros((longest, len(order)), np.int32)
-        for k, i in enumerate(order):
-            self.ids[: len(pieces[i]), k] = pieces[i]
-        self.active = [int((sizes > t).sum()) for t in range(longest)]
-        self.by_turn = [np.nonzero(self.turn == j)[0] for j in range(int(self.turn.max()) + 1)] if len(order) else []
-
-
-def _products(batch: Batch, move: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The product of transition and emission over each segment (to state, from state, segment), scaled,
-    and the log of its scale. Segments are the last axis, so that work runs along long rows. All
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat, begins = np.concatenate(texts).astype(np.intp), sizes.cumsum() - sizes
+        self.first = flat[begins]
+        parts = -((1 - sizes) // SEGMENT)
+        of = np.repeat(np.arange(len(texts)), parts)
+        turn = np.arange(len(of)) - np.repeat(parts.cumsum() - parts, parts)
+        length = np.minimum(sizes[of] - 1 - turn * SEGMENT, SEGMENT)
+        order = np.argsort(-length, kind="stable")
+        self.of, turn, length = of[order], turn[order], length[order]
+        begins = begins[self.of] + 1 + turn * SEGMENT
+        #: How many segments have a token at each step, and its class.
+        self.active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0))
+        self.ids = [flat[begins[:n] + t] for t, n in enumerate(self.active.tolist())]
+        last = turn == parts[self.of] - 1
+        self.opening, self.closing = np.nonzero(turn == 0)[0], np.nonzero(last)[0]
+        self.heads, self.tails = np.nonzero((turn == 0) & ~last)[0], np.nonzero((turn > 0) & last)[0]
+        self.middle = np.nonzero((turn > 0) & ~last)[0]
+        turn = turn[self.middle]
+        self.by_turn = [np.nonzero(turn == j)[0] for j in range(1, int(turn.max(initial=0)) + 1)]
+
+
+def _products(batch: Batch, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The product of transition and emission over each middle segment (to state, from state, segment),
+    scaled, and the log of its scale. Segments are the last axis, so that work runs along long rows. All
     recursions work in the precision of the parameters: double for scores, single for training."""
-    k, size = len(move), batch.ids.shape[1]
-    out, logs = np.empty((k, k, size), ratio.dtype), np.zeros(size)
-    x = np.repeat(np.eye(k, dtype=ratio.dtype)[:, :, None], size, axis=2)
-    emit = np.ascontiguousarray(ratio.T)
-    for t, n in enumerate(batch.active):
-        if n < x.shape[2]:
-            out[:, :, n : x.shape[2]] = x[:, :, n:]
-            x = np.ascontiguousarray(x[:, :, :n])
+    k, n = len(move), len(batch.middle)
+    x, logs = np.repeat(np.eye(k, dtype=emit.dtype)[:, :, None], n, axis=2), np.zeros(n)
+    for t, ids in enumerate(batch.ids if n else []):  # all of them are whole
         x = (move.T @ x.reshape(k, -1)).reshape(k, k, n)
-        x *= emit.take(batch.ids[t, :n], axis=1)[:, None, :]
+        x *= emit.take(ids[batch.middle], axis=1)[:, None, :]
         if t % 8 == 7:
             scale = x.reshape(k * k, n).sum(axis=0)
             x /= scale
+            logs += np.log(scale)
+    return x, logs
+
+
+def _advance(batch: Batch, segs: np.ndarray, a: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states at the end of the segments segs, from those before them, scaled, and the log of the scale."""
+    out, logs = a.copy(), np.zeros(len(segs))
+    for t, n in enumerate(np.searchsorted(segs, batch.active).tolist()):
+        if n < a.shape[1]:
+            out[:, n : a.shape[1]] = a[:, n:]
+            if not n:
+                break
+        a = move.T @ a[:, :n]
+        a *= emit.take(batch.ids[t][segs[:n]], axis=1)
+        if t % 4 == 3:
+            scale = a.sum(axis=0)
+            a /= scale
             logs[:n] += np.log(scale)
-    out[:, :, : x.shape[2]] = x
-    return out, logs
-
-
-def forward(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np.ndarray):
-    """Scaled forward recursion: the log likelihood ratio of each text, and what training needs (states
-    before each segment and at first tokens, by state)."""
-    x, logs = _products(batch, move, ratio)
-    a = start[:, None] * ratio[batch.first].T
-    scale = a.sum(axis=0)
-    a /= scale
-    total, before = np.log(scale, dtype=np.float64), np.zeros((len(move), x.shape[2]), ratio.dtype)
-    first = a.copy()
-    for segs in batch.by_turn:
+    else:
+        out[:, : a.shape[1]] = a
+    scale = out.sum(axis=0)
+    return out / scale, logs + np.log(scale)
+
+
+def _retreat(batch: Batch, segs: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """What the tokens of the segments segs, with nothing after them, say of the states before them, scaled."""
+    b = np.ones((len(move), len(segs)), emit.dtype)
+    for t, n in reversed(list(enumerate(np.searchsorted(segs, batch.active).tolist()))):
+        if n:
+            now = move @ (emit.take(batch.ids[t][segs[:n]], axis=1) * b[:, :n])
+            b[:, :n] = now / now.sum(axis=0) if t % 4 == 0 else now
+    return b
+
+
+def _entered(batch: Batch, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    """From the states at first tokens: those before each segment, the log likelihood ratio of each text up to
+    its last segment, and the products over middle segments."""
+    a, x_logs = first.copy(), np.zeros(first.shape[1])
+    before = np.zeros((len(move), len(batch.of)), emit.dtype)
+    before[:, batch.opening] = a[:, batch.of[batch.opening]]
+    d = batch.of[batch.heads]
+    a[:, d], x_logs[d] = _advance(batch, batch.heads, a[:, d], move, emit)
+    x, logs = _products(batch, move, emit)
+    for at in batch.by_turn:
+        segs = batch.middle[at]
         d = batch.of[segs]
         before[:, segs] = a[:, d]
-        after = np.einsum("ks,lks->ls", a[:, d], x[:, :, segs])
+        after = np.einsum("ks,lks->ls", a[:, d], x[:, :, at])
         scale = after.sum(axis=0)
         a[:, d] = after / scale
-        total[d] += np.log(scale) + logs[segs]
-    return total, x, before, first
+        x_logs[d] += np.log(scale) + logs[at]
+    before[:, batch.tails] = a[:, batch.of[batch.tails]]
+    return before, x_logs, x
+
+
+def _began(batch: Batch, start: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states at first tokens, and the log likelihood ratio of these."""
+    a = start[:, None] * emit.take(batch.first, axis=1)
+    scale = a.sum(axis=0)
+    return a / scale, np.log(scale, dtype=np.float64)
+
+
+def forward(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward recursion: the log likelihood ratio of each text, and the states before each segment."""
+    emit = np.ascontiguousarray(ratio.T)
+    first, total = _began(batch, start, emit)
+    before, logs, _ = _entered(batch, first, move, emit)
+    total += logs
+    total[batch.of[batch.closing]] += _advance(batch, batch.closing, before[:, batch.closing], move, emit)[1]
+    return total, before
 
 
 def expected_counts(batch: Batch, start: np.ndarray, move: np.ndarray, ratio: np.ndarray):
     """Baum-Welch: expected starts, transitions and emissions, and the log likelihood ratio."""
-    total, x, before, first = forward(batch, start, move, ratio)
-    k = len(move)
+    emit = np.ascontiguousarray(ratio.T)
+    first, total = _began(batch, start, emit)
+    before, _, x = _entered(batch, first, move, emit)
+    # what follows each segment
     after, b = np.ones_like(before), np.ones_like(first)
-    for segs in reversed(batch.by_turn):
+    b[:, batch.of[batch.tails]] = _retreat(batch, batch.tails, move, emit)
+    for at in reversed(batch.by_turn):
+        segs = batch.middle[at]
         d = batch.of[segs]
         after[:, segs] = b[:, d]
-        back = np.einsum("lks,ls->ks", x[:, :, segs], b[:, d])
+        back = np.einsum("lks,ls->ks", x[:, :, at], b[:, d])
         b[:, d] = back / back.sum(axis=0)
-    g = first * b
-    g /= g.sum(axis=0)
-    emit = np.ascontiguousarray(ratio.T)
-    states, emits = [before], [emit.take(batch.ids[t, :n], axis=1) for t, n in enumerate(batch.active)]
-    for e in emits:
-        a = (move.T @ states[-1][:, : e.shape[1]]) * e
-        a /= a.sum(axis=0)
+    after[:, batch.heads] = b[:, batch.of[batch.heads]]
+    # states at each token, and emissions divided by its scale: with these the states before a token, its
+    # scaled emissions and what follows it multiply to expected counts, without a sum of their own
+    states, emits, a, end = [], [], before, before.copy()
+    logs = np.zeros(len(batch.of))
+    for ids in batch.ids:
+        n = len(ids)
+        end[:, n : a.shape[1]] = a[:, n:]
+        e = emit.take(ids, axis=1)
+        a = move.T @ a[:, :n]
+        a *= e
+        scale = a.sum(axis=0)
+        logs[:n] += np.log(scale)
+        a /= scale
+        e /= scale
         states.append(a)
-    moved = np.zeros((k, k))
+        emits.append(e)
+    end[:, : a.shape[1]] = a
+    total += np.bincount(batch.of, weights=logs, minlength=len(total))
+    after /= (end * after).sum(axis=0)
+    moved = np.zeros_like(move, np.float64)
     for t in range(len(emits) - 1, -1, -1):
-        n = emits[t].shape[1]
-        now, came = after[:, :n], states[t][:, :n]
-        seen = states[t + 1] * now
-        u = emits[t] * now
-        v = move @ u
-        moved += (came / (came * v).sum(axis=0)) @ u.T
-        # the state before is needed once more as it is: what was seen goes where its emission stood
-        emits[t] = seen / seen.sum(axis=0)
-        after[:, :n] = v / v.sum(axis=0)
-    ids = np.concatenate([batch.first, *[batch.ids[t, :n] for t, n in enumerate(batch.active)]])
-    seen = np.concatenate([g, *emits], axis=1)
+        u, n = emits.pop(), states[t].shape[1]
+        u *= after[:, :n]
+        moved += (states[t - 1] if t else before)[:, :n] @ u.T
+        # the states themselves are not needed any more: what was seen goes where they stood
+        states[t] *= after[:, :n]
+        after[:, :n] = move @ u
+    g = first.copy()
+    g[:, batch.of[batch.opening]] *= after[:, batch.opening]
+    g /= g.sum(axis=0)
+    ids, seen = np.concatenate([batch.first, *batch.ids]), np.concatenate([g, *states], axis=1)
     emitted = np.stack([np.bincount(ids, weights=row, minlength=len(ratio)) for row in seen], axis=1)
     return g.sum(axis=1), moved * move, emitted, total
 
@@ -227,42 +306,64 @@ def _maximised(starts: np.ndarray, moved: np.ndarray, emitted: np.ndarray, share
     return start, move, emit / share[:, None]
 
 
-def _batches(sequences: list[np.ndarray], tokens: int = 200_000) -> Iterator[list[np.ndarray]]:
+def _batches(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
     part, n = [], 0
     for t in sequences:
         part.append(t)
         n += len(t)
-        if n >= tokens:
+        if n >= BATCH_TOKENS:
             yield part
             part, n = [], 0
     if part:
         yield part
 
 
-def _sequences(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int16).astype(np.int32) for x in column]
+def _sequences(column: Iterable[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int16) for x in column]
+
+
+def _mapped(texts: list[bytes | None], mapper: Mapper) -> list[pa.Array]:
+    """n_tokens, n_held, logs, rest, times and ids of texts, see sequences()."""
+    words = [_words(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    at = mapper.map(words)
+    logs, begins = mapper.logs[at], sizes.cumsum() - sizes
+    lacking = np.nonzero(logs < 0)[0]
+    # the words of each text that tasks do not hold, once each
+    rows = np.searchsorted(begins, lacking, side="right") - 1
+    keys, times = np.unique(rows * len(mapper) + at[lacking], return_counts=True)
+    rows, rest = np.divmod(keys, len(mapper))
+    ends = pa.array(np.searchsorted(rows, np.arange(len(sizes) + 1)), pa.int32())
+    logs[lacking] = 0.0
+    held = sizes - np.bincount(rows, weights=times, minlength=len(sizes)).astype(np.int64)
+    offsets = np.r_[0, 2 * sizes.cumsum()].astype(np.int32)
+    return [
+        pa.array(sizes),
+        pa.array(held),
+        pa.array(np.add.reduceat(logs, begins)),
+        pa.ListArray.from_arrays(ends, pa.array([mapper.words[i] for i in rest.tolist()], pa.binary())),
+        pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
+        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(mapper.classes[at])]),
+    ]
 
 
 def sequences(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """docs(doc_id, text, held_out) with each whole text as classes, written as a stage: n_tokens, the
-    n_held of them whose counts tasks hold with the sum of their logs, and the rest by word."""
+    n_held of them whose counts tasks hold with the sum of their logs, and the rest by word. Rows have a
+    row_id, as doc_ids may repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(v)  # HELD_COUNTS words at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = Mapper(shared.value)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                words = [*words_of(text), END]
-                ids, logs = mapper.map(words)
-                rest = Counter([words[i] for i in np.nonzero(logs < 0)[0].tolist()])
-                rows.append((len(words), len(words) - sum(rest.values()), float(logs[logs >= 0].sum()), list(rest), list(rest.values()), ids.astype(np.int16).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_held", "logs", "rest", "times", "ids"])
-            yield out.assign(doc_id=pdf["doc_id"].astype("Int64"), held_out=pdf["held_out"])
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+        for batch in batches:
+            if batch.num_rows:
+                doc_id, text, held_out = batch.columns
+                yield pa.RecordBatch.from_arrays([doc_id, held_out, *_mapped(text.to_pylist(), mapper)], names=names)
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(), "held_out")
     fields = "doc_id long, held_out boolean, n_tokens long, n_held long, logs double, rest array<binary>, times array<long>, ids binary"
-    return write_stage(read.mapInPandas(run, fields).withColumn("row_id", F.expr("uuid()")), "sequences")
+    names = [f.split()[0] for f in fields.split(", ")]
+    return write_stage(read.mapInArrow(run, fields).withColumn("row_id", F.monotonically_increasing_id()), "sequences")
 
 
 def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS):
@@ -292,11 +393,10 @@ def train(rows: DataFrame, v: Vocabulary, rounds: int = ROUNDS):
 
         def own(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             sums, gained = None, 0.0
-            for pdf in batches:
-                for part in _batches(_sequences(pdf["ids"])):
-                    *found, total = expected_counts(Batch(part), *now.value)
-                    sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
-                    gained += float(total.sum())
+            for part in _batches(chain.from_iterable(_sequences(pdf["ids"]) for pdf in batches)):
+                *found, total = expected_counts(Batch(part), *now.value)
+                sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
+                gained += float(total.sum())
             if sums is not None:
                 # the last row: the log likelihood ratio of these documents
                 table = np.vstack([sums[0][None, :], sums[1], sums[2], np.r_[gained, np.zeros(STATES - 1)][None, :]])

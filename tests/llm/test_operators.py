@@ -303,6 +303,33 @@ def test_hmm_recursions_match_brute_force(monkeypatch):
         assert np.allclose(got, x, rtol=1e-4, atol=1e-4)
 
 
+def test_hmm_multiplies_matrices_over_middle_segments_only(monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    widths, products = [], hmm._products
+    monkeypatch.setattr(hmm, "_products", lambda *args: (lambda x: widths.append(x[0].shape[2]) or x)(products(*args)))
+    rng = np.random.default_rng(1)
+    start, move, ratio = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.gamma(2, 0.5, (9, 3))
+    for sizes, middle in (((1,), 0), ((1, 2, 8, 9, 15), 0), ((16, 22, 23, 1, 30), 7)):
+        texts = [rng.integers(0, 9, n).astype(np.int32) for n in sizes]
+        batch = hmm.Batch(texts)
+        assert np.allclose(hmm.forward(batch, start, move, ratio)[0], [brute_likelihood(t, start, move, ratio) for t in texts])
+        want = [sum(x) for x in zip(*[brute_counts(t, start, move, ratio) for t in texts], strict=True)]
+        assert all(np.allclose(a, b) for a, b in zip(hmm.expected_counts(batch, start, move, ratio)[:3], want, strict=True))
+        assert set(widths) == {middle}
+        widths.clear()
+
+
+def test_hmm_words_that_tasks_do_not_hold_are_counted_once_a_text():
+    v = hmm.Vocabulary([(b"a", 4), (b"", 3)], np.zeros(hmm.TAIL_CLASSES), 9, 4)
+    texts = [b"A b a B c", None, b"", b"c c\x0bb"]
+    for _ in range(2):
+        n, held, logs, rest, times, ids = (x.to_pylist() for x in hmm._mapped(texts, hmm.Mapper(v)))
+        assert (n, held) == ([6, 1, 1, 4], [3, 1, 1, 1])
+        assert np.allclose(logs, [2 * np.log10(5) + np.log10(4), *[np.log10(4)] * 3])
+        assert [dict(zip(r, t, strict=True)) for r, t in zip(rest, times, strict=True)] == [{b"b": 2, b"c": 1}, {}, {}, {b"c": 2, b"b": 1}]
+        assert [np.frombuffer(x, np.int16).tolist() for x in ids] == [[v.class_of(w) for w in words(t.decode() if t else t) + [b""]] for t in texts]
+
+
 def test_hmm_base_scores_and_gain(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HELD_COUNTS", 50)
     rng = random.Random(13)
