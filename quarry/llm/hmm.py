@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -68,51 +68,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(_text()).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _tail_classes(words: list[bytes]) -> np.ndarray:
+    return (HEAD_CLASSES + np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % TAIL_CLASSES).astype(np.int16)
+
+
 class Vocabulary:
     """Classes and held counts, as every task needs them; of fixed size."""
 
     def __init__(self, held: list[tuple[bytes, int]], tail_mass: np.ndarray, total: int, distinct: int):
         self.total, self.distinct = total, distinct
-        self.held = dict(held)
-        self.classes = {w: i for i, (w, _) in enumerate(held[:HEAD_CLASSES])}
+        self.words = [w for w, _ in held]
+        counts = np.array([n + 1 for _, n in held], float)
+        self.logs, self.classes = np.log10(counts), _tail_classes(self.words)
+        heads = min(HEAD_CLASSES, len(held))
+        self.classes[:heads] = np.arange(heads)
         mass = np.zeros(HEAD_CLASSES + TAIL_CLASSES)
-        mass[: len(self.classes)] = [n + 1 for _, n in held[:HEAD_CLASSES]]
+        mass[:heads] = counts[:heads]
         mass[HEAD_CLASSES:] = tail_mass + 1
         self.norm = mass.sum()
         self.share = np.where(mass > 0, mass / self.norm, 1.0)
 
-    def class_of(self, word: bytes) -> int:
-        at = self.classes.get(word)
-        return HEAD_CLASSES + zlib.crc32(word) % TAIL_CLASSES if at is None else at
 
-
-class Mapper(dict):
-    """Words to their number here, remembering words met. By number: class and log10(count + 1), where
-    -1 marks counts that a join gives."""
+class Mapper:
+    """Words to their number here: that in the vocabulary, or the next one. By number: the word, its
+    class and log10(count + 1), where -1 marks counts that a join gives."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
-        self.words: list[bytes] = []
-        self.classes, self.logs = np.zeros(1 << 16, np.int16), np.zeros(1 << 16)
-
-    def __missing__(self, word: bytes) -> int:
-        at, v = len(self), self.vocabulary
-        if at == len(self.logs):
-            self.classes, self.logs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.classes, self.logs))
-        n = v.held.get(word)
-        self.classes[at], self.logs[at] = v.class_of(word), math.log10(n + 1) if n is not None else -1.0
-        self.words.append(word)
-        self[word] = at
+        self._begin()
+
+    def _begin(self) -> None:
+        v = self.vocabulary
+        self.words, self.classes, self.logs = list(v.words), v.classes, v.logs
+        self.numbers = defaultdict(count(len(v.words)).__next__, zip(v.words, range(len(v.words)), strict=True))
+
+    def map(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The numbers of each text's words, which hold until the next call."""
+        known = len(self.words)
+        if known > len(self.vocabulary.words) + 100_000:
+            self._begin()
+            known = len(self.words)
+        number = self.numbers.__getitem__
+        at = [np.fromiter(map(number, words), np.int64, len(words)) for words in map(_words, texts)]
+        new = list(islice(self.numbers, known, None))
+        self.words += new
+        self.classes = np.concatenate([self.classes, _tail_classes(new)])
+        self.logs = np.concatenate([self.logs, np.full(len(new), -1.0)])
         return at
 
-    def map(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The numbers of the words of many texts in a row, until the next call."""
-        if len(self) > 250_000:
-            self.clear()
-            self.words.clear()
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -324,15 +327,15 @@ def _sequences(column: Iterable[bytes]) -> list[np.ndarray]:
 
 def _mapped(texts: list[bytes | None], mapper: Mapper) -> list[pa.Array]:
     """n_tokens, n_held, logs, rest, times and ids of texts, see sequences()."""
-    words = [_words(t) for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    at = mapper.map(words)
+    at = mapper.map(texts)
+    sizes = np.array([len(x) for x in at], np.int64)
+    at = np.concatenate(at)
     logs, begins = mapper.logs[at], sizes.cumsum() - sizes
     lacking = np.nonzero(logs < 0)[0]
     # the words of each text that tasks do not hold, once each
     rows = np.searchsorted(begins, lacking, side="right") - 1
-    keys, times = np.unique(rows * len(mapper) + at[lacking], return_counts=True)
-    rows, rest = np.divmod(keys, len(mapper))
+    keys, times = np.unique(rows * len(mapper.words) + at[lacking], return_counts=True)
+    rows, rest = np.divmod(keys, len(mapper.words))
     ends = pa.array(np.searchsorted(rows, np.arange(len(sizes) + 1)), pa.int32())
     logs[lacking] = 0.0
     held = sizes - np.bincount(rows, weights=times, minlength=len(sizes)).astype(np.int64)
