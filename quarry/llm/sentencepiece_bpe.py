@@ -337,7 +337,7 @@ def _encoder(vocabulary: tuple, dropout: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, copies: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, copies: bool = False, turns: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens of each whole text.
 
     A null text has null ids and no tokens, an empty one an empty list. The same seed, doc_id and text
@@ -345,7 +345,8 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     (column `copy`, from 1) and have draws by their number: the first those of a single row, the others
     their own. Such rows meet in one task, so that neither files nor partitions change what they get. Dropout 0
     gives the model's own segmentation (a literal U+2581 apart, which stays itself here). Null doc_ids count as
-    one. Extra columns pass through; those named ids, n_tokens (and copy, with copies) are replaced.
+    one. Extra columns pass through; those named ids, n_tokens (and copy, with copies) are replaced. turns is another
+    name of copies.
     """
     spark = docs.sparkSession
     small_batches(spark, BATCH)
@@ -375,7 +376,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
         give_back()
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    if copies:
+    if copies or turns:
         # the hash deals; one function numbers and encodes, so that a task needs one Python worker
         hashed = F.xxhash64("text")
         both = docs.repartition(key, hashed).withColumn("ids", numbered.asNondeterministic()(key, hashed, "text"))
