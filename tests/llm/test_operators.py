@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -590,6 +591,51 @@ def test_each_occurrence_of_a_word_draws_for_itself(model_path):
     assert len(set(forms[0])) > 20 and forms[0] != forms[1]
 
 
+def test_words_that_come_up_once_leave_no_node(model_path, monkeypatch):
+    pieces, byte_ids, _ = sentencepiece_bpe.load_pieces(model_path)
+    encoder = sentencepiece_bpe.Encoder(pieces, byte_ids, 0.3, 5)
+    rng = random.Random(23)
+    words = [f"{rand_text(rng, 1)}x{i}" for i in range(300)]
+    forms = [encoder.word(" " + w, int(k)) for w, k in zip(words, encoder._keys(300, 1), strict=True)]
+    monkeypatch.setattr(encoder, "by_heap", None)  # line ends and signs without a piece go side by side too
+    assert encoder.texts([" ".join(words)], [1])[0].tobytes() == b"".join(forms)
+    assert encoder.nodes.n == 0
+    encoder.texts([" ".join(words) + "\n\n ▁ ▁"], [2])
+    assert encoder.nodes.n >= len(words)
+
+
+def test_runs_of_any_size_give_the_same_ids(model_path, monkeypatch):
+    pieces, byte_ids, surface = sentencepiece_bpe.load_pieces(model_path)
+    rng = random.Random(29)
+    texts = ["".join(rng.choice("  \n\nthereandioné日▁🙂\0") for _ in range(rng.randrange(200))) for _ in range(40)] + ["", None, " ", "\n", "y" * 60 + " z"] + TEXTS
+    chunks = [re.findall(r" *[^ \n]+| +|\n", " " + t) if t else [] for t in texts]
+    found, counts = sentencepiece_bpe.split(texts)
+    assert found.to_pylist() == [c for own in chunks for c in own] and counts.tolist() == [len(own) for own in chunks]
+    keys = list(range(len(texts)))
+    encoder = sentencepiece_bpe.Encoder(pieces, byte_ids, 0.3, 5)
+    want = [b"".join(encoder.word(c, int(k)) for c, k in zip(own, encoder._keys(len(own), key), strict=True)) for own, key in zip(chunks, keys, strict=True)]
+    for sizes in ({}, {"WORDS": 7, "RUN": 3, "SIDE_BY_SIDE": 2}, {"WORDS": 100, "REMEMBERED": 5, "MET": 4}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(sentencepiece_bpe, name, size)
+        encoder = sentencepiece_bpe.Encoder(pieces, byte_ids, 0.3, 5)
+        for _ in range(3):
+            got = encoder.texts(texts, keys)
+            assert [b"" if r is None else r.tobytes() for r in got] == want and [r is None for r in got] == [t is None for t in texts]
+    assert sentencepiece_bpe.spelt_out(pa.array(surface, pa.large_binary()), got) == texts
+
+
+def test_tasks_read_ahead_without_losing_rows(spark, model_path):
+    rows = [(i, f"row {i} of many words", i % 3) for i in range(700)] + [(None, None, 1), (800, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(2)
+    key = lambda df: sorted((str(r["doc_id"]), r["mark"], r["ids"]) for r in df.collect())
+    found = key(sentencepiece_bpe.encode(docs, model_path, 0.3, 3))
+    assert len(found) == len(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    assert key(sentencepiece_bpe.encode(docs, model_path, 0.3, 3)) == key(sentencepiece_bpe.encode(docs, model_path, 0.3, 3, copies=True)) == found
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_copies_have_draws_by_number_whatever_the_partitions(spark):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     rng = random.Random(3)
