@@ -444,13 +444,13 @@ class Encoder:
             return mix64(number + np.repeat(mix64(np.array(start, np.uint64), 7), counts), 11)
 
 
-def together(batches: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Batches, whose last column is texts, in lists of at least TOGETHER characters (the last may have fewer)."""
+def together(batches: Iterator[tuple], characters: int) -> Iterator[list[tuple]]:
+    """Batches, whose last column is texts, in lists of at least so many characters (the last may have fewer)."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += sum(map(len, filter(None, batch[-1])))
-        if size >= TOGETHER:
+        if size >= characters:
             yield held
             held, size = [], 0
     if held:
@@ -486,9 +486,10 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     shared = spark.sparkContext.broadcast((pieces, byte_ids))  # one vocabulary
 
     def drawn(batches: Iterator[tuple[list[int], list[int], list[str | None]]]) -> Iterator[pd.Series]:
-        """Ids of batches of doc_ids, numbers of their copies and texts; some are encoded together."""
+        """Ids of batches of doc_ids, numbers of their copies and texts. Some are encoded together, but not with
+        copies: in the pipeline the workers of earlier stages leave less memory."""
         encoder = _encoder(shared.value, dropout, seed)
-        for held in together(batches):
+        for held in together(batches, 0 if copies or turns else TOGETHER):
             keys, numbers, texts = (list(chain.from_iterable(c)) for c in zip(*held, strict=True))
             ids = iter(encoder.texts(texts, [k + (n - 1) * _K2 for k, n in zip(keys, numbers, strict=True)]))
             yield from (pd.Series(list(islice(ids, len(batch[0]))), dtype=object) for batch in held)
