@@ -173,10 +173,17 @@ def _linked_blocks(members: DataFrame, group: str, linked_of, block_rows: int) -
     return dealt.select("rows", (F.col("i") == F.col("j")).alias("same")).mapInPandas(tidy(run), "node long, root long")
 
 
+def _clustered_texts(docs: DataFrame, clustered: DataFrame, bloom: np.ndarray) -> DataFrame:
+    """clustered(id, ...) with texts. The join is by shuffle, also where clustered is small: were it broadcast, one
+    task would keep a Python worker for the filter and another for the sets, and both stay for later stages."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    return texts.where(held(bloom, docs.sparkSession, F.xxhash64("id"))).join(clustered.hint("merge"), "id")
+
+
 def _classes(docs: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (print_a, print_b, n_shingles, group, component_id), one for each shingle set of described:
     a number for its component, and the smallest doc_id of that."""
-    spark, matches = docs.sparkSession, matches_for(percent)
+    matches = matches_for(percent)
     usable = described.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     # a class has a number of its own: several classes may hold one doc_id, if ids repeat
@@ -200,8 +207,7 @@ def _classes(docs: DataFrame, described: DataFrame, size: int, percent: int) ->
     clustered = clusters.join(sizes, "component")
     # texts of documents in no cluster stay where they are: a small filter holds them back
     bloom = build_filter(clusters.select(F.xxhash64("id").alias("key_hash")), clusters.count())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    texts = texts.where(held(bloom, spark, F.xxhash64("id"))).join(clustered, "id")
+    texts = _clustered_texts(docs, clustered, bloom)
 
     @F.pandas_udf("print long, members binary")
     def sets(text: pd.Series) -> pd.DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_PATTERN, packed, write_stage
+from quarry.llm.common import WORD_PATTERN, few_rows, give_back, packed, write_stage
 
 #: Documents of one (source, size) cell are ranked in hash groups of about this many rows.
 GROUP_ROWS = 50_000
@@ -60,13 +61,12 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds:
     for s in state.values():
         if not s["done"] and s["target"] >= s["most"] * (1 - 1e-12):
             s |= {"lam": 1e6, "done": True}
-    schema = "source string, lam double, scale double"
     exact = lambda x: F.sum(x.cast("decimal(30,6)")).cast("double")  # in any order the same
     for _ in range(rounds):
         todo = [(k, s["lam"], s["scale"]) for k, s in state.items() if not s["done"]]
         if not todo:
             break
-        now = spark.createDataFrame(todo, schema)
+        now = few_rows(spark, todo, source=pa.string(), lam=pa.float64(), scale=pa.float64())
         w = _tilted(F.col("lam"), F.col("size"), F.col("scale"), most)
         joined = cells.join(F.broadcast(now), cells["source"].eqNullSafe(now["source"])).select(cells["source"], "n", "size", "scale", w.alias("w"))
         sums = joined.groupBy("source").agg(
@@ -87,7 +87,7 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds:
                 else:
                     step = 2 * s["lam"] + (1.0 if gap > 0 else -1.0)
             s["lam"] = float(step)
-    return spark.createDataFrame([(k, s["lam"]) for k, s in state.items()], "source string, lam double")
+    return few_rows(spark, [(k, s["lam"]) for k, s in state.items()], source=pa.string(), lam=pa.float64())
 
 
 def _spread(cells: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +102,9 @@ def _spread(cells: pd.DataFrame) -> pd.DataFrame:
             left += rate[i] * n[i] * size[i]
             copies[i] = min(max(round(left / size[i]), 0), int(most[i] * n[i]))
             left -= copies[i] * size[i]
-    return cells.assign(copies=copies).drop(columns=["most", "text_source", "no_source"])
+    out = cells.assign(copies=copies).drop(columns=["most", "text_source", "no_source"])
+    give_back()
+    return out
 
 
 def plan_mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> tuple[DataFrame, int]:
@@ -120,8 +122,8 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     targets = source_targets({r["source"]: r["source_size"] for r in found}, weights, share, most)
-    schema = "source string, source_size long, target double, scale double"
-    by_source = spark.createDataFrame([(r["source"], r["source_size"], float(targets[r["source"]]), max(1.0, r["source_size"] / r["n_docs"])) for r in found], schema)
+    sources = [(r["source"], r["source_size"], float(targets[r["source"]]), max(1.0, r["source_size"] / r["n_docs"])) for r in found]
+    by_source = few_rows(spark, sources, source=pa.string(), source_size=pa.int64(), target=pa.float64(), scale=pa.float64())
     tilts = solve_tilts(cells, by_source, most)
     known = by_source.join(tilts, by_source["source"].eqNullSafe(tilts["source"])).select(by_source["*"], "lam")
     known = F.broadcast(known.withColumnRenamed("source", "of_source"))  # one row per source

@@ -469,6 +469,11 @@ def _encoder(vocabulary: tuple, dropout: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
+def _let_go() -> None:
+    """A worker's own dictionary is cleared by name: functions that Spark ships bring copies of what they mention."""
+    _ENCODERS.clear()
+
+
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, copies: bool = False, turns: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens of each whole text.
 
@@ -487,12 +492,16 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
 
     def drawn(batches: Iterator[tuple[list[int], list[int], list[str | None]]]) -> Iterator[pd.Series]:
         """Ids of batches of doc_ids, numbers of their copies and texts. Some are encoded together, but not with
-        copies: in the pipeline the workers of earlier stages leave less memory."""
+        copies: in the pipeline the workers of earlier stages leave less memory. There the encoder goes with its task too,
+        as an executor keeps more workers than it has tasks, takes them in turn and hands them on to other stages."""
         encoder = _encoder(shared.value, dropout, seed)
         for held in together(batches, 0 if copies or turns else TOGETHER):
             keys, numbers, texts = (list(chain.from_iterable(c)) for c in zip(*held, strict=True))
             ids = iter(encoder.texts(texts, [k + (n - 1) * _K2 for k, n in zip(keys, numbers, strict=True)]))
             yield from (pd.Series(list(islice(ids, len(batch[0]))), dtype=object) for batch in held)
+        if copies or turns:
+            del encoder
+            _let_go()
         give_back()
 
     @F.pandas_udf("array<int>")
