@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import sha256, uuid3
@@ -18,6 +18,11 @@ HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 LIST_ITEM = re.compile(r"^\s*(?:[-+*]|\d+[.)])\s+.+$")
 SENTENCE_ENDS = "\n。.！？"
 
+#: Lines that an element would not hold as they are: empty ones, those with white space at an end or a carriage return, and
+#: those that begin like a heading, list item, fence or rule, or with the mark of escaped(). Fixed values.
+WHITE = r"\s\x1C-\x1F\x85\p{Z}"
+UNFIT = rf"^$|^[\\#+*`{WHITE}-]|^\p{{Nd}}+[.)]|[{WHITE}]$|\r"
+
 ELEMENT = "ordinal int, element_type string, section_path array<string>, content string, language string"
 
 
@@ -104,6 +109,19 @@ def parse_elements(revisions: DataFrame, text: str = "content") -> DataFrame:
     return arrays.select("revision_id", F.explode("elements").alias("e")).select("revision_id", "e.*")
 
 
+def escaped(line: Column) -> Column:
+    """A line that stays one paragraph, list item or line of a fence, whatever it holds: those that would not are put between
+    backslashes, with theirs as \\b and carriage returns as \\r."""
+    inner = F.replace(F.replace(line, F.lit("\\"), F.lit("\\b")), F.lit("\r"), F.lit("\\r"))
+    return F.when(line.rlike(UNFIT), F.concat(F.lit("\\"), inner, F.lit("\\"))).otherwise(line)
+
+
+def unescaped(line: Column) -> Column:
+    """What escaped() was given."""
+    inner = F.replace(F.replace(F.substr(line, F.lit(2), F.length(line) - 2), F.lit("\\r"), F.lit("\r")), F.lit("\\b"), F.lit("\\"))
+    return F.when(line.startswith("\\"), inner).otherwise(line)
+
+
 def units(text: str) -> int:
     """Length in UTF-16 code units, in which all limits count."""
     return len(text) + sum(c > "\uffff" for c in text)
