@@ -22,6 +22,8 @@ SENTENCE_ENDS = "\n。.！？"
 #: those that begin like a heading, list item, fence or rule, or with the mark of escaped(). Fixed values.
 WHITE = r"\s\x1C-\x1F\x85\p{Z}"
 UNFIT = rf"^$|^[\\#+*`{WHITE}-]|^\p{{Nd}}+[.)]|[{WHITE}]$|\r"
+#: Where a line would open front matter or a fence.
+OPENS = r"(?m)^(?=[\t\x0B\f\x1C-\x1F\x85\p{Z}]*(?:---|```))"
 
 ELEMENT = "ordinal int, element_type string, section_path array<string>, content string, language string"
 
@@ -122,6 +124,13 @@ def unescaped(line: Column) -> Column:
     return F.when(line.startswith("\\"), inner).otherwise(line)
 
 
+def plain(text: Column) -> Column:
+    """Text as Markdown that loses none of its words: a backslash stands before what would open front matter or a fence, and before
+    a text of nothing but white space."""
+    opened = F.when(text.contains("---") | text.contains("```"), F.regexp_replace(text, OPENS, r"\\")).otherwise(text)
+    return F.when(text.rlike(f"[^{WHITE}]"), opened).otherwise(F.concat(F.lit("\\"), text))
+
+
 def units(text: str) -> int:
     """Length in UTF-16 code units, in which all limits count."""
     return len(text) + sum(c > "\uffff" for c in text)

@@ -41,7 +41,7 @@ def assert_equals_sql(spark, name, folder):
 
 
 @pytest.mark.parametrize("kind", ["texts", "keys"])
-@pytest.mark.parametrize("name", ["markdown_elements"])
+@pytest.mark.parametrize("name", ["markdown_elements", "snapshot_publish", "snapshot_results", "projection_worker"])
 def test_odd_rows_give_what_the_sql_gives(spark, folders, name, kind):
     assert_equals_sql(spark, name, folders[kind])
 
