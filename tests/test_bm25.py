@@ -40,7 +40,7 @@ def test_a_task_hands_on_its_best_alone(spark):
     assert sorted(map(tuple, retrieval.top_candidates(best, F.lit(5)).collect())) == sorted(map(tuple, want.select("query_id", "chunk_id", "raw_score", "rank").collect()))
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "bm25_best_fields_topk", "cjk_bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_best_fields_topk", "cjk_bm25_topk", "keyword_websearch_topk"])
 def test_no_chunk_is_shuffled_by_its_id(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "chunk_id" in x]
